@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from . import portfolio
+
 
 def queries() -> dict:
-    return {}
+    return dict(portfolio.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(portfolio.ORACLES)
