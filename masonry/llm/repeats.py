@@ -199,9 +199,8 @@ def _shared_keys(n: int):
         twice[1:] = own[1:] == own[:-1]
         twice[:-1] |= twice[1:].copy()
         order = order[twice]
-        order = order[np.argsort(docs[order], kind="stable")]
         values = (kept[order] * np.uint64(n) + np.uint64(key[0].as_py())).view(np.int64)
-        yield from _lists(docs[order], values, ["doc_id", "keys"]).to_batches()
+        yield pa.RecordBatch.from_arrays([pa.array(docs[order]), pa.array(values)], ["doc_id", "key"])
 
     return run
 
@@ -320,9 +319,9 @@ def remove_repeats(docs: DataFrame, hash_bucket: int = HASH_BUCKET, text_bucket:
     n = max(1, math.ceil(total / hash_bucket))
     texts = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
     packed = texts.mapInArrow(_hash_rows(n), "bucket int, docs binary, counts binary, low binary, high binary")
-    keys = packed.groupBy("bucket").applyInArrow(_shared_keys(n), "doc_id long, keys array<long>")
+    keys = packed.groupBy("bucket").applyInArrow(_shared_keys(n), "doc_id long, key long")
     first = summary.groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
-    by_doc = keys.groupBy("doc_id").agg(F.flatten(F.collect_list("keys")).alias("keys")).join(first.select("doc_id"), "doc_id", "left_semi")
+    by_doc = keys.groupBy("doc_id").agg(F.collect_list("key").alias("keys")).join(first.select("doc_id"), "doc_id", "left_semi")
     held = materialise(texts.join(materialise(by_doc, "keys").hint("shuffle_hash"), "doc_id"), "held")
     bulk = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     m = max(1, math.ceil(4 * bulk / text_bucket))
