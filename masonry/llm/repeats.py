@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, blocks, materialise, mix, ragged, small_batches, span_hashes, table, text_view
+from .common import as_text, blocks, materialise, mix, ragged, small_batches, span_hashes, table, text_view, unzip, zipped
 
 LENGTH, K = 50, 16
 #: Text bytes whose minimisers go to one bucket of hashes, and bytes of stretches in one bucket of text.
@@ -210,7 +210,7 @@ def _text_rows(n: int, m: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_view(batch.column(1))
+            data, offsets = text_view(unzip(batch.column(1)))
             doc = batch.column(0).to_numpy()
             lists = batch.column(2)
             flat, ends = lists.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
@@ -287,7 +287,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unite the windows of each text into removed spans of bytes."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     for batch in batches:
-        data, offsets = text_view(batch.column(1))
+        data, offsets = text_view(unzip(batch.column(1)))
         out = []
         for i, (doc, runs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
             own = data[offsets[i] : offsets[i + 1]]
@@ -322,12 +322,12 @@ def remove_repeats(docs: DataFrame, hash_bucket: int = HASH_BUCKET, text_bucket:
     keys = packed.groupBy("bucket").applyInArrow(_shared_keys(n), "doc_id long, key long")
     first = summary.groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
     by_doc = keys.groupBy("doc_id").agg(F.collect_list("key").alias("keys")).join(first.select("doc_id"), "doc_id", "left_semi")
-    held = materialise(texts.join(materialise(by_doc, "keys").hint("shuffle_hash"), "doc_id"), "held")
-    bulk = held.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    held = materialise(zipped(texts).join(materialise(by_doc, "keys").hint("shuffle_hash"), "doc_id"), "held")
+    bulk = 2.5 * (held.agg(F.sum(F.octet_length("z"))).first()[0] or 0)
     m = max(1, math.ceil(4 * bulk / text_bucket))
     runs = held.mapInArrow(_text_rows(n, m), "bucket int, docs binary, starts binary, windows binary, text binary").groupBy("bucket").applyInArrow(_repeated, "doc_id long, runs array<long>")
     by_doc = runs.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    cut = held.select("doc_id", "text").join(by_doc, "doc_id").mapInArrow(_cut, RESULT)
+    cut = held.select("doc_id", "z").join(by_doc, "doc_id").mapInArrow(_cut, RESULT)
     copy = (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= LENGTH)
     all_rows = summary.join(first.select("hash", F.col("doc_id").alias("first")), "hash").join(cut, "doc_id", "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))

@@ -29,6 +29,30 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return np.random.default_rng([seed, bucket]).permutation(n)
 
 
+def _with_text(change):
+    """Map a batch's text column by `change` (bytes to bytes); null stays null."""
+
+    def of(batch, at: int, kind: pa.DataType):
+        texts = [change(t.as_buffer()) if t.is_valid else None for t in batch.column(at)]
+        return batch.set_column(at, "text", pa.array(texts, pa.binary()).cast(kind))
+
+    return of
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """The rows with compressed texts, so that the shuffle moves about half."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        pack = _with_text(zstandard.ZstdCompressor(level=3).compress)
+        for batch in batches:
+            yield pack(batch, at, pa.binary())
+
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {'binary' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema.fields))
+
+
 def shuffle_into_shards(docs: DataFrame, out: str, shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """Write all rows, whole, as Parquet into `out`/shard=K and return them as read back, with shard and slot.
 
@@ -42,7 +66,8 @@ def shuffle_into_shards(docs: DataFrame, out: str, shards: int = SHARDS, seed: i
     docs = docs.withColumn("_tie", F.xxhash64(F.col("doc_id").cast("string"), "text"))
     total = docs.agg(F.sum(F.octet_length(as_text(F.col("text"))) + 64)).first()[0] or 0
     n = max(1, math.ceil(total / bucket_bytes))
-    scattered = docs.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_tie"), F.lit(n)).cast("int"))
+    kinds = docs.schema
+    scattered = _packed(docs).withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_tie"), F.lit(n)).cast("int"))
     counts = scattered.groupBy("_bucket").agg(F.count(F.lit(1)).alias("n"))
     # first places of the buckets: a running sum in two levels, so no task has more than about sqrt(n) rows
     wide = max(1, math.isqrt(n))
@@ -52,16 +77,20 @@ def shuffle_into_shards(docs: DataFrame, out: str, shards: int = SHARDS, seed: i
     places = inner.join(F.broadcast(outer), "g").select("_bucket", (F.col("inner") + F.col("outer")).alias("_first"))
 
     names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "_tie")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds.fields if f.name != "_tie")
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket = pa.Table.from_batches(list(batches))
+        import zstandard
+
+        unpack, bucket = _with_text(zstandard.ZstdDecompressor().decompress), pa.Table.from_batches(list(batches))
         order = np.lexsort((bucket["_tie"].to_numpy(), bucket["doc_id"].fill_null(-1).to_numpy()))
         order = order[fisher_yates(bucket.num_rows, seed, key[0].as_py())]
         place = key[1].as_py() + np.arange(bucket.num_rows)
         mixed = bucket.select([c for c in names if c != "_tie"]).take(pa.array(order))
         mixed = mixed.append_column("shard", pa.array((place % shards).astype(np.int32))).append_column("slot", pa.array(place // shards))
-        yield from mixed.to_batches(max_chunksize=1000)
+        at = mixed.column_names.index("text")
+        for batch in mixed.to_batches(max_chunksize=1000):
+            yield unpack(batch, at, pa.string())
 
     dealt = scattered.join(F.broadcast(places), "_bucket").groupBy("_bucket", "_first").applyInArrow(run, f"{fields}, shard int, slot long")
     dealt.write.partitionBy("shard").option("compression", "zstd").parquet(out)

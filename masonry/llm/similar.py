@@ -5,12 +5,13 @@ rarest words first. Each shingle that stands early in a document (within the pre
 the least similarity must meet) makes the document a member of that shingle's region; a second window,
 on the size of the set (its distance from the full set), puts it also into the next size band. Linked
 documents therefore share a region. Within a region the first document is the pivot: one distance per
-member is computed, members within the threshold are linked to it, and what is left - members of another
-component that no pivot has met - forms the region of the next round, with a new pivot. Pairs whose
-distances to the first pivot differ by more than the threshold are never compared (triangle inequality).
-When the pairs that are left are few, they are compared and the join is complete.
+member is computed, and members within the threshold are linked to it. What is left - members of
+different components - is joined in the region itself, in blocks of bounded size. Before any distance is
+computed from texts, a lower bound on it must pass: a bitmap holds the parity of the shingles that fall
+on each bit, and two sets differ at least in as many shingles as their bitmaps differ in bits. Pairs
+whose distances to the pivot differ by more than the threshold are left out (triangle inequality).
 
-Documents with equal sets are joined before, and a region's work is linear in its members per round.
+Documents with equal sets are joined before.
 """
 
 from __future__ import annotations
@@ -23,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, materialise, mix, small_batches, span_hashes, table, text_view, words
+from .common import LOWER, blocks, materialise, mix, small_batches, span_hashes, table, text_view, unzip, words, zipped
 
 SHINGLE, PERCENT = 3, 90
 #: A word is common from this share of all words on; so there are at most 1 / COMMON such words.
 COMMON = 2e-5
-#: Pairs per document that may be left for the last comparison, and most rounds of pivots before it.
-PAIRS_PER_DOC, ROUNDS = 1.0, 8
+#: Members of a region that are compared in one block, and rows that a task of blocks may be expected to hold.
+BLOCK, TASK_ROWS = 512, 20_000
 
 
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +116,7 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, shingler: Shingler, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, f1, f2 (a 128-bit fingerprint of the set), keys (the prefix) of every row."""
+    """doc_id, n, f1, f2 (a 128-bit fingerprint of the set), keys (the prefix), bits (the parity bitmap, a power of two of at least n bits) of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(shingler)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,19 +129,73 @@ def signatures(docs: DataFrame, shingler: Shingler, percent: int = PERCENT) -> D
                 take = prefix_length(n, percent)
                 at = np.repeat(first[:-1], take) + (np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))).astype(np.int32)), pa.array(keys[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), *(pa.array((s[1:] - s[:-1]).view(np.int64)) for s in sums), lists], ["doc_id", "n", "f1", "f2", "keys"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>")
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), *(pa.array((s[1:] - s[:-1]).view(np.int64)) for s in sums), lists, _bitmaps(keys, n)], ["doc_id", "n", "f1", "f2", "keys", "bits"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, f1 long, f2 long, keys array<long>, bits array<long>")
+
+
+def _bitmaps(keys: np.ndarray, n: np.ndarray) -> pa.Array:
+    size = np.maximum(64, 2 ** np.ceil(np.log2(np.maximum(1, n))).astype(np.int64))
+    start = np.cumsum(size) - size
+    bit = (mix(keys + np.uint64(3)) & (np.repeat(size, n) - 1).astype(np.uint64)).astype(np.int64)
+    parity = (np.bincount(np.repeat(start, n) + bit, minlength=int(size.sum())) & 1).astype(np.uint8)
+    flat = np.packbits(parity, bitorder="little").view("<i8")
+    return pa.ListArray.from_arrays(pa.array(np.append(start, size.sum()).astype(np.int64) // 64).cast(pa.int32()), pa.array(flat))
+
+
+def _differing(a: str, b: str):
+    """Bits that differ in two bitmaps; the longer one (at most twice as long here) is folded to the other's length."""
+    size = F.least(F.size(a), F.size(b))
+    fold = lambda c: F.when(F.size(c) > size, F.zip_with(F.slice(c, 1, size), F.slice(c, size + 1, size), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(c))
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def _most_differing(na, nb, percent: int):
+    """Shingles that two sets of these sizes may differ in and still link."""
+    return (na + nb) * (100 - percent) // (100 + percent) if isinstance(na, np.ndarray) else F.floor((na + nb) * (100 - percent) / (100 + percent))
+
+
+def _block_pairs(percent: int):
+    """Pairs (a, b) of the rows of each block - or of its two sides - that differ in component and pass size and bitmap."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches)).sort_by([("unit", "ascending"), ("side", "ascending"), ("doc_id", "ascending")]).combine_chunks()
+        unit, side, doc, n, own = (rows[c].to_numpy() for c in ("unit", "side", "doc_id", "n", "own"))
+        d = rows["d"].to_numpy()
+        lists = rows["bits"].chunk(0) if rows.num_rows else None
+        flat, ends = (lists.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))) if lists is not None else (None, None)
+        heads = np.flatnonzero(np.append(True, unit[1:] != unit[:-1])) if len(unit) else []
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for i, j in zip(heads, np.append(heads[1:], len(unit)), strict=True) if len(unit) else []:
+            if np.all(own[i:j] == own[i]):
+                continue
+            width = int(np.diff(ends[i : j + 1]).min())
+            bits = np.zeros((j - i, width), np.uint64)
+            for k in range(i, j):
+                bits[k - i] = np.bitwise_xor.reduce(flat[ends[k] : ends[k + 1]].reshape(-1, width), 0)
+            split = int(np.searchsorted(side[i:j], 1))
+            for x in range(split):
+                at = np.arange(x + 1, j - i) if split == j - i else np.arange(split, j - i)
+                at = at[(own[i + at] != own[i + x]) & (100 * np.minimum(n[i + at], n[i + x]) >= percent * np.maximum(n[i + at], n[i + x]))]
+                at = at[~(np.abs(d[i + at] - d[i + x]) > 1 - percent / 100 + 1e-9)]
+                at = at[np.bitwise_count(bits[at] ^ bits[x]).sum(1, dtype=np.int64) <= _most_differing(n[i + at], n[i + x : i + x + 1], percent)]
+                if len(at):
+                    out.append((np.minimum(doc[i + at], doc[i + x]), np.maximum(doc[i + at], doc[i + x])))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), ())))
+        pairs = np.unique(np.stack((a, b), 1), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    return run
 
 
 def distances(pairs: DataFrame, texts: DataFrame, shingler: Shingler) -> DataFrame:
-    """a, b, shared, na, nb of pairs (a, b): sizes of the two sets and of their intersection."""
+    """a, b, shared, na, nb of pairs (a, b): sizes of the two sets and of their intersection. texts: see zipped."""
     shared = pairs.sparkSession.sparkContext.broadcast(shingler)
-    one, two = (texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}")) for x in ("a", "b"))
+    one, two = (texts.select(F.col("doc_id").alias(x), F.col("z").alias(f"t{x}")) for x in ("a", "b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (text_view(batch.column(k)) for k in (2, 3))
+            left, right = (text_view(unzip(batch.column(k))) for k in (2, 3))
             out = np.zeros((3, batch.num_rows), np.int64)
             for i, j in blocks(left[1] + right[1]):
                 (a, fa), (b, fb) = (shared.value.sets(d[o[i] : o[j]], o[i : j + 1] - o[i]) for d, o in (left, right))
@@ -176,7 +231,7 @@ def _alike(percent: int):
 
 
 def regions(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """region, doc_id, n of every region with two or more members; of regions with the same members one stays."""
+    """region, doc_id, n, bits of every region with two or more members; of regions with the same members one stays."""
     rows = reps.select(F.explode("keys").alias("key"), "doc_id", "n")
     by_key = W.partitionBy("key")
     shared = rows.withColumn("c", F.count(F.lit(1)).over(by_key)).filter("c > 1").drop("c")
@@ -186,54 +241,34 @@ def regions(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     members = banded.select("*", F.count(F.lit(1)).over(by_region).alias("c"), *(F.bit_xor(F.xxhash64(F.lit(k), "doc_id")).over(by_region).alias(f"x{k}") for k in (1, 2)))
     members = materialise(members.filter("c > 1"), "members")
     one = members.groupBy("c", "x1", "x2").agg(F.min("region").alias("region")).select("region")
-    return materialise(members.select("region", "doc_id", "n").join(one, "region", "left_semi"), "regions")
+    kept = members.select("region", "doc_id", "n").join(one, "region", "left_semi")
+    return materialise(kept.join(reps.select("doc_id", "bits"), "doc_id").select("region", "doc_id", "n", "bits"), "regions")
 
 
-def links(texts: DataFrame, member: DataFrame, shingler: Shingler, n_docs: int, percent: int = PERCENT) -> DataFrame | None:
+def links(texts: DataFrame, member: DataFrame, shingler: Shingler, percent: int = PERCENT) -> DataFrame | None:
     """doc_id, label of all documents with a link; None if there is no link."""
-    spark = texts.sparkSession
-    empty = spark.createDataFrame([], "a long, b long, shared long, na long, nb long")
-    tested, labels, rest, rounds = empty, None, member, 0
-    fits = lambda a, b: F.least(100 * F.col(a), 100 * F.col(b)) >= percent * F.greatest(F.col(a), F.col(b))
-
-    def measure(pairs: DataFrame) -> None:
-        nonlocal tested, labels
-        new = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = materialise(tested.union(distances(new, texts, shingler)), "tested")
-        linked = tested.filter(_alike(percent))
-        labels = components(linked) if linked.limit(1).count() else None
-
-    while True:
-        # the pivot of a region: its first member that has not been one
-        pivots = rest.groupBy("region").agg(F.min(F.struct("doc_id", "n")).alias("p"))
-        met = rest.join(pivots, "region").filter((F.col("doc_id") != F.col("p.doc_id")) & fits("n", "p.n"))
-        pairs = met.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b"))
-        if rounds and labels is not None:
-            known = labels.select("doc_id", "label")
-            pairs = pairs.join(known.toDF("a", "la"), "a", "left").join(known.toDF("b", "lb"), "b", "left").filter(~F.coalesce(F.col("la") == F.col("lb"), F.lit(False))).select("a", "b")
-        measure(pairs)
-        rounds += 1
-        marked = rest.join(pivots, "region").filter(F.col("doc_id") != F.col("p.doc_id")).select("region", "doc_id", "n")
-        own = F.col("doc_id")
-        if labels is not None:
-            marked, own = marked.join(labels, "doc_id", "left"), F.coalesce("label", "doc_id")
-        marked = marked.withColumn("own", own)
-        sizes = marked.groupBy("region", "own").agg(F.count(F.lit(1)).alias("k")).groupBy("region").agg(F.count(F.lit(1)).alias("parts"), F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("kk")).filter("parts > 1")
-        rest = materialise(marked.join(sizes.select("region"), "region", "left_semi").select("region", "doc_id", "n", "own"), "rest")
-        left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("kk")) / 2)).first()[0] or 0
-        if not left:
-            return labels
-        if left <= PAIRS_PER_DOC * n_docs or rounds >= ROUNDS:
-            break
-        rest = rest.drop("own")
-    x, y = (rest.select("region", F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("own").alias(f"own{c}")) for c in "ab")
-    pivots = member.groupBy("region").agg(F.min("doc_id").alias("pivot"))
-    far = tested.select("a", "b", (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
-    far = far.select(F.col("a").alias("pivot"), F.col("b").alias("doc"), "d").union(far.select("b", "a", "d"))
-    pairs = x.join(y, "region").filter((F.col("a") < F.col("b")) & (F.col("owna") != F.col("ownb")) & fits("na", "nb")).join(pivots, "region")
-    pairs = pairs.join(far.toDF("pivot", "a", "da"), ["pivot", "a"], "left").join(far.toDF("pivot", "b", "db"), ["pivot", "b"], "left")
-    measure(pairs.filter(F.coalesce(F.abs(F.col("da") - F.col("db")) <= 1 - percent / 100 + 1e-9, F.lit(True))).select("a", "b"))
-    return labels
+    fits = (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & (_differing("bits", "p.bits") <= _most_differing(F.col("n"), F.col("p.n"), percent))
+    pivots = member.groupBy("region").agg(F.min(F.struct("doc_id", "n", "bits")).alias("p"))
+    met = member.join(pivots, "region").filter((F.col("doc_id") != F.col("p.doc_id")) & fits)
+    tested = materialise(distances(met.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), texts, shingler), "tested")
+    linked = tested.filter(_alike(percent)).select("a", "b")
+    labels = components(linked) if linked.limit(1).count() else None
+    # what is left of each region without its pivot, where there is more than one component
+    rest = member.join(pivots.select("region", F.col("p.doc_id").alias("pivot")), "region").filter("doc_id <> pivot")
+    rest = rest.join(labels, "doc_id", "left").withColumn("own", F.coalesce("label", "doc_id")) if labels is not None else rest.withColumn("own", F.col("doc_id"))
+    mixed = rest.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("region", "m")
+    far = tested.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
+    rest = rest.join(mixed, "region").join(far, ["pivot", "doc_id"], "left")
+    n = F.ceil(F.col("m") / BLOCK).cast("int")
+    rest = rest.withColumn("k", F.pmod(F.xxhash64(F.lit(7), "doc_id"), n).cast("int"))
+    to = F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.least(i, F.col("k")).alias("i"), F.greatest(i, F.col("k")).alias("j"), F.when(i < F.col("k"), 1).otherwise(0).alias("side"))))
+    dealt = rest.withColumn("to", to).select(F.xxhash64("region", "to.i", "to.j").alias("unit"), "to.side", "doc_id", "n", "own", F.coalesce("d", F.lit(float("nan"))).alias("d"), "bits")
+    dealt = materialise(dealt, "blocks")
+    tasks = max(1, dealt.count() // TASK_ROWS)
+    pairs = dealt.withColumn("task", F.pmod("unit", F.lit(tasks))).groupBy("task").applyInArrow(_block_pairs(percent), "a long, b long").distinct()
+    more = distances(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts, shingler).filter(_alike(percent)).select("a", "b")
+    more = materialise(more, "more")
+    return components(linked.union(more)) if more.limit(1).count() else labels
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -251,10 +286,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     full = base.filter("n > 0")
     reps = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = materialise(reps, "sets")
-    n_docs = reps.count()
     member = regions(full.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), percent)
-    texts = materialise(docs.join(member.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
-    labels = links(texts, member, shingler, n_docs, percent) if member.limit(1).count() else None
+    texts = materialise(zipped(docs).join(member.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
+    labels = links(texts, member, shingler, percent) if member.limit(1).count() else None
     if labels is None:
         labels = spark.createDataFrame([], "doc_id long, label long")
     named = reps.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("component_id"))
