@@ -147,16 +147,17 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
         return np.bincount(rows.ravel(), np.repeat(d, rows.shape[1]), size), float(d.sum())
 
     def plain(m: Scorer):
-        gp, gu = m.weights[p].sum(1) + m.bias, m.weights[u].sum(1) + m.bias
-        a, b = back(p, -_sigmoid(-gp)), back(u, _sigmoid(gu))
+        gp, gu = m.weights[p[::2]].sum(1) + m.bias, m.weights[u[::2]].sum(1) + m.bias
+        a, b = back(p[::2], -_sigmoid(-gp)), back(u[::2], _sigmoid(gu))
         return a[0] + b[0], a[1] + b[1]
 
     if prior is None:
         first = _descend(Scorer(edges, np.zeros(size), 0.0, 0.5), plain, STEPS // 2)
-        sp, su = np.sort(first.margin(positive)), np.sort(first.margin(unlabelled))
-        at = np.quantile(sp, np.linspace(0.0, 0.8, 81))
+        # on the rows that it was not fitted on
+        sp, su = np.sort(first.margin(positive[1::2])), np.sort(first.margin(unlabelled[1::2]))
+        at = np.quantile(sp, np.linspace(0.0, 0.7, 71)) if len(sp) else np.zeros(0)
         tail = lambda s: 1 - np.searchsorted(s, at) / len(s)
-        prior = (tail(su) / tail(sp)).min()
+        prior = (tail(su) / tail(sp)).min() if len(sp) and len(su) else 0.5
     prior = float(np.clip(prior, 0.02, 0.98))
     model.prior = prior
 

@@ -77,7 +77,8 @@ def divergence(p: Column, q: Column) -> Column:
     share = lambda h: let(total(h), lambda t: F.transform(h, lambda x: F.try_divide(x.cast("double"), t)))
     part = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
     parts = F.zip_with(share(p), share(q), lambda a, b: (part(a, b) + part(b, a)) / 2)
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)))
+    distance = F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)))
+    return F.when((total(p) > 0) & (total(q) > 0), distance)
 
 
 def references(measured: DataFrame) -> DataFrame:
