@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,8 +33,10 @@ VOCABULARY = "byte_bpe_50k.json"
 END = 2
 #: Chunk lengths in ids: least, mean beyond the least (a power of two), most. Window of the rolling hash.
 CHUNK_MIN, CHUNK_MEAN, CHUNK_MAX, ROLL = 128, 512, 4096, 16
+#: Text bytes that are encoded at a time.
+BLOCK = 2 << 20
 #: Ids of pieces that a worker keeps before it starts over.
-CACHE_IDS = 4_000_000
+CACHE_IDS = 12_000_000
 
 _ENCODERS: dict[str, PieceEncoder] = {}
 
@@ -68,7 +69,7 @@ class PieceEncoder:
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Adds the ids of new pieces; pieces without inner white space go through the tokenizer joined by line feeds, which stay apart."""
         found: list = [None] * len(pieces)
-        plain = [i for i, p in enumerate(pieces) if len(p) <= 256 and p.strip(b" ") and re.fullmatch(rb" ?[^\s\x1c-\x1f]+", p) and p.isascii() or self._plain(p)]
+        plain = [i for i, p in enumerate(pieces) if self._plain(p)]
         for at in range(0, len(plain), 4096):
             part = plain[at : at + 4096]
             ids = np.array(self._ids(["\n".join(pieces[i].decode() for i in part)])[0], np.uint32)
@@ -81,13 +82,16 @@ class PieceEncoder:
         count = np.array([len(x) for x in found], np.int64)
         begin = len(self.flat) + np.cumsum(count) - count
         self.flat = np.concatenate([self.flat, *found])
-        keys, begin, count = np.concatenate((self.keys, keys)), np.concatenate((self.begin, begin)), np.concatenate((self.count, count))
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.begin, self.count = keys[order], begin[order], count[order]
+        at = np.searchsorted(self.keys, keys)  # both are in order
+        self.keys, self.begin, self.count = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.begin, begin), (self.count, count)))
 
     @staticmethod
     def _plain(piece: bytes) -> bool:
-        return len(piece) <= 256 and re.fullmatch(r" ?\S+", piece.decode()) is not None
+        """One word of at most 256 bytes with at most a space before it."""
+        if len(piece) > 256:
+            return False
+        word = piece[1:] if piece[:1] == b" " else piece
+        return word.decode().split() == [word.decode()]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
@@ -199,7 +203,7 @@ def chunk_rows(docs: DataFrame, path: str, end: int = END) -> DataFrame:
         for batch in batches:
             data, offsets = text_view(batch.column(1))
             doc = batch.column(0).to_pylist()
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, BLOCK):
                 ids, counts = coder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 whole = counts + 1
                 stream = np.full(int(whole.sum()), end, np.uint32)
