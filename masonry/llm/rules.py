@@ -20,6 +20,8 @@ COMMON_WORDS = {
     "es": "de la que el en y a los se del las un por con no una su para es al lo como o pero sus".split(),
 }
 N_COMMON = 25
+#: Bytes of the longest listed word: longer ones are not looked up.
+LONGEST = max(len(w.encode()) for own in COMMON_WORDS.values() for w in own)
 #: Greatest Jensen-Shannon distance (base 2, 0 to 1) that is kept, and least code points or words to be judged.
 MOST_CLASSES, MOST_WORDS = 0.28, 0.3
 LEAST_CHARS, LEAST_WORDS = 300, 150
@@ -34,13 +36,25 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+#: Up to so many different repeated windows are looked up one by one; beyond, all windows are sorted with their places.
+FEW = 48
+
+
 def repeat_words(words: Column) -> Column:
     """Words that lie in a three-word window which occurs twice or more in the text."""
-    keys = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
+    keys = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    placed = lambda h: F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i")))
+    equal = lambda s, j, p: (j > 0) & (p == F.get(s, F.greatest(j - 1, F.lit(0))))
+    again = lambda h: let(F.sort_array(h), lambda s: F.array_distinct(F.filter(s, lambda p, j: equal(s, j, p))))
     same = lambda p, q: p["h"] == q["h"]
-    twice = lambda s: F.filter(s, lambda p, j: F.coalesce(((j > 0) & same(p, F.get(s, F.greatest(j - 1, F.lit(0))))) | same(p, F.get(s, j + 1)), (j > 0) & same(p, F.get(s, F.greatest(j - 1, F.lit(0))))))
+    before = lambda s, j, p: (j > 0) & same(p, F.get(s, F.greatest(j - 1, F.lit(0))))
+    twice = lambda s: F.filter(s, lambda p, j: F.coalesce(before(s, j, p) | same(p, F.get(s, j + 1)), before(s, j, p)))
+    by_lookup = lambda h, d: F.transform(F.filter(placed(h), lambda p: F.array_contains(d, p["h"])), lambda p: p["i"])
+    by_sorting = lambda h: let(F.sort_array(placed(h)), lambda s: F.sort_array(F.transform(twice(s), lambda p: p["i"])))
     steps = lambda at: F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - p, F.lit(3))))
-    covered = let(words, lambda w: let(F.sort_array(keys(w)), lambda s: let(F.sort_array(F.transform(twice(s), lambda p: p["i"])), lambda at: F.aggregate(steps(at), F.lit(0), lambda a, x: a + x))))
+    count = lambda places: let(places, lambda at: F.aggregate(steps(at), F.lit(0), lambda a, x: a + x))
+    places = lambda h, d: F.when(F.size(d) <= FEW, by_lookup(h, d)).otherwise(by_sorting(h))
+    covered = let(words, lambda w: let(keys(w), lambda h: let(again(h), lambda d: F.when(F.size(d) == 0, F.lit(0)).otherwise(count(places(h, d))))))
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(covered).cast("long")
 
 
@@ -54,7 +68,7 @@ def measure(docs: DataFrame) -> DataFrame:
     listed = F.create_map(*(x for lang, own in COMMON_WORDS.items() for x in (F.lit(lang), F.array(*map(F.lit, own)))))
     every = F.array(*map(F.lit, dict.fromkeys(w for own in COMMON_WORDS.values() for w in own[:6])))
     base = base.withColumn("list", F.coalesce(F.try_element_at(listed, F.coalesce("lang", F.lit(""))), every))
-    base = base.withColumn("codes", let(F.col("list"), lambda own: F.array_join(F.transform("ws", lambda w: F.substring(F.lit(_CODES), (F.array_position(own, F.lower(w)) + 1).cast("int"), F.lit(1))), "")))
+    base = base.withColumn("codes", let(F.col("list"), lambda own: F.array_join(F.transform("ws", lambda w: F.when(F.octet_length(w) > LONGEST, F.lit("_")).otherwise(F.substring(F.lit(_CODES), (F.array_position(own, F.lower(w)) + 1).cast("int"), F.lit(1)))), "")))
     lines = F.filter(F.split("t0", "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]"))
     base = base.withColumn("lines", lines)
     count = lambda k: F.length(f"t{k}") - F.length(f"t{k + 1}")
