@@ -21,7 +21,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, blocks, materialise, mix, small_batches, span_hashes, table, text_view, unzip, words, zipped
@@ -231,17 +230,19 @@ def _alike(percent: int):
 
 
 def regions(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """region, doc_id, n, bits of every region with two or more members; of regions with the same members one stays."""
+    """region, doc_id, n, bits of every region with two or more members; of regions with the same members one stays.
+
+    Counts and marks are summed before they are shuffled, and the semi-joins can be split, so a shingle of
+    very many documents doesn't gather its rows in one task.
+    """
     rows = reps.select(F.explode("keys").alias("key"), "doc_id", "n")
-    by_key = W.partitionBy("key")
-    shared = rows.withColumn("c", F.count(F.lit(1)).over(by_key)).filter("c > 1").drop("c")
+    often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
-    banded = shared.withColumn("band", F.explode(F.array(band, band + 1))).select(F.xxhash64("key", "band").alias("region"), "doc_id", "n")
-    by_region = W.partitionBy("region")
-    members = banded.select("*", F.count(F.lit(1)).over(by_region).alias("c"), *(F.bit_xor(F.xxhash64(F.lit(k), "doc_id")).over(by_region).alias(f"x{k}") for k in (1, 2)))
-    members = materialise(members.filter("c > 1"), "members")
-    one = members.groupBy("c", "x1", "x2").agg(F.min("region").alias("region")).select("region")
-    kept = members.select("region", "doc_id", "n").join(one, "region", "left_semi")
+    banded = rows.join(often, "key", "left_semi").withColumn("band", F.explode(F.array(band, band + 1)))
+    members = materialise(banded.select(F.xxhash64("key", "band").alias("region"), "doc_id", "n"), "members")
+    marks = members.groupBy("region").agg(F.count(F.lit(1)).alias("c"), *(F.bit_xor(F.xxhash64(F.lit(k), "doc_id")).alias(f"x{k}") for k in (1, 2))).filter("c > 1")
+    one = marks.groupBy("c", "x1", "x2").agg(F.min("region").alias("region")).select("region")
+    kept = members.join(one, "region", "left_semi")
     return materialise(kept.join(reps.select("doc_id", "bits"), "doc_id").select("region", "doc_id", "n", "bits"), "regions")
 
 
