@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Defaults that change results.
@@ -160,3 +160,33 @@ def clean_ring(ring: Column, tolerance: float = 1e-3) -> Column:
 def box_ring(x0: Column, y0: Column, w: Column, d: Column) -> Column:
     corner = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
     return F.array(corner(x0, y0), corner(x0 + w, y0), corner(x0 + w, y0 + d), corner(x0, y0 + d))
+
+
+def rotated(ring: Column, k: Column) -> Column:
+    """[A-27] the ring from its k-th corner on (from 0)."""
+    n = F.size(ring)
+    return F.concat(F.slice(ring, k + 1, n), F.slice(ring, F.lit(1), k))
+
+
+def least_rotation(ring: Column) -> Column:
+    """[A-27] corners (texts) joined by commas, from the corner that gives the least text."""
+    starts = F.sequence(F.lit(0), F.size(ring) - 1)
+    return F.array_min(F.transform(starts, lambda k: F.array_join(rotated(ring, k), ",")))
+
+
+def greedy_levels(df: DataFrame, levels: str, tolerance: int) -> DataFrame:
+    """[A-16] a row for each cluster c (start, n, total) of an ascending array of levels.
+
+    A level starts a cluster when it is more than `tolerance` above the start of the last one, so each
+    cluster depends on the one before it: a fold over the (short) array of one row.
+    """
+    none = F.expr("cast(array() as array<struct<start:bigint,n:bigint,total:bigint>>)")
+    cluster = lambda start, n, total: F.array(F.struct(start.cast("long").alias("start"), n.cast("long").alias("n"), total.cast("long").alias("total")))
+
+    def add(found: Column, z: Column) -> Column:
+        last = F.try_element_at(found, F.lit(-1))
+        within = F.coalesce(z - last["start"] <= tolerance, F.lit(False))
+        grown = F.concat(F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0))), cluster(last["start"], last["n"] + 1, last["total"] + z))
+        return F.when(within, grown).otherwise(F.concat(found, cluster(z, F.lit(1), z)))
+
+    return df.withColumn("c", F.explode(F.aggregate(levels, none, add)))

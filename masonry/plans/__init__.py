@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import portfolio
+from . import cells, portfolio  # noqa: F401  cells adds its queries to those of portfolio
 
 
 def queries() -> dict:
