@@ -39,14 +39,19 @@ BLOCK = 2 << 20
 CACHE_IDS = 12_000_000
 
 _ENCODERS: dict[str, PieceEncoder] = {}
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK[33:127] = ~_LETTER[33:127]
 
 
 class PieceEncoder:
     """Encodes many texts by encoding each distinct piece once.
 
     Byte-level BPE never merges across the start of a white-space run, so a text may be cut before any
-    single space or line feed that stands between two solid characters; the ids of the pieces, laid end
-    to end, are the ids of the text. Texts with white space outside ASCII are encoded whole.
+    single space or line feed that stands between two solid characters; nor does it merge a letter with
+    what is no letter, so a text may also be cut between an ASCII letter and an ASCII digit or mark. The
+    ids of the pieces, laid end to end, are the ids of the text. Texts with white space outside ASCII
+    are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -104,6 +109,7 @@ class PieceEncoder:
         cut[offsets[1:-1][offsets[1:-1] < len(data)]] = False  # a space that begins a text is no cut by this rule
         last = offsets[1:] - 1
         cut[last[last >= 0]] = False
+        cut[1:] |= _LETTER[data[:-1]] & _MARK[data[1:]]
         odd = self._odd(data)
         if odd.size:
             for i in np.unique(np.searchsorted(offsets, odd, side="right") - 1):
