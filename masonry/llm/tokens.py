@@ -73,30 +73,32 @@ class PieceEncoder:
 
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Adds the ids of new pieces; pieces without inner white space go through the tokenizer joined by line feeds, which stay apart."""
-        found: list = [None] * len(pieces)
-        plain = [i for i, p in enumerate(pieces) if self._plain(p)]
-        for at in range(0, len(plain), 4096):
-            part = plain[at : at + 4096]
-            ids = np.array(self._ids(["\n".join(pieces[i].decode() for i in part)])[0], np.uint32)
+        texts = [p.decode() for p in pieces]
+        plain = np.array([self._plain(t) for t in texts], bool)
+        begin, count = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        parts, have = [self.flat], len(self.flat)
+        one, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
+        for at in range(0, len(one), 4096):
+            part = one[at : at + 4096]
+            ids = np.array(self._ids(["\n".join([texts[i] for i in part])])[0], np.uint32)
             cuts = np.flatnonzero(ids == self.newline)
-            for i, own in zip(part, np.split(ids, cuts), strict=True):
-                found[i] = own if own.size and own[0] != self.newline else own[1:]
-        rest = [i for i, x in enumerate(found) if x is None]
-        for i, ids in zip(rest, self._ids([pieces[i].decode() for i in rest]), strict=True):
-            found[i] = np.array(ids, np.uint32)
-        count = np.array([len(x) for x in found], np.int64)
-        begin = len(self.flat) + np.cumsum(count) - count
-        self.flat = np.concatenate([self.flat, *found])
+            begin[part] = have + np.append(0, cuts + 1)
+            count[part] = np.append(cuts, len(ids)) - np.append(0, cuts + 1)
+            parts.append(ids)
+            have += len(ids)
+        for i, ids in zip(rest, self._ids([texts[i] for i in rest]), strict=True):
+            begin[i], count[i] = have, len(ids)
+            parts.append(np.array(ids, np.uint32))
+            have += len(ids)
+        self.flat = np.concatenate(parts)
         at = np.searchsorted(self.keys, keys)  # both are in order
         self.keys, self.begin, self.count = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.begin, begin), (self.count, count)))
 
     @staticmethod
-    def _plain(piece: bytes) -> bool:
-        """One word of at most 256 bytes with at most a space before it."""
-        if len(piece) > 256:
-            return False
-        word = piece[1:] if piece[:1] == b" " else piece
-        return word.decode().split() == [word.decode()]
+    def _plain(piece: str) -> bool:
+        """One word of at most 256 characters with at most a space before it."""
+        word = piece.removeprefix(" ")
+        return len(piece) <= 256 and word.split() == [word]
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
