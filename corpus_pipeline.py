@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from masonry.llm import decontaminate, packing, personal, quality, similar
 from masonry.llm.common import as_text, materialise, table
 
+#: Near duplicates of the stage: shingles of five words, from a similarity of 0.80 on.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
 #: Model fitting, graph components and best-fit search are beyond SQL.
 ORACLE_SQL = None
 
@@ -24,7 +27,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates the document with the least doc_id; rows with a null doc_id stay."""
-    found = similar.jaccard_components(docs)
+    found = similar.jaccard_components(docs, NEAR_WORDS, NEAR_PERCENT)
     others = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").hint("shuffle_hash")
     return docs.join(others, "doc_id", "left_anti").select(docs.columns)
 

@@ -1,4 +1,5 @@
 import os
+import random
 
 import pytest
 
@@ -22,3 +23,24 @@ def test_stages_take_effect(spark, docs, texts, tmp_path):
     packed = pipeline.run(spark, sf)
     assert {r.doc_id for r in packed.collect()} == ids
     assert os.path.isdir(sf)
+
+
+def test_near_copies_from_four_fifths_on(spark, docs):
+    """Pairs whose five-word shingles have a similarity between 0.80 and 0.90 are near copies; below they are not."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts, expected = {}, set()
+    for kind in ("longer", "shorter", "changed", "apart"):
+        for _ in range(3):
+            words = [word() for _ in range(180)]
+            other = {"longer": words + [word() for _ in range(31)], "shorter": words[:153], "changed": list(words), "apart": words + [word() for _ in range(60)]}[kind]
+            if kind == "changed":
+                other[60], other[120] = word(), word()
+            a, b = ({tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (words, other))
+            share = len(a & b) / len(a | b)
+            assert share < 0.8 if kind == "apart" else 0.8 <= share < 0.9
+            first = len(texts)
+            texts[first], texts[first + 1] = " ".join(words), " ".join(other)
+            expected |= {first} if kind != "apart" else {first, first + 1}
+    frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], docs.schema).repartition(3)
+    assert {r.doc_id for r in pipeline.one_of_each_group(spark, frame, "").collect()} == expected
