@@ -91,3 +91,17 @@ def test_digest_is_of_the_listed_spans(spark):
     frame = spark.createDataFrame([("a@b.cd 8.8.8.8",)], "text string")
     row = frame.select(F.sha2(personal._named(personal.candidates(F.col("text"))), 256)).first()
     assert row[0] == hashlib.sha256(b"email:0:6,ip:7:14").hexdigest()
+
+
+def test_long_runs_of_digits_and_labels(spark):
+    """Repeated groups must not recurse: the stack of a task is small. Nor may a run be entered at each of its digits."""
+    long = {1: "7" * 1_000_000, 2: "1 " * 500_000 + "2", 3: "4-" * 500_000 + "4", 4: "a@b" + ".c" * 200_000, 5: "joe [at] mail" + " [dot] ab" * 20_000}
+    rows = [(k, "jo@x.org " + t + " ends. 8.8.8.8") for k, t in long.items()]
+    spotted = personal.spot(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), "doc_id")
+    for r in spotted.collect():
+        text = dict(rows)[r.doc_id]
+        strict = [(s.start, s.k, s.end) for s in r.found if s.base]
+        inner = [(9, 0, 9 + len(long[4]))] if r.doc_id == 4 else []
+        assert strict == [(0, 0, 8), *inner, (len(text) - 7, 1, len(text))]
+        loose = [(s.start, s.end) for s in r.found if not s.base]
+        assert loose == ([(9, 9 + len(long[5]))] if r.doc_id == 5 else [])
