@@ -18,8 +18,10 @@ from .common import blocks, fold, small_batches, table, text_view
 
 #: Rows of the matrix, longest n-gram, additive smoothing.
 BUCKETS, LONGEST, SMOOTHING = 1 << 16, 3, 0.5
-#: Documents that counts are learned from (chosen by a hash of doc_id), and most languages.
-TRAIN_DOCS, LANGUAGES = 20_000, 256
+#: Documents that counts are learned from (chosen by a hash of doc_id), shared evenly by the languages, and the least share of a language.
+TRAIN_DOCS, LEAST_DOCS = 20_000, 50
+#: Languages whose columns are gathered at a time.
+COLUMNS = 16
 HELD_OUT = (4, 2)
 
 #: Code points below this are folded through a table; the rest stand for themselves.
@@ -53,24 +55,24 @@ def ngram_rows(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarr
 
 
 def learn(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities [BUCKETS + 1, languages], last row zero) from rows of text, lang."""
-    names = [r[0] for r in labelled.select("lang").distinct().limit(LANGUAGES + 1).collect()]
-    if len(names) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    names.sort()
+    """(languages, log probabilities [BUCKETS + 1, languages], last row zero) from rows of text, lang.
+
+    The matrix has 256 KB for each language (512 KB while it is made on the driver), which bounds their number.
+    """
+    names = sorted(r[0] for r in labelled.select("lang").distinct().collect())
     place = {x: i for i, x in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((len(names), BUCKETS + 1), np.int64)
         for batch in batches:
             data, offsets = text_view(batch.column(0))
-            langs = [place[x] for x in batch.column(1).to_pylist()]
+            langs = np.array([place[x] for x in batch.column(1).to_pylist()], np.int64)
             for i, j in blocks(offsets):
+                parts = [np.zeros(0, np.int64)]
                 for row, at in ngram_rows(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]):
-                    for k in range(i, j):
-                        counts[langs[k]] += np.bincount(row[at[k - i] : at[k - i + 1]], minlength=BUCKETS + 1)
-        lang, bucket = np.nonzero(counts[:, :BUCKETS])
-        yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(counts[lang, bucket])], ["lang", "bucket", "n"])
+                    parts.append((np.repeat(langs[i:j], np.diff(at)) * (BUCKETS + 1) + row[at[0] : at[-1]])[row[at[0] : at[-1]] < BUCKETS])
+                seen, n = np.unique(np.concatenate(parts), return_counts=True)
+                lang, bucket = np.divmod(seen, BUCKETS + 1)
+                yield pa.RecordBatch.from_arrays([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(n.astype(np.int64))], ["lang", "bucket", "n"])
 
     total = labelled.select("text", "lang").mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros((BUCKETS + 1, len(names)))
@@ -101,7 +103,8 @@ def identify(docs: DataFrame, names: list[str], logs: np.ndarray) -> DataFrame:
                 if not len(full) or not names:
                     continue
                 for row, at in ngram_rows(data[part[0] : part[-1]], part - part[0]):
-                    sums[i + full] += np.add.reduceat(matrix[row], at[:-1][full], axis=0, dtype=np.float64)
+                    for c in range(0, len(names), COLUMNS):
+                        sums[i + full, c : c + COLUMNS] += np.add.reduceat(matrix[:, c : c + COLUMNS][row], at[:-1][full], axis=0, dtype=np.float64)
             known = np.array([bool(names) and x is not None and letter.search(x) is not None for x in batch.column(1).to_pylist()], bool)
             if names:
                 best = sums.argmax(1)
@@ -113,10 +116,16 @@ def identify(docs: DataFrame, names: list[str], logs: np.ndarray) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, most: int = TRAIN_DOCS) -> DataFrame:
-    """text, lang of at most about `most` documents outside the held-out fold, chosen by a hash of doc_id."""
+    """text, lang of documents outside the held-out fold, chosen by a hash of doc_id.
+
+    Each language gives at most about its even share of `most`, LEAST_DOCS if that is less, and all it has
+    if it has no more; so none is lost because others are common.
+    """
     usable = docs.filter((fold("doc_id", HELD_OUT[0]) != HELD_OUT[1]) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = usable.count()
-    return usable.filter(F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / max(1, n)))).select("text", "lang")
+    counts = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    each = F.broadcast(counts.join(F.broadcast(counts.agg(F.greatest(F.lit(LEAST_DOCS), F.floor(F.lit(most) / F.count(F.lit(1)))).alias("_each")))))
+    chosen = F.pmod(F.xxhash64(F.lit(5), F.col("doc_id")), F.lit(1 << 40)) < (1 << 40) * F.col("_each") / F.col("_n")
+    return usable.join(each, "lang").filter(chosen).select("text", "lang")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

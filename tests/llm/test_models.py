@@ -46,3 +46,27 @@ def test_prior_without_negative_labels():
     model = quality.fit(good[:2000], np.concatenate((good[2000:], bad)))
     assert abs(model.prior - 2 / 3) < 0.12
     assert (model.score(good) >= 0.5).mean() > 0.95 and (model.score(bad) < 0.5).mean() > 0.9
+
+
+def test_rare_languages_are_learned(spark):
+    """A common language must not push a rare one out of the bounded sample."""
+    rows = [(i, "house water with the " * 3, "en") for i in range(3000)] + [(10_000 + i, "straße über haus und " * 3, "de") for i in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    kept = {r.lang: r["count"] for r in language.training_rows(frame, 100).groupBy("lang").count().collect()}
+    usable = {r.lang: r["count"] for r in frame.filter(language.fold("doc_id", language.HELD_OUT[0]) != language.HELD_OUT[1]).groupBy("lang").count().collect()}
+    assert kept["de"] == usable["de"] > 0 and 20 <= kept["en"] <= 100
+    names, logs = language.learn(language.training_rows(frame, 100))
+    found = language.identify(frame, names, logs).groupBy("lang_pred").count().collect()
+    assert {r.lang_pred: r["count"] for r in found} == {"en": 3000, "de": 8}
+
+
+def test_more_than_256_languages(spark):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(300)]
+    frame = spark.createDataFrame([(3 * i + k, f"{w} " * 20, f"x{i:03}") for i, w in enumerate(vocabulary) for k in range(3)], "doc_id long, text string, lang string")
+    training = language.training_rows(frame)
+    names, logs = language.learn(training)
+    learned = {r.lang for r in training.select("lang").distinct().collect()}
+    assert len(names) == len(learned) > 256 and logs.shape == (language.BUCKETS + 1, len(names))
+    found = {r.doc_id: r for r in language.identify(frame, names, logs).collect()}
+    assert all(found[3 * int(x[1:])].lang_pred == x for x in learned)
