@@ -25,8 +25,8 @@ HELD_OUT = (3, 1)
 #: Quantiles of the unlabelled texts that part the bins: finer in the tails, where rare junk lies.
 EDGES = [0.005, 0.02, 0.1, 0.25, 0.5, 0.75, 0.9, 0.94, 0.96, 0.975, 0.985, 0.993]
 BINS, STEPS, RATE, DECAY = len(EDGES), 400, 0.05, 1e-4
-#: Share of the trusted positives that may fall below one half.
-LOST = 0.0005
+#: Share of the trusted positives that may fall below one half if the prior is too low; as many of them may be labelled wrongly.
+LOST = 0.02
 
 FEATURES = ["log_words", "word_length", "distinct", "top_word", "upper", "digit", "symbol", "bar", "bang", "punctuation", "line_words", "repeated_lines", "next_same", "symbol_words"]
 
@@ -171,7 +171,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None
         return up[0] + un[0] + off[0], up[1] + un[1] + off[1]
 
     model = _descend(model, risk)
-    # one half is put where the share of unlabelled texts above it equals the prior, but below all but a few trusted positives
+    # one half is put where the share of unlabelled texts above it equals the prior; a prior that would cost more than LOST of the positives is not followed
     mu, mp = np.sort(model.margin(unlabelled)), np.sort(model.margin(positive))
     cut = min(np.quantile(mu, 1 - prior), np.quantile(mp, LOST))
     below = mu[mu < cut - 1e-9]

@@ -70,3 +70,11 @@ def test_more_than_256_languages(spark):
     assert len(names) == len(learned) > 256 and logs.shape == (language.BUCKETS + 1, len(names))
     found = {r.doc_id: r for r in language.identify(frame, names, logs).collect()}
     assert all(found[3 * int(x[1:])].lang_pred == x for x in learned)
+
+
+def test_a_few_wrong_positive_labels_do_not_move_one_half_into_the_junk():
+    rng = np.random.default_rng(1)
+    good, bad = rng.normal(0, 1, (4000, len(quality.FEATURES))), rng.normal(4, 1, (1000, len(quality.FEATURES)))
+    wrong = rng.normal(4, 1, (20, len(quality.FEATURES)))
+    model = quality.fit(np.concatenate((good[:2000], wrong)), np.concatenate((good[2000:], bad)), 2 / 3)
+    assert (model.score(good) >= 0.5).mean() > 0.95 and (model.score(bad) < 0.5).mean() > 0.9
