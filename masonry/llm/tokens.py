@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,7 +39,7 @@ BLOCK = 2 << 20
 #: Ids of pieces that a worker keeps before it starts over.
 CACHE_IDS = 12_000_000
 
-_ENCODERS: dict[str, PieceEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], PieceEncoder] = {}
 _LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
 _MARK[33:127] = ~_LETTER[33:127]
@@ -51,15 +52,18 @@ class PieceEncoder:
     single space or line feed that stands between two solid characters; nor does it merge a letter with
     what is no letter, so a text may also be cut between an ASCII letter and an ASCII digit or mark. The
     ids of the pieces, laid end to end, are the ids of the text. Texts with white space outside ASCII
-    are encoded whole.
+    are encoded whole. With `added` the content of an added token (such as an end-of-text marker) in a text
+    gives that token, as the library has it by default, and texts that contain one are encoded whole too;
+    without, it is text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if added else []
         self.newline = self._ids(["\n"])[0][0]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.clear()
@@ -74,7 +78,7 @@ class PieceEncoder:
     def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
         """Adds the ids of new pieces; pieces without inner white space go through the tokenizer joined by line feeds, which stay apart."""
         texts = [p.decode() for p in pieces]
-        plain = np.array([self._plain(t) for t in texts], bool)
+        plain = np.array([self._plain(t) and not any(x in t for x in self.added) for t in texts], bool)
         begin, count = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         parts, have = [self.flat], len(self.flat)
         one, rest = np.flatnonzero(plain), np.flatnonzero(~plain)
@@ -112,7 +116,7 @@ class PieceEncoder:
         last = offsets[1:] - 1
         cut[last[last >= 0]] = False
         cut[1:] |= _LETTER[data[:-1]] & _MARK[data[1:]]
-        odd = self._odd(data)
+        odd = np.concatenate((self._odd(data), self._marked(data)))
         if odd.size:
             for i in np.unique(np.searchsorted(offsets, odd, side="right") - 1):
                 cut[offsets[i] : offsets[i + 1]] = False
@@ -139,6 +143,11 @@ class PieceEncoder:
         total = np.concatenate(([0], np.cumsum(count)))
         return ids, np.diff(total[piece_of])
 
+    def _marked(self, data: np.ndarray) -> np.ndarray:
+        """Places where the content of an added token begins."""
+        raw = data.tobytes() if self.added else b""
+        return np.array([m.start() for x in self.added for m in re.finditer(b"(?=" + re.escape(x.encode()) + b")", raw)], np.int64)
+
     @staticmethod
     def _odd(data: np.ndarray) -> np.ndarray:
         """Places of white space outside ASCII, and of the controls that only some call white space."""
@@ -151,11 +160,11 @@ class PieceEncoder:
         return lead[white]
 
 
-def encoder(path: str) -> PieceEncoder:
+def encoder(path: str, added: bool = False) -> PieceEncoder:
     """One per Python worker, so pieces that were met before stay known."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+    if (path, added) not in _ENCODERS:
+        _ENCODERS[path, added] = PieceEncoder(path, added)
+    return _ENCODERS[path, added]
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -203,11 +212,11 @@ def merkle_root(keys: list[bytes]) -> bytes:
 ROWS = "doc_id long, seq int, n long, key binary, ids binary"
 
 
-def chunk_rows(docs: DataFrame, path: str, end: int = END) -> DataFrame:
+def chunk_rows(docs: DataFrame, path: str, end: int = END, added: bool = False) -> DataFrame:
     """A row per chunk of each document; a task sends the bytes of a chunk it has sent before as null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, sent = encoder(path), set()
+        coder, sent = encoder(path, added), set()
         for batch in batches:
             data, offsets = text_view(batch.column(1))
             doc = batch.column(0).to_pylist()
@@ -265,9 +274,11 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def write_store(docs: DataFrame, store: str, path: str | None = None, end: int = END) -> None:
+def write_store(docs: DataFrame, store: str, path: str | None = None, end: int = END, added: bool = False) -> None:
     """Write all of `docs` (doc_id, text) into a new store. Null text counts as empty (its ids: the end id).
 
+    added: whether the content of an added token in a text gives that token (see PieceEncoder).
+
     doc_id is the key: rows that repeat one are stored as one document. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -275,7 +286,7 @@ def write_store(docs: DataFrame, store: str, path: str | None = None, end: int =
     path = path or vocabulary_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     first = W.partitionBy("key").orderBy(F.col("ids").isNull(), "doc_id", "seq")
-    held = chunk_rows(docs, path, end).withColumn("rank", F.row_number().over(first))
+    held = chunk_rows(docs, path, end, added).withColumn("rank", F.row_number().over(first))
     held.select("key", "doc_id", "seq", "n", F.when(F.col("rank") == 1, F.col("ids")).alias("ids")).write.option("compression", "zstd").parquet(f"{store}/blocks")
     uses = spark.read.parquet(f"{store}/blocks").select("doc_id", "key", "n", "seq")
     ranged = uses.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "seq").select("doc_id", "key", "n")
@@ -369,5 +380,5 @@ def read_ids(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = work_dir(spark, "token-store")
-    write_store(table(spark, sf_dir, "documents"), store)
+    write_store(table(spark, sf_dir, "documents"), store, added=True)
     return read_checksums(spark, store)

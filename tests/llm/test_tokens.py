@@ -57,3 +57,18 @@ def test_chunk_lengths_and_shift():
     assert len(set(a.tolist()) & set((b + 100).tolist())) > 0.9 * len(b)
     x, y = b"some bytes", b"that follow each other"
     assert int(tokens.crc_shift(np.array([zlib.crc32(x)]), np.array([len(y)]))[0]) ^ zlib.crc32(y) == zlib.crc32(x + y)
+
+
+def test_query_encodes_as_an_untouched_tokenizer(spark, docs, texts, tmp_path):
+    """The library's defaults, also where a text holds the content of an added token."""
+    mark = "<|endoftext|>"
+    more = [mark, f"a{mark}b1 {mark}\n{mark} c", f"don't  stop {mark}\n\nx1", f"a <|endof text|> {mark[:-1]} {mark[1:]}", f" {mark} x", f"<{mark}>" * 40, mark[6:] + " end " + mark[:6]]
+    everything = texts + more
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(everything)], "doc_id long, text string").repartition(3)
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    plain = tokenizers.Tokenizer.from_file(tokens.vocabulary_path())
+    start = 0
+    for row, t in zip(tokens.op3_token_store(spark, str(tmp_path)).orderBy("doc_id").collect(), everything, strict=True):
+        ids = plain.encode(t or "", add_special_tokens=False).ids + [tokens.END]
+        assert (row.start, row.n_tokens, row.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
