@@ -32,11 +32,13 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared checkpoint folder.
 
-    Where no folder is set (tests in local mode) a temporary one is set for the session.
+    Where no folder is set, a temporary one is in local mode (tests); on a cluster executors would not see it.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="masonry-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
@@ -51,6 +53,31 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A group is hot from this share of all rows on (one in HOT), so there are at most HOT hot groups.
+HOT = 1000
+
+
+def with_group(rows: DataFrame, groups: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """`rows` left-joined by `keys` with `groups` (keys, c: rows of the group among `total`, and its values).
+
+    Hot groups are few (HOT at most) and are broadcast, so their rows stay where they are; the rest is
+    joined by a shuffle. `groups` should be materialised. Rows with a null key match nothing.
+    """
+    hot = groups.filter(F.col("c") * HOT >= total)
+    mild = groups.filter(F.col("c") * HOT < total)
+    few = F.broadcast(hot.drop("c"))
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(few, keys).unionByName(rest.join(mild.drop("c"), keys, "left"))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """`name`, with underscores before it until no column in `taken` is called so in any case."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = f"_{name}"
+    return name
+
+
 def fold(doc_id: str, n: int):
     """crc32 of the id as text, modulo n: the split that labels are held out by."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(n))

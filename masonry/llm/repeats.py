@@ -11,6 +11,11 @@ interval whose right boundary is known is dropped, and the search stops at LENGT
 two boundaries is one repeated string.
 
 Documents equal as a whole are settled before: every string of a copy also starts in the first of them.
+
+Buckets are read as streams. Of minimisers a bucket keeps one document each; of equal stretches it keeps
+the one of the least document, since what the others lose is known at once. A bucket whose distinct
+stretches outgrow MOST_HELD (a passage with very many different surroundings) hands its stretches on
+window by window, and those are grouped by a 128-bit hash of the window, summed before the shuffle.
 """
 
 from __future__ import annotations
@@ -21,14 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_text, blocks, materialise, mix, ragged, small_batches, span_hashes, table, text_view, unzip, zipped
+from .common import HOT, as_text, blocks, materialise, mix, ragged, small_batches, span_hashes, table, text_view, with_group
 
 LENGTH, K = 50, 16
 #: Text bytes whose minimisers go to one bucket of hashes, and bytes of stretches in one bucket of text.
 HASH_BUCKET, TEXT_BUCKET = 16 << 20, 3 << 20
+#: Bytes of stretches that a bucket takes in before it drops the repeated ones, and of distinct ones that it orders at once.
+TAKEN, MOST_HELD = 12 << 20, 24 << 20
+#: Entries of a bucket of hashes that are looked at together.
+ENTRIES = 2_000_000
 _KEEP = (1 << 40) - 1
 
 
@@ -155,9 +165,9 @@ def _hash_rows(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_view(batch.column(1))
-            doc = batch.column(0).to_numpy()
-            rows: tuple = ([], [], [], [], [])
+            data, offsets = text_view(batch.column(2))
+            doc, tag = (batch.column(k).to_numpy() for k in (0, 1))
+            rows: tuple = ([], [], [], [], [], [])
             for i, j in blocks(offsets, 4 << 20):
                 value, owner, _, _ = stretches(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 bucket, kept = _composite(value, n)
@@ -170,9 +180,10 @@ def _hash_rows(n: int):
                 for a, b in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
                     own = owner[a:b]
                     heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-                    for column, x in zip(rows, (int(bucket[a]), doc[i + own[heads]].tobytes(), np.diff(np.append(heads, b - a)).astype("<u4").tobytes(), kept[a:b].astype("<u4").tobytes(), (kept[a:b] >> np.uint64(32)).astype(np.uint8).tobytes()), strict=True):
+                    packed = (int(bucket[a]), doc[i + own[heads]].tobytes(), tag[i + own[heads]].tobytes(), np.diff(np.append(heads, b - a)).astype("<u4").tobytes(), kept[a:b].astype("<u4").tobytes(), (kept[a:b] >> np.uint64(32)).astype(np.uint8).tobytes())
+                    for column, x in zip(rows, packed, strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "docs", "counts", "low", "high"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "docs", "tags", "counts", "low", "high"])
 
     return run
 
@@ -181,26 +192,50 @@ def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _lists(docs: np.ndarray, values: np.ndarray, names: list[str]) -> pa.Table:
-    """A row for each document with its values; both arrays in order of document."""
-    heads = np.flatnonzero(np.append(True, docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(docs)).astype(np.int32)), pa.array(values))
-    return pa.Table.from_arrays([pa.array(docs[heads]), lists], names)
+def _taken(batches: Iterator[pa.RecordBatch], sized: str, most: int) -> Iterator[pa.Table]:
+    """The batches united to tables in which the binary column `sized` has about `most` bytes."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += pc.sum(pc.binary_length(batch.column(batch.schema.get_field_index(sized)))).as_py() or 0
+        if size >= most:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def _shared_keys(n: int):
+    """doc_id, tag, key for each minimiser of each document that another document has too. Holds a document for each distinct minimiser, not the rows."""
+
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        docs = np.repeat(_joined(rows["docs"], "<i8"), _joined(rows["counts"], "<u4"))
-        kept = _joined(rows["low"], "<u4").astype(np.uint64) | (_joined(rows["high"], np.uint8).astype(np.uint64) << np.uint64(32))
-        order = np.argsort(kept)
-        own = kept[order]
-        twice = np.zeros(len(own), bool)
-        twice[1:] = own[1:] == own[:-1]
-        twice[:-1] |= twice[1:].copy()
-        order = order[twice]
-        values = (kept[order] * np.uint64(n) + np.uint64(key[0].as_py())).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(docs[order]), pa.array(values)], ["doc_id", "key"])
+        seen, first, told = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), np.zeros(0, bool)
+        for rows in _taken(batches, "low", 4 * ENTRIES):
+            counts = _joined(rows["counts"], "<u4")
+            owner = np.stack((np.repeat(_joined(rows["docs"], "<i8"), counts), np.repeat(_joined(rows["tags"], "<i8"), counts)), 1)
+            kept = _joined(rows["low"], "<u4").astype(np.uint64) | (_joined(rows["high"], np.uint8).astype(np.uint64) << np.uint64(32))
+            at = np.minimum(np.searchsorted(seen, kept), max(0, len(seen) - 1))
+            known = seen[at] == kept if len(seen) else np.zeros(len(kept), bool)
+            order = np.argsort(kept, kind="stable")
+            own = kept[order]
+            again = np.zeros(len(own), bool)
+            again[1:] = own[1:] == own[:-1]
+            head = ~again
+            again[:-1] |= again[1:].copy()
+            shared = again | known[order]
+            out = [(owner[order[shared]], own[shared])]
+            met = np.unique(at[known]) if len(seen) else np.zeros(0, np.int64)
+            late = met[~told[met]]  # minimisers whose first document wasn't given yet
+            out.append((first[late], seen[late]))
+            if len(told):
+                told[met] = True
+            new = order[head & ~known[order]]
+            seen, first, told = np.concatenate((seen, kept[new])), np.concatenate((first, owner[new])), np.concatenate((told, again[head & ~known[order]]))
+            by = np.argsort(seen, kind="stable")
+            seen, first, told = seen[by], first[by], told[by]
+            docs, values = (np.concatenate(x) for x in zip(*out, strict=True))
+            values = (values * np.uint64(n) + np.uint64(key[0].as_py())).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(docs[:, 0].copy()), pa.array(docs[:, 1].copy()), pa.array(values)], ["doc_id", "tag", "key"])
 
     return run
 
@@ -210,11 +245,11 @@ def _text_rows(n: int, m: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_view(unzip(batch.column(1)))
-            doc = batch.column(0).to_numpy()
-            lists = batch.column(2)
+            data, offsets = text_view(_unzipped(batch.column(2)))
+            doc, tag = (batch.column(k).to_numpy() for k in (0, 1))
+            lists = batch.column(3)
             flat, ends = lists.flatten().to_numpy().view(np.uint64), np.append(0, np.cumsum(lists.value_lengths().to_numpy()))
-            rows: tuple = ([], [], [], [], [])
+            rows: tuple = ([], [], [], [], [], [])
             for i, j in blocks(offsets, 4 << 20):
                 part = data[offsets[i] : offsets[j]]
                 value, owner, start, windows = stretches(part, offsets[i : j + 1] - offsets[i])
@@ -233,43 +268,113 @@ def _text_rows(n: int, m: int):
                     own = at[a:b]
                     size = windows[own] + LENGTH - 1
                     text = part[np.repeat(offsets[i + owner[own]] - offsets[i] + start[own], size) + ragged(size)]
-                    for column, x in zip(rows, (int(into[a]), doc[i + owner[own]].tobytes(), start[own].astype("<i8").tobytes(), windows[own].astype("<u4").tobytes(), text.tobytes()), strict=True):
+                    for column, x in zip(rows, (int(into[a]), doc[i + owner[own]].tobytes(), tag[i + owner[own]].tobytes(), start[own].astype("<i8").tobytes(), windows[own].astype("<u4").tobytes(), text.tobytes()), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "docs", "starts", "windows", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "docs", "tags", "starts", "windows", "text"])
 
     return run
 
 
-def _repeated(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, runs: [first, end) of windows whose string starts in an earlier document, flattened."""
-    rows = pa.Table.from_batches(list(batches))
-    docs, first, windows = _joined(rows["docs"], "<i8"), _joined(rows["starts"], "<i8"), _joined(rows["windows"], "<u4").astype(np.int64)
-    text = _joined(rows["text"], np.uint8)
-    size = windows + LENGTH - 1
-    starts = np.cumsum(size) - size
-    _, one, group = np.unique(_hashes(text, starts, starts + size), return_index=True, return_inverse=True)
-    earliest = np.full(len(one), np.iinfo(np.int64).max)
-    np.minimum.at(earliest, group, docs)
-    least = first_documents(text, starts[one], starts[one] + size[one], earliest)
-    later = docs > earliest[group]
-    found = [(docs[later], first[later], first[later] + windows[later])]
-    held = np.flatnonzero(~later)
-    at = np.repeat(starts[one[group[held]]], windows[held]) + ragged(windows[held])
-    mine = np.repeat(held, windows[held])
-    hit = least[at] < docs[mine]
-    place = first[mine] + ragged(windows[held])
+class _Stretches:
+    """Stretches laid end to end: document, tag, first window, number of windows, and the bytes."""
+
+    def __init__(self, docs, tags, first, windows, text):
+        self.docs, self.tags, self.first, self.windows, self.text = docs, tags, first, windows, text
+        self.size = windows + LENGTH - 1
+        self.starts = np.cumsum(self.size) - self.size
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> _Stretches:
+        return cls(*(_joined(rows[c], "<i8") for c in ("docs", "tags", "starts")), _joined(rows["windows"], "<u4").astype(np.int64), _joined(rows["text"], np.uint8))
+
+    def and_(self, other: _Stretches) -> _Stretches:
+        return _Stretches(*(np.concatenate((getattr(self, x), getattr(other, x))) for x in ("docs", "tags", "first", "windows", "text")))
+
+    def at(self, which: np.ndarray) -> _Stretches:
+        text = self.text[np.repeat(self.starts[which], self.size[which]) + ragged(self.size[which])]
+        return _Stretches(self.docs[which], self.tags[which], self.first[which], self.windows[which], text)
+
+
+FOUND = "doc_id long, tag long, runs array<long>, starts array<long>, h1 array<long>, h2 array<long>"
+
+
+def _lists(docs: np.ndarray, tags: np.ndarray, **values: np.ndarray) -> pa.RecordBatch:
+    """A row of FOUND for each document with its values; lists that aren't given are null."""
+    order = np.lexsort((tags, docs))
+    docs, tags = docs[order], tags[order]
+    heads = np.flatnonzero(np.append(True, (docs[1:] != docs[:-1]) | (tags[1:] != tags[:-1]))) if len(docs) else np.zeros(0, np.int64)
+    none = pa.nulls(len(heads), pa.list_(pa.int64()))
+    lists = {}
+    for name, x in values.items():
+        x = x[order]
+        ends = np.append(heads, len(docs)) * (x.shape[1] if x.ndim > 1 else 1)
+        lists[name] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(x.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(docs[heads]), pa.array(tags[heads]), *(lists.get(c, none) for c in ("runs", "starts", "h1", "h2"))], ["doc_id", "tag", "runs", "starts", "h1", "h2"])
+
+
+def _runs(held: _Stretches) -> pa.RecordBatch:
+    """Runs of windows of distinct stretches whose string starts in an earlier document's."""
+    _, one, group = np.unique(_hashes(held.text, held.starts, held.starts + held.size), return_index=True, return_inverse=True)
+    distinct = held.at(one)
+    least = first_documents(distinct.text, distinct.starts, distinct.starts + distinct.size, distinct.docs)
+    at = np.repeat(distinct.starts[group], held.windows) + ragged(held.windows)
+    mine = np.repeat(np.arange(len(held.docs)), held.windows)
+    hit = least[at] < held.docs[mine]
+    place = held.first[mine] + ragged(held.windows)
     edge = np.ones(len(hit), bool)
     edge[1:] = (hit[1:] != hit[:-1]) | (mine[1:] != mine[:-1])
     heads = np.flatnonzero(edge)
     tails = np.append(heads[1:], len(hit))
     good = hit[heads]
     heads, tails = heads[good], tails[good]
-    found.append((docs[mine[heads]], place[heads], place[heads] + (tails - heads)))
-    doc, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.argsort(doc, kind="stable")
-    pairs = np.stack((a[order], b[order]), 1)
-    listed = _lists(np.repeat(doc[order], 2), pairs.ravel(), ["doc_id", "runs"])
-    yield from listed.to_batches()
+    return _lists(held.docs[mine[heads]], held.tags[mine[heads]], runs=np.stack((place[heads], place[heads] + (tails - heads)), 1))
+
+
+def _handed_on(held: _Stretches) -> pa.RecordBatch:
+    """The windows of these stretches: where they start and a 128-bit hash of each."""
+    mine = np.repeat(np.arange(len(held.docs)), held.windows)
+    at = held.starts[mine] + ragged(held.windows)
+    h1 = np.empty(len(at), np.uint64)
+    for i in range(0, len(at), 1 << 16):
+        low, high = int(at[i]), int(at[min(len(at), i + (1 << 16)) - 1]) + LENGTH
+        own = at[i : i + (1 << 16)] - low
+        h1[i : i + (1 << 16)] = span_hashes(held.text[low:high], own, own + LENGTH)
+    # the second hash is of the string backwards, so it doesn't follow from the first
+    back, h2 = held.text[::-1], np.empty(len(at), np.uint64)
+    behind = len(held.text) - at - LENGTH
+    for i in range(0, len(at), 1 << 16):
+        own = behind[i : i + (1 << 16)]
+        low, high = int(own.min()), int(own.max()) + LENGTH
+        h2[i : i + (1 << 16)] = span_hashes(back[low:high], own - low, own - low + LENGTH)
+    return _lists(held.docs[mine], held.tags[mine], starts=held.first[mine] + ragged(held.windows), h1=h1.view(np.int64), h2=h2.view(np.int64))
+
+
+def _repeated(taken: int, most_held: int):
+    """Rows of FOUND of a bucket: runs [first, end) of windows whose string starts in an earlier document, flattened, or windows to be grouped elsewhere."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, large = None, False
+        for rows in _taken(batches, "text", taken):
+            more = _Stretches.of(rows)
+            held = held.and_(more) if held else more
+            _, group = np.unique(_hashes(held.text, held.starts, held.starts + held.size), return_inverse=True)
+            earliest = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+            np.minimum.at(earliest, group, held.docs)
+            earliest = earliest[group]
+            later = np.flatnonzero(held.docs > earliest)
+            yield _lists(held.docs[later], held.tags[later], runs=np.stack((held.first[later], held.first[later] + held.windows[later]), 1))
+            # other stretches of the same least document stay: what they lose depends on the rest
+            held = held.at(np.flatnonzero(held.docs == earliest))
+            if len(held.text) > most_held:
+                large = True
+                yield _handed_on(held)
+                held = None
+        if held and large:
+            yield _handed_on(held)
+        elif held:
+            yield _runs(held)
+
+    return run
 
 
 def _hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -280,16 +385,32 @@ def _hashes(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return out
 
 
-RESULT = "doc_id long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
+def _unzipped(column: pa.Array) -> pa.Array:
+    import zstandard
+
+    opener = zstandard.ZstdDecompressor()
+    return pa.array([opener.decompress(z.as_buffer()) for z in column], pa.binary())
+
+
+def _zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = pa.array([packer.compress(t.as_buffer()) for t in batch.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), packed], ["doc_id", "tag", "z"])
+
+
+RESULT = "doc_id long, tag long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Unite the windows of each text into removed spans of bytes."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
     for batch in batches:
-        data, offsets = text_view(unzip(batch.column(1)))
+        data, offsets = text_view(_unzipped(batch.column(2)))
         out = []
-        for i, (doc, runs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2), strict=True)):
+        for i, (doc, tag, runs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True)):
             own = data[offsets[i] : offsets[i + 1]]
             pairs = np.array(runs.values.to_numpy()).reshape(-1, 2) if runs.is_valid else np.zeros((0, 2), np.int64)
             pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
@@ -300,36 +421,57 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = np.ones(len(own), bool)
             for s, e in zip(a.tolist(), b.tolist(), strict=True):
                 keep[s:e] = False
-            out.append((doc, int(len(own) - keep.sum()), len(a), hashlib.sha256(own[keep].tobytes()).hexdigest(), [{"start": s, "end": e} for s, e in zip(a.tolist(), b.tolist(), strict=True)]))
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "n_removed", "n_spans", "kept_sha256", "spans"])
+            out.append((doc, tag, int(len(own) - keep.sum()), len(a), hashlib.sha256(own[keep].tobytes()).hexdigest(), [{"start": s, "end": e} for s, e in zip(a.tolist(), b.tolist(), strict=True)]))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["doc_id", "tag", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def remove_repeats(docs: DataFrame, hash_bucket: int = HASH_BUCKET, text_bucket: int = TEXT_BUCKET) -> DataFrame:
+def _grouped(found: DataFrame) -> DataFrame:
+    """doc_id, tag, runs from windows that were handed on: those whose hash a smaller doc_id has too."""
+    use = F.explode(F.arrays_zip("starts", "h1", "h2")).alias("use")
+    windows = found.filter("starts is not null").select("doc_id", "tag", use).select("doc_id", "tag", F.col("use.starts").alias("start"), "use.h1", "use.h2")
+    least = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    later = windows.join(least, ["h1", "h2"]).filter("doc_id > first")
+    return later.select("doc_id", "tag", F.array("start", F.col("start") + 1).alias("runs"))
+
+
+def remove_repeats(docs: DataFrame, hash_bucket: int = HASH_BUCKET, text_bucket: int = TEXT_BUCKET, taken: int = TAKEN, most_held: int = MOST_HELD) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed bytes, [start, end)) of every row of docs (doc_id, text).
 
     Bytes covered by a LENGTH-byte string that also starts in a document with a smaller doc_id are
     removed, as judged on the input. Null text counts as empty; texts shorter than LENGTH lose nothing.
-    doc_id is the key (rows with a null one lose nothing); other columns are ignored.
+    There is one row for each input row: rows that repeat a doc_id are judged each by itself, against
+    smaller ids only. Rows with a null doc_id lose nothing and count for no other. Other columns are ignored.
+
+    Sizes: bytes for a bucket of hashes and of text; bytes a bucket of text reads before it drops what
+    repeats, and distinct bytes from which it hands its windows on. None of them changes the result.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text(F.col("text").cast("string")).alias("text"))
-    summary = materialise(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("hash")), "summary")
-    total = summary.agg(F.sum("n_bytes")).first()[0] or 0
-    n = max(1, math.ceil(total / hash_bucket))
-    texts = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH))
-    packed = texts.mapInArrow(_hash_rows(n), "bucket int, docs binary, counts binary, low binary, high binary")
-    keys = packed.groupBy("bucket").applyInArrow(_shared_keys(n), "doc_id long, key long")
-    first = summary.groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
-    by_doc = keys.groupBy("doc_id").agg(F.collect_list("key").alias("keys")).join(first.select("doc_id"), "doc_id", "left_semi")
-    held = materialise(zipped(texts).join(materialise(by_doc, "keys").hint("shuffle_hash"), "doc_id"), "held")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_text(F.col("text").cast("string")).alias("text")).withColumn("hash", F.sha2(F.col("text").cast("binary"), 256))
+    summary = materialise(docs.select("doc_id", F.xxhash64("text").alias("tag"), F.octet_length("text").cast("long").alias("n_bytes"), "hash"), "summary")
+    total, n_rows = summary.agg(F.sum("n_bytes"), F.count(F.lit(1))).first()
+    n = max(1, math.ceil((total or 0) / hash_bucket))
+    first = summary.groupBy("hash").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1 and first is not null")
+    first = materialise(first, "copies")
+    # copies of a text that very many rows have are left out at once; of others they are found below
+    hot = F.broadcast(first.filter(F.col("c") * HOT >= n_rows).select("hash", "first"))
+    texts = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("text") >= LENGTH)).join(hot, "hash", "left").filter("first is null or doc_id = first").select("doc_id", F.xxhash64("text").alias("tag"), "text")
+    packed = texts.mapInArrow(_hash_rows(n), "bucket int, docs binary, tags binary, counts binary, low binary, high binary")
+    keys = packed.groupBy("bucket").applyInArrow(_shared_keys(n), "doc_id long, tag long, key long")
+    known = with_group(summary, first, ["hash"], n_rows)
+    whole_first = known.filter((F.col("n_bytes") >= LENGTH) & (F.col("first").isNull() | (F.col("doc_id") == F.col("first")))).select("doc_id", "tag")
+    by_doc = keys.groupBy("doc_id", "tag").agg(F.collect_list("key").alias("keys")).join(whole_first, ["doc_id", "tag"], "left_semi")
+    zipped = texts.mapInArrow(_zipped, "doc_id long, tag long, z binary")
+    held = materialise(zipped.join(materialise(by_doc, "keys").hint("shuffle_hash"), ["doc_id", "tag"]), "held")
     bulk = 2.5 * (held.agg(F.sum(F.octet_length("z"))).first()[0] or 0)
     m = max(1, math.ceil(4 * bulk / text_bucket))
-    runs = held.mapInArrow(_text_rows(n, m), "bucket int, docs binary, starts binary, windows binary, text binary").groupBy("bucket").applyInArrow(_repeated, "doc_id long, runs array<long>")
-    by_doc = runs.groupBy("doc_id").agg(F.flatten(F.collect_list("runs")).alias("runs"))
-    cut = held.select("doc_id", "z").join(by_doc, "doc_id").mapInArrow(_cut, RESULT)
+    pieces = held.mapInArrow(_text_rows(n, m), "bucket int, docs binary, tags binary, starts binary, windows binary, text binary")
+    found = materialise(pieces.groupBy("bucket").applyInArrow(_repeated(taken, most_held), FOUND), "found")
+    runs = found.filter("runs is not null").select("doc_id", "tag", "runs").unionByName(_grouped(found))
+    by_doc = runs.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    cut = held.select("doc_id", "tag", "z").join(by_doc, ["doc_id", "tag"]).mapInArrow(_cut, RESULT).dropDuplicates(["doc_id", "tag"])
     copy = (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= LENGTH)
-    all_rows = summary.join(first.select("hash", F.col("doc_id").alias("first")), "hash").join(cut, "doc_id", "left")
+    all_rows = known.join(cut, ["doc_id", "tag"], "left")
     whole = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
     return all_rows.select(
         "doc_id",
@@ -342,4 +484,5 @@ def remove_repeats(docs: DataFrame, hash_bucket: int = HASH_BUCKET, text_bucket:
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of `documents`; see remove_repeats."""
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from masonry.llm import repeats
@@ -58,3 +59,30 @@ def test_boundaries_are_those_of_the_prefixes():
     for i in range(1, len(parts)):
         if len(parts[i]) == 6 and 0 not in parts[i] and 0 not in parts[i - 1] and len(parts[i - 1]) == 6:
             assert cut[i] == (parts[i] != parts[i - 1])
+
+
+def test_repeated_ids_and_rows(spark):
+    """A row for each input row; those of one id are judged against smaller ids only."""
+    a, b, c = ("".join(random.Random(k).choices(letters, k=200)) for k, letters in enumerate(("abcdefgh", "ijklmnop", "qrstuvwx")))
+    rows = [(1, a), (5, b + a), (5, a[:90] + c), (7, b), (7, b), (9, c), (5, b + a)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in repeats.remove_repeats(frame).collect())
+    assert got == [(1, 200, 0, 0), (5, 290, 90, 1), (5, 400, 200, 1), (5, 400, 200, 1), (7, 200, 200, 1), (7, 200, 200, 1), (9, 200, 200, 1)]
+
+
+@pytest.mark.parametrize("taken, most_held", [(1, 1 << 30), (3000, 1), (20_000, 9000)])
+def test_passage_with_many_surroundings(spark, taken, most_held):
+    """Buckets that are read in parts or hand their windows on give what one look gives."""
+    rng = random.Random(8)
+    passage = prose(rng, 25)
+    texts = {i: prose(rng, rng.randint(1, 9)) + passage[rng.randint(0, 5) :] + prose(rng, rng.randint(1, 9)) for i in range(120)}
+    texts |= {200 + i: texts[i * 7] for i in range(9)} | {300: passage * 3, 301: "ab" * 400, 302: "ba" * 300}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    assert got(frame, text_bucket=4000, taken=taken, most_held=most_held) == brute(texts)
+
+
+def test_query(spark, docs, texts, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = repeats.op1_suffix_array_dedup(spark, str(tmp_path))
+    assert rows.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert {r.doc_id: tuple(r)[1:] for r in rows.collect()} == brute({3 * i: t for i, t in enumerate(texts)})
