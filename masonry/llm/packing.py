@@ -4,13 +4,19 @@ Documents are dealt into groups of a bounded number of pieces. In each group pie
 to the open bin with the least room that still holds them and that they don't conflict with: bins stand
 ordered by room, the search starts at the first bin with room enough and moves on to its successors
 until a compatible one is found; if none is, a bin is opened. A bin carries a bitmap of the duplicate
-clusters in it (none may come twice) and bitmaps of the sources in it (at most SOURCE_QUOTA times each).
+clusters in it (none may come twice) and a bitmap of the sources that have used up their quota in it.
+
+A source's quota is its share of the group's tokens, taken of a bin's expected pieces, times SLACK, and
+LEAST_QUOTA at least: a bin is as mixed as the data allow, and a source that is alone is no conflict.
+Sources and clusters that make up many of the pieces have successor lists of their own, which hold only
+the bins still open to them, so the search doesn't pass the same full bins for each of their pieces.
 """
 
 from __future__ import annotations
 
 import math
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,100 +27,129 @@ from pyspark.sql import functions as F
 from .common import as_text, table
 
 CAPACITY = 2048
-#: Pieces of one source that a bin takes at most.
-SOURCE_QUOTA = 2
-#: Bits of a bitmap. Ids are hashed into it, so two different ones may at worst count as the same.
-BITS = 256
+#: Pieces of one source that a bin takes at least, and how far beyond its share a source may go.
+LEAST_QUOTA, SLACK = 2, 1.5
+#: A source or cluster with at least one in LISTED pieces has a successor list.
+LISTED = 24
 #: Pieces that a group may be expected to hold.
 GROUP_PIECES = 20_000
 
 
-def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capacity: int = CAPACITY, quota: int = SOURCE_QUOTA) -> list[tuple[int, int]]:
+def quotas(lengths: list[int], sources: list[int], capacity: int = CAPACITY) -> dict[int, int]:
+    """Pieces of each source that a bin takes."""
+    pieces = capacity * len(lengths) / max(1, sum(lengths))
+    return {s: max(LEAST_QUOTA, math.ceil(SLACK * pieces * n / len(lengths))) for s, n in Counter(sources).items()}
+
+
+def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capacity: int = CAPACITY, quota: dict[int, int] | None = None) -> list[tuple[int, int]]:
     """(bin, offset in it) of each piece, in the order given (longest first packs tightest).
 
-    `sources` and `clusters` are bit numbers; a negative one is never in conflict. A piece must not
-    be longer than the capacity.
+    Negative sources and clusters are never in conflict. A piece must not be longer than the capacity.
     """
-    order: list[tuple[int, int]] = []  # (room, bin), ascending
-    seen: list[list[int]] = []  # per bin: cluster bitmap, then bitmaps of sources met once, twice, ...
+    quota = quotas(lengths, sources, capacity) if quota is None else quota
+    often = lambda values: {v: i for i, v in enumerate(sorted(v for v, n in Counter(values).items() if v >= 0 and n > 1 and n * LISTED >= len(values)))}
+    repeated = {c: i for i, c in enumerate(sorted(c for c, n in Counter(clusters).items() if c >= 0 and n > 1))}  # only these can be in conflict
+    listed_c, listed_s = often(clusters), often(sources)
+    source_bit = {s: i for i, s in enumerate(sorted(quota)) if s >= 0}
+    # successor lists of (room, bin), ascending: of all open bins, and of those open to one source or cluster
+    every: list[tuple[int, int]] = []
+    by_cluster, by_source = [[] for _ in listed_c], [[] for _ in listed_s]
+    cluster_map, full_map, used = [], [], []  # per bin: bitmap of clusters, bitmap of sources at their quota, pieces of each source
     out = []
-    for size, source, cluster in zip(lengths, sources, clusters, strict=True):
-        c, s = (1 << cluster if cluster >= 0 else 0), (1 << source if source >= 0 else 0)
+    for size, s, c in zip(lengths, sources, clusters, strict=True):
+        c_bit = 1 << repeated[c] if c in repeated else 0
+        s_bit = 1 << source_bit[s] if s >= 0 else 0
+        order = by_cluster[listed_c[c]] if c in listed_c else by_source[listed_s[s]] if s in listed_s else every
         at = bisect_left(order, (size, -1))
-        while at < len(order):
-            own = seen[order[at][1]]
-            if not (own[0] & c or own[quota] & s):
-                break
+        while at < len(order) and (cluster_map[order[at][1]] & c_bit or full_map[order[at][1]] & s_bit):
             at += 1
         if at < len(order):
-            room, k = order.pop(at)
+            room, k = order[at]
+            for own in (every, *by_cluster, *by_source):
+                place = bisect_left(own, (room, k))
+                if place < len(own) and own[place] == (room, k):
+                    del own[place]
         else:
-            room, k = capacity, len(seen)
-            seen.append([0] * (quota + 1))
-        own = seen[k]
-        own[0] |= c
-        for level in range(1, quota + 1):
-            if not own[level] & s:
-                own[level] |= s
-                break
+            room, k = capacity, len(cluster_map)
+            cluster_map.append(0)
+            full_map.append(0)
+            used.append({})
+        cluster_map[k] |= c_bit
+        if s_bit:
+            used[k][s] = used[k].get(s, 0) + 1
+            if used[k][s] >= quota[s]:
+                full_map[k] |= s_bit
         out.append((k, capacity - room))
-        if room - size > 0:
-            insort(order, (room - size, k))
+        if room > size:
+            insort(every, (room - size, k))
+            for own, c2 in zip(by_cluster, listed_c, strict=True):
+                if not cluster_map[k] >> repeated[c2] & 1:
+                    insort(own, (room - size, k))
+            for own, s2 in zip(by_source, listed_s, strict=True):
+                if not full_map[k] >> source_bit[s2] & 1:
+                    insort(own, (room - size, k))
     return out
 
 
 OUT = "doc_id long, piece int, start long, length long, bin_id long, bin_offset long"
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, quota: int = SOURCE_QUOTA, group_pieces: int = GROUP_PIECES) -> DataFrame:
+def _numbered(values: pa.ChunkedArray) -> np.ndarray:
+    """0, 1, .. for the distinct values in the order of their first place; -1 for null."""
+    codes = values.combine_chunks().dictionary_encode()
+    codes = codes.combine_chunks() if isinstance(codes, pa.ChunkedArray) else codes
+    return codes.indices.fill_null(-1).to_numpy().astype(np.int64)
+
+
+def pack(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, quota: int | None = None) -> DataFrame:
     """doc_id, piece, start, length, bin_id, bin_offset for docs (doc_id, length, source, cluster).
 
     A document longer than a bin is cut: its full pieces fill bins of their own, the rest is packed as
     other documents are. Documents of length 0 or null, and null doc_ids, take a piece of length 0 in
-    whatever bin fits. Null sources and clusters are never in conflict. The result depends on the rows
-    alone; equal rows may change places.
+    whatever bin fits. Null sources and clusters are never in conflict. `quota` sets one number for all
+    sources in place of their shares. Rows that repeat a doc_id are packed each by itself. The result
+    depends on the rows alone; equal rows may change places.
     """
-    whole = F.floor(F.greatest(F.coalesce("length", F.lit(0)), F.lit(0)) / capacity).cast("long")
-    base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.greatest(F.coalesce(F.col("length").cast("long"), F.lit(0)), F.lit(0)).alias("length"),
-        *(F.when(F.col(c).isNull(), -1).otherwise(F.pmod(F.xxhash64(F.col(c)), F.lit(BITS))).cast("int").alias(c) for c in ("source", "cluster")),
-        F.xxhash64(F.col("cluster")).alias("_c"),
-    )
-    n = max(1, math.ceil(base.count() / group_pieces))
-    base = base.withColumn("_group", F.pmod(F.xxhash64(F.lit(11), "doc_id", "length", "_c"), F.lit(n)).cast("int")).drop("_c")
+    length = F.greatest(F.coalesce(F.col("length").cast("long"), F.lit(0)), F.lit(0))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.alias("length"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"))
+    pieces = base.agg(F.sum(F.greatest(F.ceil(F.col("length") / capacity), F.lit(1)))).first()[0] or 0
+    n = max(1, math.ceil(pieces / group_pieces))
+    base = base.withColumn("group", F.pmod(F.xxhash64(F.lit(11), "doc_id", "length", "cluster"), F.lit(n)).cast("int"))
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches))
-        doc, length, source, cluster = (rows[c].fill_null(-1).to_numpy() for c in ("doc_id", "length", "source", "cluster"))
+        rows = pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in ("doc_id", "length", "source", "cluster")]).combine_chunks()
+        doc, length = (rows[c].fill_null(-1).to_numpy() for c in ("doc_id", "length"))
+        source, cluster = _numbered(rows["source"]), _numbered(rows["cluster"])
         full, rest = length // capacity, length % capacity
         last = (rest > 0) | (full == 0)
         order = np.lexsort((cluster, source, doc, -rest))
         order = order[last[order]]
-        placed = best_fit(rest[order].tolist(), source[order].tolist(), cluster[order].tolist(), capacity, quota)
+        sizes, own = rest[order].tolist(), source[order].tolist()
+        placed = best_fit(sizes, own, cluster[order].tolist(), capacity, None if quota is None else dict.fromkeys(own, quota))
         bins = max((k for k, _ in placed), default=-1) + 1
-        owner = np.repeat(np.argsort(doc, kind="stable"), full[np.argsort(doc, kind="stable")])
-        part = np.concatenate([np.arange(f) for f in full[np.argsort(doc, kind="stable")]]) if len(owner) else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(doc)), full)
+        part = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full)
         first = key[0].as_py() << 32
-        columns = [
-            np.concatenate([owner, order]),
-            np.concatenate([part, full[order]]),
-            np.concatenate([np.full(len(owner), capacity), rest[order]]),
-            np.concatenate([bins + np.arange(len(owner)), [k for k, _ in placed]]).astype(np.int64) + first,
-            np.concatenate([np.zeros(len(owner)), [o for _, o in placed]]).astype(np.int64),
-        ]
-        ids = rows["doc_id"].combine_chunks().take(pa.array(columns[0].astype(np.int64)))
-        table = pa.Table.from_arrays([ids, pa.array(columns[1].astype(np.int32)), pa.array(columns[1].astype(np.int64) * capacity), pa.array(columns[2].astype(np.int64)), pa.array(columns[3]), pa.array(columns[4])], ["doc_id", "piece", "start", "length", "bin_id", "bin_offset"])
-        yield from table.to_batches()
+        index, piece = np.concatenate([owner, order]), np.concatenate([part, full[order]])
+        columns = {
+            "doc_id": rows["doc_id"].combine_chunks().take(pa.array(index.astype(np.int64))),
+            "piece": pa.array(piece.astype(np.int32)),
+            "start": pa.array(piece.astype(np.int64) * capacity),
+            "length": pa.array(np.concatenate([np.full(len(owner), capacity), rest[order]]).astype(np.int64)),
+            "bin_id": pa.array(np.concatenate([bins + np.arange(len(owner)), [k for k, _ in placed]]).astype(np.int64) + first),
+            "bin_offset": pa.array(np.concatenate([np.zeros(len(owner)), [o for _, o in placed]]).astype(np.int64)),
+        }
+        yield from pa.table(columns).to_batches(max_chunksize=50_000)
 
-    return base.groupBy("_group").applyInArrow(run, OUT)
+    return base.groupBy("group").applyInArrow(run, OUT)
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, length in words, source, and a hash of the text (without case and spacing) as cluster."""
+    """doc_id, length in words, source, and a hash of the text (without case and spacing) as cluster. A null text has no length and no cluster."""
     text = as_text(F.col("text").cast("string"))
     return docs.select("doc_id", F.regexp_count(text, F.lit(r"[^ \t\n\x0B\f\r]+")).alias("length"), "source", F.when(F.col("text").isNotNull(), F.xxhash64(F.lower(F.regexp_replace(text, r"\s+", " ")))).alias("cluster"))
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, piece, start, length, bin_id, bin_offset of every row of `documents`, lengths in words; see pack."""
     return pack(measured(table(spark, sf_dir, "documents")))

@@ -1,5 +1,7 @@
+import collections
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from masonry.llm import packing
@@ -27,7 +29,29 @@ def test_like_the_slow_search():
     for quota in (1, 2, 3):
         lengths = sorted((rng.randint(0, 90) for _ in range(300)), reverse=True)
         sources, clusters = ([rng.randint(-1, m) for _ in lengths] for m in (5, 60))
-        assert packing.best_fit(lengths, sources, clusters, 100, quota) == slow(lengths, sources, clusters, 100, quota)
+        assert packing.best_fit(lengths, sources, clusters, 100, dict.fromkeys(sources, quota)) == slow(lengths, sources, clusters, 100, quota)
+    # a source and a cluster that a third of the pieces have, and many of each
+    sources, clusters = ([0 if rng.random() < 0.34 else rng.randint(1, m) for _ in lengths] for m in (400, 200))
+    assert packing.best_fit(lengths, sources, clusters, 100, dict.fromkeys(sources, 2)) == slow(lengths, sources, clusters, 100, 2)
+
+
+@pytest.mark.parametrize("n_sources", [1, 2, 40])
+def test_bins_are_full_whatever_the_sources(n_sources):
+    rng = random.Random(n_sources)
+    lengths = sorted((rng.randint(20, 500) for _ in range(3000)), reverse=True)
+    sources = [rng.randrange(n_sources) for _ in lengths]
+    placed = packing.best_fit(lengths, sources, [-1] * len(lengths))
+    bins = max(k for k, _ in placed) + 1
+    assert sum(lengths) / (bins * packing.CAPACITY) > 0.94
+    most = packing.quotas(lengths, sources)
+    used = collections.Counter((k, s) for (k, _), s in zip(placed, sources, strict=True))
+    assert all(n <= most[s] for (_, s), n in used.items())
+
+
+def test_query(spark, docs, texts, tmp_path):
+    docs.unionByName(docs.limit(3)).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = packing.op10_best_fit_packing(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == {3 * i for i in range(len(texts))} and all(0 <= r.bin_offset and r.bin_offset + r.length <= packing.CAPACITY for r in rows)
 
 
 def test_pieces_cover_documents_and_bins_hold(spark, docs, texts, empty):
