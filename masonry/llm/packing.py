@@ -6,8 +6,8 @@ ordered by room, the search starts at the first bin with room enough and moves o
 until a compatible one is found; if none is, a bin is opened. A bin carries a bitmap of the duplicate
 clusters in it (none may come twice) and a bitmap of the sources that have used up their quota in it.
 
-A source's quota is its share of the group's tokens, taken of a bin's expected pieces, times SLACK, and
-LEAST_QUOTA at least: a bin is as mixed as the data allow, and a source that is alone is no conflict.
+A source has used up its quota in a bin when it has LEAST_PIECES there and SLACK times its share of the
+group's length: a bin is as mixed as the data allow, and a source that is alone is no conflict.
 Sources and clusters that make up many of the pieces have successor lists of their own, which hold only
 the bins still open to them, so the search doesn't pass the same full bins for each of their pieces.
 """
@@ -28,20 +28,22 @@ from .common import as_text, table
 
 CAPACITY = 2048
 #: Pieces of one source that a bin takes at least, and how far beyond its share a source may go.
-LEAST_QUOTA, SLACK = 2, 1.5
+LEAST_PIECES, SLACK = 2, 1.5
 #: A source or cluster with at least one in LISTED pieces has a successor list.
 LISTED = 24
 #: Pieces that a group may be expected to hold.
 GROUP_PIECES = 20_000
 
 
-def quotas(lengths: list[int], sources: list[int], capacity: int = CAPACITY) -> dict[int, int]:
-    """Pieces of each source that a bin takes."""
-    pieces = capacity * len(lengths) / max(1, sum(lengths))
-    return {s: max(LEAST_QUOTA, math.ceil(SLACK * pieces * n / len(lengths))) for s, n in Counter(sources).items()}
+def quotas(lengths: list[int], sources: list[int], capacity: int = CAPACITY) -> dict[int, float]:
+    """Length of each source from which a bin takes no more of it."""
+    share = Counter()
+    for n, s in zip(lengths, sources, strict=True):
+        share[s] += n
+    return {s: SLACK * capacity * n / max(1, sum(lengths)) for s, n in share.items()}
 
 
-def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capacity: int = CAPACITY, quota: dict[int, int] | None = None) -> list[tuple[int, int]]:
+def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capacity: int = CAPACITY, quota: dict[int, float] | None = None) -> list[tuple[int, int]]:
     """(bin, offset in it) of each piece, in the order given (longest first packs tightest).
 
     Negative sources and clusters are never in conflict. A piece must not be longer than the capacity.
@@ -54,7 +56,7 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
     # successor lists of (room, bin), ascending: of all open bins, and of those open to one source or cluster
     every: list[tuple[int, int]] = []
     by_cluster, by_source = [[] for _ in listed_c], [[] for _ in listed_s]
-    cluster_map, full_map, used = [], [], []  # per bin: bitmap of clusters, bitmap of sources at their quota, pieces of each source
+    cluster_map, full_map, used = [], [], []  # per bin: bitmap of clusters, bitmap of sources at their quota, pieces and length of each source
     out = []
     for size, s, c in zip(lengths, sources, clusters, strict=True):
         c_bit = 1 << repeated[c] if c in repeated else 0
@@ -76,8 +78,9 @@ def best_fit(lengths: list[int], sources: list[int], clusters: list[int], capaci
             used.append({})
         cluster_map[k] |= c_bit
         if s_bit:
-            used[k][s] = used[k].get(s, 0) + 1
-            if used[k][s] >= quota[s]:
+            pieces, length = used[k].get(s, (0, 0))
+            used[k][s] = pieces + 1, length + size
+            if pieces + 1 >= LEAST_PIECES and length + size >= quota[s]:
                 full_map[k] |= s_bit
         out.append((k, capacity - room))
         if room > size:
@@ -101,14 +104,13 @@ def _numbered(values: pa.ChunkedArray) -> np.ndarray:
     return codes.indices.fill_null(-1).to_numpy().astype(np.int64)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, quota: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """doc_id, piece, start, length, bin_id, bin_offset for docs (doc_id, length, source, cluster).
 
     A document longer than a bin is cut: its full pieces fill bins of their own, the rest is packed as
     other documents are. Documents of length 0 or null, and null doc_ids, take a piece of length 0 in
-    whatever bin fits. Null sources and clusters are never in conflict. `quota` sets one number for all
-    sources in place of their shares. Rows that repeat a doc_id are packed each by itself. The result
-    depends on the rows alone; equal rows may change places.
+    whatever bin fits. Null sources and clusters are never in conflict. Rows that
+    repeat a doc_id are packed each by itself. The result depends on the rows alone; equal rows may change places.
     """
     length = F.greatest(F.coalesce(F.col("length").cast("long"), F.lit(0)), F.lit(0))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), length.alias("length"), F.col("source").cast("string").alias("source"), F.col("cluster").cast("string").alias("cluster"))
@@ -124,8 +126,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PI
         last = (rest > 0) | (full == 0)
         order = np.lexsort((cluster, source, doc, -rest))
         order = order[last[order]]
-        sizes, own = rest[order].tolist(), source[order].tolist()
-        placed = best_fit(sizes, own, cluster[order].tolist(), capacity, None if quota is None else dict.fromkeys(own, quota))
+        placed = best_fit(rest[order].tolist(), source[order].tolist(), cluster[order].tolist(), capacity)
         bins = max((k for k, _ in placed), default=-1) + 1
         owner = np.repeat(np.arange(len(doc)), full)
         part = np.arange(len(owner)) - np.repeat(np.cumsum(full) - full, full)
