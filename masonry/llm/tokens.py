@@ -7,10 +7,9 @@ root over them. Reading checks every chunk against its key and every recipe agai
 
 Store layout (Parquet below one folder):
 
-* ``blocks``: key, doc_id, seq, n, ids - a row for each use of a chunk; ``ids`` (little-endian, two bytes
-  where the vocabulary allows it, else four) is set on exactly one row of each key. Scanning without
-  ``ids`` reads references only.
-* ``recipes``: doc_id ascending, start, n_tokens, keys, ends, root.
+* ``chunks``: key, ids - a row for each distinct chunk; ids are little-endian, two bytes where the
+  vocabulary allows it, else four.
+* ``recipes``: doc_id ascending, start, n_tokens, keys, ends, root - a row for each document.
 """
 
 from __future__ import annotations
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, blocks, materialise, mix, ragged, small_batches, span_hashes, table, text_view, work_dir
+from .common import SPACE, blocks, materialise, mix, ragged, small_batches, span_hashes, table, text_view, with_group, work_dir
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 2
@@ -209,17 +208,20 @@ def merkle_root(keys: list[bytes]) -> bytes:
     return hashlib.sha256(b"root" + level[0]).digest() if level else hashlib.sha256(b"root").digest()
 
 
-ROWS = "doc_id long, seq int, n long, key binary, ids binary"
+ROWS = "doc_id long, tag long, row long, seq int, n long, key binary, ids binary"
 
 
 def chunk_rows(docs: DataFrame, path: str, end: int = END, added: bool = False) -> DataFrame:
-    """A row per chunk of each document; a task sends the bytes of a chunk it has sent before as null."""
+    """A row per chunk of each row of docs (doc_id, text); a task sends the bytes of a chunk it has sent before as null.
+
+    tag is a hash of the text and row a number of the row, so that rows which repeat a doc_id stay apart.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, sent = encoder(path, added), set()
+        coder, sent, count = encoder(path, added), set(), TaskContext.get().partitionId() << 40
         for batch in batches:
-            data, offsets = text_view(batch.column(1))
-            doc = batch.column(0).to_pylist()
+            data, offsets = text_view(batch.column(2))
+            doc, tag = (batch.column(k).to_pylist() for k in (0, 1))
             for i, j in blocks(offsets, BLOCK):
                 ids, counts = coder.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 whole = counts + 1
@@ -227,25 +229,27 @@ def chunk_rows(docs: DataFrame, path: str, end: int = END, added: bool = False)
                 starts = np.cumsum(whole) - whole
                 stream[np.repeat(starts, counts) + ragged(counts)] = ids
                 raw = stream.astype(f"<u{coder.width}")
-                rows = ([], [], [], [], [])
+                rows = ([], [], [], [], [], [], [])
                 for k, ends in enumerate(chunk_ends(stream, starts, whole)):
                     at = 0
                     for seq, e in enumerate(ends.tolist()):
                         own = raw[starts[k] + at : starts[k] + e].tobytes()
                         key = hashlib.sha256(own).digest()
-                        for column, x in zip(rows, (doc[i + k], seq, e - at, key, None if key in sent else own), strict=True):
+                        for column, x in zip(rows, (doc[i + k], tag[i + k], count + i + k, seq, e - at, key, None if key in sent else own), strict=True):
                             column.append(x)
                         if len(sent) > 200_000:
                             sent.clear()
                         sent.add(key)
                         at = e
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["doc_id", "seq", "n", "key", "ids"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], ["doc_id", "tag", "row", "seq", "n", "key", "ids"])
+            count += batch.num_rows
 
-    return docs.mapInArrow(run, ROWS)
+    return docs.select("doc_id", F.xxhash64("text").alias("tag"), "text").mapInArrow(run, ROWS)
 
 
 def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come ordered by doc_id, seq within a range of doc_id; a document may span batches."""
+    """Rows come ordered by doc_id, tag, row, seq within a range of doc_id; a document may span batches."""
     part, start, doc, keys, sizes = TaskContext.get().partitionId(), 0, None, [], []
     out: list[tuple] = []
 
@@ -253,17 +257,17 @@ def _recipes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal start
         if keys:
             ends = np.cumsum(sizes)
-            out.append((doc, part, start, int(ends[-1]), list(keys), ends.tolist(), merkle_root(keys)))
+            out.append((doc[0], part, start, int(ends[-1]), list(keys), ends.tolist(), merkle_root(keys)))
             start += int(ends[-1])
 
     types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary()]
     names = ["doc_id", "part", "start", "n_tokens", "keys", "ends", "root"]
     flush = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names)
     for batch in batches:
-        for d, k, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if d != doc or not keys:
+        for d, row, k, n in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            if (d, row) != doc:
                 close()
-                doc, keys, sizes = d, [], []
+                doc, keys, sizes = (d, row), [], []
             keys.append(k)
             sizes.append(n)
         if out:
@@ -279,17 +283,17 @@ def write_store(docs: DataFrame, store: str, path: str | None = None, end: int =
 
     added: whether the content of an added token in a text gives that token (see PieceEncoder).
 
-    doc_id is the key: rows that repeat one are stored as one document. Other columns are ignored.
+    Every row is a document of the store: rows that repeat a doc_id stand one after the other in the order of
+    a hash of their text, and those with a null one first. Other columns are ignored.
     """
     spark = docs.sparkSession
     small_batches(spark)
     path = path or vocabulary_path()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = W.partitionBy("key").orderBy(F.col("ids").isNull(), "doc_id", "seq")
-    held = chunk_rows(docs, path, end, added).withColumn("rank", F.row_number().over(first))
-    held.select("key", "doc_id", "seq", "n", F.when(F.col("rank") == 1, F.col("ids")).alias("ids")).write.option("compression", "zstd").parquet(f"{store}/blocks")
-    uses = spark.read.parquet(f"{store}/blocks").select("doc_id", "key", "n", "seq")
-    ranged = uses.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "seq").select("doc_id", "key", "n")
+    staged = materialise(chunk_rows(docs, path, end, added), "uses")
+    # tasks send a chunk once each, and those are reduced to one before the shuffle where they meet
+    staged.filter("ids is not null").groupBy("key").agg(F.max("ids").alias("ids")).write.option("compression", "zstd").parquet(f"{store}/chunks")
+    ranged = staged.select("doc_id", "tag", "row", "seq", "key", "n").repartitionByRange("doc_id", "tag", "row").sortWithinPartitions("doc_id", "tag", "row", "seq").select("doc_id", "row", "key", "n")
     local = materialise(ranged.mapInArrow(_recipes, "doc_id long, part int, start long, n_tokens long, keys array<binary>, ends array<long>, root binary"), "recipes")
     totals = local.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row per range: as many as shuffle partitions
     before = totals.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before"))
@@ -332,8 +336,8 @@ def crc_shift(crc: np.ndarray, after: np.ndarray) -> np.ndarray:
 
 def _shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        part = crc_shift(batch.column(1).to_numpy(), batch.column(2).to_numpy())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(part.astype(np.int64))], ["doc_id", "part"])
+        part = crc_shift(batch.column(3).to_numpy(), batch.column(4).to_numpy())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(part.astype(np.int64))], ["doc_id", "start", "n_tokens", "part"])
 
 
 def _proved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,23 +356,27 @@ def read_recipes(spark: SparkSession, store: str) -> DataFrame:
 def read_checksums(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files alone.
 
-    Each stored chunk is read once; a document's checksum follows from those of its chunks.
+    Each stored chunk is read once; a document's checksum follows from those of its chunks. Documents are told
+    apart by where they start, as each has an end id.
     """
     small_batches(spark)
-    stored = spark.read.parquet(f"{store}/blocks").filter(F.col("ids").isNotNull()).select("key", "ids")
-    crcs = stored.mapInArrow(lambda b: _checked(b, width), "key binary, crc long")
-    recipes = read_recipes(spark, store)
-    uses = recipes.select("doc_id", "n_tokens", F.explode(F.arrays_zip("keys", "ends")).alias("use")).select("doc_id", F.col("use.keys").alias("key"), (4 * (F.col("n_tokens") - F.col("use.ends"))).alias("after"))
-    parts = uses.join(crcs, "key").select("doc_id", "crc", "after").mapInArrow(_shifted, "doc_id long, part long")
-    sums = parts.groupBy("doc_id").agg(F.bit_xor("part").alias("ids_crc32"))
-    return recipes.select("doc_id", "start", "n_tokens").join(sums, "doc_id", "left").select("doc_id", "start", "n_tokens", "ids_crc32")
+    crcs = spark.read.parquet(f"{store}/chunks").select("key", "ids").mapInArrow(lambda b: _checked(b, width), "key binary, crc long")
+    recipes = read_recipes(spark, store).select("doc_id", "start", "n_tokens", F.explode(F.arrays_zip("keys", "ends")).alias("use"))
+    uses = materialise(recipes.select("doc_id", "start", "n_tokens", F.col("use.keys").alias("key"), (4 * (F.col("n_tokens") - F.col("use.ends"))).alias("after")), "references")
+    counts = uses.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+    known = materialise(counts.join(crcs, "key", "left"), "crcs")
+    total = known.agg(F.sum("c"), F.count_if(F.col("crc").isNull())).first()
+    if total[1]:
+        raise ValueError(f"the store is damaged: {total[1]} chunks are missing")
+    parts = with_group(uses, known, ["key"], total[0] or 0).select("doc_id", "start", "n_tokens", "crc", "after").mapInArrow(_shifted, "doc_id long, start long, n_tokens long, part long")
+    return parts.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("part").alias("ids_crc32"))
 
 
 def read_ids(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
     """doc_id, ids array<int>: the documents themselves, rebuilt from recipes and chunks."""
-    stored = spark.read.parquet(f"{store}/blocks").filter(F.col("ids").isNotNull()).select("key", "ids")
-    uses = read_recipes(spark, store).select("doc_id", F.posexplode("keys").alias("seq", "key")).join(stored, "key")
-    whole = uses.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts"))
+    stored = spark.read.parquet(f"{store}/chunks")
+    uses = read_recipes(spark, store).select("doc_id", "start", F.posexplode("keys").alias("seq", "key")).join(stored, "key")
+    whole = uses.groupBy("doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("parts")).drop("start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,6 +387,7 @@ def read_ids(spark: SparkSession, store: str, width: int = 2) -> DataFrame:
 
 
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every row of `documents`, read back from the store; see write_store and read_checksums."""
     store = work_dir(spark, "token-store")
     write_store(table(spark, sf_dir, "documents"), store, added=True)
     return read_checksums(spark, store)

@@ -33,14 +33,26 @@ def test_store_round_trip(spark, docs, texts):
 def test_chunks_are_stored_once_and_damage_is_found(spark, docs):
     store = work_dir(spark, "store")
     tokens.write_store(docs, store)
-    held = spark.read.parquet(f"{store}/blocks")
-    stored = held.filter("ids is not null")
-    assert stored.count() == held.select("key").distinct().count() < held.count()
-    broken = work_dir(spark, "broken")
-    held.withColumn("ids", F.when(F.col("n") > 100, F.reverse(F.col("ids").cast("string")).cast("binary")).otherwise(F.col("ids"))).write.parquet(f"{broken}/blocks")
-    spark.read.parquet(f"{store}/recipes").write.parquet(f"{broken}/recipes")
-    with pytest.raises(Exception, match="damaged"):
-        tokens.read_checksums(spark, broken).collect()
+    held, used = spark.read.parquet(f"{store}/chunks"), spark.read.parquet(f"{store}/recipes").select(F.explode("keys").alias("key"))
+    assert held.count() == held.select("key").distinct().count() == used.distinct().count() < used.count()
+    for damage in (held.withColumn("ids", F.when(F.octet_length("ids") > 200, F.reverse(F.col("ids").cast("string")).cast("binary")).otherwise(F.col("ids"))), held.limit(3)):
+        broken = work_dir(spark, "broken")
+        damage.write.parquet(f"{broken}/chunks")
+        spark.read.parquet(f"{store}/recipes").write.parquet(f"{broken}/recipes")
+        with pytest.raises(Exception, match="damaged"):
+            tokens.read_checksums(spark, broken).collect()
+
+
+def test_repeated_and_null_ids(spark):
+    """Each row is a document of its own, and starts add up."""
+    rows = [(5, "one two"), (5, "three"), (5, "one two"), (None, "four"), (None, None), (2, "five six seven")]
+    store = work_dir(spark, "store")
+    tokens.write_store(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), store)
+    want = {t: plain_ids([t])[0] for _, t in rows}
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in tokens.read_checksums(spark, store).collect())
+    assert [g[1] for g in got] == [None, None, 2, 5, 5, 5]
+    assert [g[0] for g in got] == [sum(x[2] for x in got[:k]) for k in range(6)]
+    assert sorted((str(g[1]), g[2], g[3]) for g in got) == sorted((str(d), len(want[t]), zlib.crc32(np.array(want[t], "<u4").tobytes())) for d, t in rows)
 
 
 def test_empty_table(spark, empty):
