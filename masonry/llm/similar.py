@@ -6,12 +6,15 @@ the least similarity must meet) makes the document a member of that shingle's re
 on the size of the set (its distance from the full set), puts it also into the next size band. Linked
 documents therefore share a region. Within a region the first document is the pivot: one distance per
 member is computed, and members within the threshold are linked to it. What is left - members of
-different components - is joined in the region itself, in blocks of bounded size. Before any distance is
-computed from texts, a lower bound on it must pass: a bitmap holds the parity of the shingles that fall
-on each bit, and two sets differ at least in as many shingles as their bitmaps differ in bits. Pairs
-whose distances to the pivot differ by more than the threshold are left out (triangle inequality).
-
-Documents with equal sets are joined before.
+different components - is joined recursively: pivots among the members create Voronoi cells of the members
+nearest to them, within twice the threshold; members of other cells or of none that are within three times the
+threshold (a window that follows from the triangle inequality) are copied to the cell; and what no pivot was
+near goes to new pivots, as long as these find members. The distance there is a lower bound that is a metric itself: a bitmap holds
+the parity of the shingles that fall on each bit, and two sets differ at least in as many shingles as their
+bitmaps differ in bits. Pairs that the cells leave, that pass this bound and whose exact distances to the
+region's pivot differ by no more than the threshold, are tested exactly on their texts.
+
+Documents with equal sets are joined before. README says why regions come from shingles first.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, materialise, mix, small_batches, span_hashes, table, text_view, unzip, words, zipped
+from .common import LOWER, blocks, materialise, mix, small_batches, span_hashes, table, text_view, unzip, with_group, words, zipped
 
 SHINGLE, PERCENT = 3, 90
 #: A word is common from this share of all words on; so there are at most 1 / COMMON such words.
 COMMON = 2e-5
-#: Members of a region that are compared in one block, and rows that a task of blocks may be expected to hold.
-BLOCK, TASK_ROWS = 512, 20_000
+#: Members of a region that are joined in one block, and rows that a task of blocks may be expected to hold.
+BLOCK, TASK_ROWS = 2048, 20_000
+#: Pivots at a time, members that get no pivots any more, and members a pivot must find on average for more to be tried.
+PIVOTS, SMALL, LEAST_MET = 8, 48, 3
 
 
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +129,7 @@ def signatures(docs: DataFrame, shingler: Shingler, percent: int = PERCENT) -> D
             for i, j in blocks(offsets):
                 keys, first = shared.value.sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 n = np.diff(first)
-                sums = [np.concatenate(([0], np.cumsum(mix(keys + np.uint64(s)), dtype=np.uint64)))[first] for s in (1, 2)]
+                sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(keys + np.uint64(s)), dtype=np.uint64)))[first] for s in (1, 2)]
                 take = prefix_length(n, percent)
                 at = np.repeat(first[:-1], take) + (np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))).astype(np.int32)), pa.array(keys[at].view(np.int64)))
@@ -154,6 +159,24 @@ def _most_differing(na, nb, percent: int):
     return (na + nb) * (100 - percent) // (100 + percent) if isinstance(na, np.ndarray) else F.floor((na + nb) * (100 - percent) / (100 + percent))
 
 
+def near_in_cells(bits: np.ndarray, inner: np.ndarray, outer: np.ndarray, radius: int, within: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(some of `inner`, those they are to be compared with): every pair of an inner member and an outer one - and of two inner ones if `within` - whose bitmaps differ in at most `radius` bits is in one of them."""
+    while len(inner) > SMALL:
+        every = np.concatenate((inner, outer))
+        pivots = inner[np.linspace(0, len(inner) - 1, PIVOTS).astype(np.int64)]
+        far = np.stack([np.bitwise_count(bits[every] ^ bits[p]).sum(1, dtype=np.int64) for p in pivots], 1)
+        mine = np.arange(len(every)) < len(inner)
+        home = np.where(mine & (far.min(1) <= 2 * radius), far.argmin(1), -1)
+        for k in range(PIVOTS):
+            if (home == k).any():
+                yield every[home == k], every[(far[:, k] <= 3 * radius) & (home != k) & (~mine | within)]
+        inner = every[mine & (home < 0)]
+        if (home >= 0).sum() < LEAST_MET * PIVOTS:
+            break
+    if len(inner):
+        yield inner, outer
+
+
 def _block_pairs(percent: int):
     """Pairs (a, b) of the rows of each block - or of its two sides - that differ in component and pass size and bitmap."""
 
@@ -173,13 +196,16 @@ def _block_pairs(percent: int):
             for k in range(i, j):
                 bits[k - i] = np.bitwise_xor.reduce(flat[ends[k] : ends[k + 1]].reshape(-1, width), 0)
             split = int(np.searchsorted(side[i:j], 1))
-            for x in range(split):
-                at = np.arange(x + 1, j - i) if split == j - i else np.arange(split, j - i)
-                at = at[(own[i + at] != own[i + x]) & (100 * np.minimum(n[i + at], n[i + x]) >= percent * np.maximum(n[i + at], n[i + x]))]
-                at = at[~(np.abs(d[i + at] - d[i + x]) > 1 - percent / 100 + 1e-9)]
-                at = at[np.bitwise_count(bits[at] ^ bits[x]).sum(1, dtype=np.int64) <= _most_differing(n[i + at], n[i + x : i + x + 1], percent)]
-                if len(at):
-                    out.append((np.minimum(doc[i + at], doc[i + x]), np.maximum(doc[i + at], doc[i + x])))
+            within, most = split == j - i, int(n[i:j].max())
+            radius = int(_most_differing(np.array([most]), most, percent)[0])
+            for inner, outer in near_in_cells(bits, np.arange(split), np.arange(split, j - i), radius, within):
+                for k, x in enumerate(inner):
+                    at = np.concatenate((inner[k + 1 :], outer)) if within else outer
+                    at = at[(own[i + at] != own[i + x]) & (100 * np.minimum(n[i + at], n[i + x]) >= percent * np.maximum(n[i + at], n[i + x]))]
+                    at = at[~(np.abs(d[i + at] - d[i + x]) > 1 - percent / 100 + 1e-9)]
+                    at = at[np.bitwise_count(bits[at] ^ bits[x]).sum(1, dtype=np.int64) <= _most_differing(n[i + at], n[i + x : i + x + 1], percent)]
+                    if len(at):
+                        out.append((np.minimum(doc[i + at], doc[i + x]), np.maximum(doc[i + at], doc[i + x])))
         a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), ())))
         pairs = np.unique(np.stack((a, b), 1), axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
@@ -235,31 +261,34 @@ def regions(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     Counts and marks are summed before they are shuffled, and the semi-joins can be split, so a shingle of
     very many documents doesn't gather its rows in one task.
     """
-    rows = reps.select(F.explode("keys").alias("key"), "doc_id", "n")
+    rows = reps.select(F.explode("keys").alias("key"), "doc_id", "n", "f1")
     often = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent)) + 1e-9)
     banded = rows.join(often, "key", "left_semi").withColumn("band", F.explode(F.array(band, band + 1)))
-    members = materialise(banded.select(F.xxhash64("key", "band").alias("region"), "doc_id", "n"), "members")
-    marks = members.groupBy("region").agg(F.count(F.lit(1)).alias("c"), *(F.bit_xor(F.xxhash64(F.lit(k), "doc_id")).alias(f"x{k}") for k in (1, 2))).filter("c > 1")
+    members = materialise(banded.select(F.xxhash64("key", "band").alias("region"), "doc_id", "n", "f1"), "members")
+    marks = members.groupBy("region").agg(F.count(F.lit(1)).alias("c"), *(F.bit_xor(F.xxhash64(F.lit(k), "doc_id", "f1")).alias(f"x{k}") for k in (1, 2))).filter("c > 1")
     one = marks.groupBy("c", "x1", "x2").agg(F.min("region").alias("region")).select("region")
     kept = members.join(one, "region", "left_semi")
-    return materialise(kept.join(reps.select("doc_id", "bits"), "doc_id").select("region", "doc_id", "n", "bits"), "regions")
+    return materialise(kept.join(reps.select("doc_id", "f1", "bits"), ["doc_id", "f1"]).select("region", "doc_id", "n", "bits"), "regions")
 
 
 def links(texts: DataFrame, member: DataFrame, shingler: Shingler, percent: int = PERCENT) -> DataFrame | None:
     """doc_id, label of all documents with a link; None if there is no link."""
     fits = (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & (_differing("bits", "p.bits") <= _most_differing(F.col("n"), F.col("p.n"), percent))
-    pivots = member.groupBy("region").agg(F.min(F.struct("doc_id", "n", "bits")).alias("p"))
-    met = member.join(pivots, "region").filter((F.col("doc_id") != F.col("p.doc_id")) & fits)
+    pivots = materialise(member.groupBy("region").agg(F.min(F.struct("doc_id", "n", "bits")).alias("p"), F.count(F.lit(1)).alias("c")), "pivots")
+    total = pivots.agg(F.sum("c")).first()[0] or 0
+    met = with_group(member, pivots, ["region"], total).filter((F.col("doc_id") != F.col("p.doc_id")) & fits)
     tested = materialise(distances(met.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), texts, shingler), "tested")
     linked = tested.filter(_alike(percent)).select("a", "b")
     labels = components(linked) if linked.limit(1).count() else None
     # what is left of each region without its pivot, where there is more than one component
-    rest = member.join(pivots.select("region", F.col("p.doc_id").alias("pivot")), "region").filter("doc_id <> pivot")
+    rest = with_group(member, pivots.select("region", F.col("p.doc_id").alias("pivot"), "c"), ["region"], total).filter("doc_id <> pivot")
     rest = rest.join(labels, "doc_id", "left").withColumn("own", F.coalesce("label", "doc_id")) if labels is not None else rest.withColumn("own", F.col("doc_id"))
-    mixed = rest.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("region", "m")
+    rest = materialise(rest.drop("label"), "rest")
+    mixed = rest.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high")
+    mixed = materialise(mixed.select("region", "m", F.col("m").alias("c")), "mixed")
     far = tested.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
-    rest = rest.join(mixed, "region").join(far, ["pivot", "doc_id"], "left")
+    rest = with_group(rest, mixed, ["region"], total).filter("m is not null").join(far, ["pivot", "doc_id"], "left")
     n = F.ceil(F.col("m") / BLOCK).cast("int")
     rest = rest.withColumn("k", F.pmod(F.xxhash64(F.lit(7), "doc_id"), n).cast("int"))
     to = F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.least(i, F.col("k")).alias("i"), F.greatest(i, F.col("k")).alias("j"), F.when(i < F.col("k"), 1).otherwise(0).alias("side"))))
@@ -277,7 +306,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
 
     Two documents link when 100 * intersection >= percent * union of their sets of distinct shingles of
     `size` words (the whole text as one shingle if it has fewer). Null, empty and blank texts have empty
-    sets and no links. doc_id is the key; other columns are ignored.
+    sets and no links. Rows that repeat a doc_id have a row each, but are one document: what one of them
+    links with, all do. A row with a null doc_id has the component of an equal set, else null, and links
+    nothing. Other columns are ignored. Shingles are compared by 58-bit hashes (and a class of six bits).
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -285,16 +316,23 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     shingler = Shingler(common_words(docs), size)
     base = materialise(signatures(docs, shingler, percent), "signatures")
     full = base.filter("n > 0")
-    reps = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"))
+    # the least document stands for a set; null ids come first in no order, and stand for none
+    reps = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("rep is not null")
     reps = materialise(reps, "sets")
-    member = regions(full.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), percent)
+    first = reps.select("n", "f1", "f2", F.col("rep").alias("doc_id"), "c")
+    same = ["doc_id", "n", "f1", "f2"]
+    members = full.join(first.select(*same), same, "left_semi").dropDuplicates(same)
+    member = regions(members, percent)
     texts = materialise(zipped(docs).join(member.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
     labels = links(texts, member, shingler, percent) if member.limit(1).count() else None
     if labels is None:
         labels = spark.createDataFrame([], "doc_id long, label long")
-    named = reps.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("component_id"))
-    return base.select("doc_id", "n", "f1", "f2").join(named, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = materialise(reps.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("component_id"), "c"), "named")
+    total = base.count()
+    found = with_group(base.select("doc_id", "n", "f1", "f2"), named, ["n", "f1", "f2"], total)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of `documents`: three words, from 0.90 on; see jaccard_components."""
     return jaccard_components(table(spark, sf_dir, "documents"))
