@@ -1,4 +1,6 @@
 import random
+import unicodedata
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ def test_languages_held_out(spark, docs, empty):
     rows = [(i, " ".join(rng.choices(words[x], k=30)), x) for i in range(240) for x in [list(words)[i % 3]]]
     frame = spark.createDataFrame(rows + [(900, None, "en"), (901, "", "en"), (902, "12 - !", None), (903, "straße " * 20_000, None)], "doc_id long, text string, lang string")
     names, logs = language.learn(language.training_rows(frame))
-    assert names == ["de", "en", "fr"] and logs.shape == (language.BUCKETS + 1, 3)
+    assert names == ["de", "en", "fr"] and logs.shape == (language.BUCKETS, 3)
     found = {r.doc_id: r for r in language.identify(frame, names, logs).collect()}
     assert len(found) == 244 and all(0 <= r.score <= 1 for r in found.values())
     assert all(found[i].lang_pred == x for i, _, x in rows)
@@ -67,7 +69,7 @@ def test_more_than_256_languages(spark):
     training = language.training_rows(frame)
     names, logs = language.learn(training)
     learned = {r.lang for r in training.select("lang").distinct().collect()}
-    assert len(names) == len(learned) > 256 and logs.shape == (language.BUCKETS + 1, len(names))
+    assert len(names) == len(learned) > 256 and logs.shape == (language.BUCKETS, len(names))
     found = {r.doc_id: r for r in language.identify(frame, names, logs).collect()}
     assert all(found[3 * int(x[1:])].lang_pred == x for x in learned)
 
@@ -78,3 +80,60 @@ def test_a_few_wrong_positive_labels_do_not_move_one_half_into_the_junk():
     wrong = rng.normal(4, 1, (20, len(quality.FEATURES)))
     model = quality.fit(np.concatenate((good[:2000], wrong)), np.concatenate((good[2000:], bad)), 2 / 3)
     assert (model.score(good) >= 0.5).mean() > 0.95 and (model.score(bad) < 0.5).mean() > 0.9
+
+
+def slow_rows(text):
+    """Matrix rows of all n-grams, one by one."""
+    fold = lambda c: c.lower() if len(c.lower()) == 1 else c
+    points = [ord(fold(c)) if unicodedata.category(c)[0] in "LM" else 32 for c in text]
+    out = []
+    for i in range(len(points)):
+        key = 0
+        for n in range(1, min(language.LONGEST, len(points) - i) + 1):
+            key = ((key + points[i + n - 1]) * 0x9E3779B1 & 0xFFFFFFFF) ^ (key >> 15)
+            out.append((((key ^ (key >> 16)) * 0x85EBCA6B & 0xFFFFFFFF) >> 16) % language.BUCKETS)
+    return out
+
+
+def test_scores_like_brute_force(spark, docs, texts, monkeypatch):
+    """Counts, log probabilities and posteriors computed n-gram by n-gram, also where long texts come in pieces."""
+    rng = random.Random(9)
+    monkeypatch.setattr(language, "PIECE", 1 << 12)
+    train = [(i, prose(rng, 30) + x, x) for i in range(12) for x in ["aé", "bß", "c漢"][i % 3 : i % 3 + 1]]
+    names, logs = language.learn(spark.createDataFrame(train, "doc_id long, text string, lang string").repartition(2))
+    counts = np.zeros((language.BUCKETS, 3))
+    for _, t, x in train:
+        np.add.at(counts[:, names.index(x)], slow_rows(t), 1)
+    want = np.log((counts + language.SMOOTHING) / (counts.sum(0) + language.SMOOTHING * language.BUCKETS))
+    assert np.allclose(logs, want, atol=1e-5)
+    given = docs.withColumn("lang_pred", F.lit("clash")).unionByName(docs.withColumn("lang_pred", F.lit("again")))
+    rows = language.identify(given, names, logs).collect()
+    assert len(rows) == 2 * len(texts)
+    for r in rows:
+        t = texts[r.doc_id // 3]
+        if t is None or not any(c.isalpha() for c in t):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        sums = logs.astype(float)[slow_rows(t)].sum(0)
+        assert r.lang_pred == names[int(sums.argmax())] and abs(r.score - 1 / np.exp(sums - sums.max()).sum()) < 1e-6
+
+
+def test_pieces_give_each_ngram_once():
+    text = "aé漢😀 b" * 50
+    data = np.frombuffer(text.encode(), np.uint8)
+    whole = np.bincount(slow_rows(text), minlength=language.BUCKETS)
+    for most in (3, 25, 64, 10_000):
+        got = np.zeros(language.BUCKETS)
+        for _, part, own, lead in language.pieces(data, np.array([0, len(data)]), most):
+            np.add.at(got, language.ngrams(part, own, lead)[1], 1)
+        assert (got == whole).all()
+
+
+def test_queries(spark, docs, texts, tmp_path):
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(3 * i, int(i % 4 > 0), 0) for i in range(len(texts))], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    held_out = lambda n, k: {3 * i for i in range(len(texts)) if zlib.crc32(str(3 * i).encode()) % n == k}
+    for rows, fold in ((language.op2_language_id(spark, str(tmp_path)), (4, 2)), (quality.op4_quality_classifier(spark, str(tmp_path)), (3, 1))):
+        rows = rows.collect()
+        assert sorted(r.doc_id for r in rows) == [3 * i for i in range(len(texts))]
+        assert {r.doc_id for r in rows if r.held_out} == held_out(*fold) and all(0 <= r.score <= 1 for r in rows)
