@@ -12,7 +12,10 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` written to the checkpoint folder that the session names, and read from there; in tests a temporary folder is set."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="masonry-"))
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not base and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="masonry-"))
     return df.checkpoint()
 
 

@@ -1,11 +1,17 @@
-"""Relational operators with the reference's null and order semantics."""
+"""Relational operators with stated null and order semantics."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
+from .graphs import cut
+from .spatial import box_join, overlap
+
 
 def drift_select(df: DataFrame, wanted: dict[str, str], required: tuple[str, ...] = ()) -> DataFrame:
     """[S-05, S-06] the wanted columns (name: type); those the table lacks are null, a required one raises."""
@@ -37,19 +43,54 @@ def first_rows(df: DataFrame, keys: list[str], order: list, k: int = 1) -> DataF
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
 
 
-def best_match(df: DataFrame, key: str, score: str, tie: str, least: float, margin: float) -> DataFrame:
-    """[S-10, W-03] per key the best candidate and a reason: low_score, ambiguous (a close runner-up) or matched."""
-    order = W.partitionBy(key).orderBy(F.col(score).desc(), F.col(tie))
-    ranked = df.select(key, tie, score, F.row_number().over(order).alias("_n"), F.lead(score).over(order).alias("_next"))
-    reason = F.when(F.col(score) < least, "low_score").when(F.col(score) - F.col("_next") < margin, "ambiguous").otherwise("matched")
-    return ranked.filter("_n = 1").select(key, tie, score, reason.alias("reason"))
+def best_match(df: DataFrame, key: str, ident: str, score: str, country: str, order: str, least: float = 0.8, margin: float = 0.05, served: tuple = ("E", "W", "S")) -> DataFrame:
+    """[S-10, W-03] per key the best candidate and a reason: low_score, ambiguous, unsupported_country, missing_id or matched.
+
+    A missing score counts as 0, equal ones stand by `order`. A close runner-up is ambiguous only if its id differs.
+    """
+    value = F.coalesce(F.col(score), F.lit(0.0))
+    ranked = W.partitionBy(key).orderBy(value.desc(), F.col(order))
+    ahead = lambda c: F.lead(c).over(ranked)
+    rows = df.select(key, ident, value.alias(score), country, order, F.row_number().over(ranked).alias("_n"), ahead(value).alias("_next"), ahead(F.col(ident)).alias("_id"))
+    close = F.col("_next").isNotNull() & ~F.col("_id").eqNullSafe(F.col(ident)) & (F.col(score) - F.col("_next") < margin)
+    reason = F.when(F.col(score) < least, "low_score").when(close, "ambiguous").when(~F.coalesce(F.col(country).isin(*served), F.lit(False)), "unsupported_country").when(F.col(ident).isNull(), "missing_id").otherwise("matched")
+    return rows.filter("_n = 1").select(key, ident, score, reason.alias("reason"))
+
+
+def consensus(df: DataFrame, key: str, value: str, unknown: tuple = ()) -> DataFrame:
+    """[A-04] per key a value that all sources give, and the status: missing, conflicting, incomplete_source_coverage or available.
+
+    Null, and what `unknown` lists (such as "" and a sentinel), is not known. Only where all sources agree is there a value.
+    """
+    known = F.when(~F.col(value).isin(*unknown), F.col(value)) if unknown else F.col(value)
+    n, k = F.count(F.lit(1)), F.count(known)
+    status = F.when(k == 0, "missing").when(F.min(known) != F.max(known), "conflicting").when(k < n, "incomplete_source_coverage").otherwise("available")
+    return df.groupBy(key).agg(status.alias("status"), F.when((k == n) & (F.min(known) == F.max(known)), F.min(known)).alias("value"), k.alias("n_known"), n.alias("n_sources"))
 
 
-def consensus(df: DataFrame, key: str, value: str, *carry) -> DataFrame:
-    """[A-04] per key one value and how it was agreed on: missing, conflicting, incomplete_source_coverage or available."""
-    known = F.count(value)
-    status = F.when(known == 0, "missing").when(F.count_distinct(value) > 1, "conflicting").when(known < F.count(F.lit(1)), "incomplete_source_coverage").otherwise("available")
-    return df.groupBy(key).agg(status.alias("status"), F.when(F.count_distinct(value) == 1, F.min(value)).alias("value"), known.alias("n_known"), F.count(F.lit(1)).alias("n_sources"))
+def union_coverage(groups: DataFrame, outlines: DataFrame, cell: float, least: float = 0.9, slack: float = 1.05) -> DataFrame:
+    """[J-07] a, b, decision for each group (a, x0, y0, x1, y1) and outline (b, likewise) that overlap.
+
+    Outlines that lie in a group by `least` are linked to it if their union covers it by `least`, and groups that lie
+    in an outline likewise to that. Where those together are larger than their union by `slack`, they are ambiguous.
+    """
+    corners = ("x0", "y0", "x1", "y1")
+    pairs = box_join(groups.withColumnsRenamed({c: f"l{c}" for c in corners}), outlines.withColumnsRenamed({c: f"r{c}" for c in corners}), cell)
+    pairs = cut(pairs.withColumn("area", overlap()).filter("area > 0"))
+    size = lambda s: (F.col(f"{s}x1") - F.col(f"{s}x0")) * (F.col(f"{s}y1") - F.col(f"{s}y0"))
+    box = lambda *c: F.struct(*(x.alias(n) for x, n in zip(c, corners, strict=True)))
+    common = box(F.greatest("lx0", "rx0"), F.greatest("ly0", "ry0"), F.least("lx1", "rx1"), F.least("ly1", "ry1"))
+
+    def side(key: str, own: str, other: str) -> DataFrame:
+        """Of each `key`: whether the members that lie in it are ambiguous, and whether they cover it."""
+        inside = pairs.filter(F.col("area") >= least * size(other))
+        sums = inside.groupBy(key).agg(F.sum(size(other)).alias("sum"), F.first(size(own)).alias("size"), F.collect_list(box(*(F.col(f"{other}{c}") for c in corners))).alias("whole"), F.collect_list(common).alias("clipped"))
+        return sums.select(key, (F.col("sum") > slack * S.union_area(F.col("whole"))).alias(f"{key}_ambiguous"), (S.union_area(F.col("clipped")) >= least * F.col("size")).alias(f"{key}_covered"))
+
+    joined = pairs.join(side("a", "l", "r"), "a", "left").join(side("b", "r", "l"), "b", "left")
+    met = lambda what: F.coalesce((F.col("area") >= least * size("r")) & F.col(f"a_{what}"), F.lit(False)) | F.coalesce((F.col("area") >= least * size("l")) & F.col(f"b_{what}"), F.lit(False))
+    decision = F.when(met("ambiguous"), "ambiguous_overlap").when(met("covered"), "spatial_union").otherwise("insufficient_bidirectional_coverage")
+    return joined.select("a", "b", decision.alias("decision"))
 
 
 def cardinality(links: DataFrame, source: str, unit: str) -> DataFrame:
@@ -61,14 +102,30 @@ def cardinality(links: DataFrame, source: str, unit: str) -> DataFrame:
     return pairs.join(by_unit, unit).join(by_source, source).select(source, unit, kind.alias("relationship"))
 
 
-def stride_sample(df: DataFrame, group: str, order: list, most: int) -> DataFrame:
-    """[W-02] every stride-th row of each group in order, with the least stride that leaves at most `most` rows."""
-    w = W.partitionBy(group)
-    n, i = F.count(F.lit(1)).over(w), F.row_number().over(w.orderBy(*order)) - 1
-    stride = F.greatest(F.lit(1), F.ceil(F.col("_n") / most))
-    return df.withColumn("_n", n).withColumn("_i", i).filter(F.col("_i") % stride == 0).drop("_n", "_i")
+def ordered(df: DataFrame, order: list[str], place: str) -> DataFrame:
+    """[O-03] the rows with their place (from 0) in the whole order.
+
+    Ranges of the order are sorted apart and counted, and the counts of the ranges before (a row for each
+    shuffle partition) give each range its first place; no task has more than its range.
+    """
+    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = counts.select("_part", (F.sum("_c").over(W.orderBy("_part")) - F.col("_c")).alias("_before"))
+    within = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.withColumn("_i", within).join(F.broadcast(before), "_part").withColumn(place, F.col("_i") + F.col("_before")).drop("_part", "_i", "_before")
+
+
+def stride_sample(df: DataFrame, order: list[str], most: int = 20_000) -> DataFrame:
+    """[W-02] every stride-th row in order, with the least stride that leaves at most `most` rows."""
+    n = df.count()
+    stride = max(1, math.ceil(n / most))
+    return ordered(df, order, "_place").filter(F.col("_place") % stride == 0).drop("_place")
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """[U-06, M-09] rows of one side only, with the side's name; none if the inventories are equal."""
-    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+    """[U-06, M-09] rows that one side has more often, as often as that, with the side's name; none if the inventories are equal."""
+    columns = a.columns
+    both = a.withColumn("_d", F.lit(1)).unionByName(b.withColumn("_d", F.lit(-1)))
+    net = both.groupBy(*columns).agg(F.sum("_d").alias("_d")).filter("_d <> 0")
+    side = F.when(F.col("_d") > 0, "left").otherwise("right").alias("side")
+    return net.select(*columns, side, F.explode(F.sequence(F.lit(1), F.abs("_d"))).alias("_k")).drop("_k")

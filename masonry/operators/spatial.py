@@ -39,6 +39,14 @@ def point_in_box(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     return p.join(b, ["cx", "cy"]).filter(F.col("x").between(F.col("rx0"), F.col("rx1")) & F.col("y").between(F.col("ry0"), F.col("ry1"))).drop("cx", "cy")
 
 
+def outside_boxes(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
+    """[J-12] points (x, y) that no box (rx0..ry1) covers, border included."""
+    p = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
+    b = with_cells(boxes.select("rx0", "ry0", "rx1", "ry1"), "rx0", "ry0", "rx1", "ry1", cell).withColumnsRenamed({"cx": "bx", "cy": "by"})
+    inside = F.col("x").between(F.col("rx0"), F.col("rx1")) & F.col("y").between(F.col("ry0"), F.col("ry1"))
+    return p.join(b, (F.col("cx") == F.col("bx")) & (F.col("cy") == F.col("by")) & inside, "left_anti").drop("cx", "cy")
+
+
 def near_pairs(points: DataFrame, tolerance: float) -> DataFrame:
     """[J-17] pairs a < b of points (id, x, y) within `tolerance` on each axis."""
     a = points.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.floor(F.col("x") / tolerance).alias("cx"), F.floor(F.col("y") / tolerance).alias("cy"))

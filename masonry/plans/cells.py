@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import graphs
+from ..operators import relations as R
 from ..operators import spatial as G
 from ..sources.views import BLD, FULL, buildings, table
 from .portfolio import LINKS, _links, full, long, query
@@ -139,10 +140,9 @@ def page_guard(spark, sf):
     return p.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("pages"), (F.count(F.lit(1)) > F.count_distinct("signature")).alias("repeated"))
 
 
-@query(f"WITH {LINKS}, {BLD}, c AS (SELECT unit, CASE WHEN unit % 4 = 0 THEN 9.0 END AS explicit, height FROM l JOIN bld ON code = source), a AS (SELECT unit, any_value(explicit) AS e, count(DISTINCT height) FILTER (height > 0 AND height <= 300) AS k, min(height) FILTER (height > 0 AND height <= 300) AS h FROM c GROUP BY 1) SELECT unit, CAST(coalesce(e, CASE WHEN k = 1 THEN h END) AS DOUBLE) AS height FROM a")
+@query(f"WITH {LINKS}, {BLD}, c AS (SELECT unit, height FROM l JOIN bld ON code = source), a AS (SELECT unit, count(DISTINCT height) AS k, count(height) = count(*) AS whole, min(height) AS h FROM c GROUP BY 1) SELECT unit, CASE WHEN unit % 4 = 0 THEN 9.0 WHEN k = 1 AND whole AND h > 0 AND h <= 300 THEN h END::DOUBLE AS height FROM a")
 def assumed_height(spark, sf):
-    """[T-20] an explicit height, else the only plausible one among the sources; several differing ones give none."""
-    h = F.when((F.col("height") > 0) & (F.col("height") <= 300), F.col("height"))
-    sources = _links(spark, sf).distinct().join(buildings(spark, sf).select(F.col("code").alias("source"), h.alias("h")), "source")
-    low = sources.groupBy("unit").agg(F.min("h").alias("low"), F.max("h").alias("high"))
-    return low.select("unit", F.when(F.col("unit") % 4 == 0, F.lit(9.0)).when(F.col("low") == F.col("high"), F.col("low")).alias("height"))
+    """[T-20] an explicit height, else the one that all sources give; sources that differ or lack it give none."""
+    sources = _links(spark, sf).distinct().join(buildings(spark, sf).select(F.col("code").alias("source"), "height"), "source")
+    found = R.consensus(sources, "unit", "height")
+    return found.select("unit", F.when(F.col("unit") % 4 == 0, F.lit(9.0)).when(F.col("value").between(1e-300, 300.0), F.col("value")).alias("height"))

@@ -35,12 +35,12 @@ def long(c):
     return c.cast("long")
 
 
-@query(f"WITH {BLD}, {FULL} SELECT count(*) AS n_buildings, round(sum(round(CAST(w * d AS DOUBLE), 2)), 2) AS footprint_area, round(sum(round(CAST(w * d * n AS DOUBLE), 2)), 2) AS floor_area, CAST(sum(storeys) AS BIGINT) AS known_storeys FROM full_bld")
+@query(f"WITH {BLD} SELECT count(*) AS n_buildings, round(sum(round(CAST(w * d AS DOUBLE), 2)), 2) AS footprint_area, round(sum(round(CAST(w * d * storeys AS DOUBLE), 2)), 2) AS floor_area, CAST(sum(storeys) AS BIGINT) AS known_storeys FROM bld")
 def portfolio_totals(spark, sf):
-    """[A-01, A-02, P-25]"""
+    """[A-01, A-02, P-25] floor areas of buildings whose storeys are known only; nothing is filled in."""
     area = F.col("w") * F.col("d")
     total = lambda c: F.round(F.sum(F.round(c.cast("double"), 2)), 2)
-    return full(spark, sf).agg(F.count(F.lit(1)).alias("n_buildings"), total(area).alias("footprint_area"), total(area * F.col("n")).alias("floor_area"), long(F.sum("storeys")).alias("known_storeys"))
+    return buildings(spark, sf).agg(F.count(F.lit(1)).alias("n_buildings"), total(area).alias("footprint_area"), total(area * F.col("storeys")).alias("floor_area"), long(F.sum("storeys")).alias("known_storeys"))
 
 
 @query(f"WITH {BLD}, {FULL} SELECT code, n, h FROM full_bld")
@@ -76,10 +76,15 @@ def roof_pitch_weighted(spark, sf):
     return buildings(spark, sf).groupBy("brand").agg(F.round(F.least(F.lit(70), mean), 6).alias("pitch"))
 
 
-@query(f"WITH {BLD}, f AS (SELECT code, strip_accents(lower(material)) AS m FROM bld) SELECT code, CASE WHEN m LIKE '%tuile%' OR m LIKE '%ardoise%' OR m LIKE '%zinc%' THEN 30.0 WHEN m LIKE '%beton%' OR m LIKE '%terrasse%' OR m LIKE '%bitume%' THEN 0.0 END::DOUBLE AS pitch FROM f")
+ROOF = "m LIKE '%tuile%' OR m LIKE '%ardoise%' OR m LIKE '%zinc%' OR m LIKE '%alumin%' OR m LIKE '%chaume%' OR m LIKE '%bardeau%' OR m LIKE '%shingle%' OR m LIKE '%tole%' OR m LIKE '%bac acier%' OR m LIKE '%fibro%' OR m LIKE '%amiante%' OR m LIKE '%comble%' OR m LIKE '%rampant%' OR m LIKE '%charpente%'"
+COVERS = ["TUILES mécaniques", "Béton", "Ardoise", "", "Tôle", "bac acier", "Étanchéité", "membrane", "Comble perdu", "chaume et béton", "lauze", "aluminium"]
+
+
+@query(f"WITH f AS (SELECT p_partkey AS code, strip_accents(lower({COVERS!r}[p_partkey % 12 + 1])) AS m FROM part) SELECT code, CASE WHEN {ROOF} THEN 30.0 WHEN m LIKE '%beton%' OR m LIKE '%terrasse%' OR m LIKE '%gravier%' OR m LIKE '%bitume%' OR m LIKE '%etanch%' OR m LIKE '%membrane%' THEN 0.0 END::DOUBLE AS pitch FROM f")
 def roof_keyword_class(spark, sf):
     """[P-11, P-18]"""
-    return buildings(spark, sf).select("code", S.roof_pitch(F.col("material")).alias("pitch"))
+    code = F.col("p_partkey")
+    return table(spark, sf, "part").select(code.alias("code"), S.roof_pitch(F.element_at(F.array(*map(F.lit, COVERS)), (code % 12 + 1).cast("int"))).alias("pitch"))
 
 
 @query(f"WITH {BLD}, x AS (SELECT l_partkey AS code, max(l_quantity) AS height, CAST(max(l_linenumber) AS INTEGER) AS storeys FROM lineitem GROUP BY 1) SELECT b.code, coalesce(b.height, x.height) AS height, CASE WHEN b.code % 2 = 0 THEN x.storeys ELSE b.storeys END AS storeys FROM bld b LEFT JOIN x USING (code)")
@@ -111,22 +116,25 @@ def schema_drift_projection(spark, sf):
     return R.drift_select(table(spark, sf, "part"), {"p_partkey": "long", "p_size": "double", "rnb_id": "string", "altitude": "double"}, ("p_partkey",))
 
 
-@query("WITH s AS (SELECT o_custkey, o_orderkey, round(o_totalprice / 500000, 4) AS score FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) AS n, lead(score) OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) AS nxt FROM s) SELECT o_custkey, o_orderkey, score, CASE WHEN score < 0.5 THEN 'low_score' WHEN score - nxt < 0.05 THEN 'ambiguous' ELSE 'matched' END AS reason FROM r WHERE n = 1")
+@query("WITH s AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 11 > 0 THEN o_orderkey // 3 END AS uprn, CASE o_orderstatus WHEN 'O' THEN 'E' WHEN 'F' THEN 'S' ELSE 'N' END AS country, CASE WHEN o_orderkey % 13 > 0 THEN round(o_totalprice / 300000, 2) END AS score FROM orders), r AS (SELECT *, coalesce(score, 0) AS sc, row_number() OVER w AS n, lead(coalesce(score, 0)) OVER w AS nxt, lead(uprn) OVER w AS other FROM s WINDOW w AS (PARTITION BY o_custkey ORDER BY coalesce(score, 0) DESC, o_orderkey)) SELECT o_custkey, uprn, sc AS score, CASE WHEN sc < 0.8 THEN 'low_score' WHEN nxt IS NOT NULL AND other IS DISTINCT FROM uprn AND sc - nxt < 0.05 THEN 'ambiguous' WHEN country NOT IN ('E', 'W', 'S') THEN 'unsupported_country' WHEN uprn IS NULL THEN 'missing_id' ELSE 'matched' END AS reason FROM r WHERE n = 1")
 def match_margin(spark, sf):
     """[S-10, W-03]"""
-    scored = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") / 500000, 4).alias("score"))
-    return R.best_match(scored, "o_custkey", "score", "o_orderkey", 0.5, 0.05)
+    o, key = table(spark, sf, "orders"), F.col("o_orderkey")
+    country = F.when(F.col("o_orderstatus") == "O", "E").when(F.col("o_orderstatus") == "F", "S").otherwise("N")
+    score = F.when(key % 13 > 0, F.round(F.col("o_totalprice") / 300000, 2))
+    rows = o.select("o_custkey", "o_orderkey", F.when(key % 11 > 0, F.floor(key / 3)).alias("uprn"), country.alias("country"), score.alias("score"))
+    return R.best_match(rows, "o_custkey", "uprn", "score", "country", "o_orderkey")
 
 
-ADDRESS = "CASE c_custkey % 6 WHEN 0 THEN c_custkey || ' rue de la Paix' WHEN 1 THEN c_name || ' 75002 Paris' WHEN 2 THEN c_custkey || ' High St SW1A 1AA' WHEN 3 THEN c_name || ', England' WHEN 4 THEN c_name || ' 75002 UK' ELSE c_name END"
+ENDS = [" rue de la Paix", " 75002 Paris", " High St SW1A 1AA", ", England", " 75002 UK", "", ", Royaume-Uni", " GIR 0AA", " Belfast BT1 5GS", " road, Northern Ireland", " Munuk", " allée des Pins", " 75002 Paris, FRANCE", " SW1A 1AA, Scotland", " gb", "avenue"]
 
 
-@query(f"WITH a AS (SELECT c_custkey, lower(trim({ADDRESS})) AS a FROM customer), f AS (SELECT *, regexp_matches(a, '\\b[a-z]{{1,2}}[0-9][a-z0-9]? ?[0-9][a-z]{{2}}\\b') OR regexp_matches(a, '(uk|united kingdom|england)$') AS uk, regexp_matches(a, '\\b[0-9]{{5}}\\b') OR regexp_matches(a, 'france$') AS fr FROM a) SELECT c_custkey, CASE WHEN uk AND fr THEN 'conflict' WHEN uk THEN 'UK' WHEN fr OR regexp_matches(a, '\\b(rue|avenue|boulevard|place|chemin)\\b') THEN 'FR' ELSE 'unknown' END AS country FROM f")
+@query(f"WITH a AS (SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN ' ' ELSE c_name || {ENDS!r}[c_custkey % 16 + 1] END AS a FROM customer), f AS (SELECT *, regexp_extract(a, '(?i)\\b(?:GIR\\s*0AA|[A-Z]{{1,2}}[0-9][A-Z0-9]?\\s*[0-9][A-Z]{{2}})\\b') AS pc, lower(regexp_extract(a, '(?i)(?:^|[,\\s])(france|fr|uk|gb|united kingdom|great britain|england|scotland|wales|royaume[- ]uni)\\s*$', 1)) AS sf, regexp_matches(a, '\\b[0-9]{{5}}\\b') AS five FROM a), g AS (SELECT *, CASE WHEN sf IN ('fr', 'france') THEN 'FR' WHEN sf <> '' THEN 'UK' END AS ex, CASE WHEN pc <> '' THEN 'UK' WHEN five THEN 'FR' END AS po FROM f) SELECT c_custkey, CASE WHEN trim(a) = '' THEN 'empty' WHEN regexp_matches(pc, '(?i)^(BT|JE|GY|IM)') OR regexp_matches(a, '(?i)\\bnorthern ireland\\b') THEN 'unsupported' WHEN ex <> po THEN 'conflict' WHEN coalesce(ex, po) IS NOT NULL THEN coalesce(ex, po) WHEN regexp_matches(a, '(?i)\\b(rue|chemin|impasse|allee|allée)\\b') THEN 'FR' ELSE 'unknown' END AS country FROM g")
 def country_route(spark, sf):
     """[P-21]"""
-    key, name = F.col("c_custkey"), F.col("c_name")
-    kinds = [F.concat(key, F.lit(" rue de la Paix")), F.concat(name, F.lit(" 75002 Paris")), F.concat(key, F.lit(" High St SW1A 1AA")), F.concat(name, F.lit(", England")), F.concat(name, F.lit(" 75002 UK")), name]
-    return table(spark, sf, "customer").select("c_custkey", S.country(F.element_at(F.array(*kinds), (key % 6 + 1).cast("int"))).alias("country"))
+    key = F.col("c_custkey")
+    address = F.when(key % 17 == 0, " ").otherwise(F.concat("c_name", F.element_at(F.array(*map(F.lit, ENDS)), (key % 16 + 1).cast("int"))))
+    return table(spark, sf, "customer").select("c_custkey", S.country(address).alias("country"))
 
 
 @query("SELECT page_id, regexp_matches(url, '^https://[^/]+/[^?#]*$') AND NOT contains(url, '..') AS allowed, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS host FROM pages")
@@ -165,18 +173,29 @@ def box_overlap_iou(spark, sf):
     return pairs.select("a", "b", long(F.col("area")).alias("area"), F.round(F.col("area") / (la + ra - F.col("area")), 6).alias("iou"), F.round(F.col("area") / la, 6).alias("coverage"))
 
 
-@query(f"WITH {BOXES}, c AS (SELECT a, count(*) AS n, sum(area) AS total, any_value(la) AS la FROM j WHERE area > 0 AND area >= 0.5 * ra GROUP BY a), u AS (SELECT a, count(*) AS cells FROM (SELECT DISTINCT a, x, y FROM (SELECT a, x, unnest(range(greatest(ly0, ry0), least(ly1, ry1))) AS y FROM (SELECT *, unnest(range(greatest(lx0, rx0), least(lx1, rx1))) AS x FROM j WHERE area > 0 AND area >= 0.5 * ra))) GROUP BY a) SELECT a, n, CAST(total AS BIGINT) AS total, cells, CASE WHEN n > 1 AND total > 1.05 * cells THEN 'ambiguous' WHEN cells >= 0.9 * la THEN 'accepted' ELSE 'insufficient' END AS decision FROM c JOIN u USING (a)")
+#: Groups (boxes of buildings, some a little smaller than what stands there) and physical outlines: whole boxes, some moved, or two halves, some of which overlap.
+ASSOC = f"{BLD}, g AS (SELECT code AS a, x0, y0, x0 + w - CASE WHEN code % 4 = 0 THEN 4 ELSE 0 END AS x1, y0 + d AS y1 FROM bld), f AS (SELECT code * 10 AS b, x0 + code % 2 AS x0, y0, x0 + w + code % 2 AS x1, y0 + d AS y1 FROM bld WHERE code % 3 > 0 UNION ALL SELECT code * 10 + 1, x0, y0, x0 + w // 2 + code % 9 // 3, y0 + d FROM bld WHERE code % 3 = 0 UNION ALL SELECT code * 10 + 2, x0 + w // 2, y0, x0 + w, y0 + d FROM bld WHERE code % 3 = 0)"
+CELLS = "SELECT DISTINCT {k}, x, y FROM (SELECT {k}, x, unnest(range({y0}, {y1})) AS y FROM (SELECT *, unnest(range({x0}, {x1})) AS x FROM c WHERE {cov} >= 0.9))"
+
+
+def _side(k, s, cov):
+    own = {"k": k, "cov": cov}
+    whole = CELLS.format(**own, **{x: s + x for x in ("x0", "y0", "x1", "y1")})
+    clipped = CELLS.format(**own, x0="greatest(gx0, fx0)", y0="greatest(gy0, fy0)", x1="least(gx1, fx1)", y1="least(gy1, fy1)")
+    return f"SELECT {k}, u.n AS whole, v.n AS clipped, full_area FROM (SELECT {k}, sum(({s}x1 - {s}x0) * ({s}y1 - {s}y0)) AS full_area FROM c WHERE {cov} >= 0.9 GROUP BY 1) JOIN (SELECT {k}, count(*) AS n FROM ({whole}) GROUP BY 1) u USING ({k}) JOIN (SELECT {k}, count(*) AS n FROM ({clipped}) GROUP BY 1) v USING ({k})"
+
+
+@query(f"WITH {ASSOC}, j AS (SELECT a, b, g.x0 AS gx0, g.y0 AS gy0, g.x1 AS gx1, g.y1 AS gy1, f.x0 AS fx0, f.y0 AS fy0, f.x1 AS fx1, f.y1 AS fy1, greatest(0, least(g.x1, f.x1) - greatest(g.x0, f.x0)) * greatest(0, least(g.y1, f.y1) - greatest(g.y0, f.y0)) AS area FROM g JOIN f ON g.x0 < f.x1 AND f.x0 < g.x1 AND g.y0 < f.y1 AND f.y0 < g.y1), c AS (SELECT *, area / ((gx1 - gx0) * (gy1 - gy0)) AS ca, area / ((fx1 - fx0) * (fy1 - fy0)) AS cb FROM j WHERE area > 0), p AS ({_side('a', 'f', 'cb')}), q AS ({_side('b', 'g', 'ca')}), m AS (SELECT c.a, c.b, coalesce(cb >= 0.9 AND p.full_area > 1.05 * p.whole, false) OR coalesce(ca >= 0.9 AND q.full_area > 1.05 * q.whole, false) AS ambiguous, coalesce(cb >= 0.9 AND p.clipped >= 0.9 * (gx1 - gx0) * (gy1 - gy0), false) OR coalesce(ca >= 0.9 AND q.clipped >= 0.9 * (fx1 - fx0) * (fy1 - fy0), false) AS covered FROM c LEFT JOIN p USING (a) LEFT JOIN q USING (b)) SELECT a, b, CASE WHEN ambiguous THEN 'ambiguous_overlap' WHEN covered THEN 'spatial_union' ELSE 'insufficient_bidirectional_coverage' END AS decision FROM m")
 def union_coverage_assoc(spark, sf):
-    """[J-07, J-26] candidates that lie half within a group; their union is counted in unit cells."""
-    left, right = _boxes(spark, sf)
-    ra = (F.col("rx1") - F.col("rx0")) * (F.col("ry1") - F.col("ry0"))
-    pairs = G.box_join(left, right, 20).withColumn("area", G.overlap()).filter((F.col("area") > 0) & (F.col("area") >= 0.5 * ra))
-    la = F.first((F.col("lx1") - F.col("lx0")) * (F.col("ly1") - F.col("ly0"))).alias("la")
-    sums = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.sum("area").cast("long").alias("total"), la)
-    span = lambda lo0, lo1, hi0, hi1: F.explode(F.sequence(F.greatest(lo0, lo1), F.least(hi0, hi1) - 1))
-    cells = pairs.withColumn("x", span("lx0", "rx0", "lx1", "rx1")).withColumn("y", span("ly0", "ry0", "ly1", "ry1")).select("a", "x", "y").distinct().groupBy("a").agg(F.count(F.lit(1)).alias("cells"))
-    decision = F.when((F.col("n") > 1) & (F.col("total") > 1.05 * F.col("cells")), "ambiguous").when(F.col("cells") >= 0.9 * F.col("la"), "accepted").otherwise("insufficient")
-    return sums.join(cells, "a").select("a", "n", "total", "cells", decision.alias("decision"))
+    """[J-07, J-26] a group is linked to the outlines that lie in it by 0.9 if their union covers it by 0.9, and outlines likewise to groups; sides whose members overlap by more than 5 % decide nothing."""
+    b, code, half = buildings(spark, sf), F.col("code"), F.floor(F.col("w") / 2)
+    box = lambda k, x0, x1: [k, x0.alias("x0"), F.col("y0"), x1.alias("x1"), (F.col("y0") + F.col("d")).alias("y1")]
+    x0, end = F.col("x0"), F.col("x0") + F.col("w")
+    groups = b.select(*box(code.alias("a"), x0, end - F.when(code % 4 == 0, 4).otherwise(0)))
+    whole = b.filter(code % 3 > 0).select(*box((code * 10).alias("b"), x0 + code % 2, end + code % 2))
+    left = b.filter(code % 3 == 0).select(*box((code * 10 + 1).alias("b"), x0, x0 + half + F.floor(code % 9 / 3)))
+    right = b.filter(code % 3 == 0).select(*box((code * 10 + 2).alias("b"), x0 + half, end))
+    return R.union_coverage(groups, whole.unionByName(left).unionByName(right), 20)
 
 
 LINKS = "l AS (SELECT DISTINCT l_partkey AS source, l_suppkey AS unit FROM lineitem WHERE l_quantity >= 48), u AS (SELECT unit, count(*) AS s FROM l GROUP BY 1), g AS (SELECT source, count(*) AS n FROM l GROUP BY 1)"
@@ -201,26 +220,31 @@ def association_gate(spark, sf):
     return parts.join(links, "source", "left").groupBy("source").agg(F.count("unit").alias("n_units"), resolved.alias("verified"))
 
 
-@query(f"WITH {LINKS}, v AS (SELECT unit, CASE WHEN p_size % 5 <> 0 THEN p_size % 3 END AS v FROM l JOIN part ON p_partkey = source) SELECT unit, CASE WHEN count(v) = 0 THEN 'missing' WHEN count(DISTINCT v) > 1 THEN 'conflicting' WHEN count(v) < count(*) THEN 'incomplete_source_coverage' ELSE 'available' END AS status, CASE WHEN count(DISTINCT v) = 1 THEN min(v) END AS value, count(v) AS n_known, count(*) AS n_sources FROM v GROUP BY unit")
+@query(f"WITH {LINKS}, v AS (SELECT unit, CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 5 = 1 THEN ['', 'not provided'][p_size % 2 + 1] ELSE 'v' || p_size % 3 END AS v FROM l JOIN part ON p_partkey = source), k AS (SELECT unit, CASE WHEN v NOT IN ('', 'not provided') THEN v END AS v FROM v) SELECT unit, CASE WHEN count(v) = 0 THEN 'missing' WHEN count(DISTINCT v) > 1 THEN 'conflicting' WHEN count(v) < count(*) THEN 'incomplete_source_coverage' ELSE 'available' END AS status, CASE WHEN count(DISTINCT v) = 1 AND count(v) = count(*) THEN min(v) END AS value, count(v) AS n_known, count(*) AS n_sources FROM k GROUP BY unit")
 def consensus_attributes(spark, sf):
     """[A-04, J-10, J-11]"""
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("source"), F.when(F.col("p_size") % 5 != 0, F.col("p_size") % 3).alias("v"))
-    return R.consensus(_links(spark, sf).distinct().join(p, "source"), "unit", "v")
+    size = F.col("p_size")
+    v = F.when(size % 5 == 0, None).when(size % 5 == 1, F.when(size % 2 == 1, S.NOT_PROVIDED).otherwise("")).otherwise(F.concat(F.lit("v"), (size % 3).cast("string")))
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("source"), v.alias("v"))
+    return R.consensus(_links(spark, sf).distinct().join(p, "source"), "unit", "v", ("", S.NOT_PROVIDED))
 
 
 DIST = "greatest(x0 - x, x - x0 - w, 0)"
 
 
-@query(f"WITH {BLD}, {PT}, n AS (SELECT code, z, sqrt(power(greatest(x0 - x, x - x0 - w, 0), 2) + power(greatest(y0 - y, y - y0 - d, 0), 2)) AS r FROM pt JOIN bld ON x BETWEEN x0 - 10 AND x0 + w + 10 AND y BETWEEN y0 - 10 AND y0 + d + 10 WHERE class = 2), b AS (SELECT code, k, count(*) AS n, quantile_cont(z, 0.05) AS g FROM n, (SELECT unnest([3, 6, 10]) AS k) WHERE r > 0 AND r <= k GROUP BY code, k HAVING count(*) >= 3) SELECT code, min(k) AS radius, round(arg_min(g, k), 6) AS ground FROM b GROUP BY code")
+@query(f"WITH {BLD}, {PT}, o AS (SELECT * FROM pt WHERE class = 2 AND NOT EXISTS (SELECT 1 FROM bld WHERE x BETWEEN x0 AND x0 + w AND y BETWEEN y0 AND y0 + d)), n AS (SELECT code, z, sqrt(power(greatest(x0 - x, x - x0 - w, 0), 2) + power(greatest(y0 - y, y - y0 - d, 0), 2)) AS r FROM o JOIN bld ON x BETWEEN x0 - 10 AND x0 + w + 10 AND y BETWEEN y0 - 10 AND y0 + d + 10), b AS (SELECT code, k, count(*) AS n, quantile_cont(z, 0.05) AS g FROM n, (SELECT unnest([3, 6, 10]) AS k) WHERE r < k GROUP BY code, k HAVING count(*) >= 3) SELECT code, min(k) AS radius, round(arg_min(g, k), 6) AS ground FROM b GROUP BY code")
 def ground_ring_percentile(spark, sf):
-    """[J-12, A-07] the 5th percentile of ground points in the least ring of 3, 6 and 10 m that has three."""
-    b = buildings(spark, sf)
-    wide = b.select("code", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("d")).alias("y1")).withColumns({"rx0": F.col("x0") - 10, "ry0": F.col("y0") - 10, "rx1": F.col("x1") + 10, "ry1": F.col("y1") + 10})
-    near = G.point_in_box(points(spark, sf).filter("class = 2").select("x", "y", "z"), wide, 20)
+    """[J-12, A-07] the 5th percentile of ground points outside all outlines, in the least ring of 3, 6 and 10 m that has three."""
+    b = buildings(spark, sf).select("code", "x0", "y0", (F.col("x0") + F.col("w")).alias("x1"), (F.col("y0") + F.col("d")).alias("y1"))
+    boxes = b.select(F.col("x0").alias("rx0"), F.col("y0").alias("ry0"), F.col("x1").alias("rx1"), F.col("y1").alias("ry1"))
+    wide = b.withColumns({"rx0": F.col("x0") - 10, "ry0": F.col("y0") - 10, "rx1": F.col("x1") + 10, "ry1": F.col("y1") + 10})
+    near = G.point_in_box(G.outside_boxes(points(spark, sf).filter("class = 2").select("x", "y", "z"), boxes, 20), wide, 20)
     gap = lambda c, lo, hi: F.greatest(F.col(lo) - F.col(c), F.col(c) - F.col(hi), F.lit(0))
-    near = near.withColumn("r", F.sqrt(F.pow(gap("x", "x0", "x1"), 2) + F.pow(gap("y", "y0", "y1"), 2))).filter("r > 0")
-    rings = near.withColumn("k", F.explode(F.array(*map(F.lit, (3, 6, 10))))).filter("r <= k").groupBy("code", "k").agg(F.count(F.lit(1)).alias("n"), F.percentile("z", 0.05).alias("g")).filter("n >= 3")
-    return rings.groupBy("code").agg(F.min("k").alias("radius"), F.round(F.min_by("g", "k"), 6).alias("ground"))
+    near = near.withColumn("r", F.sqrt(F.pow(gap("x", "x0", "x1"), 2) + F.pow(gap("y", "y0", "y1"), 2))).filter("r < 10")
+    ring = lambda k: F.when(F.col("r") < k, F.col("z"))
+    rings = near.groupBy("code").agg(*(f for k in (3, 6, 10) for f in (F.count(ring(k)).alias(f"n{k}"), F.percentile(ring(k), 0.05).alias(f"g{k}"))))
+    least = lambda c: F.when(F.col("n3") >= 3, c(3)).when(F.col("n6") >= 3, c(6)).when(F.col("n10") >= 3, c(10))
+    return rings.select("code", least(F.lit).alias("radius"), F.round(least(lambda k: F.col(f"g{k}")), 6).alias("ground")).filter("radius is not null")
 
 
 @query(f"WITH {PT} SELECT CASE WHEN class = 67 THEN 6 ELSE class END AS class, count(*) AS n, CAST(count(*) FILTER (class = 67) AS BIGINT) AS remapped FROM pt GROUP BY 1")
@@ -239,10 +263,10 @@ def cell_coverage(spark, sf):
     return b.join(hit, "code", "left").select("code", F.coalesce("covered", F.lit(0)).alias("covered"), F.round(F.coalesce("covered", F.lit(0)) / (F.col("w") * F.col("d")), 6).alias("coverage"))
 
 
-@query(f"WITH {PT}, r AS (SELECT *, row_number() OVER (PARTITION BY class ORDER BY t, x, y, z, e, o, ln) - 1 AS i, count(*) OVER (PARTITION BY class) AS n FROM pt) SELECT class, o, ln, e, t FROM r WHERE i % greatest(1, CAST(ceil(n / 200.0) AS BIGINT)) = 0")
+@query(f"WITH {PT}, r AS (SELECT *, row_number() OVER (ORDER BY t, x, y, z, e, o, ln) - 1 AS i, count(*) OVER () AS n FROM pt) SELECT class, o, ln, e, t FROM r WHERE i % greatest(1, CAST(ceil(n / 20000.0) AS BIGINT)) = 0")
 def stride_sample(spark, sf):
     """[W-02]"""
-    return R.stride_sample(points(spark, sf), "class", ["t", "x", "y", "z", "e", "o", "ln"], 200).select("class", "o", "ln", "e", "t")
+    return R.stride_sample(points(spark, sf), ["t", "x", "y", "z", "e", "o", "ln"]).select("class", "o", "ln", "e", "t")
 
 
 @query(f"WITH {PT}, p AS (SELECT class, least(abs(z - 10), abs(z - 25), abs(z - 40)) AS r FROM pt) SELECT class, quantile_cont(r, 0.5) AS median, round(quantile_cont(r, 0.95), 6) AS p95, CASE WHEN quantile_cont(r, 0.5) > 0.2 OR quantile_cont(r, 0.95) > 0.5 THEN 'needs_review' ELSE 'passed' END AS status FROM p GROUP BY class")
@@ -338,13 +362,17 @@ def interval_merge(spark, sf):
     return G.merge_intervals(table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("k"), lo.alias("lo"), (lo + F.col("l_quantity").cast("long")).alias("hi")), "k", "lo", "hi")
 
 
-@query(f"WITH {BLD} SELECT code, CAST(4 AS INTEGER) AS n_vertices, CAST(w * d AS DOUBLE) AS area FROM bld")
+@query(f"WITH {BLD} SELECT code, CASE WHEN code % 3 = 2 THEN NULL WHEN code % 3 = 1 THEN 5 ELSE 4 END::INTEGER AS n_vertices, CASE WHEN code % 3 < 2 THEN CAST(w * d AS DOUBLE) END AS area FROM bld")
 def ring_dedupe(spark, sf):
-    """[W-04] rings with a repeated corner and a closing vertex lose both and keep their area."""
-    ring = S.box_ring(F.col("x0"), F.col("y0"), F.col("w"), F.col("d"))
+    """[W-04] rings with repeated corners and a closing one keep their area; of a chain of near vertices those far enough from the last one kept stay (here one of five); a ring of near vertices only is none."""
+    x0, y0, code = F.col("x0"), F.col("y0"), F.col("code")
+    ring = S.box_ring(x0, y0, F.col("w"), F.col("d"))
+    at = lambda k: F.struct((x0 + 0.0004 * k).cast("double").alias("x"), y0.cast("double").alias("y"))
+    chain = F.array(*map(at, range(1, 5)))
     doubled = F.concat(F.slice(ring, 1, 2), F.slice(ring, 2, 3), F.slice(ring, 1, 1))
-    b = buildings(spark, sf).withColumn("ring", S.clean_ring(doubled))
-    return b.select("code", F.size("ring").alias("n_vertices"), S.ring_area(F.col("ring")).alias("area"))
+    given = F.when(code % 3 == 0, doubled).when(code % 3 == 1, F.concat(F.slice(ring, 1, 1), chain, F.slice(ring, 2, 3))).otherwise(F.concat(F.slice(chain, 1, 2), F.slice(chain, 1, 2)))
+    b = buildings(spark, sf).withColumn("ring", S.clean_ring(given))
+    return b.select("code", F.when(F.col("ring").isNotNull(), F.size("ring")).alias("n_vertices"), F.round(S.ring_area(F.col("ring")), 6).alias("area"))
 
 
 @query("SELECT sha256(text) AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
@@ -353,13 +381,20 @@ def content_hash_dedupe(spark, sf):
     return table(spark, sf, "documents").groupBy(F.sha2("text", 256).alias("hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"))
 
 
-@query("WITH r AS (SELECT l_orderkey, list_sort(list_distinct(list(CASE l_linenumber % 5 WHEN 0 THEN 'low_density' WHEN 1 THEN 'large_gap' WHEN 2 THEN 'high_residual' WHEN 3 THEN 'solid_invalid' ELSE 'crs_mismatch' END))) AS reasons FROM lineitem GROUP BY 1) SELECT l_orderkey, array_to_string(reasons, ',') AS reasons, list_has_any(reasons, ['solid_invalid', 'crs_mismatch']) AS blocked, list_contains(reasons, 'solid_invalid') AS retried FROM r")
+REASONS = ["insufficient_roof_points", "large_roof_evidence_gap", "roof_residual_threshold_exceeded", "geometry_invalid", "crs_mismatch", "bdnb_assumed_roof_height", "lod_unavailable"]
+#: Reasons that are reported but don't block, and failures after which the simpler model is tried.
+REPORTED = ["insufficient_roof_points", "insufficient_ground_points", "insufficient_roof_density", "insufficient_roof_coverage", "insufficient_roof_surface_coverage", "large_roof_evidence_gap", "roof_residual_threshold_exceeded", "ground_residual_threshold_exceeded", "coverage_computation_limit", "unsupported_overhang_surface_evidence", "undefined_outline_semantics", "user_assumed_roof_height", "bdnb_assumed_roof_height"]
+RETRIED = ["fallback_lod1", "lod_unavailable", "geometry_invalid", "unsupported_geometry", "planarity_tolerance_exceeded", "vertex_equivalence_collapsed_edge", "vertex_cleanup_degenerate_ring", "validator_invalid"]
+
+
+@query(f"WITH r AS (SELECT o_orderkey, list_sort(list_distinct(coalesce(list(CASE WHEN l_quantity > 10 THEN {REASONS!r}[l_linenumber % 7 + 1] END) FILTER (l_quantity > 10), []))) AS reasons FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1) SELECT o_orderkey, array_to_string(reasons, ',') AS reasons, len(reasons) = 0 OR list_has_any(reasons, ['geometry_invalid', 'crs_mismatch', 'lod_unavailable']) AS blocked, list_has_any(reasons, ['geometry_invalid', 'lod_unavailable']) AS retried FROM r")
 def reason_gate(spark, sf):
-    """[F-08, F-09] reasons outside the reportable list block; some call for the simpler model."""
-    reason = F.element_at(F.array(*map(F.lit, ["low_density", "large_gap", "high_residual", "solid_invalid", "crs_mismatch"])), F.col("l_linenumber") % 5 + 1)
-    r = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set(reason)).alias("r"))
-    allowed = F.array(*map(F.lit, ["low_density", "large_gap", "high_residual"]))
-    return r.select("l_orderkey", F.array_join("r", ",").alias("reasons"), (F.size(F.array_except("r", allowed)) > 0).alias("blocked"), F.array_contains("r", "solid_invalid").alias("retried"))
+    """[F-08, F-09] of what is to be reviewed, reasons outside the reportable list block, and so does having none; some call for the simpler model."""
+    reason = F.when(F.col("l_quantity") > 10, F.element_at(F.array(*map(F.lit, REASONS)), F.col("l_linenumber") % 7 + 1))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), reason.alias("reason"))
+    r = table(spark, sf, "orders").select("o_orderkey").join(lines, "o_orderkey", "left").groupBy("o_orderkey").agg(F.array_sort(F.collect_set("reason")).alias("r"))
+    listed = lambda words: F.array(*map(F.lit, words))
+    return r.select("o_orderkey", F.array_join("r", ",").alias("reasons"), ((F.size("r") == 0) | (F.size(F.array_except("r", listed(REPORTED))) > 0)).alias("blocked"), F.arrays_overlap("r", listed(RETRIED)).alias("retried"))
 
 
 @query("WITH u AS (SELECT p_partkey AS code, CAST(p_size % 9 AS DOUBLE) AS u FROM part), r AS (SELECT code, CASE WHEN u > 0 THEN 1 / u - 0.13 - 0.04 END AS r FROM u) SELECT code, round(CASE WHEN r > 0 THEN r END, 6) AS resistance FROM r")
@@ -382,11 +417,10 @@ def model_naming(spark, sf):
     return g.select("name", S.file_name(F.col("name")).alias("file"))
 
 
-@query(f"WITH {PT} SELECT class, t, x, y, z, n FROM (SELECT *, row_number() OVER (PARTITION BY class ORDER BY t, x, y, z, e, o, ln) AS n FROM pt) WHERE n <= 50")
-def canonical_point_order_topk(spark, sf):
-    """[O-03] a report of the first fifty points of each class in canonical order."""
-    w = W.partitionBy("class").orderBy("t", "x", "y", "z", "e", "o", "ln")
-    return points(spark, sf).withColumn("n", F.row_number().over(w)).filter("n <= 50").select("class", "t", "x", "y", "z", F.col("n").cast("long").alias("n"))
+@query(f"WITH {PT} SELECT class, o, ln, row_number() OVER (ORDER BY t, x, y, z, e, o, ln) - 1 AS n FROM pt")
+def canonical_point_order(spark, sf):
+    """[O-03] every point with its place in the canonical order."""
+    return R.ordered(points(spark, sf), ["t", "x", "y", "z", "e", "o", "ln"], "n").select("class", "o", "ln", F.col("n").cast("long").alias("n"))
 
 
 @query(f"WITH {BLD}, {FULL}, r AS (SELECT code, (x0 - y0) * cos(radians(45)) AS u, (x0 + y0) * sin(radians(45)) * sin(radians(28)) + h * cos(radians(28)) AS v FROM full_bld), m AS (SELECT min(u) AS u0, max(u) AS u1, min(v) AS v0, max(v) AS v1 FROM r) SELECT code, round(40 + (u - u0) * least(1120 / (u1 - u0), 820 / (v1 - v0)), 4) AS px, round(860 - (v - v0) * least(1120 / (u1 - u0), 820 / (v1 - v0)), 4) AS py FROM r, m")
@@ -405,9 +439,10 @@ def json_props_coalesce(spark, sf):
     return table(spark, sf, "events").select("event_id", F.coalesce(F.get_json_object("props", "$.k"), F.get_json_object("props", "$.page"), "event_type").alias("tag"))
 
 
-@query(f"WITH {BLD}, {FULL} SELECT code, name || ' has ' || n || CASE WHEN n > 1 THEN ' storeys' ELSE ' storey' END || CASE WHEN height IS NOT NULL THEN ', is ' || CAST(CAST(height AS INTEGER) AS VARCHAR) || ' m high' ELSE '' END || ' and covers ' || (w * d) || ' m2.' AS description FROM full_bld")
+@query(f"WITH {BLD}, v AS (SELECT code, storeys, height, w * d AS area, CASE code % 4 WHEN 0 THEN NULL WHEN 1 THEN code || ' rue de Metz 31000 Toulouse' WHEN 2 THEN '1 High Street' ELSE '' END AS address, CASE WHEN code % 3 > 0 THEN 'Toulouse' END AS city FROM bld), s AS (SELECT *, CASE code % 4 WHEN 1 THEN code || ' rue de Metz' WHEN 2 THEN '1 High Street' END AS street, list_filter(['an approximate footprint of ' || area || ' m²', 'an estimated floor area of ' || (area * storeys) || ' m²', 'a height of ' || CAST(height AS INTEGER) || '.0 m'], lambda f: f IS NOT NULL) AS facts FROM v) SELECT code, coalesce(storeys || '-storey building', 'Building') || CASE WHEN street IS NOT NULL AND city IS NOT NULL THEN ' located at ' || street || ', in ' || city WHEN street IS NOT NULL THEN ' located at ' || street WHEN city IS NOT NULL THEN ' located in ' || city ELSE '' END || ', with ' || CASE WHEN len(facts) = 1 THEN facts[1] ELSE array_to_string(facts[1:len(facts) - 1], ', ') || ', and ' || facts[len(facts)] END || '.' AS description FROM s")
 def description_text(spark, sf):
-    """[P-24] known facts only."""
-    n = F.col("n")
-    parts = [F.col("name"), F.lit(" has "), n.cast("string"), F.when(n > 1, " storeys").otherwise(" storey"), F.coalesce(F.concat(F.lit(", is "), F.col("height").cast("int").cast("string"), F.lit(" m high")), F.lit("")), F.lit(" and covers "), (F.col("w") * F.col("d")).cast("string"), F.lit(" m2.")]
-    return full(spark, sf).select("code", F.concat(*parts).alias("description"))
+    """[P-23, P-24] known facts only."""
+    code, area = F.col("code"), F.col("w") * F.col("d")
+    address = F.when(code % 4 == 1, F.concat(code.cast("string"), F.lit(" rue de Metz 31000 Toulouse"))).when(code % 4 == 2, "1 High Street").when(code % 4 == 3, "")
+    city = F.when(code % 3 > 0, "Toulouse")
+    return buildings(spark, sf).select("code", S.description(F.col("storeys"), address, city, area, F.col("height"), F.lit(True)).alias("description"))
