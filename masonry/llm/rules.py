@@ -2,26 +2,22 @@
 
 A document's histogram over character classes, and its histogram over the commonest words of its
 language, are compared with the pooled histograms of that language by Jensen-Shannon distance. Short
-texts give noisy histograms, so each comparison has a least length.
+texts give noisy histograms, so each comparison has a least length. Which words are the commonest is
+counted over all documents of the language.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import as_text, materialise, table
 
-#: Words that are common in prose of each language (fixed values); others are pooled as "other".
-COMMON_WORDS = {
-    "en": "the of and to in a is that for it as was with be by on not he this are or his from at which".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce avec".split(),
-    "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an aus er bei".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como o pero sus".split(),
-}
-N_COMMON = 25
-#: Bytes of the longest listed word: longer ones are not looked up.
-LONGEST = max(len(w.encode()) for own in COMMON_WORDS.values() for w in own)
+#: Words of a language whose shares are compared (the rest is pooled as "other"), and bytes of the longest word that is counted.
+N_COMMON, LONGEST = 25, 24
+#: A language has a reference of its own from one in LEAST_SHARE words on, so there are at most so many; the others share one.
+LEAST_SHARE = 1000
 #: Greatest Jensen-Shannon distance (base 2, 0 to 1) that is kept, and least code points or words to be judged.
 MOST_CLASSES, MOST_WORDS = 0.28, 0.3
 LEAST_CHARS, LEAST_WORDS = 300, 150
@@ -58,16 +54,35 @@ def repeat_words(words: Column) -> Column:
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(covered).cast("long")
 
 
-def measure(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, the base counts and the two histograms of every row. Null text counts as empty."""
+_SPACE = "[ \\t\\n\\x0B\\f\\r]+"
+
+
+def common_words(docs: DataFrame) -> DataFrame:
+    """ref, list: the N_COMMON commonest words, lower case, of each language with enough text, and of all others together (`*`).
+
+    Counts are summed before the shuffle and only the best of each part are ranked, so a frequent word or
+    language gathers no rows in one task.
+    """
+    words = F.filter(F.split(F.lower(as_text(F.col("text").cast("string"))), _SPACE), lambda w: (w != "") & (F.octet_length(w) <= LONGEST))
+    counts = docs.select(F.col("lang").cast("string").alias("lang"), F.explode(words).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts, "words")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    own = F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("m")).filter((F.col("m") * LEAST_SHARE >= total) & F.col("lang").isNotNull()).select("lang", F.col("lang").alias("ref")))
+    by_ref = counts.join(own, "lang", "left").groupBy(F.coalesce("ref", F.lit("*")).alias("ref"), "w").agg(F.sum("n").alias("n"))
+    best = by_ref.withColumn("r", F.row_number().over(W.partitionBy("ref").orderBy(F.col("n").desc(), "w"))).filter(F.col("r") <= N_COMMON)
+    return materialise(best.groupBy("ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]).alias("list")), "lists")
+
+
+def measure(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """doc_id, lang, ref, the base counts and the two histograms of every row. Null text counts as empty. lists: see common_words."""
     text = as_text(F.col("text").cast("string"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("t0"))
+    own = F.broadcast(lists.filter("ref <> '*'").select(F.col("ref").alias("own")))  # at most LEAST_SHARE rows
+    base = base.join(own, F.col("lang") == F.col("own"), "left").withColumn("ref", F.coalesce("own", F.lit("*"))).drop("own")
+    base = base.join(F.broadcast(lists), "ref", "left").withColumn("list", F.coalesce("list", F.expr("cast(array() as array<string>)")))
     for k, chars in enumerate((_LETTERS, _SPACES, _CAPITALS, _DIGITS, _SYMBOLS, _REST)):
         base = base.withColumn(f"t{k + 1}", F.translate(f"t{k}", chars, ""))
-    base = base.withColumn("ws", F.filter(F.split("t0", "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))
-    listed = F.create_map(*(x for lang, own in COMMON_WORDS.items() for x in (F.lit(lang), F.array(*map(F.lit, own)))))
-    every = F.array(*map(F.lit, dict.fromkeys(w for own in COMMON_WORDS.values() for w in own[:6])))
-    base = base.withColumn("list", F.coalesce(F.try_element_at(listed, F.coalesce("lang", F.lit(""))), every))
+    base = base.withColumn("ws", F.filter(F.split("t0", _SPACE), lambda w: w != ""))
     base = base.withColumn("codes", let(F.col("list"), lambda own: F.array_join(F.transform("ws", lambda w: F.when(F.octet_length(w) > LONGEST, F.lit("_")).otherwise(F.substring(F.lit(_CODES), (F.array_position(own, F.lower(w)) + 1).cast("int"), F.lit(1)))), "")))
     lines = F.filter(F.split("t0", "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]"))
     base = base.withColumn("lines", lines)
@@ -75,6 +90,7 @@ def measure(docs: DataFrame) -> DataFrame:
     return base.select(
         "doc_id",
         "lang",
+        "ref",
         F.size("ws").cast("long").alias("n_words"),
         (F.length("t0") - count(1)).cast("long").alias("word_chars"),
         count(4).cast("long").alias("n_symbols"),
@@ -96,23 +112,22 @@ def divergence(p: Column, q: Column) -> Column:
 
 
 def references(measured: DataFrame) -> DataFrame:
-    """lang, ref_classes, ref_common: summed over all documents that pass the base rules, one row per listed language and one (`*`) for the rest."""
-    sound = measured.filter(~F.col("base_failed")).withColumn("ref", F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise("*"))
+    """ref, ref_classes, ref_common: summed over all documents that pass the base rules."""
     sums = lambda c, n: F.array(*(F.sum(F.col(c)[k]) for k in range(n)))
-    return sound.groupBy("ref").agg(sums("classes", 7).alias("ref_classes"), sums("common", N_COMMON + 1).alias("ref_common"))
+    return measured.filter(~F.col("base_failed")).groupBy("ref").agg(sums("classes", 7).alias("ref_classes"), sums("common", N_COMMON + 1).alias("ref_common"))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Base counts, base_failed, both distances and kept, for every row of docs (doc_id, text, lang).
 
-    base_failed: under 50 words, or over half of the words in repeated windows. A document without a
-    listed language is compared with the pool of such documents. Texts under the least length, and
-    those without a reference, are not judged by that comparison. An empty text fails the base rules.
+    base_failed: under 50 words, or over half of the words in repeated windows. A document whose language is
+    null, or has too little text for a reference, is compared with the pool of such documents. Texts under the
+    least length, and those without a reference, are not judged by that comparison. An empty text fails the
+    base rules. Rows that repeat a doc_id are judged each by itself; other columns are ignored.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    measured = materialise(measure(docs).withColumn("base_failed", failed), "rules")
-    refs = F.broadcast(references(measured))  # at most five rows
-    joined = measured.withColumn("ref", F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang")).otherwise("*")).join(refs, "ref", "left")
+    measured = materialise(measure(docs, common_words(docs)).withColumn("base_failed", failed), "rules")
+    joined = measured.join(F.broadcast(references(measured)), "ref", "left")  # at most LEAST_SHARE + 1 rows
     chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     joined = joined.withColumn("d_classes", F.when(chars >= LEAST_CHARS, divergence(F.col("classes"), F.col("ref_classes"))))
     joined = joined.withColumn("d_words", F.when(F.col("n_words") >= LEAST_WORDS, divergence(F.col("common"), F.col("ref_common"))))
@@ -121,4 +136,5 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def op8_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base counts, base_failed, kept and both distances of every row of `documents`; see judge."""
     return judge(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d_classes", "d_words")
