@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from masonry.llm import decontaminate, packing, personal, quality, similar
-from masonry.llm.common import as_text, materialise, table
+from masonry.llm.common import as_text, free_name, materialise, table
 
 #: Near duplicates of the stage: shingles of five words, from a similarity of 0.80 on.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -39,12 +39,13 @@ def not_in_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, each span of personal data replaced by its kind; n_chars follows the new text."""
-    scores = personal.fit(personal.spot(docs))
-    text = as_text(F.col("text").cast("string"))
-    clean = docs.withColumn("_spans", personal.decided(personal.candidates(text), scores))
-    clean = clean.withColumn("text", F.when(F.size("_spans") == 0, F.col("text")).otherwise(personal.masked(text, F.col("_spans"))))
+    text, spans = as_text(F.col("text").cast("string")), free_name("spans", docs.columns)
+    spotted = materialise(docs.withColumn(spans, personal.candidates(text)), "spotted")
+    weights = personal.fit(spotted.select(F.col(spans).alias("found")))
+    clean = spotted.withColumn(spans, personal.decided(F.col(spans), weights))
+    clean = clean.withColumn("text", F.when(F.size(spans) == 0, F.col("text")).otherwise(personal.masked(text, F.col(spans))))
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("_spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        clean = clean.withColumn("n_chars", F.when(F.size(spans) == 0, F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return clean.select(docs.columns)
 
 

@@ -2,16 +2,17 @@
 
 Strict and loose regular expressions propose spans. On each span four labelers vote yes, no or abstain:
 the strict expression, a gazetteer, the words before the span, and the characters around it. Votes are
-counted by pattern over all documents (at most a few hundred patterns); expectation-maximisation over
-the counts estimates each labeler's reliability and a posterior for each pattern, and a logistic
-classifier over the votes is trained on the posteriors. Spans that pass the strict rules always stay;
-the classifier decides on the loose ones.
+counted over all documents by pattern, together with features of the span itself (length, share of digits,
+separators, repeated digits; a bounded number of patterns); expectation-maximisation over the votes
+estimates each labeler's reliability and a posterior, and a logistic classifier over votes and features is
+trained on the posteriors. Spans that pass the strict rules always stay; the classifier decides on the loose ones.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,8 @@ FOR = r"(?i)\b(e-?mail|mail|contact|tel|phone|call|fax|mobile|card|visa|credit|i
 AGAINST = r"(?i)\b(version|isbn|issn|page|section|order|invoice|total|ratio|doi|part|figure|table)\b"
 CONTEXT = 32
 LABELERS = 4
+#: Characters of a pattern: kind, looseness, a vote of each labeler, then features of the span.
+VOTES = 2 + LABELERS
 #: A loose span is kept from this score on.
 LEAST_SCORE = 0.8
 
@@ -100,6 +103,18 @@ def gazetteer(kind: str, m: Column) -> Column:
     return _vote(known, m.startswith("+") & ~known)
 
 
+def span_features(m: Column) -> Column:
+    """Four characters: length (a to c), share of digits (a to c), separators (0, 1, 2 for more kinds), a digit five times in a row (y or n)."""
+    n, digits = F.length(m), F.length(_digits(m))
+    kinds = sum((F.contains(m, F.lit(c)).cast("int") for c in " -.("), F.lit(0))
+    return F.concat(
+        F.when(n <= 14, "a").when(n <= 22, "b").otherwise("c"),
+        F.when(2 * digits < n, "a").when(5 * digits < 4 * n, "b").otherwise("c"),
+        F.least(kinds, F.lit(2)).cast("string"),
+        F.when(m.rlike(r"([0-9])\1{4}"), "y").otherwise("n"),
+    )
+
+
 def _labelled(text: Column, spans: Column, kind: str, strict: bool) -> Column:
     def label(s: Column) -> Column:
         before = F.substring(text, F.greatest(F.lit(1), s["start"] - CONTEXT + 1), F.least(F.lit(CONTEXT), s["start"]))
@@ -110,7 +125,8 @@ def _labelled(text: Column, spans: Column, kind: str, strict: bool) -> Column:
             let(before, lambda b: _vote(b.rlike(FOR), b.rlike(AGAINST))),
             let(around, lambda a: _vote(~a.rlike(r"[\p{L}\p{N}_]"), a.rlike(r"[\p{L}\p{N}_]"))),
         )
-        return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), s["end"].alias("end"), F.lit(strict).alias("base"), F.concat(F.lit(f"{KINDS.index(kind)}{'s' if strict else 'l'}"), votes).alias("pattern"))
+        pattern = F.concat(F.lit(f"{KINDS.index(kind)}{'s' if strict else 'l'}"), votes, span_features(s["m"]))
+        return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), s["end"].alias("end"), F.lit(strict).alias("base"), pattern.alias("pattern"))
 
     return F.transform(spans, label)
 
@@ -157,34 +173,56 @@ def expectation_maximisation(counts: dict[str, int], rounds: int = 50) -> tuple[
     return post, rates
 
 
-def train_classifier(counts: dict[str, int], post: dict[str, float], steps: int = 300, rate: float = 0.5) -> dict[str, float]:
-    """Score of each pattern: logistic regression on kind, looseness and votes, fitted to the posteriors."""
-    names = {p: [p[0], p[1], *(f"{i}{v}" for i, v in enumerate(p[2:]))] for p in counts}
-    w = {x: 0.0 for own in names.values() for x in own} | {"bias": 0.0}
-    total = sum(counts.values()) or 1
-    score = lambda p: 1 / (1 + math.exp(-max(-500.0, min(500.0, w["bias"] + sum(w[x] for x in names[p])))))
+def pattern_features(pattern: str) -> list[str]:
+    """Names of what a pattern has; features of the span are taken by kind."""
+    return ["bias", pattern[0], pattern[1], *(f"{i}{v}" for i, v in enumerate(pattern[2:VOTES])), *(f"{pattern[0]}f{i}{v}" for i, v in enumerate(pattern[VOTES:]))]
+
+
+def train_classifier(counts: dict[str, int], post: dict[str, float], steps: int = 600, rate: float = 0.5) -> dict[str, float]:
+    """Weights of a logistic regression on kind, looseness, votes and span features, fitted to the posteriors of the votes."""
+    own = [pattern_features(p) for p in counts]
+    names = sorted({x for f in own for x in f} | {"bias"})
+    x = np.array([[name in f for name in names] for f in map(set, own)], float).reshape(-1, len(names))
+    n = np.array(list(counts.values()), float)
+    y, share = np.array([post[p[:VOTES]] for p in counts]), n / max(1.0, n.sum())
+    w = np.zeros(len(names))
     for _ in range(steps):
-        step = dict.fromkeys(w, 0.0)
-        for p, n in counts.items():
-            d = n / total * (post[p] - score(p))
-            for x in ("bias", *names[p]):
-                step[x] += d
-        for x in w:
-            w[x] += rate * (step[x] - 1e-4 * w[x])
-    return {p: score(p) for p in counts}
+        w += rate * (x.T @ (share * (y - 1 / (1 + np.exp(-x @ w)))) - 1e-4 * w)
+    return dict(zip(names, w.tolist(), strict=True))
+
+
+def score(pattern: Column, weights: dict[str, float]) -> Column:
+    """The classifier's score of a pattern, as an expression."""
+    kind = F.substring(pattern, 1, 1)
+
+    def at(place: int, prefix: str, by_kind: bool) -> Column:
+        out = None
+        for name, w in weights.items():
+            own = name[1:] if by_kind and name[:1] in "0123" else name
+            if own[:-1] != prefix or name == "bias" or (by_kind != (len(name) == len(prefix) + 2)):
+                continue
+            here = F.substring(pattern, place + 1, 1) == name[-1]
+            here = here & (kind == name[0]) if by_kind else here
+            out = F.when(here, w) if out is None else out.when(here, w)
+        return F.lit(0.0) if out is None else out.otherwise(0.0)
+
+    parts = [at(0, "", False), at(1, "", False), *(at(2 + i, str(i), False) for i in range(LABELERS)), *(at(VOTES + i, f"f{i}", True) for i in range(4))]
+    return 1 / (1 + F.exp(-sum(parts, F.lit(weights.get("bias", 0.0)))))
 
 
 def fit(spotted: DataFrame) -> dict[str, float]:
-    """Scores by pattern from a frame with `found` (see candidates) over all documents."""
-    rows = spotted.select(F.explode("found").alias("s")).groupBy("s.pattern").count().collect()  # at most 8 * 3^LABELERS rows
+    """Weights from a frame with `found` (see candidates) over all documents; none if there are no spans."""
+    rows = spotted.select(F.explode("found").alias("s")).groupBy("s.pattern").count().collect()  # at most 8 * 3^LABELERS * 54 rows
     counts = {r[0]: r[1] for r in sorted(rows)}
-    return train_classifier(counts, expectation_maximisation(counts)[0])
+    votes: dict[str, int] = {}
+    for p, n in counts.items():
+        votes[p[:VOTES]] = votes.get(p[:VOTES], 0) + n
+    return train_classifier(counts, expectation_maximisation(votes)[0]) if counts else {}
 
 
-def decided(spans: Column, scores: dict[str, float], least: float = LEAST_SCORE) -> Column:
-    """The spans that stay: all strict ones, and loose ones whose pattern scores `least` or more."""
-    good = [p for p, x in scores.items() if p[1] == "l" and x >= least]
-    return F.filter(spans, lambda s: s["base"] | s["pattern"].isin(*good)) if good else F.filter(spans, lambda s: s["base"])
+def decided(spans: Column, weights: dict[str, float], least: float = LEAST_SCORE) -> Column:
+    """The spans that stay: all strict ones, and loose ones that score `least` or more."""
+    return F.filter(spans, lambda s: s["base"] | (score(s["pattern"], weights) >= least)) if weights else F.filter(spans, lambda s: s["base"])
 
 
 def spot(docs: DataFrame, *keep: str) -> DataFrame:
@@ -212,6 +250,7 @@ def masked(text: Column, spans: Column) -> Column:
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every row of `documents`, repeated ones too; see spot and decided."""
     spotted = materialise(spot(table(spark, sf_dir, "documents"), "doc_id"), "spans")
     kept = spotted.select("doc_id", F.filter("found", lambda s: s["base"]).alias("base"), decided(F.col("found"), fit(spotted)).alias("spans"))
     count = lambda k: F.size(F.filter("base", lambda s: s["k"] == KINDS.index(k))).cast("long").alias(f"n_{k}")

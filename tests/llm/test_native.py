@@ -1,10 +1,13 @@
 import collections
 import hashlib
+import math
+import random
 import re
 
 from pyspark.sql import functions as F
 
 from masonry.llm import personal, rules
+from .conftest import prose
 
 
 def brute_rules(t):
@@ -83,8 +86,88 @@ def test_labelers_that_agree_are_trusted():
     counts = {"3l-11-": 0, "3l-111": 900, "3s1111": 500, "3l-001": 40, "3l-000": 800, "3l-0--": 300}
     counts = {p: n for p, n in counts.items() if n}
     post, _ = personal.expectation_maximisation(counts)
-    score = personal.train_classifier(counts, post)
-    assert post["3l-111"] > 0.9 > 0.1 > post["3l-000"] and score["3l-111"] > score["3l-000"]
+    weights = personal.train_classifier(counts, post)
+    score = lambda p: 1 / (1 + math.exp(-sum(weights[x] for x in personal.pattern_features(p))))
+    assert post["3l-111"] > 0.9 > 0.1 > post["3l-000"] and score("3l-111") > score("3l-000")
+
+
+def test_scores_are_those_of_the_weights(spark):
+    """The native expression against the weights, for patterns with every part."""
+    patterns = ["3l-11-aa0n", "3l-111ba1n", "2l0-1-cc2y", "0s1111aa0n", "1s1100bb2n"]
+    counts = {p: 10 + k for k, p in enumerate(patterns)}
+    weights = personal.train_classifier(counts, {p[: personal.VOTES]: 0.9 - 0.2 * k for k, p in enumerate(patterns)})
+    frame = spark.createDataFrame([(p,) for p in [*patterns, "2l---1ba1n", "9?"]], "p string")
+    for r in frame.select("p", personal.score(F.col("p"), weights).alias("s")).collect():
+        want = 1 / (1 + math.exp(-sum(weights.get(x, 0.0) for x in personal.pattern_features(r.p))))
+        assert abs(r.s - want) < 1e-9
+
+
+def test_added_spans(spark):
+    """Obfuscated addresses and national phone numbers near words that speak for them are added; part numbers aren't."""
+    rng = random.Random(3)
+    name = lambda: prose(rng, 1)
+    phone = lambda: f"({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}"
+    good = [f"{prose(rng, 20)} contact {name()} [at] {name()} [dot] com {prose(rng, 9)}" if k % 2 else f"{prose(rng, 20)} call {phone()} {prose(rng, 9)}" for k in range(60)]
+    bad = [f"{prose(rng, 20)} part {rng.randint(200, 999)}-{rng.randint(200, 999)}-{rng.randint(1000, 9999)}x order {prose(rng, 9)}" for _ in range(60)]
+    strict = [f"{prose(rng, 9)} mail {name()}@{name()}.org tel +1 {phone()} host 8.8.4.4" for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(good + bad + strict)), "doc_id long, text string").repartition(3)
+    spotted = personal.spot(frame, "doc_id").cache()
+    kept = {r.doc_id: r.n for r in spotted.select("doc_id", F.size(F.filter(personal.decided(F.col("found"), personal.fit(spotted)), lambda s: ~s["base"])).alias("n")).collect()}
+    assert sum(kept[i] > 0 for i in range(60)) >= 54 and sum(kept[i] > 0 for i in range(60, 120)) <= 3
+
+
+def slow_distance(p, q):
+    p, q = ([x / sum(h) for x in h] for h in (p, q))
+    part = lambda a, b: a * math.log2(2 * a / (a + b)) if a else 0.0
+    return math.sqrt(max(0.0, sum(part(a, b) + part(b, a) for a, b in zip(p, q, strict=True)) / 2))
+
+
+def test_verdict_like_brute_force(spark):
+    """Common words, references, distances and verdicts of a small corpus computed in Python."""
+    rng, rows = random.Random(5), []
+    vocabulary = {x: ["".join(rng.choices("abcdefgh", k=rng.randint(1, 6))) for _ in range(60)] for x in ("aa", "bb", None)}
+    for i in range(90):
+        lang = ["aa", "bb", None][i % 3]
+        own = rng.choices(vocabulary[lang], [1 / (k + 1) for k in range(60)], k=rng.choice([30, 160, 220]))
+        rows.append((i, " ".join(own) if i % 10 else " ".join(w.upper() + "#$" for w in own), lang))
+    rows.append((90, " ".join(rng.choices(vocabulary["aa"], k=200)), "bb"))
+    got = {r.doc_id: r for r in rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    ref = lambda x: x or "*"
+    words, classes, common = collections.defaultdict(collections.Counter), {}, {}
+    for _, t, x in rows:
+        words[ref(x)].update(t.lower().split())
+    listed = {x: [w for w, _ in sorted(c.items(), key=lambda p: (-p[1], p[0]))[: rules.N_COMMON]] for x, c in words.items()}
+    sums = {}
+    for i, t, x in rows:
+        kind = [sum(c.islower() for c in t), sum(c.isspace() for c in t), sum(c.isupper() for c in t), 0, sum(c in "#$" for c in t), 0, 0]
+        own = collections.Counter(t.lower().split())
+        classes[i], common[i] = kind, [sum(n for w, n in own.items() if w not in listed[ref(x)]), *(own[w] for w in listed[ref(x)])]
+        common[i] += [0] * (rules.N_COMMON + 1 - len(common[i]))
+        if not got[i].base_failed:
+            for k, h in enumerate((kind, common[i])):
+                sums[ref(x), k] = [a + b for a, b in zip(sums.get((ref(x), k), [0] * len(h)), h, strict=True)]
+    for i, t, x in rows:
+        far = [slow_distance(h, sums[ref(x), k]) for k, h in enumerate((classes[i], common[i]))]
+        judged = [len(t) >= rules.LEAST_CHARS, len(t.split()) >= rules.LEAST_WORDS]
+        for d, want, ok in zip((got[i].d_classes, got[i].d_words), far, judged, strict=True):
+            assert (d is None) == (not ok) and (d is None or abs(d - want) < 1e-9)
+        keep = not got[i].base_failed and (not judged[0] or far[0] <= rules.MOST_CLASSES) and (not judged[1] or far[1] <= rules.MOST_WORDS)
+        assert got[i].kept == keep
+    assert {got[i].kept for i in got} == {True, False} and not got[90].kept
+
+
+def test_queries(spark, docs, texts, tmp_path):
+    docs.unionByName(docs.limit(2)).write.parquet(str(tmp_path / "documents.parquet"))
+    ids = sorted([3 * i for i in range(len(texts))] + [r.doc_id for r in spark.read.parquet(str(tmp_path / "documents.parquet")).groupBy("doc_id").count().filter("count > 1").collect()])
+    found = personal.op9_personal_data(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in found) == ids
+    for r in found:
+        base = brute_spans(texts[r.doc_id // 3])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x[1] for x in base) for k in range(4)]
+        named = ",".join(f"{personal.KINDS[k]}:{a}:{b}" for a, k, b in base)
+        assert r.base_sha256 == hashlib.sha256(named.encode()).hexdigest() and set(named.split(",")) <= set(r.spans.split(",") + [""])
+    judged = rules.op8_distribution_divergence(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in judged) == ids and all((r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute_rules(texts[r.doc_id // 3]) for r in judged)
 
 
 def test_digest_is_of_the_listed_spans(spark):
