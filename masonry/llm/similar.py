@@ -229,7 +229,8 @@ def distances(pairs: DataFrame, texts: DataFrame, shingler: Shingler) -> DataFra
                     out[:, i + k] = len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, out)], ["a", "b", "shared", "na", "nb"])
 
-    joined = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    # few pairs would be broadcast and many not; by shuffles it takes the same at every size
+    joined = pairs.select("a", "b").hint("merge").join(one, "a").hint("merge").join(two, "b").select("a", "b", "ta", "tb")
     return joined.mapInArrow(run, "a long, b long, shared long, na long, nb long")
 
 
@@ -269,7 +270,7 @@ def regions(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     marks = members.groupBy("region").agg(F.count(F.lit(1)).alias("c"), *(F.bit_xor(F.xxhash64(F.lit(k), "doc_id", "f1")).alias(f"x{k}") for k in (1, 2))).filter("c > 1")
     one = marks.groupBy("c", "x1", "x2").agg(F.min("region").alias("region")).select("region")
     kept = members.join(one, "region", "left_semi")
-    return materialise(kept.join(reps.select("doc_id", "f1", "bits"), ["doc_id", "f1"]).select("region", "doc_id", "n", "bits"), "regions")
+    return materialise(kept.hint("merge").join(reps.select("doc_id", "f1", "bits"), ["doc_id", "f1"]).select("region", "doc_id", "n", "bits"), "regions")
 
 
 def links(texts: DataFrame, member: DataFrame, shingler: Shingler, percent: int = PERCENT) -> DataFrame | None:
@@ -321,7 +322,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     reps = materialise(reps, "sets")
     first = reps.select("n", "f1", "f2", F.col("rep").alias("doc_id"), "c")
     same = ["doc_id", "n", "f1", "f2"]
-    members = full.join(first.select(*same), same, "left_semi").dropDuplicates(same)
+    members = full.join(first.select(*same).hint("merge"), same, "left_semi").dropDuplicates(same)
     member = regions(members, percent)
     texts = materialise(zipped(docs).join(member.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
     labels = links(texts, member, shingler, percent) if member.limit(1).count() else None
