@@ -53,6 +53,14 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Empty tables that materialise gave and nothing reads any more, so that they don't take disk until the job ends."""
+    for df in tables:
+        files = df.inputFiles()
+        if files:
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(posixpath.dirname(files[0]))
+
+
 #: A group is hot from this share of all rows on (one in HOT), so there are at most HOT hot groups.
 HOT = 1000
 

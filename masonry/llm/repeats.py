@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import HOT, as_text, blocks, materialise, mix, ragged, small_batches, span_hashes, table, text_view, with_group
+from .common import HOT, as_text, blocks, discard, materialise, mix, ragged, small_batches, span_hashes, table, text_view, with_group
 
 LENGTH, K = 50, 16
 #: Text bytes whose minimisers go to one bucket of hashes, and bytes of stretches in one bucket of text.
@@ -462,7 +462,9 @@ def remove_repeats(docs: DataFrame, hash_bucket: int = HASH_BUCKET, text_bucket:
     whole_first = known.filter((F.col("n_bytes") >= LENGTH) & (F.col("first").isNull() | (F.col("doc_id") == F.col("first")))).select("doc_id", "tag")
     by_doc = keys.groupBy("doc_id", "tag").agg(F.collect_list("key").alias("keys")).join(whole_first, ["doc_id", "tag"], "left_semi")
     zipped = texts.mapInArrow(_zipped, "doc_id long, tag long, z binary")
-    held = materialise(zipped.join(materialise(by_doc, "keys").hint("shuffle_hash"), ["doc_id", "tag"]), "held")
+    by_doc = materialise(by_doc, "keys")
+    held = materialise(zipped.join(by_doc.hint("shuffle_hash"), ["doc_id", "tag"]), "held")
+    discard(by_doc)
     bulk = 2.5 * (held.agg(F.sum(F.octet_length("z"))).first()[0] or 0)
     m = max(1, math.ceil(4 * bulk / text_bucket))
     pieces = held.mapInArrow(_text_rows(n, m), "bucket int, docs binary, tags binary, starts binary, windows binary, text binary")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, blocks, materialise, mix, small_batches, span_hashes, table, text_view, unzip, with_group, words, zipped
+from .common import LOWER, blocks, discard, materialise, mix, small_batches, span_hashes, table, text_view, unzip, with_group, words, zipped
 
 SHINGLE, PERCENT = 3, 90
 #: A word is common from this share of all words on; so there are at most 1 / COMMON such words.
@@ -69,6 +69,7 @@ def common_words(docs: DataFrame, share: float = COMMON) -> dict[int, int]:
     counted = materialise(counted, "words")
     total = counted.agg(F.sum("total")).first()[0] or 0
     rows = counted.filter(F.col("n") >= max(2, total * share)).select("w", "n").collect()
+    discard(counted)
     return {w & (2**64 - 1): 1 + max(0, int(np.log2(n / (total * share)))) for w, n in rows}
 
 
@@ -244,12 +245,14 @@ def components(edges: DataFrame) -> DataFrame:
     labels = materialise(both.groupBy(F.col("a").alias("doc_id")).agg(F.least(F.col("doc_id"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("doc_id").alias("b"), "label"), "b").groupBy(F.col("a").alias("doc_id")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "doc_id").select("doc_id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        spread = labels.select("doc_id", "label").join(near, "doc_id").select("doc_id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("doc_id").alias("label"), F.col("label").alias("further"))
         grown = materialise(spread.join(jump, "label", "left").select("doc_id", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        labels = grown.select("doc_id", "label")
+        discard(labels)
         if not grown.filter("label <> old").limit(1).count():
-            return labels
+            discard(both)
+            return grown.select("doc_id", "label")
+        labels = grown
 
 
 def _alike(percent: int):
@@ -270,26 +273,25 @@ def regions(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     marks = members.groupBy("region").agg(F.count(F.lit(1)).alias("c"), *(F.bit_xor(F.xxhash64(F.lit(k), "doc_id", "f1")).alias(f"x{k}") for k in (1, 2))).filter("c > 1")
     one = marks.groupBy("c", "x1", "x2").agg(F.min("region").alias("region")).select("region")
     kept = members.join(one, "region", "left_semi")
-    return materialise(kept.hint("merge").join(reps.select("doc_id", "f1", "bits"), ["doc_id", "f1"]).select("region", "doc_id", "n", "bits"), "regions")
+    out = materialise(kept.hint("merge").join(reps.select("doc_id", "f1", "bits"), ["doc_id", "f1"]).select("region", "doc_id", "n", "bits"), "regions")
+    discard(members)
+    return out
 
 
 def links(texts: DataFrame, member: DataFrame, shingler: Shingler, percent: int = PERCENT) -> DataFrame | None:
     """doc_id, label of all documents with a link; None if there is no link."""
     fits = (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")) & (_differing("bits", "p.bits") <= _most_differing(F.col("n"), F.col("p.n"), percent))
-    pivots = materialise(member.groupBy("region").agg(F.min(F.struct("doc_id", "n", "bits")).alias("p"), F.count(F.lit(1)).alias("c")), "pivots")
-    total = pivots.agg(F.sum("c")).first()[0] or 0
-    met = with_group(member, pivots, ["region"], total).filter((F.col("doc_id") != F.col("p.doc_id")) & fits)
+    pivots = member.groupBy("region").agg(F.min(F.struct("doc_id", "n", "bits")).alias("p"))
+    met = member.join(pivots, "region").filter((F.col("doc_id") != F.col("p.doc_id")) & fits)
     tested = materialise(distances(met.select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), texts, shingler), "tested")
     linked = tested.filter(_alike(percent)).select("a", "b")
     labels = components(linked) if linked.limit(1).count() else None
     # what is left of each region without its pivot, where there is more than one component
-    rest = with_group(member, pivots.select("region", F.col("p.doc_id").alias("pivot"), "c"), ["region"], total).filter("doc_id <> pivot")
+    rest = member.join(pivots.select("region", F.col("p.doc_id").alias("pivot")), "region").filter("doc_id <> pivot")
     rest = rest.join(labels, "doc_id", "left").withColumn("own", F.coalesce("label", "doc_id")) if labels is not None else rest.withColumn("own", F.col("doc_id"))
-    rest = materialise(rest.drop("label"), "rest")
-    mixed = rest.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high")
-    mixed = materialise(mixed.select("region", "m", F.col("m").alias("c")), "mixed")
+    mixed = rest.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("region", "m")
     far = tested.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), (1 - F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("d"))
-    rest = with_group(rest, mixed, ["region"], total).filter("m is not null").join(far, ["pivot", "doc_id"], "left")
+    rest = rest.join(mixed, "region").join(far, ["pivot", "doc_id"], "left")
     n = F.ceil(F.col("m") / BLOCK).cast("int")
     rest = rest.withColumn("k", F.pmod(F.xxhash64(F.lit(7), "doc_id"), n).cast("int"))
     to = F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.least(i, F.col("k")).alias("i"), F.greatest(i, F.col("k")).alias("j"), F.when(i < F.col("k"), 1).otherwise(0).alias("side"))))
@@ -299,7 +301,11 @@ def links(texts: DataFrame, member: DataFrame, shingler: Shingler, percent: int
     pairs = dealt.withColumn("task", F.pmod("unit", F.lit(tasks))).groupBy("task").applyInArrow(_block_pairs(percent), "a long, b long").distinct()
     more = distances(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), texts, shingler).filter(_alike(percent)).select("a", "b")
     more = materialise(more, "more")
-    return components(linked.union(more)) if more.limit(1).count() else labels
+    discard(dealt)
+    if more.limit(1).count():
+        labels = components(linked.union(more))
+    discard(tested, more)
+    return labels
 
 
 def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -330,6 +336,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
         labels = spark.createDataFrame([], "doc_id long, label long")
     named = materialise(reps.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("component_id"), "c"), "named")
     total = base.count()
+    discard(reps, member, texts)
     found = with_group(base.select("doc_id", "n", "f1", "f2"), named, ["n", "f1", "f2"], total)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
