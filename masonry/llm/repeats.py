@@ -312,22 +312,25 @@ def _lists(docs: np.ndarray, tags: np.ndarray, **values: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(docs[heads]), pa.array(tags[heads]), *(lists.get(c, none) for c in ("runs", "starts", "h1", "h2"))], ["doc_id", "tag", "runs", "starts", "h1", "h2"])
 
 
-def _runs(held: _Stretches) -> pa.RecordBatch:
-    """Runs of windows of distinct stretches whose string starts in an earlier document's."""
-    _, one, group = np.unique(_hashes(held.text, held.starts, held.starts + held.size), return_index=True, return_inverse=True)
-    distinct = held.at(one)
-    least = first_documents(distinct.text, distinct.starts, distinct.starts + distinct.size, distinct.docs)
-    at = np.repeat(distinct.starts[group], held.windows) + ragged(held.windows)
-    mine = np.repeat(np.arange(len(held.docs)), held.windows)
-    hit = least[at] < held.docs[mine]
-    place = held.first[mine] + ragged(held.windows)
+def _runs(held: _Stretches, one: np.ndarray, group: np.ndarray, earliest: np.ndarray) -> pa.RecordBatch:
+    """Runs of windows whose string starts in an earlier document's. one: a stretch of each distinct one; group: which of these each is; earliest: the least document of each."""
+    later = held.docs > earliest[group]
+    mine = np.flatnonzero(~later)
+    least = first_documents(held.text, held.starts[one], held.starts[one] + held.size[one], earliest)
+    at = np.repeat(held.starts[one[group[mine]]], held.windows[mine]) + ragged(held.windows[mine])
+    owner = np.repeat(mine, held.windows[mine])
+    hit = least[at] < held.docs[owner]
+    place = held.first[owner] + ragged(held.windows[mine])
     edge = np.ones(len(hit), bool)
-    edge[1:] = (hit[1:] != hit[:-1]) | (mine[1:] != mine[:-1])
+    edge[1:] = (hit[1:] != hit[:-1]) | (owner[1:] != owner[:-1])
     heads = np.flatnonzero(edge)
     tails = np.append(heads[1:], len(hit))
     good = hit[heads]
     heads, tails = heads[good], tails[good]
-    return _lists(held.docs[mine[heads]], held.tags[mine[heads]], runs=np.stack((place[heads], place[heads] + (tails - heads)), 1))
+    which = np.concatenate((np.flatnonzero(later), owner[heads]))
+    first = np.concatenate((held.first[later], place[heads]))
+    end = np.concatenate((held.first[later] + held.windows[later], place[heads] + (tails - heads)))
+    return _lists(held.docs[which], held.tags[which], runs=np.stack((first, end), 1))
 
 
 def _handed_on(held: _Stretches) -> pa.RecordBatch:
@@ -354,25 +357,26 @@ def _repeated(taken: int, most_held: int):
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, large = None, False
-        for rows in _taken(batches, "text", taken):
-            more = _Stretches.of(rows)
+        chunks = _taken(batches, "text", taken)
+        rows = next(chunks, None)
+        while rows is not None:
+            more, rows = _Stretches.of(rows), next(chunks, None)
             held = held.and_(more) if held else more
-            _, group = np.unique(_hashes(held.text, held.starts, held.starts + held.size), return_inverse=True)
-            earliest = np.full(int(group.max()) + 1, np.iinfo(np.int64).max)
+            _, one, group = np.unique(_hashes(held.text, held.starts, held.starts + held.size), return_index=True, return_inverse=True)
+            earliest = np.full(len(one), np.iinfo(np.int64).max)
             np.minimum.at(earliest, group, held.docs)
-            earliest = earliest[group]
-            later = np.flatnonzero(held.docs > earliest)
+            size = int(held.size[one].sum())
+            if rows is None and not large and size <= most_held:
+                yield _runs(held, one, group, earliest)
+                return
+            later = np.flatnonzero(held.docs > earliest[group])
             yield _lists(held.docs[later], held.tags[later], runs=np.stack((held.first[later], held.first[later] + held.windows[later]), 1))
             # other stretches of the same least document stay: what they lose depends on the rest
-            held = held.at(np.flatnonzero(held.docs == earliest))
-            if len(held.text) > most_held:
+            held = held.at(np.flatnonzero(held.docs == earliest[group]))
+            if size > most_held or rows is None:
                 large = True
                 yield _handed_on(held)
                 held = None
-        if held and large:
-            yield _handed_on(held)
-        elif held:
-            yield _runs(held)
 
     return run
 
@@ -469,7 +473,9 @@ def remove_repeats(docs: DataFrame, hash_bucket: int = HASH_BUCKET, text_bucket:
     m = max(1, math.ceil(4 * bulk / text_bucket))
     pieces = held.mapInArrow(_text_rows(n, m), "bucket int, docs binary, tags binary, starts binary, windows binary, text binary")
     found = materialise(pieces.groupBy("bucket").applyInArrow(_repeated(taken, most_held), FOUND), "found")
-    runs = found.filter("runs is not null").select("doc_id", "tag", "runs").unionByName(_grouped(found))
+    runs = found.filter("runs is not null").select("doc_id", "tag", "runs")
+    if found.filter("starts is not null").limit(1).count():
+        runs = runs.unionByName(_grouped(found))
     by_doc = runs.groupBy("doc_id", "tag").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     cut = held.select("doc_id", "tag", "z").join(by_doc, ["doc_id", "tag"]).mapInArrow(_cut, RESULT).dropDuplicates(["doc_id", "tag"])
     copy = (F.col("doc_id") != F.col("first")) & (F.col("n_bytes") >= LENGTH)
