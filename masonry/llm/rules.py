@@ -22,7 +22,7 @@ LEAST_SHARE = 1000
 MOST_CLASSES, MOST_WORDS = 0.28, 0.3
 LEAST_CHARS, LEAST_WORDS = 300, 150
 
-_CODES = "_ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_LETTERED, SLOTS = "ABCDEFGHIJKLMNOPQRSTUVWXY", 256  # a letter for each common word, and entries of the table they are looked up in
 _LETTERS, _CAPITALS, _DIGITS, _SPACES, _SYMBOLS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\x0b\f\r", "#*$%&|<>"
 _REST = "".join(chr(c) for c in range(128) if chr(c) not in _LETTERS + _CAPITALS + _DIGITS + _SPACES + _SYMBOLS)
 
@@ -63,8 +63,9 @@ def common_words(docs: DataFrame) -> DataFrame:
     Counts are summed before the shuffle and only the best of each part are ranked, so a frequent word or
     language gathers no rows in one task.
     """
-    words = F.filter(F.split(F.lower(as_text(F.col("text").cast("string"))), _SPACE), lambda w: (w != "") & (F.octet_length(w) <= LONGEST))
-    counts = docs.select(F.col("lang").cast("string").alias("lang"), F.explode(words).alias("w")).groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
+    words = F.split(F.lower(as_text(F.col("text").cast("string"))), _SPACE)
+    each = docs.select(F.col("lang").cast("string").alias("lang"), F.explode(words).alias("w")).filter((F.col("w") != "") & (F.octet_length("w") <= LONGEST))
+    counts = each.groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
     counts = materialise(counts, "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     own = F.broadcast(counts.groupBy("lang").agg(F.sum("n").alias("m")).filter((F.col("m") * LEAST_SHARE >= total) & F.col("lang").isNotNull()).select("lang", F.col("lang").alias("ref")))
@@ -73,17 +74,35 @@ def common_words(docs: DataFrame) -> DataFrame:
     return materialise(best.groupBy("ref").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]).alias("list")), "lists")
 
 
+def word_slots(words: Column) -> Column:
+    """SLOTS entries: the words of a list whose hash falls into the entry and their letters; null where there are none."""
+    lettered = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.get(F.lit(list(_LETTERED)), i).alias("code")))
+    of = lambda k: F.filter(lettered, lambda x: F.pmod(F.xxhash64(x["w"]), F.lit(SLOTS)) == k)
+    return F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: let(of(k), lambda x: F.when(F.size(x) > 0, F.struct(x["w"].alias("words"), x["code"].alias("codes")))))
+
+
+def common_counts(words: Column, slots: Column) -> Column:
+    """N_COMMON + 1 numbers: words that are not in the list, then how often each word of it occurs, without regard to case."""
+    letter = lambda w, s: F.when(s.isNotNull(), F.get(s["codes"], F.array_position(s["words"], w).cast("int") - 1))
+    lower = F.transform(words, lambda w: F.lower(w))
+    codes = F.array_join(F.transform(lower, lambda w: letter(w, F.get(slots, F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")))), "")
+    start = F.struct(codes.alias("t"), F.expr("cast(array() as array<bigint>)").alias("n"))
+    grown = lambda a, rest: F.concat(a["n"], F.array((F.octet_length(a["t"]) - F.octet_length(rest)).cast("long")))
+    cut = lambda a, c: let(F.replace(a["t"], c, F.lit("")), lambda rest: F.struct(rest.alias("t"), grown(a, rest).alias("n")))
+    others = lambda n: F.size(words) - F.aggregate(n, F.lit(0).cast("long"), lambda s, x: s + x)
+    return let(F.aggregate(F.lit(list(_LETTERED)), start, cut, lambda a: a["n"]), lambda n: F.concat(F.array(others(n)), n))
+
+
 def measure(docs: DataFrame, lists: DataFrame) -> DataFrame:
     """doc_id, lang, ref, the base counts and the two histograms of every row. Null text counts as empty. lists: see common_words."""
     text = as_text(F.col("text").cast("string"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("t0"))
     own = F.broadcast(lists.filter("ref <> '*'").select(F.col("ref").alias("own")))  # at most LEAST_SHARE rows
     base = base.join(own, F.col("lang") == F.col("own"), "left").withColumn("ref", F.coalesce("own", F.lit("*"))).drop("own")
-    base = base.join(F.broadcast(lists), "ref", "left").withColumn("list", F.coalesce("list", F.expr("cast(array() as array<string>)")))
+    base = base.join(F.broadcast(lists.select("ref", word_slots(F.col("list")).alias("slots"))), "ref", "left")
     for k, chars in enumerate((_LETTERS, _SPACES, _CAPITALS, _DIGITS, _SYMBOLS, _REST)):
         base = base.withColumn(f"t{k + 1}", F.translate(f"t{k}", chars, ""))
     base = base.withColumn("ws", F.filter(F.split("t0", _SPACE), lambda w: w != ""))
-    base = base.withColumn("codes", let(F.col("list"), lambda own: F.array_join(F.transform("ws", lambda w: F.when(F.octet_length(w) > LONGEST, F.lit("_")).otherwise(F.substring(F.lit(_CODES), (F.array_position(own, F.lower(w)) + 1).cast("int"), F.lit(1)))), "")))
     lines = F.filter(F.split("t0", "\n"), lambda x: x.rlike("[^ \\t\\n\\x0B\\f\\r]"))
     base = base.withColumn("lines", lines)
     count = lambda k: F.length(f"t{k}") - F.length(f"t{k + 1}")
@@ -97,7 +116,7 @@ def measure(docs: DataFrame, lists: DataFrame) -> DataFrame:
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeat_words(F.col("ws")).alias("n_repeat_words"),
         F.array(*(count(k).cast("long") for k in range(6)), F.length("t6").cast("long")).alias("classes"),
-        F.array(*((F.length("codes") - F.length(F.replace("codes", F.lit(c), F.lit("")))).cast("long") for c in _CODES[: N_COMMON + 1])).alias("common"),
+        common_counts(F.col("ws"), F.col("slots")).alias("common"),
     )
 
 
