@@ -330,14 +330,16 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERC
     same = ["doc_id", "n", "f1", "f2"]
     members = full.join(first.select(*same).hint("merge"), same, "left_semi").dropDuplicates(same)
     member = regions(members, percent)
+    rows = materialise(base.select("doc_id", "n", "f1", "f2"), "rows")
+    discard(base)  # keys and bits are in the regions now
     texts = materialise(zipped(docs).join(member.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
     labels = links(texts, member, shingler, percent) if member.limit(1).count() else None
     if labels is None:
         labels = spark.createDataFrame([], "doc_id long, label long")
     named = materialise(reps.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("component_id"), "c"), "named")
-    total = base.count()
+    total = rows.count()
     discard(reps, member, texts)
-    found = with_group(base.select("doc_id", "n", "f1", "f2"), named, ["n", "f1", "f2"], total)
+    found = with_group(rows, named, ["n", "f1", "f2"], total)
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
