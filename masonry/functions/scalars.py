@@ -42,6 +42,13 @@ def as_float(v: Column) -> Column:
     return v.try_cast("double")
 
 
+def finite(v: Column, positive: bool = False) -> Column:
+    """[P-09] a finite double, above zero if asked for, else null."""
+    x = as_float(v)
+    bad = F.isnan(x) | (F.abs(x) == float("inf"))
+    return F.when(~(bad | (x <= 0) if positive else bad), x)
+
+
 def as_int(v: Column) -> Column:
     """[P-02] truncated toward zero; null for text, NaN and infinity."""
     x = as_float(v)

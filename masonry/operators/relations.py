@@ -43,6 +43,65 @@ def first_rows(df: DataFrame, keys: list[str], order: list, k: int = 1) -> DataF
     return df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("_n") <= k).drop("_n")
 
 
+#: What a British building feature calls its properties.
+FEATURE = {"top": "height_relativeroofbase_m", "most": "height_relativemax_m", "floors": "numberoffloors", "ground": "height_absolutemin_m", "area": "geometry_area_m2", "shape": "roofshapeaspect_shape", "material": "roofmaterial_primarymaterial"}
+
+
+def british_buildings(features: DataFrame) -> DataFrame:
+    """[P-10, S-12] building rows of GeoJSON features (column `feature`, one text each); `reason` says why one gives none.
+
+    The height up to the roof's base comes first; the greatest height holds the roof already, so such a roof
+    counts as flat. Storeys must be a whole number. A feature without an identifier or a geometry is kept as
+    a row of nulls with the reason missing_id_or_geometry, a text that is no JSON object as malformed.
+    """
+    at = lambda path: F.get_json_object("feature", path)
+    prop = lambda k, positive=True: S.finite(at(f"$.properties.{FEATURE[k]}"), positive)
+    rows = features.select(at("$.properties.osid").alias("osid"), at("$.id").alias("id"), at("$.geometry").alias("geometry"), at("$").alias("whole"), *(prop(k, k != "ground").alias(k) for k in ("top", "most", "floors", "ground", "area")), F.lower(at(f"$.properties.{FEATURE['shape']}")).alias("shape"), at(f"$.properties.{FEATURE['material']}").alias("material"))
+    code = F.coalesce(F.nullif("osid", F.lit("")), F.nullif("id", F.lit("")))
+    fine = code.isNotNull() & ~F.coalesce("geometry", F.lit("")).isin("", "{}")
+    shape = F.when(F.col("top").isNull() & F.col("most").isNotNull(), F.lit("flat")).when(F.col("shape").isin("flat", "pitched"), F.col("shape"))
+    whole = F.when((F.col("floors") % 1 == 0) & (F.col("floors") < 2**31), F.col("floors").cast("int"))
+    values = {"code": code, "height": F.coalesce("top", "most"), "storeys": whole, "ground_elevation": F.col("ground"), "footprint_area": F.col("area"), "roof_shape": shape, "roof_material": F.col("material")}
+    reason = F.when(~F.coalesce(F.ltrim("whole"), F.lit("")).startswith("{"), "malformed").when(~fine, "missing_id_or_geometry")
+    return rows.withColumn("reason", reason).select(*(F.when(F.col("reason").isNull(), v).alias(k) for k, v in values.items()), "reason")
+
+
+#: Columns of a building group's row.
+GROUP_TEXTS = {"geometry": "geom_groupe", "address": "libelle_adr_principale_ban", "city": "libelle_commune_insee", "roof_type": "type_plancher_haut_deperditif"}
+GROUP_NUMBERS = {"height": "hauteur_mean", "ground_elevation": "altitude_sol_mean", "footprint_area": "s_geom_groupe", "glazed_ratio": "pourcentage_surface_baie_vitree_exterieur", "wall_area": "surface_mur_exterieur"}
+GROUP_LABELS = {"wall_insulation": "type_isolation_mur_exterieur", "upper_floor_insulation": "type_isolation_plancher_haut", "lower_floor_insulation": "type_isolation_plancher_bas", "glazing_type": "type_vitrage"}
+GROUP_THERMAL = {"wall_u_value": "u_mur_exterieur", "roof_u_value": "u_plancher_haut_deperditif", "floor_u_value": "u_plancher_bas_brut_deperditif", "window_u_value": "uw", "window_solar_factor": "facteur_solaire_baie_vitree"}
+GLAZED = {"north": "surface_vitree_nord", "east": "surface_vitree_est", "south": "surface_vitree_sud", "west": "surface_vitree_ouest"}
+ROOF = ("materiaux_toiture_simplifie", "mat_toit_txt", "type_plancher_haut_deperditif")
+
+
+def building_groups(rows: DataFrame) -> DataFrame:
+    """[P-07, P-35, F-06] building groups of JSON rows (column `row`, one object each); unreadable values are null.
+
+    A label that the row lacks is "not provided", one given as null stays null. glazed_areas: facing and area
+    above zero, north to west. roof_unknown: neither material nor type is given. A text that is no JSON object
+    gives a row with an empty code. Numbers given for the fictitious flag are read like texts.
+    """
+    parsed = rows.select(F.coalesce(F.from_json("row", "map<string,string>"), F.expr("cast(map() as map<string,string>)")).alias("m"))
+    at = lambda k: F.try_element_at("m", F.lit(k))
+    areas = F.filter(F.array(*(F.struct(F.lit(k).alias("facing"), S.as_float(at(c)).alias("area")) for k, c in GLAZED.items())), lambda g: (g["area"] > 0) & ~F.isnan(g["area"]))
+    values = {
+        "code": F.coalesce(at("batiment_groupe_id"), F.lit("")),
+        "construction_id": F.coalesce(S.as_code(at("batiment_construction_id")), S.as_code(at("rnb_id"))),
+        **{k: at(c) for k, c in GROUP_TEXTS.items()},
+        **{k: S.as_float(at(c)) for k, c in GROUP_NUMBERS.items()},
+        "storeys": S.as_int(at("nb_niveau")),
+        "fictitious": S.as_bool(at("contient_fictive_geom_groupe")),
+        "glazed_areas": areas,
+        "orientations": F.coalesce(S.as_text_array(at("l_orientation_baie_vitree")), F.expr("cast(array() as array<string>)")),
+        "roof_material": F.coalesce(F.nullif(at(ROOF[0]), F.lit("")), at(ROOF[1])),
+        **{k: F.when(F.map_contains_key("m", F.lit(c)), at(c)).otherwise(S.NOT_PROVIDED) for k, c in GROUP_LABELS.items()},
+        **{k: S.bounded(S.as_float(at(c)), k == "window_solar_factor") for k, c in GROUP_THERMAL.items()},
+        "roof_unknown": F.coalesce(*map(at, ROOF)).isNull(),
+    }
+    return parsed.select(*(v.alias(k) for k, v in values.items()))
+
+
 def best_match(df: DataFrame, key: str, ident: str, score: str, country: str, order: str, least: float = 0.8, margin: float = 0.05, served: tuple = ("E", "W", "S")) -> DataFrame:
     """[S-10, W-03] per key the best candidate and a reason: low_score, ambiguous, unsupported_country, missing_id or matched.
 

@@ -397,6 +397,65 @@ def reason_gate(spark, sf):
     return r.select("o_orderkey", F.array_join("r", ",").alias("reasons"), ((F.size("r") == 0) | (F.size(F.array_except("r", listed(REPORTED))) > 0)).alias("blocked"), F.arrays_overlap("r", listed(RETRIED)).alias("retried"))
 
 
+@query("""WITH f AS (SELECT p_partkey AS k, p_size AS s, p_type AS t FROM part) SELECT 'g' || k AS code, CASE WHEN k % 3 = 0 THEN 'c' || k WHEN k % 3 = 1 THEN 'r' || k END AS construction_id, CASE WHEN k % 4 > 0 THEN s / 4.0 END AS height,
+ CASE WHEN k % 5 > 0 THEN CAST(s // 3 AS INTEGER) END AS storeys, s % 2 = 0 AS fictitious, CAST((k % 3 > 0)::INT + (s > 10)::INT AS INTEGER) AS facings, CASE WHEN k % 2 = 0 THEN t ELSE 'Zinc' END AS roof_material,
+ CASE WHEN k % 7 > 0 THEN 'type ' || k % 7 ELSE 'not provided' END AS wall_insulation, CASE WHEN s % 8 > 0 THEN (s % 8) / 2.0 END AS window_u_value, CASE WHEN s <= 20 THEN s / 20.0 END AS window_solar_factor, false AS roof_unknown FROM f""")
+def group_rows(spark, sf):
+    """[P-07, P-35, F-06, P-01 to P-04, P-08] rows as JSON texts with absent, blank and unreadable values."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    text = lambda c: c.cast("string")
+    row = F.struct(
+        F.concat(F.lit("g"), text(k)).alias("batiment_groupe_id"),
+        F.when(k % 3 == 0, F.concat(F.lit(" c"), text(k))).otherwise("  ").alias("batiment_construction_id"),
+        F.when(k % 3 != 2, F.concat(F.lit("r"), text(k))).alias("rnb_id"),
+        F.when(k % 4 != 0, text(s / 4)).otherwise("unknown").alias("hauteur_mean"),
+        F.when(k % 5 != 0, s / 3).alias("nb_niveau"),
+        F.when(s % 2 == 0, "Vrai").otherwise("non").alias("contient_fictive_geom_groupe"),
+        (k % 3).alias("surface_vitree_nord"),
+        (s - 10).alias("surface_vitree_sud"),
+        F.when(k % 2 == 0, F.col("p_type")).otherwise("").alias("materiaux_toiture_simplifie"),
+        F.lit("Zinc").alias("mat_toit_txt"),
+        F.when(k % 7 != 0, F.concat(F.lit("type "), text(k % 7))).alias("type_isolation_mur_exterieur"),
+        ((s % 8) / 2).alias("uw"),
+        (s / 20).alias("facteur_solaire_baie_vitree"),
+    )
+    groups = R.building_groups(table(spark, sf, "part").select(F.to_json(row).alias("row")))
+    return groups.select("code", "construction_id", "height", "storeys", "fictitious", F.size("glazed_areas").alias("facings"), "roof_material", "wall_insulation", "window_u_value", "window_solar_factor", "roof_unknown")
+
+
+#: Features whose properties depend on part, and the values that they stand for.
+FEATURES = """f AS (SELECT p_partkey AS k, p_size AS s FROM part), v AS (SELECT k, s,
+ CASE WHEN k % 11 <> 0 THEN 'osgb' || k WHEN k % 2 = 0 THEN 'f' || k END AS code, CASE WHEN k % 3 <> 0 THEN CAST(k % 5 AS DOUBLE) * 2.5 END AS top,
+ CASE WHEN k % 4 <> 0 THEN CAST(s AS DOUBLE) END AS most, s / 2.0 AS floors, k % 13 <> 0 AS shaped FROM f)"""
+
+
+def _features(spark, sf):
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("s"))
+    k, s = F.col("k"), F.col("s")
+    text = lambda c: c.cast("string")
+    properties = F.struct(
+        F.when(k % 11 != 0, F.concat(F.lit("osgb"), text(k))).alias("osid"),
+        F.when(k % 3 != 0, (k % 5) * 2.5).alias("height_relativeroofbase_m"),
+        F.when(k % 4 != 0, text(s)).otherwise("NaN").alias("height_relativemax_m"),
+        (s / 2.0).alias("numberoffloors"),
+        (s - 20).alias("height_absolutemin_m"),
+        F.when(s % 6 != 0, s * 3).otherwise(-1).alias("geometry_area_m2"),
+        F.element_at(F.array(*map(F.lit, ["Flat", "PITCHED", "Mixed"])), (s % 3 + 1).cast("int")).alias("roofshapeaspect_shape"),
+        F.when(s % 4 != 0, "Slate").alias("roofmaterial_primarymaterial"),
+    )
+    shape = F.when(k % 13 != 0, F.struct(F.lit("Point").alias("type"), F.array(k, s).alias("coordinates")))
+    feature = F.to_json(F.struct(F.when(k % 2 == 0, F.concat(F.lit("f"), text(k))).alias("id"), shape.alias("geometry"), properties.alias("properties")))
+    return p.select(F.when(k % 17 == 0, F.substring(feature, 2, 1000)).otherwise(feature).alias("feature"))
+
+
+@query(f"""WITH {FEATURES}, r AS (SELECT *, CASE WHEN k % 17 = 0 THEN 'malformed' WHEN code IS NULL OR NOT shaped THEN 'missing_id_or_geometry' END AS reason, CASE WHEN top > 0 THEN top END AS t FROM v)
+ SELECT CASE WHEN reason IS NULL THEN code END AS code, CASE WHEN reason IS NULL THEN coalesce(t, most) END AS height, CASE WHEN reason IS NULL AND s % 2 = 0 THEN CAST(s // 2 AS INTEGER) END AS storeys, CASE WHEN reason IS NULL THEN CAST(s - 20 AS DOUBLE) END AS ground_elevation,
+ CASE WHEN reason IS NULL AND s % 6 <> 0 THEN CAST(s * 3 AS DOUBLE) END AS footprint_area, CASE WHEN reason IS NULL THEN CASE WHEN t IS NULL AND most IS NOT NULL THEN 'flat' WHEN s % 3 = 0 THEN 'flat' WHEN s % 3 = 1 THEN 'pitched' END END AS roof_shape, CASE WHEN reason IS NULL AND s % 4 <> 0 THEN 'Slate' END AS roof_material, reason FROM r""")
+def british_features(spark, sf):
+    """[P-09, P-10, S-12]"""
+    return R.british_buildings(_features(spark, sf))
+
+
 @query("WITH u AS (SELECT p_partkey AS code, CAST(p_size % 9 AS DOUBLE) AS u FROM part), r AS (SELECT code, CASE WHEN u > 0 THEN 1 / u - 0.13 - 0.04 END AS r FROM u) SELECT code, round(CASE WHEN r > 0 THEN r END, 6) AS resistance FROM r")
 def equivalent_resistance(spark, sf):
     """[M-10, P-08]"""

@@ -77,3 +77,34 @@ def test_order_sample_and_difference(spark):
     assert sorted(r.k for r in R.stride_sample(frame, ["k"], 20).collect()) == list(range(0, 101, 6))
     a, b = (spark.createDataFrame([(x,) for x in t], "x string") for t in ("aabc", "abbd"))
     assert sorted(map(tuple, R.difference(a, b).collect())) == [("a", "left"), ("b", "right"), ("c", "left"), ("d", "right")]
+
+
+def test_british_features(spark):
+    features = [
+        '{"id": "f1", "geometry": {"type": "Point"}, "properties": {"osid": "o1", "height_relativeroofbase_m": 6, "height_relativemax_m": 9, "numberoffloors": 2.0, "roofshapeaspect_shape": "Pitched"}}',
+        '{"id": "f2", "geometry": {"type": "Point"}, "properties": {"osid": "", "height_relativeroofbase_m": 0, "height_relativemax_m": "9", "numberoffloors": 2.5, "roofshapeaspect_shape": "Pitched", "height_absolutemin_m": -3}}',
+        '{"id": "f3", "properties": {}}',
+        "[oops",
+        "",
+        None,
+    ]
+    rows = R.british_buildings(spark.createDataFrame([(f,) for f in features], "feature string")).collect()
+    assert tuple(rows[0])[:6] == ("o1", 6.0, 2, None, None, "pitched") and rows[0].reason is None
+    assert tuple(rows[1])[:6] == ("f2", 9.0, None, -3.0, None, "flat") and rows[1].reason is None
+    assert [r.reason for r in rows[2:]] == ["missing_id_or_geometry", "malformed", "malformed", "malformed"]
+    assert all(v is None for r in rows[2:] for v in tuple(r)[:-1])
+
+
+def test_building_groups(spark):
+    texts = [
+        '{"batiment_groupe_id": "g1", "rnb_id": " r ", "type_vitrage": null, "surface_vitree_est": "2.5", "surface_vitree_nord": -1, "uw": -1, "facteur_solaire_baie_vitree": 0, "l_orientation_baie_vitree": "{est,\\"sud\\"}", "nb_niveau": "x"}',
+        '{"batiment_groupe_id": "g2", "mat_toit_txt": "TUILES", "uw": 1.4, "facteur_solaire_baie_vitree": 1.2, "hauteur_mean": 7, "unknown_column": {"a": 1}}',
+        "[oops",
+        None,
+    ]
+    a, b, c, d = R.building_groups(spark.createDataFrame([(t,) for t in texts], "row string")).collect()
+    assert (a.code, a.construction_id, a.glazing_type, a.wall_insulation, a.storeys) == ("g1", "r", None, "not provided", None)
+    assert [tuple(g) for g in a.glazed_areas] == [("east", 2.5)] and a.orientations == ["est", "sud"]
+    assert (a.window_u_value, a.window_solar_factor, a.roof_unknown) == (None, 0.0, True)
+    assert (b.roof_material, b.window_u_value, b.window_solar_factor, b.height, b.roof_unknown) == ("TUILES", 1.4, None, 7.0, False)
+    assert c.code == d.code == "" and c.glazed_areas == [] and c.orientations == []
