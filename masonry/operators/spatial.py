@@ -63,3 +63,31 @@ def merge_intervals(df: DataFrame, key: str, lo: str, hi: str) -> DataFrame:
     marked = df.withColumn("_new", F.coalesce((F.col(lo) > before).cast("int"), F.lit(1)))
     islands = marked.withColumn("_island", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
     return islands.groupBy(key, "_island").agg(F.min(lo).alias(lo), F.max(hi).alias(hi)).drop("_island")
+
+
+#: Metres around all outlines, and the longest side of an extent.
+AROUND, MOST_EXTENT = 30.0, 2000.0
+
+
+def extents(df: DataFrame, key: str, around: float = AROUND, most: float = MOST_EXTENT) -> DataFrame:
+    """[A-05, A-06, P-22, P-30] per key: bounds of all boxes with a margin, their centre, the least known ground (0 if none), crs and a reason.
+
+    Rows have x0, y0, x1, y1, ground and fictitious. Bounds that look like degrees are EPSG:4326, others
+    EPSG:2154. The reason is fictitious_outline if any row is fictitious, invalid_extent for coordinates that
+    are null or not finite, extent_limit for a side beyond `most`, and null where the bounds may be used.
+    """
+    corners = ["x0", "y0", "x1", "y1"]
+    sound = lambda c: F.col(c).isNotNull() & (F.abs(c) < float("inf")) & ~F.isnan(c)
+    rows = df.select(key, "ground", "fictitious", *(F.col(c).cast("double").alias(c) for c in corners))
+    g = rows.groupBy(key).agg(
+        *(f(c).alias(c) for c, f in zip(corners, (F.min, F.min, F.max, F.max), strict=True)),
+        F.coalesce(F.min("ground"), F.lit(0.0)).alias("ground"),
+        F.coalesce(F.bool_or("fictitious"), F.lit(False)).alias("fictitious"),
+        F.bool_and(sound("x0") & sound("y0") & sound("x1") & sound("y1")).alias("sound"),
+    )
+    side = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 2 * around
+    degrees = (F.greatest(F.abs("x0"), F.abs("x1")) <= 180) & (F.greatest(F.abs("y0"), F.abs("y1")) <= 90)
+    reason = F.when(F.col("fictitious"), "fictitious_outline").when(~F.col("sound"), "invalid_extent").when(side > most, "extent_limit")
+    margins = [(F.col(c) + (around if c.endswith("1") else -around)).alias(n) for c, n in zip(corners, ("west", "south", "east", "north"), strict=True)]
+    centre = [((F.col(f"{c}0") + F.col(f"{c}1")) / 2).alias(f"centre_{c}") for c in "xy"]
+    return g.select(key, *margins, *centre, F.col("ground").alias("reference_elevation"), F.when(degrees, "EPSG:4326").otherwise("EPSG:2154").alias("crs"), reason.alias("reason"))

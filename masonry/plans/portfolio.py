@@ -423,6 +423,17 @@ def group_rows(spark, sf):
     return groups.select("code", "construction_id", "height", "storeys", "fictitious", F.size("glazed_areas").alias("facings"), "roof_material", "wall_insulation", "window_u_value", "window_solar_factor", "roof_unknown")
 
 
+@query(f"""WITH {BLD}, e AS (SELECT brand, size, CAST(min(x0) AS DOUBLE) AS x0, CAST(min(3 * y0) AS DOUBLE) AS y0, CAST(max(x0 + w) AS DOUBLE) AS x1, CAST(max(3 * y0 + d) AS DOUBLE) AS y1, coalesce(min(height), 0.0) AS ground, bool_or(code % 40 = 0) AS fictitious FROM bld GROUP BY 1, 2)
+ SELECT brand || '/' || size AS area, x0 - 30 AS west, y0 - 30 AS south, x1 + 30 AS east, y1 + 30 AS north, (x0 + x1) / 2 AS centre_x, (y0 + y1) / 2 AS centre_y, ground AS reference_elevation,
+ CASE WHEN x1 <= 180 AND y1 <= 90 THEN 'EPSG:4326' ELSE 'EPSG:2154' END AS crs, CASE WHEN fictitious THEN 'fictitious_outline' WHEN x1 - x0 + 60 > 2000 OR y1 - y0 + 60 > 2000 THEN 'extent_limit' END AS reason FROM e""")
+def area_extents(spark, sf):
+    """[A-05, A-06, P-22, P-30]"""
+    b = buildings(spark, sf)
+    y = 3 * F.col("y0")
+    boxes = b.select(F.concat("brand", F.lit("/"), F.col("size").cast("string")).alias("area"), "x0", y.alias("y0"), (F.col("x0") + F.col("w")).alias("x1"), (y + F.col("d")).alias("y1"), F.col("height").alias("ground"), (F.col("code") % 40 == 0).alias("fictitious"))
+    return G.extents(boxes, "area")
+
+
 #: Features whose properties depend on part, and the values that they stand for.
 FEATURES = """f AS (SELECT p_partkey AS k, p_size AS s FROM part), v AS (SELECT k, s,
  CASE WHEN k % 11 <> 0 THEN 'osgb' || k WHEN k % 2 = 0 THEN 'f' || k END AS code, CASE WHEN k % 3 <> 0 THEN CAST(k % 5 AS DOUBLE) * 2.5 END AS top,

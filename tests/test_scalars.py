@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from masonry.functions import scalars as S
 from masonry.operators import relations as R
+from masonry.operators import spatial as G
 
 
 def values(spark, rows, column, kind="string"):
@@ -108,3 +109,11 @@ def test_building_groups(spark):
     assert (a.window_u_value, a.window_solar_factor, a.roof_unknown) == (None, 0.0, True)
     assert (b.roof_material, b.window_u_value, b.window_solar_factor, b.height, b.roof_unknown) == ("TUILES", 1.4, None, 7.0, False)
     assert c.code == d.code == "" and c.glazed_areas == [] and c.orientations == []
+
+
+def test_extents(spark):
+    rows = [("a", 0.0, 0.0, 4.0, 2.0, 5.0, False), ("a", 10.0, 0.0, 12.0, 6.0, None, None), ("b", 0.0, 0.0, 5000.0, 1.0, None, False), ("c", 0.0, 0.0, 1.0, 1.0, None, True), ("d", 0.0, float("nan"), 1.0, 1.0, None, False), ("d", 0.0, 0.0, None, 1.0, None, False)]
+    found = {r.k: r for r in G.extents(spark.createDataFrame(rows, "k string, x0 double, y0 double, x1 double, y1 double, ground double, fictitious boolean"), "k").collect()}
+    assert tuple(found["a"]) == ("a", -30.0, -30.0, 42.0, 36.0, 6.0, 3.0, 5.0, "EPSG:4326", None)
+    assert (found["b"].reason, found["b"].crs, found["b"].reference_elevation) == ("extent_limit", "EPSG:2154", 0.0)
+    assert (found["c"].reason, found["d"].reason) == ("fictitious_outline", "invalid_extent")
