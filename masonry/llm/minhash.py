@@ -7,8 +7,8 @@ Beta(m + 1, n - m + 1), and a pair goes as soon as the posterior probability tha
 below MISS. What survives all batches is verified exactly on the full sets of both texts.
 
 Buckets are not expanded into all pairs. Equal sets are united first; the least document of a bucket is
-compared with all others; only the members of buckets that then still hold several components meet each other,
-in blocks of BLOCK members, sorted by the sizes of their sets.
+compared with others, until each is in its component; only the members of buckets that then still hold several
+components meet each other, in blocks of BLOCK members, sorted by the sizes of their sets.
 
 At a similarity of exactly 0.80 a pair shares no bucket with a probability of (1 - 0.8 ** 7) ** 64 = 3e-7.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -158,30 +159,53 @@ def _linked(pairs: DataFrame, texts: DataFrame, shingler: Shingler, percent: int
     return tested.filter(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
 
 
+def _with_labels(member: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """member with own: the component of each document so far."""
+    if labels is None:
+        return member.withColumn("own", F.col("doc_id"))
+    return member.join(labels, "doc_id", "left").withColumn("own", F.coalesce("label", "doc_id")).drop("label")
+
+
 def links(texts: DataFrame, member: DataFrame, shingler: Shingler, percent: int = PERCENT) -> DataFrame | None:
-    """doc_id, label of all documents with a link among `member` (see similar.regions); None if there is no link."""
-    least = least_matches(percent)
-    pivots = member.groupBy("region").agg(F.min(F.struct("doc_id", "n", "bits")).alias("p"))
-    fits = (F.col("doc_id") != F.col("p.doc_id")) & (100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n"))
-    met = member.join(pivots, "region").filter(fits).select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("p.bits").alias("one"), F.col("bits").alias("other"))
-    first = materialise(met.mapInArrow(_pruned(least), "a long, b long").distinct(), "candidates")
-    linked = materialise(_linked(first, texts, shingler, percent), "linked")
-    labels = components(linked) if linked.limit(1).count() else None
-    # what is left of each bucket without its least document, where there is more than one component
-    rest = member.join(pivots.select("region", F.col("p.doc_id").alias("pivot")), "region").filter("doc_id <> pivot")
-    rest = rest.join(labels, "doc_id", "left").withColumn("own", F.coalesce("label", "doc_id")) if labels is not None else rest.withColumn("own", F.col("doc_id"))
-    mixed = rest.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("region", "m")
+    """doc_id, label of all documents with a link among `member` (see similar.regions); None if there is no link.
+
+    Three rounds: each document with the least of its buckets' least documents; then, in buckets that hold several
+    components, each document with that bucket's; then, where there are several still, all those of different components.
+    A pair within a component needs no test, so a large group of near copies costs about a test for each of its members.
+    """
+    least, found = least_matches(percent), []
+
+    def grown(pairs: DataFrame) -> DataFrame | None:
+        """The labels after the links among these pairs, too."""
+        found.append(materialise(_linked(pairs, texts, shingler, percent), "linked"))
+        edges = reduce(DataFrame.union, found)
+        return components(edges) if edges.limit(1).count() else None
+
+    def met(rows: DataFrame, pivots: DataFrame, apart) -> DataFrame:
+        fits = 100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
+        return rows.join(pivots, "region").filter(fits & apart).select(F.col("p.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("p.bits").alias("one"), F.col("bits").alias("other"))
+
+    prune = lambda pairs: pairs.mapInArrow(_pruned(least), "a long, b long").distinct()
+    head = F.min(F.struct("doc_id", "n", "bits")).alias("p")
+    near = met(member, member.groupBy("region").agg(head), F.col("doc_id") != F.col("p.doc_id"))
+    labels = grown(prune(near.groupBy("b").agg(F.min(F.struct("a", "one", "other")).alias("s")).select("s.a", "b", "s.one", "s.other")))
+
+    several = [F.count(F.lit(1)).alias("m"), F.min("own").alias("low"), F.max("own").alias("high")]
+    rows = _with_labels(member, labels)
+    mixed = rows.groupBy("region").agg(F.min(F.struct("doc_id", "n", "bits", "own")).alias("p"), *several).filter("low <> high").select("region", "p")
+    tested = materialise(prune(met(rows, mixed, F.col("own") != F.col("p.own"))), "candidates")
+    labels = grown(tested)
+
+    rows = _with_labels(member, labels)
+    mixed = rows.groupBy("region").agg(*several).filter("low <> high").select("region", "m")
     n = F.ceil(F.col("m") / BLOCK).cast("int")
-    rest = rest.join(mixed, "region").withColumn("k", F.pmod(F.xxhash64(F.lit(7), "doc_id"), n).cast("int"))
+    rows = rows.join(mixed, "region").withColumn("k", F.pmod(F.xxhash64(F.lit(7), "doc_id"), n).cast("int"))
     to = F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.least(i, F.col("k")).alias("i"), F.greatest(i, F.col("k")).alias("j"), F.when(i < F.col("k"), 1).otherwise(0).alias("side"))))
-    dealt = materialise(rest.withColumn("to", to).select(F.xxhash64("region", "to.i", "to.j").alias("unit"), "to.side", "doc_id", "n", "own", "bits"), "blocks")
+    dealt = materialise(rows.withColumn("to", to).select(F.xxhash64("region", "to.i", "to.j").alias("unit"), "to.side", "doc_id", "n", "own", "bits"), "blocks")
     tasks = max(1, dealt.count() // TASK_ROWS)
     pairs = dealt.withColumn("task", F.pmod("unit", F.lit(tasks))).groupBy("task").applyInArrow(_block_pairs(percent, least), "a long, b long").distinct()
-    more = materialise(_linked(pairs.join(first, ["a", "b"], "left_anti"), texts, shingler, percent), "more")
-    discard(dealt, first)
-    if more.limit(1).count():
-        labels = components(linked.union(more))
-    discard(linked, more)
+    labels = grown(pairs.join(tested, ["a", "b"], "left_anti"))
+    discard(dealt, tested, *found)
     return labels
 
 
