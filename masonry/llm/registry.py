@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, minhash, packing, personal, quality, repeats, rules, shards, similar, tokens
+from . import alignment, decontaminate, language, minhash, negatives, packing, personal, quality, repeats, rules, shards, similar, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,7 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_distribution_divergence": rules.op8_distribution_divergence,
         "op9_personal_data": personal.op9_personal_data,
         "op10_best_fit_packing": packing.op10_best_fit_packing,
+        "op11_token_alignment": alignment.op11_token_alignment,
         "op12_minhash_near_dedup": minhash.op12_minhash_near_dedup,
+        "op13_hard_negatives": negatives.op13_hard_negatives,
     }
 
 
@@ -29,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_benchmark_decontamination": decontaminate.ORACLE,
         "op12_minhash_near_dedup": minhash.ORACLE,
+        "op13_hard_negatives": negatives.ORACLE,
     }
