@@ -1,15 +1,18 @@
 """Alignment of two tokenizers' tokens by the bytes they cover.
 
-Python only tokenises: a row gets the ids of both tokenizers and the byte offsets at which their tokens end.
-All else is expressions of higher-order functions over these arrays:
+Python only tokenises: it gives the ids of both tokenizers and the byte offsets at which their tokens end. So that
+what repeats is aligned once, a block of texts is a list of units - stretches that begin where a run of spaces
+does and tokens of both sides end - and each text a list of numbers of units. All else is expressions of
+higher-order functions:
 
-* groups: array_intersect of both end arrays has the offsets where tokens of both end; these cut them into groups.
+* groups: array_intersect of a unit's end arrays has the offsets where tokens of both end; these cut them into groups.
 * links: both end arrays are merged into one in order, an end of A before an equal end of B. Each distinct end
   closes a stretch of bytes that one token of either side covers, so it is one overlapping pair; how far an
   element has moved from its own index tells how many tokens of the other side ended before, and so the partner's.
+* texts: the groups of their units laid end to end, and sums over their units.
 
-No array is grown element by element, so the work is in proportion to the tokens (and a sort of two runs). A pair's
-count over the corpus comes from one aggregate; it is joined back to the links by a broadcast for the pairs with
+No array is grown element by element, so the work is in proportion to the tokens. A pair's count over the corpus
+comes from one aggregate over units, each times its occurrences; it is joined back by a broadcast for the pairs with
 one in HOT of all links or more (at most HOT of them), by a shuffle for the rest.
 """
 
@@ -23,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, materialise, ragged, small_batches, span_hashes, table, text_view
+from .common import _powers, blocks, materialise, mix, ragged, small_batches, span_hashes, table, text_view
 from .tokens import VOCABULARY, encoder, vocabulary_path
 
 PIECES = "piece_bpe_32k.model"
@@ -31,6 +34,8 @@ PIECES = "piece_bpe_32k.model"
 HOT = 100_000
 #: Ids of words that a worker keeps before it starts over.
 CACHE_IDS = 4_000_000
+#: Text bytes that make a block.
+BLOCK = 2 << 20
 MARK = "▁"
 
 _WORDS: dict[str, WordEncoder] = {}
@@ -93,12 +98,6 @@ class Spelling:
         self.start = np.cumsum(self.size) - self.size
         self.flat = np.frombuffer(b"".join(entries), np.uint8)
 
-    def ends(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The offset in its text at which each token ends."""
-        run = np.cumsum(self.size[ids])
-        before = np.append(0, run)[np.cumsum(counts) - counts]
-        return run - np.repeat(before, counts)
-
     def spells(self, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Which texts the bytes of their tokens, joined, are equal to."""
         run = np.append(0, np.cumsum(self.size[ids]))
@@ -135,77 +134,125 @@ def _loaded(path_a: str, path_b: str):
     return a, _BYTES[path_a], _WORDS[path_b], _BYTES[path_b]
 
 
+def _sequence_hashes(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ids[start:end], all at once."""
+    up, down = _powers(len(ids) + 1)
+    sums = np.append(np.uint64(0), np.cumsum(mix(ids.astype(np.uint64) + np.uint64(1)) * up[: len(ids)], dtype=np.uint64))
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+
+
+def _lists(values: np.ndarray, counts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(values.astype(np.int32)))
+
+
+def units(data: np.ndarray, offsets: np.ndarray, sides: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, list[pa.Array]]:
+    """(units of all texts in order, how many each text has, [occurrences, then ids and ends of each side] of every unit).
+
+    sides: ids and ends (offsets in data) of both tokenizers. Units with the same ids on both sides are one.
+    """
+    start = np.zeros(len(data) + 1, bool)
+    start[offsets] = True
+    both = start.copy()
+    for k, (_, ends) in enumerate(sides):
+        seen = np.zeros(len(data) + 1, bool)
+        seen[ends] = True
+        both = seen if k == 0 else both & seen
+    spaces = data == 32
+    spaces[1:] &= data[:-1] != 32
+    at = np.flatnonzero(start[:-1] | (both[:-1] & spaces))
+    bounds = [np.append(np.searchsorted(ends, at, side="right"), len(ids)) for ids, ends in sides]
+    keys = np.zeros(len(at), np.uint64)
+    for (ids, _), b in zip(sides, bounds, strict=True):
+        keys = mix(keys + _sequence_hashes(ids, b[:-1], b[1:]))
+    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    for (ids, _), b in zip(sides, bounds, strict=True):
+        size = np.diff(b)
+        if (size != size[first][back]).any() or (ids[np.repeat(b[:-1][first][back], size) + ragged(size)] != ids).any():
+            first = back = np.arange(len(at))  # two hashes were equal: every unit stands for itself
+            break
+    columns = [pa.array(np.bincount(back, minlength=len(first)).astype(np.int64))]
+    for (ids, ends), b in zip(sides, bounds, strict=True):
+        size = np.diff(b)[first]
+        own = np.repeat(b[:-1][first], size) + ragged(size)
+        columns += [_lists(ids[own], size), _lists(ends[own] - np.repeat(at[first], size), size)]
+    return back, np.diff(np.searchsorted(at, offsets)), columns
+
+
+TOKENS = """docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, words: array<int>>>,
+    units array<struct<n: bigint, a_ids: array<int>, a_ends: array<int>, b_ids: array<int>, b_ends: array<int>>>"""
+
+
 def tokenised(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """place (a number for each row), doc_id, a_ids, a_ends, b_ids, b_ends; the arrays are empty where the bytes don't agree."""
+    """A row for each block of texts: its docs (words: numbers of units; none where the bytes don't agree) and its units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, spell_a, b, spell_b = _loaded(path_a, path_b)
         for batch in batches:
-            texts = batch.column(2).fill_null("")
+            texts = batch.column(1).fill_null("")
             texts = pc.if_else(pc.equal(texts, ""), texts, pc.binary_join_element_wise(pa.scalar(" "), texts, pa.scalar("")))
             data, offsets = text_view(texts)
-            for i, j in blocks(offsets):
+            for i, j in blocks(offsets, BLOCK):
                 own, ends = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                columns, good = [], np.diff(ends) > 0
-                sides = [(*x.encode(own, ends), spelling) for x, spelling in ((a, spell_a), (b, spell_b))]
-                for ids, counts, spelling in sides:
+                encoded = [(*x.encode(own, ends), spelling) for x, spelling in ((a, spell_a), (b, spell_b))]
+                good = np.diff(ends) > 0
+                for ids, counts, spelling in encoded:
                     good &= spelling.spells(ids, counts, own, ends)
-                for ids, counts, spelling in sides:
-                    kept = np.repeat(good, counts)
-                    heads = pa.array(np.append(0, np.cumsum(np.where(good, counts, 0))).astype(np.int32))
-                    for values in (ids, spelling.ends(ids, counts)):
-                        columns.append(pa.ListArray.from_arrays(heads, pa.array(values[kept].astype(np.int32))))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in (0, 1)), *columns], ["place", "doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+                length = np.where(good, np.diff(ends), 0)
+                sides = [ids[np.repeat(good, counts)].astype(np.int64) for ids, counts, _ in encoded]
+                sides = [(ids, np.cumsum(spelling.size[ids])) for ids, (_, _, spelling) in zip(sides, encoded, strict=True)]
+                words, n, columns = units(own[np.repeat(good, np.diff(ends))], np.append(0, np.cumsum(length)), sides)
+                n_a, n_b = (pa.array(np.where(good, counts, 0).astype(np.int64)) for _, counts, _ in encoded)
+                texts_in = pa.StructArray.from_arrays([batch.column(0).slice(i, j - i), n_a, n_b, _lists(words, n)], ["doc_id", "n_a", "n_b", "words"])
+                units_in = pa.StructArray.from_arrays(columns, ["n", "a_ids", "a_ends", "b_ids", "b_ends"])
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (texts_in, units_in)], ["docs", "units"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("place"), "doc_id", "text")
-    return rows.mapInArrow(run, "place long, doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
 
 
 # A merged element is end << 32 | side << 31 | index: in order it has A's end before B's equal one.
 _SIDE, _INDEX = 1 << 31, (1 << 31) - 1
 _PACKED = "transform({ends}, (e, i) -> shiftleft(cast(e as bigint), 32) + {side} + i)"
-_MERGED = f"sort_array(concat({_PACKED.format(ends='a_ends', side=0)}, {_PACKED.format(ends='b_ends', side=_SIDE)}))"
+_MERGED = f"sort_array(concat({_PACKED.format(ends='w.a_ends', side=0)}, {_PACKED.format(ends='w.b_ends', side=_SIDE)}))"
 _OF = f"cast(x & {_INDEX} as int)"
 #: For each cut of array_intersect, in order: tokens of A up to it << 32 | tokens of B up to it.
 _CUTS = f"""filter(transform(m, (x, t) -> if((x & {_SIDE}) = 0 and t + 1 < size(m) and shiftright(m[least(t + 1, size(m) - 1)], 32) = shiftright(x, 32),
     shiftleft(cast({_OF} + 1 as bigint), 32) + (t - {_OF} + 1), null)), x -> x is not null)"""
-_PAIR = "shiftleft(cast(a_ids[{a}] as bigint), 32) + b_ids[{b}]"
+_PAIR = "shiftleft(cast(w.a_ids[{a}] as bigint), 32) + w.b_ids[{b}]"
 _LINKS = f"""filter(transform(m, (x, t) -> case when (x & {_SIDE}) = 0 then {_PAIR.format(a=_OF, b=f't - {_OF}')}
     when t > 0 and shiftright(m[greatest(t - 1, 0)], 32) = shiftright(x, 32) then null
     else {_PAIR.format(a=f't - {_OF}', b=_OF)} end), x -> x is not null)"""
 _UP_TO = {"a": "cast(shiftright({c}, 32) as int)", "b": "cast({c} & 4294967295 as int)"}
 _FROM = {s: f"if(k = 0, 0, {x.format(c='c[greatest(k - 1, 0)]')})" for s, x in _UP_TO.items()}
 _TO = {s: x.format(c="g") for s, x in _UP_TO.items()}
-_IDS = "array_join(transform(sequence({low}, {high} - 1), i -> string({side}_ids[i])), ',')"
+_IDS = "array_join(transform(sequence({low}, {high} - 1), i -> string(w.{side}_ids[i])), ',')"
 _GROUPS = "array_join(transform(c, (g, k) -> concat({}, '|', {})), ';')".format(*(_IDS.format(low=_FROM[s], high=_TO[s], side=s) for s in "ab"))
 _N_LINKS = f"aggregate(transform(c, (g, k) -> cast({_TO['a']} - {_FROM['a']} + {_TO['b']} - {_FROM['b']} - 1 as bigint)), 0L, (s, n) -> s + n)"
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """place, doc_id, n_a, n_b, n_groups and a struct found: links (a's id << 32 | b's id of each overlapping pair), groups (text), n_links."""
-    # one-element arrays bind the merged ends m and the cuts c once for all the functions inside
-    found = f"transform(array({_MERGED}), m -> transform(array({_CUTS}), c -> named_struct('links', {_LINKS}, 'groups', {_GROUPS}, 'n_links', {_N_LINKS}))[0])[0]"
-    return tokens.select(
-        "place", "doc_id", F.size("a_ids").cast("long").alias("n_a"), F.size("b_ids").cast("long").alias("n_b"),
-        F.size(F.array_intersect("a_ends", "b_ends")).cast("long").alias("n_groups"), F.expr(found).alias("found"),
-    )
+    """Rows of blocks with found: docs (doc_id, n_a, n_b, n_groups, n_links, groups, words) and units (n, links: a's id << 32 | b's id of each overlapping pair)."""
+    # one-element arrays bind the merged ends m, the cuts c and the aligned units u once for all the functions inside
+    unit = f"transform(array({_MERGED}), m -> transform(array({_CUTS}), c -> named_struct('n', w.n, 'links', {_LINKS}, 'groups', {_GROUPS}, 'n_groups', size(array_intersect(w.a_ends, w.b_ends)), 'n_links', {_N_LINKS}))[0])[0]"
+    summed = lambda c: f"aggregate(d.words, 0L, (s, i) -> s + u[i].{c})"
+    doc = f"named_struct('doc_id', d.doc_id, 'n_a', d.n_a, 'n_b', d.n_b, 'n_groups', {summed('n_groups')}, 'n_links', {summed('n_links')}, 'groups', array_join(transform(d.words, i -> u[i].groups), ';'), 'words', d.words)"
+    return tokens.select(F.expr(f"transform(array(transform(units, w -> {unit})), u -> named_struct('docs', transform(docs, d -> {doc}), 'units', transform(u, x -> named_struct('n', x.n, 'links', x.links))))[0]").alias("found"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
-    """pair, c (links that hold it), best (c is the highest among the pairs of its B id) of rows with a column pair."""
-    counts = materialise(links.groupBy("pair").agg(F.count(F.lit(1)).alias("c")), "pairs").withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF))
+    """pair, c (links that hold it), best (c is the highest among the pairs of its B id) of rows (pair, n: occurrences)."""
+    counts = materialise(links.groupBy("pair").agg(F.sum("n").alias("c")), "pairs").withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF))
     highest = counts.groupBy("b").agg(F.max("c").alias("top"))  # a row for each id of B's vocabulary at most
     return counts.join(F.broadcast(highest), "b").select("pair", "c", (F.col("c") == F.col("top")).cast("long").alias("best"))
 
 
-def counted(links: DataFrame, pairs: DataFrame) -> DataFrame:
-    """place, n_best, count_sum over the links (place, pair) of each row."""
-    total = pairs.agg(F.sum("c")).first()[0] or 0
+def counted(links: DataFrame, pairs: DataFrame, total: int) -> DataFrame:
+    """block, unit, n_best, count_sum of the links (block, unit, pair) of each unit."""
     few = F.broadcast(pairs.filter(F.col("c") * HOT >= total))
-    often = links.join(few, "pair").groupBy("place").agg(F.sum("best").alias("n_best"), F.sum("c").alias("count_sum"))
-    rest = links.join(few.select("pair"), "pair", "left_anti").groupBy("place", "pair").agg(F.count(F.lit(1)).alias("n"))
-    mild = rest.join(pairs.filter(F.col("c") * HOT < total), "pair").groupBy("place").agg(F.sum(F.col("n") * F.col("best")).alias("n_best"), F.sum(F.col("n") * F.col("c")).alias("count_sum"))
-    return often.union(mild).groupBy("place").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    sums = lambda k: (F.sum(k * F.col("best")).alias("n_best"), F.sum(k * F.col("c")).alias("count_sum"))
+    often = links.join(few, "pair").groupBy("block", "unit").agg(*sums(F.lit(1)))
+    rest = links.join(few.select("pair"), "pair", "left_anti")
+    mild = rest.join(pairs.filter(F.col("c") * HOT < total), "pair").groupBy("block", "unit").agg(*sums(F.lit(1)))
+    return often.union(mild).groupBy("block", "unit").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
 
 
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
@@ -216,15 +263,20 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
     those with a null doc_id too. Other columns are ignored. The groups themselves: see aligned.
     """
     spark = docs.sparkSession
-    small_batches(spark, 250)
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = aligned(tokenised(docs, path_a or vocabulary_path(VOCABULARY), path_b or vocabulary_path(PIECES)))
-    digest = F.when(F.col("n_a") == 0, "").otherwise(F.sha2("found.groups", 256))
-    rows = materialise(rows.select("place", "doc_id", "n_a", "n_b", "n_groups", F.col("found.n_links").alias("n_links"), digest.alias("groups_sha256"), F.col("found.links").alias("links")), "aligned")
-    links = rows.select("place", F.explode("links").alias("pair"))
-    sums = materialise(counted(links, materialise(pair_counts(links), "counts")), "sums")
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return rows.drop("links").join(sums, "place", "left").select("doc_id", "n_a", "n_b", "n_groups", "n_links", zero("n_best"), zero("count_sum"), "groups_sha256")
+    blocks_of = aligned(tokenised(docs, path_a or vocabulary_path(VOCABULARY), path_b or vocabulary_path(PIECES)))
+    digested = F.transform("found.docs", lambda d: d.withField("groups", F.when(d["n_a"] == 0, "").otherwise(F.sha2(d["groups"], 256))))
+    rows = materialise(blocks_of.select(F.monotonically_increasing_id().alias("block"), digested.alias("docs"), F.col("found.units").alias("units")), "aligned")
+    links = rows.select("block", F.posexplode("units").alias("unit", "u")).select("block", "unit", "u.n", F.explode("u.links").alias("pair"))
+    pairs = materialise(pair_counts(links.select("pair", "n")), "counts")
+    scores = counted(links.select("block", "unit", "pair"), pairs, pairs.agg(F.sum("c")).first()[0] or 0)
+    # every unit has a link, so the scores of a block in order are those of its units
+    scores = scores.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("unit", "n_best", "count_sum"))).alias("scores"))
+    met = rows.select("block", "docs").hint("merge").join(scores, "block", "left")
+    of = lambda d, c: F.aggregate(d["words"], F.lit(0).cast("long"), lambda s, i: s + F.col("scores")[i][c])
+    out = F.transform("docs", lambda d: F.struct(d["doc_id"], d["n_a"], d["n_b"], d["n_groups"], d["n_links"], of(d, "n_best").alias("n_best"), of(d, "count_sum").alias("count_sum"), d["groups"].alias("groups_sha256")))
+    return met.select(F.explode(out).alias("d")).select("d.*")
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

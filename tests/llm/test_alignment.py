@@ -108,9 +108,20 @@ def test_long_text_is_linear(spark, tokenizers):
 
 
 def test_groups_are_given_as_text(spark):
-    frame = spark.createDataFrame([(1, "unbelievable tokens")], "doc_id long, text string")
-    row = alignment.aligned(alignment.tokenised(frame, vocabulary_path("byte_bpe_50k.json"), vocabulary_path(alignment.PIECES))).first()
-    assert row.n_groups == row.found.groups.count(";") + 1 and len(row.found.links) == row.found.n_links
+    frame = spark.createDataFrame([(1, "unbelievable tokens, unbelievable")], "doc_id long, text string")
+    row = alignment.aligned(alignment.tokenised(frame, vocabulary_path("byte_bpe_50k.json"), vocabulary_path(alignment.PIECES))).first().found
+    doc = row.docs[0]
+    assert doc.n_groups == doc.groups.count(";") + 1 and doc.n_links == sum(len(row.units[w].links) for w in doc.words)
+    assert sum(u.n for u in row.units) == len(doc.words) == 3
+
+
+def test_equal_hashes_do_no_harm(spark, tokenizers, monkeypatch):
+    """Where hashes of units are equal by chance, every unit stands for itself."""
+    data = np.frombuffer(b" a b", np.uint8)
+    sides = [(np.array([7, 8]), np.array([2, 4])), (np.array([5, 6]), np.array([2, 4]))]
+    monkeypatch.setattr(alignment, "_sequence_hashes", lambda ids, starts, ends: np.ones(len(starts), np.uint64))
+    words, n, columns = alignment.units(data, np.array([0, 4]), sides)
+    assert words.tolist() == [0, 1] and n.tolist() == [2] and columns[1].to_pylist() == [[7], [8]]
 
 
 def test_empty(spark, empty):
