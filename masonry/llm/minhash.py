@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -156,30 +155,47 @@ def _block_pairs(percent: int, least: list[tuple[int, int]]):
 
 def _linked(pairs: DataFrame, texts: DataFrame, shingler: Shingler, percent: int) -> DataFrame:
     tested = distances(pairs, texts, shingler)
-    return tested.filter(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b")
+    return tested.filter(100 * F.col("shared") >= percent * (F.col("na") + F.col("nb") - F.col("shared"))).select("a", "b").distinct()
 
 
-def _with_labels(member: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _with_labels(member: DataFrame, labels: DataFrame) -> DataFrame:
     """member with own: the component of each document so far."""
-    if labels is None:
-        return member.withColumn("own", F.col("doc_id"))
     return member.join(labels, "doc_id", "left").withColumn("own", F.coalesce("label", "doc_id")).drop("label")
 
 
-def links(texts: DataFrame, member: DataFrame, shingler: Shingler, percent: int = PERCENT) -> DataFrame | None:
-    """doc_id, label of all documents with a link among `member` (see similar.regions); None if there is no link.
+def _roots(parents: DataFrame) -> DataFrame:
+    """doc_id, label: the end of the way that each document b goes by its one, smaller parent a; it jumps to the parent's parent until none moves."""
+    labels = materialise(parents.select(F.col("b").alias("doc_id"), F.col("a").alias("label")), "labels")
+    while True:
+        up = labels.select(F.col("doc_id").alias("label"), F.col("label").alias("further"))
+        grown = materialise(labels.select("doc_id", "label").join(up, "label", "left").select("doc_id", F.coalesce("further", "label").alias("label"), F.col("further").isNotNull().alias("moved")), "labels")
+        discard(labels)
+        if grown.filter("moved").isEmpty():
+            return grown.select("doc_id", "label")
+        labels = grown
+
+
+def _united(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels after links (a, b) among documents, too: only components are joined, so it costs what they are, not their members."""
+    of = lambda c: labels.select(F.col("doc_id").alias(c), F.col("label").alias(f"{c}_label"))
+    roots = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+    roots = materialise(roots.filter("a <> b").distinct(), "roots")
+    if roots.isEmpty():
+        return labels
+    found = components(roots)
+    moved = labels.join(found.select(F.col("doc_id").alias("label"), F.col("label").alias("further")), "label", "left").select("doc_id", F.coalesce("further", "label").alias("label"))
+    return materialise(moved.union(found.select("doc_id", "label")), "labels")
+
+
+def links(texts: DataFrame, member: DataFrame, shingler: Shingler, percent: int = PERCENT) -> DataFrame:
+    """doc_id, label of all documents that link with a smaller one, or more, among `member` (see similar.regions).
 
     Three rounds: each document with the least of its buckets' least documents; then, in buckets that hold several
     components, each document with that bucket's; then, where there are several still, all those of different components.
     A pair within a component needs no test, so a large group of near copies costs about a test for each of its members.
     """
-    least, found = least_matches(percent), []
-
-    def grown(pairs: DataFrame) -> DataFrame | None:
-        """The labels after the links among these pairs, too."""
-        found.append(materialise(_linked(pairs, texts, shingler, percent), "linked"))
-        edges = reduce(DataFrame.union, found)
-        return components(edges) if edges.limit(1).count() else None
+    least = least_matches(percent)
+    linked = lambda pairs: materialise(_linked(pairs, texts, shingler, percent), "linked")
 
     def met(rows: DataFrame, pivots: DataFrame, apart) -> DataFrame:
         fits = 100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
@@ -188,13 +204,13 @@ def links(texts: DataFrame, member: DataFrame, shingler: Shingler, percent: int
     prune = lambda pairs: pairs.mapInArrow(_pruned(least), "a long, b long").distinct()
     head = F.min(F.struct("doc_id", "n", "bits")).alias("p")
     near = met(member, member.groupBy("region").agg(head), F.col("doc_id") != F.col("p.doc_id"))
-    labels = grown(prune(near.groupBy("b").agg(F.min(F.struct("a", "one", "other")).alias("s")).select("s.a", "b", "s.one", "s.other")))
+    labels = _roots(linked(prune(near.groupBy("b").agg(F.min(F.struct("a", "one", "other")).alias("s")).select("s.a", "b", "s.one", "s.other"))))
 
     several = [F.count(F.lit(1)).alias("m"), F.min("own").alias("low"), F.max("own").alias("high")]
     rows = _with_labels(member, labels)
     mixed = rows.groupBy("region").agg(F.min(F.struct("doc_id", "n", "bits", "own")).alias("p"), *several).filter("low <> high").select("region", "p")
     tested = materialise(prune(met(rows, mixed, F.col("own") != F.col("p.own"))), "candidates")
-    labels = grown(tested)
+    labels = _united(labels, linked(tested))
 
     rows = _with_labels(member, labels)
     mixed = rows.groupBy("region").agg(*several).filter("low <> high").select("region", "m")
@@ -204,8 +220,8 @@ def links(texts: DataFrame, member: DataFrame, shingler: Shingler, percent: int
     dealt = materialise(rows.withColumn("to", to).select(F.xxhash64("region", "to.i", "to.j").alias("unit"), "to.side", "doc_id", "n", "own", "bits"), "blocks")
     tasks = max(1, dealt.count() // TASK_ROWS)
     pairs = dealt.withColumn("task", F.pmod("unit", F.lit(tasks))).groupBy("task").applyInArrow(_block_pairs(percent, least), "a long, b long").distinct()
-    labels = grown(pairs.join(tested, ["a", "b"], "left_anti"))
-    discard(dealt, tested, *found)
+    labels = _united(labels, linked(pairs.join(tested, ["a", "b"], "left_anti")))
+    discard(dealt, tested)
     return labels
 
 
@@ -234,9 +250,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     rows = materialise(base.select(*same), "rows")
     discard(base)
     texts = materialise(zipped(docs).join(member.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi"), "texts")
-    labels = links(texts, member, shingler, percent) if member.limit(1).count() else None
-    if labels is None:
-        labels = spark.createDataFrame([], "doc_id long, label long")
+    labels = links(texts, member, shingler, percent)
     named = materialise(reps.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("component_id"), "c"), "named")
     total = rows.count()
     discard(reps, member, texts)
