@@ -66,9 +66,12 @@ def as_code(v: Column) -> Column:
 
 
 def as_text_array(v: Column) -> Column:
-    """[P-05] `{a,"b"}` to an array of its items that are not blank."""
-    items = F.split(F.regexp_replace(F.trim(v), r"^[{}]+|[{}]+$", ""), ",")
-    return F.transform(F.filter(items, lambda x: F.trim(x) != ""), lambda x: F.regexp_replace(F.trim(x), '^"+|"+$', ""))
+    """[P-05] a JSON array or `{a,"b"}` to an array of texts: nulls of the one and blanks of the other go. A text in brackets that is no JSON array is read like a braced one."""
+    t = F.trim(v)
+    listed = F.when(t.startswith("["), F.from_json(t, "array<string>"))
+    items = F.split(F.regexp_replace(t, r"^[{}]+|[{}]+$", ""), ",")
+    braced = F.transform(F.filter(items, lambda x: F.trim(x) != ""), lambda x: F.regexp_replace(F.trim(x), '^"+|"+$', ""))
+    return F.coalesce(F.filter(listed, lambda x: x.isNotNull()), braced)
 
 
 def identifiers(v: Column) -> Column:
@@ -112,13 +115,13 @@ def orientations(tokens: Column, glazed: Column | None = None) -> Column:
     words = F.create_map(*(F.lit(x) for pair in {"nord": "north", "north": "north", "sud": "south", "south": "south", "est": "east", "east": "east", "ouest": "west", "west": "west"}.items() for x in pair))
     parts = F.flatten(F.transform(tokens, lambda t: F.split(fold(t), "[^a-z0-9]+")))
     found = F.coalesce(F.array_distinct(F.filter(F.transform(parts, lambda p: F.try_element_at(words, p)), lambda x: x.isNotNull())), F.expr("cast(array() as array<string>)"))
-    return found if glazed is None else F.when(F.size(found) > 0, found).otherwise(F.transform(glazed, lambda g: g["side"]))
+    return found if glazed is None else F.when(F.size(found) > 0, found).otherwise(F.transform(glazed, lambda g: g["facing"]))
 
 
 def glazed_areas(north: Column, east: Column, south: Column, west: Column) -> Column:
-    """[P-35] array<struct<side, area>> of the positive areas."""
-    sides = F.array(*(F.struct(F.lit(n).alias("side"), c.cast("double").alias("area")) for n, c in (("north", north), ("east", east), ("south", south), ("west", west))))
-    return F.filter(sides, lambda g: g["area"] > 0)
+    """[P-35] array<struct<facing, area>> of the positive areas, north to west."""
+    sides = F.array(*(F.struct(F.lit(n).alias("facing"), c.cast("double").alias("area")) for n, c in (("north", north), ("east", east), ("south", south), ("west", west))))
+    return F.filter(sides, lambda g: (g["area"] > 0) & ~F.isnan(g["area"]))
 
 
 def cardinal(azimuth: Column) -> Column:

@@ -84,7 +84,7 @@ def building_groups(rows: DataFrame) -> DataFrame:
     """
     parsed = rows.select(F.coalesce(F.from_json("row", "map<string,string>"), F.expr("cast(map() as map<string,string>)")).alias("m"))
     at = lambda k: F.try_element_at("m", F.lit(k))
-    areas = F.filter(F.array(*(F.struct(F.lit(k).alias("facing"), S.as_float(at(c)).alias("area")) for k, c in GLAZED.items())), lambda g: (g["area"] > 0) & ~F.isnan(g["area"]))
+    areas = S.glazed_areas(*(S.as_float(at(c)) for c in GLAZED.values()))
     values = {
         "code": F.coalesce(at("batiment_groupe_id"), F.lit("")),
         "construction_id": F.coalesce(S.as_code(at("batiment_construction_id")), S.as_code(at("rnb_id"))),

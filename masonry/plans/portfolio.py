@@ -423,6 +423,17 @@ def group_rows(spark, sf):
     return groups.select("code", "construction_id", "height", "storeys", "fictitious", F.size("glazed_areas").alias("facings"), "roof_material", "wall_insulation", "window_u_value", "window_solar_factor", "roof_unknown")
 
 
+@query("""WITH f AS (SELECT p_partkey AS k, p_size AS s FROM part), o AS (SELECT k, s, CASE k % 5 WHEN 0 THEN ['north', 'south', 'east'] WHEN 1 THEN ['east', 'west'] WHEN 2 THEN [] WHEN 3 THEN ['south'] ELSE [] END AS named FROM f)
+ SELECT 'g' || k AS code, array_to_string(CASE WHEN len(named) > 0 THEN named ELSE list_filter([CASE WHEN k % 3 > 0 THEN 'north' END, CASE WHEN s > 10 THEN 'south' END], lambda x: x IS NOT NULL) END, ',') AS facings FROM o""")
+def group_orientations(spark, sf):
+    """[P-05, P-07, P-16, P-35] rows with orientations as JSON arrays, braced texts, blanks and nulls; where none is named, the sides with glazing."""
+    k, s = F.col("p_partkey"), F.col("p_size")
+    listed = F.when(k % 5 == 0, '["nord", null, "Sud-Est"]').when(k % 5 == 1, '"{est, ,\\"Ouest\\"}"').when(k % 5 == 2, "[]").when(k % 5 == 3, '["Façade SUD", "inconnu"]').otherwise("null")
+    row = F.concat(F.lit('{"batiment_groupe_id": "g'), k.cast("string"), F.lit('", "l_orientation_baie_vitree": '), listed, F.lit(', "surface_vitree_nord": '), (k % 3).cast("string"), F.lit(', "surface_vitree_sud": "'), (s - 10).cast("string"), F.lit('"}'))
+    groups = R.building_groups(table(spark, sf, "part").select(row.alias("row")))
+    return groups.select("code", F.array_join(S.orientations(F.col("orientations"), F.col("glazed_areas")), ",").alias("facings"))
+
+
 @query(f"""WITH {BLD}, e AS (SELECT brand, size, CAST(min(x0) AS DOUBLE) AS x0, CAST(min(3 * y0) AS DOUBLE) AS y0, CAST(max(x0 + w) AS DOUBLE) AS x1, CAST(max(3 * y0 + d) AS DOUBLE) AS y1, coalesce(min(height), 0.0) AS ground, bool_or(code % 40 = 0) AS fictitious FROM bld GROUP BY 1, 2)
  SELECT brand || '/' || size AS area, x0 - 30 AS west, y0 - 30 AS south, x1 + 30 AS east, y1 + 30 AS north, (x0 + x1) / 2 AS centre_x, (y0 + y1) / 2 AS centre_y, ground AS reference_elevation,
  CASE WHEN x1 <= 180 AND y1 <= 90 THEN 'EPSG:4326' ELSE 'EPSG:2154' END AS crs, CASE WHEN fictitious THEN 'fictitious_outline' WHEN x1 - x0 + 60 > 2000 OR y1 - y0 + 60 > 2000 THEN 'extent_limit' END AS reason FROM e""")

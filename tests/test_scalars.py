@@ -34,7 +34,7 @@ def test_labels_and_folding(spark):
 def test_orientations_and_areas(spark):
     frame = spark.createDataFrame([(["Sud-Est", "Ouest, sud"], 0.0, 2.0), (["?"], 1.0, 0.0), (None, None, None)], "t array<string>, n double, e double")
     areas = S.glazed_areas(F.col("n"), F.col("e"), F.lit(None), F.lit(-1.0))
-    rows = frame.select(S.orientations(F.col("t"), areas), F.transform(areas, lambda g: g["side"])).collect()
+    rows = frame.select(S.orientations(F.col("t"), areas), F.transform(areas, lambda g: g["facing"])).collect()
     assert [tuple(r) for r in rows] == [(["south", "east", "west"], ["east"]), (["north"], ["north"]), ([], [])]
 
 
@@ -108,6 +108,10 @@ def test_building_groups(spark):
     assert [tuple(g) for g in a.glazed_areas] == [("east", 2.5)] and a.orientations == ["est", "sud"]
     assert (a.window_u_value, a.window_solar_factor, a.roof_unknown) == (None, 0.0, True)
     assert (b.roof_material, b.window_u_value, b.window_solar_factor, b.height, b.roof_unknown) == ("TUILES", 1.4, None, 7.0, False)
+    arrays = ['["nord", null, "Sud-Est"]', "{est, ,\"ouest\"}", "[]", "[oops", "null"]
+    rows = spark.createDataFrame([('{"l_orientation_baie_vitree": %s, "surface_vitree_nord": 2}' % (x if x.startswith('["') or x in ("[]", "null") else '"' + x.replace('"', '\\"') + '"'),) for x in arrays], "row string")
+    got = R.building_groups(rows).select("orientations", S.orientations(F.col("orientations"), F.col("glazed_areas"))).collect()
+    assert [tuple(r) for r in got] == [(["nord", "Sud-Est"], ["north", "south", "east"]), (["est", "ouest"], ["east", "west"]), ([], ["north"]), (["[oops"], ["north"]), ([], ["north"])]
     assert c.code == d.code == "" and c.glazed_areas == [] and c.orientations == []
 
 
