@@ -9,6 +9,7 @@ higher-order functions:
 * links: both end arrays are merged into one in order, an end of A before an equal end of B. Each distinct end
   closes a stretch of bytes that one token of either side covers, so it is one overlapping pair; how far an
   element has moved from its own index tells how many tokens of the other side ended before, and so the partner's.
+  A group of p and q tokens has p + q - 1 links.
 * texts: the groups of their units laid end to end, and sums over their units.
 
 No array is grown element by element, so the work is in proportion to the tokens. A pair's count over the corpus
@@ -35,7 +36,9 @@ HOT = 100_000
 #: Ids of words that a worker keeps before it starts over.
 CACHE_IDS = 4_000_000
 #: Text bytes that make a block.
-BLOCK = 2 << 20
+BLOCK = 1 << 19
+#: Tokens of A from which on a unit is cut again where tokens of both sides end.
+UNIT_TOKENS = 64
 MARK = "▁"
 
 _WORDS: dict[str, WordEncoder] = {}
@@ -160,6 +163,12 @@ def units(data: np.ndarray, offsets: np.ndarray, sides: list[tuple[np.ndarray, n
     spaces = data == 32
     spaces[1:] &= data[:-1] != 32
     at = np.flatnonzero(start[:-1] | (both[:-1] & spaces))
+    # within stretches of many tokens, some other places where tokens of both sides end
+    tokens = np.searchsorted(sides[0][1], np.append(at, len(data)), side="right")
+    places = np.flatnonzero(both[:-1])
+    step = np.searchsorted(sides[0][1], places, side="right") // UNIT_TOKENS
+    places = places[np.append(True, step[1:] != step[:-1])] if len(places) else places
+    at = np.union1d(at, places[(np.diff(tokens) > UNIT_TOKENS)[np.searchsorted(at, places, side="right") - 1]])
     bounds = [np.append(np.searchsorted(ends, at, side="right"), len(ids)) for ids, ends in sides]
     keys = np.zeros(len(at), np.uint64)
     for (ids, _), b in zip(sides, bounds, strict=True):
@@ -215,8 +224,7 @@ _PACKED = "transform({ends}, (e, i) -> shiftleft(cast(e as bigint), 32) + {side}
 _MERGED = f"sort_array(concat({_PACKED.format(ends='w.a_ends', side=0)}, {_PACKED.format(ends='w.b_ends', side=_SIDE)}))"
 _OF = f"cast(x & {_INDEX} as int)"
 #: For each cut of array_intersect, in order: tokens of A up to it << 32 | tokens of B up to it.
-_CUTS = f"""filter(transform(m, (x, t) -> if((x & {_SIDE}) = 0 and t + 1 < size(m) and shiftright(m[least(t + 1, size(m) - 1)], 32) = shiftright(x, 32),
-    shiftleft(cast({_OF} + 1 as bigint), 32) + (t - {_OF} + 1), null)), x -> x is not null)"""
+_CUTS = "transform(array_intersect(w.a_ends, w.b_ends), e -> shiftleft(array_position(w.a_ends, e), 32) + array_position(w.b_ends, e))"
 _PAIR = "shiftleft(cast(w.a_ids[{a}] as bigint), 32) + w.b_ids[{b}]"
 _LINKS = f"""filter(transform(m, (x, t) -> case when (x & {_SIDE}) = 0 then {_PAIR.format(a=_OF, b=f't - {_OF}')}
     when t > 0 and shiftright(m[greatest(t - 1, 0)], 32) = shiftright(x, 32) then null
@@ -224,17 +232,18 @@ _LINKS = f"""filter(transform(m, (x, t) -> case when (x & {_SIDE}) = 0 then {_PA
 _UP_TO = {"a": "cast(shiftright({c}, 32) as int)", "b": "cast({c} & 4294967295 as int)"}
 _FROM = {s: f"if(k = 0, 0, {x.format(c='c[greatest(k - 1, 0)]')})" for s, x in _UP_TO.items()}
 _TO = {s: x.format(c="g") for s, x in _UP_TO.items()}
-_IDS = "array_join(transform(sequence({low}, {high} - 1), i -> string(w.{side}_ids[i])), ',')"
-_GROUPS = "array_join(transform(c, (g, k) -> concat({}, '|', {})), ';')".format(*(_IDS.format(low=_FROM[s], high=_TO[s], side=s) for s in "ab"))
-_N_LINKS = f"aggregate(transform(c, (g, k) -> cast({_TO['a']} - {_FROM['a']} + {_TO['b']} - {_FROM['b']} - 1 as bigint)), 0L, (s, n) -> s + n)"
+_TEXTS = {s: f"cast(w.{s}_ids as array<string>)" for s in "ab"}
+_SOME = {s: f"array_join(slice(v.{s}, {_FROM[s]} + 1, {_TO[s]} - {_FROM[s]}), ',')" for s in "ab"}
+_WHOLE = "concat(array_join({a}, ','), '|', array_join({b}, ','))".format(**_TEXTS)
+_GROUPS = f"if(size(c) = 1, {_WHOLE}, transform(array(named_struct('a', {_TEXTS['a']}, 'b', {_TEXTS['b']})), v -> array_join(transform(c, (g, k) -> concat({_SOME['a']}, '|', {_SOME['b']})), ';'))[0])"
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """Rows of blocks with found: docs (doc_id, n_a, n_b, n_groups, n_links, groups, words) and units (n, links: a's id << 32 | b's id of each overlapping pair)."""
+    """Rows of blocks with found: docs (doc_id, n_a, n_b, n_groups, groups, words) and units (n, links: a's id << 32 | b's id of each overlapping pair)."""
     # one-element arrays bind the merged ends m, the cuts c and the aligned units u once for all the functions inside
-    unit = f"transform(array({_MERGED}), m -> transform(array({_CUTS}), c -> named_struct('n', w.n, 'links', {_LINKS}, 'groups', {_GROUPS}, 'n_groups', size(array_intersect(w.a_ends, w.b_ends)), 'n_links', {_N_LINKS}))[0])[0]"
-    summed = lambda c: f"aggregate(d.words, 0L, (s, i) -> s + u[i].{c})"
-    doc = f"named_struct('doc_id', d.doc_id, 'n_a', d.n_a, 'n_b', d.n_b, 'n_groups', {summed('n_groups')}, 'n_links', {summed('n_links')}, 'groups', array_join(transform(d.words, i -> u[i].groups), ';'), 'words', d.words)"
+    unit = f"transform(array({_MERGED}), m -> transform(array({_CUTS}), c -> named_struct('n', w.n, 'links', {_LINKS}, 'groups', {_GROUPS}, 'n_groups', size(c)))[0])[0]"
+    summed = "aggregate(d.words, 0L, (s, i) -> s + u[i].n_groups)"
+    doc = f"named_struct('doc_id', d.doc_id, 'n_a', d.n_a, 'n_b', d.n_b, 'n_groups', {summed}, 'groups', array_join(transform(d.words, i -> u[i].groups), ';'), 'words', d.words)"
     return tokens.select(F.expr(f"transform(array(transform(units, w -> {unit})), u -> named_struct('docs', transform(docs, d -> {doc}), 'units', transform(u, x -> named_struct('n', x.n, 'links', x.links))))[0]").alias("found"))
 
 
@@ -275,7 +284,7 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
     scores = scores.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("unit", "n_best", "count_sum"))).alias("scores"))
     met = rows.select("block", "docs").hint("merge").join(scores, "block", "left")
     of = lambda d, c: F.aggregate(d["words"], F.lit(0).cast("long"), lambda s, i: s + F.col("scores")[i][c])
-    out = F.transform("docs", lambda d: F.struct(d["doc_id"], d["n_a"], d["n_b"], d["n_groups"], d["n_links"], of(d, "n_best").alias("n_best"), of(d, "count_sum").alias("count_sum"), d["groups"].alias("groups_sha256")))
+    out = F.transform("docs", lambda d: F.struct(d["doc_id"], d["n_a"], d["n_b"], d["n_groups"], (d["n_a"] + d["n_b"] - d["n_groups"]).alias("n_links"), of(d, "n_best").alias("n_best"), of(d, "count_sum").alias("count_sum"), d["groups"].alias("groups_sha256")))
     return met.select(F.explode(out).alias("d")).select("d.*")
 
 
