@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +56,8 @@ def least_matches(percent: int = PERCENT, miss: float = MISS) -> list[tuple[int,
     return out
 
 
-def surviving(left: np.ndarray, right: np.ndarray, least: list[tuple[int, int]]) -> np.ndarray:
-    """Indices of the pairs (rows of both signature matrices, or one row against all) that no batch prunes."""
+def surviving(left: np.ndarray, right: np.ndarray, least: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """(indices of the pairs - rows of both signature matrices, or one row against all - that no batch prunes, their matches)."""
     alive, matches, done = np.arange(len(right)), np.zeros(len(right), np.int64), 0
     for n, enough in least:
         one = left[:, done:n] if len(left) == 1 else left[alive, done:n]
@@ -64,7 +65,7 @@ def surviving(left: np.ndarray, right: np.ndarray, least: list[tuple[int, int]])
         alive, done = alive[matches[alive] >= enough], n
         if not len(alive):
             break
-    return alive
+    return alive, matches[alive]
 
 
 def minimum_hashes(keys: np.ndarray, heads: np.ndarray) -> np.ndarray:
@@ -118,14 +119,14 @@ def _pruned(least: list[tuple[int, int]]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alive = pa.array(surviving(_matrix(batch.column(2)), _matrix(batch.column(3)), least))
+            alive = pa.array(surviving(_matrix(batch.column(2)), _matrix(batch.column(3)), least)[0])
             yield pa.RecordBatch.from_arrays([batch.column(k).take(alive) for k in (0, 1)], ["a", "b"])
 
     return run
 
 
-def _block_pairs(percent: int, least: list[tuple[int, int]]):
-    """Pairs (a, b) of the rows of each block - or of its two sides - that differ in component and survive."""
+def _block_pairs(percent: int, least: list[tuple[int, int]], best: bool):
+    """Pairs (a, b) of the rows of each block - or of its two sides - that differ in component and survive; with `best` only that of most matches for each row."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in ("unit", "side", "n", "doc_id")]).combine_chunks()
@@ -143,7 +144,8 @@ def _block_pairs(percent: int, least: list[tuple[int, int]]):
                 high = low + np.searchsorted(n[low:high], n[x] * 100 // percent, side="right")
                 at = np.arange(low, high)
                 at = at[own[at] != own[x]]
-                at = at[surviving(bits[x : x + 1], bits[at], least)]
+                alive, matches = surviving(bits[x : x + 1], bits[at], least)
+                at = at[alive[[matches.argmax()]] if best and len(alive) else alive]
                 if len(at):
                     out.append((np.minimum(doc[at], doc[x]), np.maximum(doc[at], doc[x])))
         a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), ())))
@@ -184,15 +186,16 @@ def _united(labels: DataFrame, edges: DataFrame) -> DataFrame:
         return labels
     found = components(roots)
     moved = labels.join(found.select(F.col("doc_id").alias("label"), F.col("label").alias("further")), "label", "left").select("doc_id", F.coalesce("further", "label").alias("label"))
-    return materialise(moved.union(found.select("doc_id", "label")), "labels")
+    return materialise(moved.union(found.filter("doc_id <> label").select("doc_id", "label")), "labels")
 
 
 def links(texts: DataFrame, member: DataFrame, shingler: Shingler, percent: int = PERCENT) -> DataFrame:
     """doc_id, label of all documents that link with a smaller one, or more, among `member` (see similar.regions).
 
-    Three rounds: each document with the least of its buckets' least documents; then, in buckets that hold several
-    components, each document with that bucket's; then, where there are several still, all those of different components.
-    A pair within a component needs no test, so a large group of near copies costs about a test for each of its members.
+    Rounds: each document with the least of its buckets' least documents; then, in buckets that hold several components,
+    each document with that bucket's; then, where there are several still, each with the likeliest of another component,
+    until that finds no link; then all those of different components. A pair within a component needs no test, so a large
+    group of near copies costs a few tests for each of its members.
     """
     least = least_matches(percent)
     linked = lambda pairs: materialise(_linked(pairs, texts, shingler, percent), "linked")
@@ -212,16 +215,29 @@ def links(texts: DataFrame, member: DataFrame, shingler: Shingler, percent: int
     tested = materialise(prune(met(rows, mixed, F.col("own") != F.col("p.own"))), "candidates")
     labels = _united(labels, linked(tested))
 
-    rows = _with_labels(member, labels)
-    mixed = rows.groupBy("region").agg(*several).filter("low <> high").select("region", "m")
-    n = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.join(mixed, "region").withColumn("k", F.pmod(F.xxhash64(F.lit(7), "doc_id"), n).cast("int"))
-    to = F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.least(i, F.col("k")).alias("i"), F.greatest(i, F.col("k")).alias("j"), F.when(i < F.col("k"), 1).otherwise(0).alias("side"))))
-    dealt = materialise(rows.withColumn("to", to).select(F.xxhash64("region", "to.i", "to.j").alias("unit"), "to.side", "doc_id", "n", "own", "bits"), "blocks")
-    tasks = max(1, dealt.count() // TASK_ROWS)
-    pairs = dealt.withColumn("task", F.pmod("unit", F.lit(tasks))).groupBy("task").applyInArrow(_block_pairs(percent, least), "a long, b long").distinct()
-    labels = _united(labels, linked(pairs.join(tested, ["a", "b"], "left_anti")))
-    discard(dealt, tested)
+    def dealt() -> DataFrame:
+        """The members of buckets with several components, dealt to blocks of BLOCK and to pairs of such."""
+        rows = _with_labels(member, labels)
+        mixed = rows.groupBy("region").agg(*several).filter("low <> high").select("region", "m")
+        n = F.ceil(F.col("m") / BLOCK).cast("int")
+        rows = rows.join(mixed, "region").withColumn("k", F.pmod(F.xxhash64(F.lit(7), "doc_id"), n).cast("int"))
+        to = F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.least(i, F.col("k")).alias("i"), F.greatest(i, F.col("k")).alias("j"), F.when(i < F.col("k"), 1).otherwise(0).alias("side"))))
+        return materialise(rows.withColumn("to", to).select(F.xxhash64("region", "to.i", "to.j").alias("unit"), "to.side", "doc_id", "n", "own", "bits"), "blocks")
+
+    best, tests = True, [tested]
+    while True:
+        rest = dealt()
+        tasks = max(1, rest.count() // TASK_ROWS)
+        pairs = rest.withColumn("task", F.pmod("unit", F.lit(tasks))).groupBy("task").applyInArrow(_block_pairs(percent, least, best), "a long, b long").distinct()
+        pairs = materialise(pairs.join(reduce(DataFrame.union, tests), ["a", "b"], "left_anti"), "candidates")
+        more = linked(pairs)
+        labels = _united(labels, more)
+        discard(rest)
+        if not best:
+            break
+        tests.append(pairs)
+        best = not more.isEmpty()
+    discard(*tests)
     return labels
 
 
