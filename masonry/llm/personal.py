@@ -50,24 +50,47 @@ VOTES = 2 + LABELERS
 #: A loose span is kept from this score on.
 LEAST_SCORE = 0.8
 
-_SPAN = "array<struct<start:int,end:int,m:string>>"
+#: What folds over spans append at a time: an array that grows is copied for each element, so arrays stay this short and are joined once.
+FOLDED = 256
+#: Parts that a text is cut into before spans are cut out, since every cut walks from the start of what it cuts.
+CHUNKS = 256
+#: Matches before a span, each with the text before it, that hold at least CONTEXT characters; both together have two or more.
+NEAR = CONTEXT // 2
 
+_SPAN = "array<struct<start:int,end:int,m:string,i:int>>"
 
-def found(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, m>>: leftmost non-overlapping matches with code point offsets."""
-    none = F.expr(f"cast(array() as {_SPAN})")
 
-    def laid(pieces: Column, matches: Column) -> Column:
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["at"] + F.length(F.get(pieces, i))
-            end = start + F.length(F.get(matches, i))
-            span = F.struct(start.alias("start"), end.alias("end"), F.get(matches, i).alias("m"))
-            return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+def folded(items: Column, state: Column, kind: str, step, finish):
+    """A fold whose `step` (state, item) gives a struct of s, the next state, and out; `finish` takes the last state and the outs, an array of `kind`."""
+    none = lambda t: F.expr(f"cast(array() as array<{t}>)")
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+    def some(s: Column, block: Column) -> Column:
+        part = F.slice(items, block * FOLDED + 1, FOLDED)
+        grown = lambda acc, x: let(step(acc["s"], x), lambda r: F.struct(r["s"].alias("s"), F.array_append(acc["out"], r["out"]).alias("out")))
+        return F.aggregate(part, F.struct(s.alias("s"), none(kind).alias("out")), grown)
 
+    whole = lambda acc, block: let(some(acc["s"], block), lambda r: F.struct(r["s"].alias("s"), F.array_append(acc["out"], r["out"]).alias("out")))
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / FOLDED).cast("int"))
+    return F.aggregate(blocks, F.struct(state.alias("s"), none(f"array<{kind}>").alias("out")), whole, lambda acc: finish(acc["s"], F.flatten(acc["out"])))
+
+
+def laid(pieces: Column, matches: Column) -> Column:
+    """array<struct<start, end, m, i>> with code point offsets of matches, each after its piece of the text (i: its number)."""
+
+    def step(at: Column, i: Column) -> Column:
+        start = at + F.length(F.get(pieces, i))
+        end = start + F.length(F.get(matches, i))
+        return F.struct(end.alias("s"), F.struct(start.alias("start"), end.alias("end"), F.get(matches, i).alias("m"), i.alias("i")).alias("out"))
+
+    places = F.sequence(F.lit(0), F.size(matches) - 1)
+    spans = let(places, lambda own: folded(own, F.lit(0), "struct<start:int,end:int,m:string,i:int>", step, lambda _, out: out))
+    return F.when(F.size(matches) == 0, F.expr(f"cast(array() as {_SPAN})")).otherwise(spans)
+
+
+def parts(text: Column, pattern: str, then) -> Column:
+    """`then` of the matches of a pattern, leftmost and non-overlapping, and of the pieces of text around them."""
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(matches, lambda ms: F.when(F.size(ms) == 0, none).otherwise(let(F.split(text, pattern, -1), lambda ps: laid(ps, ms))))
+    return let(matches, lambda ms: let(F.when(F.size(ms) > 0, F.split(text, pattern, -1)), lambda ps: then(ps, ms)))
 
 
 def _digits(m: Column) -> Column:
@@ -115,37 +138,60 @@ def span_features(m: Column) -> Column:
     )
 
 
-def _labelled(text: Column, spans: Column, kind: str, strict: bool) -> Column:
+def _labelled(pieces: Column, matches: Column, spans: Column, kind: str, strict: bool) -> Column:
+    """The spans with kind, base and pattern; what stands around them is cut from the pieces and matches beside them, not from the whole text."""
+    last = lambda c: F.right(c, F.lit(CONTEXT))
+
     def label(s: Column) -> Column:
-        before = F.substring(text, F.greatest(F.lit(1), s["start"] - CONTEXT + 1), F.least(F.lit(CONTEXT), s["start"]))
-        around = F.concat(F.substring(text, s["start"], F.when(s["start"] > 0, 1).otherwise(0)), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(1)))
-        votes = F.concat(
-            F.lit("1" if strict else "-"),
-            gazetteer(kind, s["m"]),
-            let(before, lambda b: _vote(b.rlike(FOR), b.rlike(AGAINST))),
-            let(around, lambda a: _vote(~a.rlike(r"[\p{L}\p{N}_]"), a.rlike(r"[\p{L}\p{N}_]"))),
-        )
-        pattern = F.concat(F.lit(f"{KINDS.index(kind)}{'s' if strict else 'l'}"), votes, span_features(s["m"]))
+        i = s["i"]
+        earlier = F.when(i > 0, F.array_join(F.transform(F.sequence(F.greatest(i - NEAR, F.lit(0)), i - 1), lambda j: F.concat(last(F.get(pieces, j)), last(F.get(matches, j)))), "")).otherwise("")
+        before = last(F.concat(earlier, last(F.get(pieces, i))))
+        after = F.coalesce(F.nullif(F.left(F.get(pieces, i + 1), F.lit(1)), F.lit("")), F.left(F.get(matches, i + 1), F.lit(1)), F.lit(""))
+
+        def voted(b: Column) -> Column:
+            around = F.concat(F.right(b, F.lit(1)), F.lit(" "), after)
+            return F.concat(
+                F.lit("1" if strict else "-"),
+                gazetteer(kind, s["m"]),
+                _vote(b.rlike(FOR), b.rlike(AGAINST)),
+                let(around, lambda a: _vote(~a.rlike(r"[\p{L}\p{N}_]"), a.rlike(r"[\p{L}\p{N}_]"))),
+            )
+
+        pattern = F.concat(F.lit(f"{KINDS.index(kind)}{'s' if strict else 'l'}"), let(before, voted), span_features(s["m"]))
         return F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), s["end"].alias("end"), F.lit(strict).alias("base"), pattern.alias("pattern"))
 
     return F.transform(spans, label)
 
 
+def overlapped(spans: Column, x: Column) -> Column:
+    """Whether x overlaps one of `spans`, which are in order and apart: the last that begins before x ends is found by halving."""
+    half = lambda r: F.floor((r["low"] + r["high"]) / 2).cast("int")
+    step = lambda r, _: F.when(r["low"] >= r["high"], r).when(F.get(spans, half(r))["start"] < x["end"], F.struct((half(r) + 1).alias("low"), r["high"].alias("high"))).otherwise(F.struct(r["low"].alias("low"), half(r).alias("high")))
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1.0)).cast("int"))
+    found = F.aggregate(rounds, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), step, lambda r: F.coalesce(F.get(spans, r["low"] - 1)["end"] > x["start"], F.lit(False)))
+    return F.when(F.size(spans) == 0, F.lit(False)).otherwise(found)
+
+
 def candidates(text: Column) -> Column:
-    """array<struct<start, k, end, base, pattern>> in order of start and kind; loose spans that touch a strict one are left out."""
+    """array<struct<start, k, end, base, pattern>> in order of start and kind; loose spans that touch a strict one are left out.
+
+    The time is in proportion to the text and its spans, but for a factor that grows with the logarithm of their number.
+    """
     none = F.expr("cast(array() as array<struct<start:int,k:int,end:int,base:boolean,pattern:string>>)")
 
     def of(kind: str, pattern: str, strict: bool) -> Column:
-        spans = found(text, pattern)
-        kept = F.filter(spans, lambda s: valid(kind, s["m"])) if strict else spans
-        labelled = let(kept, lambda own: _labelled(text, own, kind, strict))
+        def labelled(ps: Column, ms: Column) -> Column:
+            kept = let(laid(ps, ms), lambda spans: F.filter(spans, lambda s: valid(kind, s["m"])) if strict else spans)
+            return let(kept, lambda own: _labelled(ps, ms, own, kind, strict))
+
         mark = F.contains(text, F.lit(MARK[kind])) if strict and MARK[kind] else text.rlike("(?i)[\\[(] ?at ?[\\])]") if kind == "email" else text.rlike("[0-9]{3}")
-        return F.when(mark, labelled).otherwise(none)
+        return F.when(mark, parts(text, pattern, labelled)).otherwise(none)
 
-    strict = F.concat(*(of(k, STRICT[k], True) for k in KINDS))
+    strict = F.array(*(of(k, STRICT[k], True) for k in KINDS))
     loose = F.concat(*(of(k, p, False) for k, p in LOOSE.items()))
-    free = lambda base: F.filter(loose, lambda x: ~F.exists(base, lambda b: (x["start"] < b["end"]) & (b["start"] < x["end"])))
-    return let(strict, lambda base: F.sort_array(F.concat(base, free(base))))
+    # spans of one kind are apart, so each kind is searched by itself
+    free = lambda base: F.filter(loose, lambda x: ~F.exists(base, lambda own: overlapped(own, x)))
+    return let(strict, lambda base: F.sort_array(F.concat(F.flatten(base), free(base))))
 
 
 def expectation_maximisation(counts: dict[str, int], rounds: int = 50) -> tuple[dict[str, float], list[dict[str, list[float]]]]:
@@ -239,14 +285,24 @@ def masked(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in angle brackets; of overlapping spans the first is replaced and the rest is cut."""
     kinds = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(kinds, s["k"]))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], piece).alias("out"))
+    def replaced(spans: Column, size: Column, chunks: Column) -> Column:
+        def between(start: Column, end: Column) -> Column:
+            def part(c: Column) -> Column:
+                low = F.greatest(start - c * size, F.lit(0))
+                return F.substring(F.get(chunks, c), low + 1, F.least(end - c * size, size) - low)
+
+            first, last = F.floor(start / size).cast("int"), F.floor((end - 1) / size).cast("int")
+            return F.when(end > start, F.array_join(F.transform(F.sequence(first, last), part), "")).otherwise("")
+
+        def step(at: Column, s: Column) -> Column:
+            piece = F.when(s["start"] >= at, F.concat(between(at, s["start"]), F.get(kinds, s["k"]))).otherwise("")
+            return F.struct(F.greatest(at, s["end"]).alias("s"), piece.alias("out"))
+
+        return folded(spans, F.lit(0), "string", step, lambda at, out: F.concat(F.array_join(out, ""), between(at, F.length(text))))
 
-    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("out"))
-    rest = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, rest))
+    cut = lambda size: F.transform(F.sequence(F.lit(0), F.floor(F.length(text) / size).cast("int")), lambda c: F.substring(text, c * size + 1, size))
+    size = F.greatest(F.ceil(F.length(text) / CHUNKS), F.lit(1024)).cast("int")
+    return let(spans, lambda own: F.when(F.size(own) == 0, text).otherwise(let(size, lambda n: let(cut(n), lambda chunks: replaced(own, n, chunks)))))
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
