@@ -93,3 +93,22 @@ def below(e: dict, f: dict, base: Column) -> Column:
     mean = F.when(apart, t * (F.least(e0, f0) + middle) / 2 + (1 - t) * (middle + F.least(e1, f1)) / 2).otherwise((F.least(e0, f0) + F.least(e1, f1)) / 2)
     sign = F.when((e["ax"] > e["bx"]) == (f["ax"] > f["bx"]), 1.0).otherwise(-1.0)
     return F.when(low < high, sign * (high - low) * mean).otherwise(0.0)
+
+
+def straight_runs(ring: Column, joinable: Callable[[Column], Column] | None = None) -> Column:
+    """[W-06] array<struct<start, n>>: maximal runs of n collinear edges round a ring of struct<x, y>, each from the vertex where it begins.
+
+    Edges meet in a run where they go the same way, within 1e-9 of their lengths' product, and `joinable` of the vertex' number
+    allows it; the last run joins the first across the ring's start. Empty for a ring that never turns.
+    """
+    n = F.size(ring)
+
+    def breaks(i: Column) -> Column:
+        a, b, c = F.get(ring, F.pmod(i - 1, n)), F.get(ring, i), F.get(ring, F.pmod(i + 1, n))
+        ux, uy, vx, vy = b["x"] - a["x"], b["y"] - a["y"], c["x"] - b["x"], c["y"] - b["y"]
+        straight = (ux * vx + uy * vy > 0) & (F.abs(ux * vy - uy * vx) <= 1e-9 * F.hypot(ux, uy) * F.hypot(vx, vy))
+        return ~(straight & joinable(i)) if joinable else ~straight
+
+    found = F.filter(F.sequence(F.lit(0), n - 1), breaks)
+    length = lambda own: lambda i, k: F.struct(i.alias("start"), F.when(F.size(own) == 1, n).otherwise(F.pmod(F.get(own, F.pmod(k + 1, F.size(own))) - i, n)).alias("n"))
+    return let(found, lambda own: F.transform(own, length(own)))

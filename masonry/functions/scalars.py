@@ -264,3 +264,17 @@ def greedy_levels(df: DataFrame, levels: str, tolerance: int) -> DataFrame:
         return F.when(within, grown).otherwise(F.concat(found, cluster(z, F.lit(1), z)))
 
     return df.withColumn("c", F.explode(F.aggregate(levels, none, add)))
+
+
+def canonical_json(v: Column) -> Column:
+    """[K-02] a JSON text without spaces, keys in order at every level, and numbers and escapes in one form, so equal values give equal texts.
+
+    Null for what is no JSON: NaN and infinities, repeated keys, texts that end too early. What follows the value isn't looked at. Keys
+    are ordered by UTF-16 units. Decimal numbers lose zeros at their end (1.0 becomes 1); those with an exponent become doubles.
+    """
+    return F.to_json(F.try_parse_json(v))
+
+
+def content_hash(v: Column) -> Column:
+    """[P-31] SHA-256 of the canonical form, in hexadecimal."""
+    return F.sha2(canonical_json(v), 256)

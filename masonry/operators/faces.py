@@ -161,6 +161,41 @@ def checked(df: DataFrame, planarity: float = PLANARITY) -> DataFrame:
     return rows.select("solid", "n_faces", "n_edges", "volume", "deviation", reason.alias("reason"))
 
 
+#: Fixed value in metres: within this a vertex is on an edge, and two vertices are one.
+PARTY_WALL = 0.0127
+
+
+def junctions(df: DataFrame, cell: float, tolerance: float = PARTY_WALL) -> DataFrame:
+    """[J-18] solid, a, b, p, t, distance: vertices p of other solids within `tolerance` of an edge (a, b) of a solid, between its ends, where the solid has no vertex nearby.
+
+    Edges are dealt to the cells of the ground that they cross, column by column, with the tolerance around; a vertex is in one
+    cell. Distances are in space, t is the share of the edge up to p; a distance of 1e-8 or less is none.
+    """
+    e = _edges(df)
+    edges = e.select("solid", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    owned = graphs.cut(e.select("solid", F.col("a").alias("p")).distinct())
+    a, b = F.col("a"), F.col("b")
+    floor = lambda v: F.floor(v / cell)
+    columns = edges.withColumn("cx", F.explode(F.sequence(floor(F.least("a.x", "b.x") - tolerance), floor(F.greatest("a.x", "b.x") + tolerance))))
+    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+    share = lambda x: F.when(dx == 0, None).otherwise(F.least(F.greatest((x - a["x"]) / dx, F.lit(0.0)), F.lit(1.0)))
+    enters, leaves = a["y"] + dy * F.coalesce(share(F.col("cx") * cell - tolerance), F.lit(0.0)), a["y"] + dy * F.coalesce(share((F.col("cx") + 1) * cell + tolerance), F.lit(1.0))
+    dealt = columns.withColumn("cy", F.explode(F.sequence(floor(F.least(enters, leaves) - tolerance), floor(F.greatest(enters, leaves) + tolerance))))
+    points = owned.select("p").distinct().select("p", floor(F.col("p.x")).alias("cx"), floor(F.col("p.y")).alias("cy"))
+    p, ab = F.col("p"), _minus(b, a)
+    met = points.join(dealt, ["cx", "cy"]).filter(_dot(ab, ab) > TINY**2).withColumn("t", _dot(_minus(p, a), ab) / _dot(ab, ab))
+    off = {c: p[c] - a[c] - F.col("t") * ab[c] for c in "xyz"}
+    met = graphs.cut(met.withColumn("distance", F.sqrt(_dot(off, off))).filter((F.col("t") > 0) & (F.col("t") < 1) & (F.col("distance") > 1e-8) & (F.col("distance") < tolerance)).drop("cx", "cy"))
+    key = lambda v: [F.floor(v[c] / tolerance) for c in "xyz"]
+    own = owned.select(F.col("solid").alias("s"), F.col("p").alias("q"), *(k.alias(f"k{c}") for c, k in zip("xyz", key(F.col("p")), strict=True)))
+    around = met
+    for c, k in zip("xyz", key(p), strict=True):
+        around = around.withColumn(f"k{c}", F.explode(F.sequence(k - 1, k + 1)))
+    near = F.greatest(*(F.abs(F.col(f"p.{c}") - F.col(f"q.{c}")) for c in "xyz")) < tolerance
+    taken = around.join(own, ["kx", "ky", "kz"]).filter((F.col("solid") == F.col("s")) & near).select("solid", "p").distinct()
+    return met.join(taken, ["solid", "p"], "left_anti").select("solid", "a", "b", "p", "t", "distance")
+
+
 #: Normals are opposite from this product on, planes one within TINY. Sizes of the keys that such faces share.
 OPPOSITE = -1 + 1e-9
 NORMAL_KEY, OFFSET_KEY = 1e-3, 1e-2

@@ -31,3 +31,32 @@ def components(edges: DataFrame) -> DataFrame:
         labels = grown.select("id", "label")
         if grown.filter("label <> old").isEmpty():
             return labels
+
+
+def rings(edges: DataFrame) -> DataFrame:
+    """[A-28, G-16] head, pos, node of rings that directed edges (a, b) form: head is the ring's least node, pos counts from it along the edges.
+
+    Nodes jump twice as far each round, so a ring of any length takes its logarithm of joins and no task holds a ring.
+    Each node must have one edge out and one in; rings through others (pinched, open) are left out.
+    """
+    e = cut(edges.select("a", "b"))
+    once = lambda c: e.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+    both = once("a").withColumnRenamed("a", "id").join(once("b").select(F.col("b").alias("id"), F.col("n").alias("m")), "id", "full")
+    odd = both.filter("n is null or m is null or n > 1 or m > 1").select("id")
+    reach = cut(e.select(F.col("a").alias("id"), F.col("b").alias("to"), F.least("a", "b").alias("low"), F.lit(False).alias("bad")).join(odd.withColumn("odd", F.lit(True)), "id", "left").select("id", "to", "low", F.coalesce("odd", "bad").alias("bad")).dropDuplicates(["id"]))
+    while True:
+        further = reach.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("low").alias("lower"), F.col("bad").alias("worse"))
+        grown = reach.join(further, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.least("low", "lower").alias("low"), (F.col("bad") | F.coalesce("worse", F.lit(True))).alias("bad"), F.col("low").alias("was"), F.col("bad").alias("had"))
+        grown = cut(grown)
+        reach = grown.select("id", "to", "low", "bad")
+        if grown.filter("low <> was or bad <> had").isEmpty():
+            break
+    sound = reach.filter("not bad").select("id", F.col("low").alias("head"))
+    # steps to the head, again by jumps that double: a node whose jump has reached the head stays
+    step = e.select(F.col("a").alias("id"), F.col("b").alias("to")).join(sound, "id")
+    left = cut(step.select("id", "head", F.when(F.col("to") != F.col("head"), F.col("to")).alias("to"), F.lit(1).cast("long").alias("d")))
+    while not left.filter("to is not null").isEmpty():
+        further = left.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("d").alias("more"))
+        left = cut(left.join(further, "to", "left").select("id", "head", F.col("next").alias("to"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d")))
+    length = left.filter("id = head").select("head", F.col("d").alias("n"))
+    return left.join(length, "head").select("head", (F.col("n") - F.col("d")).alias("pos"), F.col("id").alias("node"))

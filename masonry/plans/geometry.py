@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rings as P
+from ..functions import scalars
 from ..operators import faces as S
+from ..operators import graphs
 from ..operators import polygons as Q
-from ..sources.views import BLD, FULL, SLOPE, outline_edges_sql, outlines, solid_vertices, solid_vertices_sql, table
-from .portfolio import query
+from ..sources import cityjson
+from ..sources.views import BLD, FULL, OUTER, SLOPE, buildings, outline_edges_sql, outlines, solid_vertices, solid_vertices_sql, table
+from .portfolio import full, query
 
 EDGE = f"{BLD}, {outline_edges_sql('e')}"
 #: Twice the signed area under an edge, of one polygon.
@@ -162,3 +166,86 @@ def clipped_coverage(spark, sf):
     grid = Q.cells(outlines(spark, sf), "code", 2.0).filter("area > 1e-9")
     hit = grid.filter((F.col("cx") * F.col("cx") * 31 + F.col("cy") * 17 + F.col("code")) % 11 < 6)
     return Q.cell_evidence(grid, hit, "code").select("code", *(F.round(c, 6).alias(c) for c in ("area", "coverage", "gap", "largest")))
+
+
+_HALVES = [c for p, q in zip(OUTER, OUTER[1:] + OUTER[:1], strict=True) for c in (p, ((p[0] + q[0]) / 2, (p[1] + q[1]) / 2))]
+
+
+@query(f"""WITH {BLD}, v0 AS (SELECT code, (k - code % 10 + 10) % 10 AS i, x0 + w * fx AS x, y0 + d * fy AS y FROM bld, (VALUES {', '.join(str((k, *map(float, c))) for k, c in enumerate(_HALVES))}) AS c(k, fx, fy)),
+ v AS (SELECT *, coalesce(lag(x) OVER r, last_value(x) OVER a) AS px, coalesce(lag(y) OVER r, last_value(y) OVER a) AS py, coalesce(lead(x) OVER r, first_value(x) OVER a) AS qx, coalesce(lead(y) OVER r, first_value(y) OVER a) AS qy FROM v0
+ WINDOW r AS (PARTITION BY code ORDER BY i), a AS (PARTITION BY code ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ b AS (SELECT code, i FROM v WHERE NOT ((x - px) * (qx - x) + (y - py) * (qy - y) > 0 AND abs((x - px) * (qy - y) - (y - py) * (qx - x)) <= 1e-9 * sqrt(power(x - px, 2) + power(y - py, 2)) * sqrt(power(qx - x, 2) + power(qy - y, 2)) AND (code + i) % 7 <> 0))
+ SELECT code, CAST(i AS INTEGER) AS start, CAST(coalesce(lead(i) OVER (PARTITION BY code ORDER BY i), first_value(i) OVER (PARTITION BY code ORDER BY i) + 10) - i AS INTEGER) AS n FROM b""")
+def ring_straight_runs(spark, sf):
+    """[W-06] rings with vertices within their sides, begun anywhere; some vertices may not be joined over."""
+    code = F.col("code")
+    at = lambda c, size, share: (F.col(c) + F.col(size) * share).cast("double")
+    ring = F.array(*(F.struct(at("x0", "w", fx).alias("x"), at("y0", "d", fy).alias("y")) for fx, fy in _HALVES))
+    rows = buildings(spark, sf).select("code", scalars.rotated(ring, (code % 10).cast("int")).alias("ring"))
+    runs = P.straight_runs(F.col("ring"), lambda i: (code + i) % 7 != 0)
+    return rows.select("code", F.explode(runs).alias("r")).select("code", "r.start", "r.n")
+
+
+@query(f"""WITH {TOUCH}, l0 AS (SELECT code, x0, y0, d, h, h + {SLOPE} * 20 AS top FROM t WHERE code % 3 = 0), m AS (SELECT l.code AS l, r.code AS r, r.x0 AS x, l.y0 AS y, l.d AS ld, r.d AS rd, l.top AS lt, r.h AS rh FROM l0 l JOIN t r ON r.x0 = l.x0 + 20 AND r.y0 = l.y0)
+ SELECT solid, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, round(z, 3) AS z, round(t, 4) AS t FROM (SELECT r AS solid, x, y, lt AS z, lt / rh AS t FROM m WHERE lt < rh UNION ALL SELECT l, x, y, rh, rh / lt FROM m WHERE rh < lt
+ UNION ALL SELECT r, x, y + ld, lt, lt / rh FROM m WHERE lt < rh AND ld = rd UNION ALL SELECT l, x, y + rd, rh, rh / lt FROM m WHERE rh < lt AND ld = rd
+ UNION ALL SELECT r, x, y + ld, 0, ld / rd FROM m WHERE ld < rd UNION ALL SELECT l, x, y + rd, 0, rd / ld FROM m WHERE rd < ld
+ UNION ALL SELECT r, x, y + ld, lt, ld / rd FROM m WHERE ld < rd AND lt = rh UNION ALL SELECT l, x, y + rd, rh, rd / ld FROM m WHERE rd < ld AND lt = rh)""")
+def edge_junctions(spark, sf):
+    """[J-18] corners that lie on a neighbour's edge, 4e-7 away."""
+    found = S.junctions(S.faces(solid_vertices(spark, sf, True)), 25)
+    whole = lambda c: F.round(f"p.{c}", 3).alias(c)
+    return found.select("solid", whole("x"), whole("y"), whole("z"), F.round("t", 4).alias("t"))
+
+
+@query(f"""WITH RECURSIVE {BLD}, c0 AS (SELECT code, x0, y0, d, unnest(range(x0, x0 + w)) AS x FROM bld), c AS (SELECT code, x, y FROM (SELECT *, unnest(range(y0, y0 + d)) AS y FROM c0) WHERE NOT (x = x0 + 2 AND y BETWEEN y0 + 1 AND y0 + 2)),
+ s AS (SELECT code, x + ax AS ax, y + ay AS ay, x + bx AS bx, y + ey AS ey FROM c, (VALUES (0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0)) AS o(ax, ay, bx, ey)),
+ e AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s z WHERE z.code = s.code AND z.ax = s.bx AND z.ay = s.ey AND z.bx = s.ax AND z.ey = s.ay)),
+ r AS (SELECT code, ax, ay, bx, ey FROM e UNION SELECT r.code, r.ax, r.ay, e.bx, e.ey FROM r JOIN e ON e.code = r.code AND e.ax = r.bx AND e.ay = r.ey),
+ h AS (SELECT code, ax, ay, min(struct_pack(x := bx, y := ey)) AS head, count(*) AS n FROM r GROUP BY ALL)
+ SELECT code, head.x AS x, head.y AS y, count(*) AS n, sum(e.ax * e.ey - e.bx * e.ay) / 2.0 AS area FROM h JOIN e USING (code, ax, ay) GROUP BY ALL""")
+def boundary_rings(spark, sf):
+    """[A-28, G-16] outlines of cells, each with a hole, assembled from their boundary edges in order."""
+    span = lambda low, size: F.explode(F.sequence(F.col(low).cast("long"), (F.col(low) + F.col(size) - 1).cast("long")))
+    c = buildings(spark, sf).withColumn("x", span("x0", "w")).withColumn("y", span("y0", "d")).filter(~((F.col("x") == F.col("x0") + 2) & F.col("y").between(F.col("y0") + 1, F.col("y0") + 2)))
+    at = lambda dx, dy: F.struct("code", (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    corners = [(0, 0), (1, 0), (1, 1), (0, 1)]
+    sides = F.explode(F.array(*(F.struct(at(*p).alias("a"), at(*q).alias("b")) for p, q in zip(corners, corners[1:] + corners[:1], strict=True))))
+    e = c.select(sides.alias("e")).select("e.a", "e.b", F.least("e.a", "e.b").alias("u"), F.greatest("e.a", "e.b").alias("v"))
+    edges = e.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.min("b").alias("b")).filter("n = 1")
+    found = graphs.rings(edges).select("head", "pos", "node")
+    nxt = F.coalesce(F.lead("node").over(W.partitionBy("head").orderBy("pos")), F.col("head"))
+    turned = found.withColumn("q", nxt)
+    return turned.groupBy("head").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("node.x") * F.col("q.y") - F.col("q.x") * F.col("node.y")) / 2).alias("area")).select("head.code", "head.x", "head.y", "n", "area")
+
+
+@query("""SELECT p_partkey AS code, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE sha256('{"Brand":"' || p_brand || '","list":[' || p_size || ',null,{"a":' || p_size / 4 || ',"é":"x\\"y"}],"nothing":{},"size":' || p_size || '}') END AS hash FROM part""".replace("p_size / 4 ||", "rtrim(rtrim(CAST(CAST(p_size / 4.0 AS DECIMAL(9, 2)) AS VARCHAR), '0'), '.') ||"))
+def canonical_json_hash(spark, sf):
+    """[K-02, P-31] JSON texts with keys in any order, blanks, escapes and zeros, and some that repeat a key: equal values have equal hashes."""
+    k, text = F.col("p_partkey"), lambda c: F.col(c).cast("string")
+    size, quarter = text("p_size"), F.format_string("%.2f", F.col("p_size") / 4)
+    inner = F.concat(F.lit('{ "\\u00e9" : "x\\"y", "a":'), quarter, F.lit("}"))
+    brand, rest = F.concat(F.lit('"Brand" : "'), F.col("p_brand"), F.lit('"')), F.concat(F.lit('"list": ['), size, F.lit(".0, null,"), inner, F.lit("]"))
+    other = F.concat(F.lit('"size":'), size, F.lit(', "nothing": { }'))
+    text = F.when(k % 9 == 0, F.concat(F.lit("{"), brand, F.lit(","), rest, F.lit(","), other, F.lit(', "size": 1}'))).when(k % 2 == 0, F.concat(F.lit("{"), rest, F.lit(",\n"), other, F.lit(" ,"), brand, F.lit("}"))).otherwise(F.concat(F.lit(" {"), brand, F.lit(","), other, F.lit(","), rest, F.lit("} ")))
+    return table(spark, sf, "part").select(k.alias("code"), scalars.content_hash(text).alias("hash"))
+
+
+@query(f"WITH {BLD}, {FULL} SELECT CAST(code AS VARCHAR) AS solid, CASE WHEN code % 7 = 3 THEN NULL ELSE round(w * d * h + w * d * {SLOPE} * w / 2, 6) END AS volume, CASE WHEN code % 7 = 3 THEN NULL ELSE CAST(x0 AS DOUBLE) END AS west, CASE WHEN code % 7 = 3 THEN 'lod_unavailable' END AS reason FROM full_bld")
+def city_json_solids(spark, sf):
+    """[S-21] lines of CityJSONSeq, five sources with headers of their own, to solids and their volumes."""
+    b = full(spark, sf)
+    source = (F.col("code") % 5).cast("string")
+    header = b.groupBy(source.alias("source")).agg(F.concat(F.lit('{"type": "CityJSON", "version": "1.1", "transform": {"scale": [0.5, 0.5, 0.25], "translate": ['), (100 * F.col("source").cast("int")).cast("string"), F.lit(', 0, 1]}, "vertices": [], "CityObjects": {}}')).alias("value"))
+    x0, x1 = (2 * (F.col("x0") + c - 100 * (F.col("code") % 5)) for c in (F.lit(0), F.col("w")))
+    y0, y1 = 2 * F.col("y0"), 2 * (F.col("y0") + F.col("d"))
+    z = lambda v: (4 * v - 4).cast("int")
+    corner = lambda x, y, v: F.concat(F.lit("["), F.concat_ws(",", x, y, z(v)), F.lit("]"))
+    low, high, top = F.lit(0), F.col("h"), F.col("h") + SLOPE * F.col("w")
+    vertices = F.concat_ws(",", corner(x0, y0, low), corner(x1, y0, low), corner(x1, y1, low), corner(x0, y1, low), corner(x0, y0, high), corner(x1, y0, top), corner(x1, y1, top), corner(x0, y1, high))
+    name, lod = F.col("code").cast("string"), F.when(F.col("code") % 7 == 3, "1.2").otherwise("2.2")
+    value = F.concat(F.lit('{"type": "CityJSONFeature", "CityObjects": {"'), name, F.lit('": {"type": "Building", "geometry": [{"type": "Solid", "lod": "'), lod, F.lit('", "boundaries": [[[[3,2,1,0]],[[4,5,6,7]],[[0,1,5,4]],[[1,2,6,5]],[[2,3,7,6]],[[3,0,4,7]]]]}]}}, "vertices": ['), vertices, F.lit("]}"))
+    found = cityjson.solids(header.union(b.select(source.alias("source"), value.alias("value"))))
+    f = cityjson.faces(found)
+    west = f.groupBy("solid").agg(F.min(F.array_min(F.transform(F.flatten("rings"), lambda p: p["x"]))).alias("west"))
+    return found.select("solid", "reason").join(S.volumes(f), "solid", "left").join(west, "solid", "left").select("solid", F.round("volume", 6).alias("volume"), "west", "reason")

@@ -137,3 +137,70 @@ def test_interfaces(spark):
 def test_let_evaluates_once(spark):
     n = spark.range(1).select(P.let(F.rand(), lambda x: x - x).alias("n")).first().n
     assert n == 0.0
+
+
+def test_straight_runs(spark):
+    ring = [(1.0, 0.0), (2.0, 0.0), (2.0, 1.0), (2.0, 2.0), (0.0, 2.0), (0.0, 0.0)]
+    df = spark.createDataFrame([(ring,), ([(0.0, 0.0), (1.0, 0.0), (0.0, 1.0)],)], "r array<struct<x:double,y:double>>")
+    runs = lambda *a: [[tuple(x) for x in row[0]] for row in df.select(P.straight_runs(F.col("r"), *a)).collect()]
+    assert runs() == [[(1, 2), (3, 1), (4, 1), (5, 2)], [(0, 1), (1, 1), (2, 1)]]
+    assert runs(lambda i: i != 0)[0] == [(0, 1), (1, 2), (3, 1), (4, 1), (5, 1)]
+
+
+def test_junctions(spark):
+    left, right = box(0, 2, 0, 3, 0, 4), box(2.005, 5, 0, 6, 0, 3)
+    away, ramp = box(2.02, 3, 10, 16, 0, 4), box(0, 2, 10, 13, 0, 4)
+    for cell in (0.9, 40.0):
+        got = sorted((r.solid, *(round(v, 3) for v in r.p), round(r.t, 3), round(r.distance, 3)) for r in S.junctions(frame(spark, {"a": left, "b": right, "c": away, "d": ramp}), cell).collect())
+        assert got == [("a", 2.005, 0.0, 3.0, 0.75, 0.005), ("b", 2.0, 3.0, 0.0, 0.5, 0.005)]
+    near = box(2.005, 5, 0.004, 6, 0, 3.996)  # its corner is near the other's corner: no junction there
+    assert {(r.solid, round(r.t, 3)) for r in S.junctions(frame(spark, {"a": left, "b": near}), 2.0).collect()} == {("b", round(2.996 / 5.996, 3))}
+
+
+def test_rings_of_any_length_pinched_and_open(spark):
+    from masonry.operators import graphs
+
+    ring = lambda nodes: list(zip(nodes, nodes[1:] + nodes[:1], strict=True))
+    long = [1000 + (k * 37) % 501 for k in range(501)]
+    edges = ring(long) + ring([3, 1, 2]) + ring([10, 11, 12, 13]) + ring([12, 20, 21]) + [(30, 31), (31, 32)]
+    rows = graphs.rings(spark.createDataFrame(edges, "a int, b int").repartition(4)).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.head, {})[r.pos] = r.node
+    first = long.index(1000)
+    assert {k: [v[i] for i in range(len(v))] for k, v in got.items()} == {1000: long[first:] + long[:first], 1: [1, 2, 3]}
+
+
+def test_canonical_json(spark):
+    from masonry.functions import scalars
+
+    cases = ['{"b": [1, 2.50, {"z": null, "y": "\\u00e9\\/"}], "a": {}, "B": true}', '{"B":true,"a":{},"b":[1,2.5,{"y":"é/","z":null}]}', '{"a": NaN}', '{"a": 1, "a": 2}', "[1, 2", "", None, '"x"', "[]"]
+    rows = spark.createDataFrame([(c,) for c in cases], "v string").select(scalars.canonical_json(F.col("v")), scalars.content_hash(F.col("v"))).collect()
+    assert [r[0] for r in rows] == ['{"B":true,"a":{},"b":[1,2.5,{"y":"é/","z":null}]}'] * 2 + [None] * 5 + ['"x"', "[]"]
+    assert rows[0][1] == rows[1][1] and rows[2][1] is None
+
+
+HEADER = '{"type": "CityJSON", "version": "2.0", "transform": {"scale": [0.5, 0.5, 0.25], "translate": [100, 200, 10]}, "CityObjects": {}, "vertices": []}'
+TETRA = '"vertices": [[0,0,0],[4,0,0],[0,4,0],[0,0,8]]'
+
+
+def feature(name, boundaries="[[[[0,2,1]],[[0,1,3]],[[1,2,3]],[[2,0,3]]]]", kind="Solid", lod="2.2", extra="", vertices=TETRA):
+    return '{"type": "CityJSONFeature", "id": "%s", "CityObjects": {"%s": {"type": "Building"}, "%s-0": {"type": "BuildingPart", "geometry": [{"type": "MultiSurface", "lod": "1.2", "boundaries": []}, {"type": "%s", "lod": "%s", "boundaries": %s}]}}, %s%s}' % (name, name, name, kind, lod, boundaries, vertices, extra)
+
+
+def test_city_json_lines(spark, tmp_path):
+    from masonry.sources import cityjson
+
+    good = [HEADER, feature("a"), "", feature("shells", "[[[[0,2,1]],[[0,1,3]],[[1,2,3]],[[2,0,3]]],[[[0,1,2]]]]"), feature("far", "[[[[0,2,9]]]]"), feature("flat", kind="MultiSurface"), feature("low", lod="1.2"), feature("own", extra=', "transform": {"scale": [1,1,1], "translate": [0,0,0]}'), "[oops", feature("text", vertices='"vertices": "none"')]
+    (tmp_path / "one.jsonl").write_text("\n".join(good))
+    (tmp_path / "two.jsonl").write_text("\n".join(['{"type": "CityJSON", "version": "9.9"}', feature("old")]))
+    (tmp_path / "three.jsonl").write_text(feature("headless"))
+    lines = cityjson.lines(spark, str(tmp_path))
+    found = cityjson.solids(lines)
+    reasons = {(r.solid, r.reason) for r in found.collect()}
+    assert reasons == {("a-0", None), ("shells-0", "unsupported_geometry"), ("far-0", "cityjson_invalid"), ("flat-0", "unsupported_geometry"), ("low-0", "lod_unavailable"), (None, "cityjson_invalid"), ("old-0", "cityjson_invalid"), ("headless-0", "cityjson_invalid"), ("own-0", "cityjson_invalid"), ("text-0", "cityjson_invalid")}
+    f = cityjson.faces(found)
+    r = S.checked(f).first()
+    assert (r.solid, r.n_faces, r.n_edges, r.reason) == ("a-0", 4, 6, None) and math.isclose(r.volume, 2 * 2 * 2 / 6)
+    first = f.filter("face = 0").first().rings[0]
+    assert [tuple(p) for p in first] == [(100.0, 200.0, 10.0), (100.0, 202.0, 10.0), (102.0, 200.0, 10.0)]
