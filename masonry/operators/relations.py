@@ -75,14 +75,14 @@ GLAZED = {"north": "surface_vitree_nord", "east": "surface_vitree_est", "south":
 ROOF = ("materiaux_toiture_simplifie", "mat_toit_txt", "type_plancher_haut_deperditif")
 
 
-def building_groups(rows: DataFrame) -> DataFrame:
-    """[P-07, P-35, F-06] building groups of JSON rows (column `row`, one object each); unreadable values are null.
+def building_groups(rows: DataFrame, *keep: str) -> DataFrame:
+    """[P-07, P-35, F-06] `keep` columns and building groups of JSON rows (column `row`, one object each); unreadable values are null.
 
     A label that the row lacks is "not provided", one given as null stays null. glazed_areas: facing and area
     above zero, north to west. roof_unknown: neither material nor type is given. A text that is no JSON object
     gives a row with an empty code. Numbers given for the fictitious flag are read like texts.
     """
-    parsed = rows.select(F.coalesce(F.from_json("row", "map<string,string>"), F.expr("cast(map() as map<string,string>)")).alias("m"))
+    parsed = rows.select(*keep, F.coalesce(F.from_json("row", "map<string,string>"), F.expr("cast(map() as map<string,string>)")).alias("m"))
     at = lambda k: F.try_element_at("m", F.lit(k))
     areas = S.glazed_areas(*(S.as_float(at(c)) for c in GLAZED.values()))
     values = {
@@ -99,7 +99,7 @@ def building_groups(rows: DataFrame) -> DataFrame:
         **{k: S.bounded(S.as_float(at(c)), k == "window_solar_factor") for k, c in GROUP_THERMAL.items()},
         "roof_unknown": F.coalesce(*map(at, ROOF)).isNull(),
     }
-    return parsed.select(*(v.alias(k) for k, v in values.items()))
+    return parsed.select(*keep, *(v.alias(k) for k, v in values.items()))
 
 
 def best_match(df: DataFrame, key: str, ident: str, score: str, country: str, order: str, least: float = 0.8, margin: float = 0.05, served: tuple = ("E", "W", "S")) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cells, geometry, portfolio  # noqa: F401  the first two add their queries to those of portfolio
+from . import assembly, cells, geometry, portfolio  # noqa: F401  the first three add their queries to those of portfolio
 
 
 def queries() -> dict:
