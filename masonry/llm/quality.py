@@ -219,6 +219,11 @@ def score(docs: DataFrame, model: Scorer, *keep: str) -> DataFrame:
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row of `documents`, repeated ones too; see train.
+
+    Null and empty texts are scored like others, from counts of zero. Equal texts have equal scores, and 0.5 counts as 1. A null
+    doc_id trains nothing and has a null held_out.
+    """
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")), "doc_id")
     return scored.select("doc_id", (fold("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -44,3 +44,19 @@ def test_near_copies_from_four_fifths_on(spark, docs):
             expected |= {first} if kind != "apart" else {first, first + 1}
     frame = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], docs.schema).repartition(3)
     assert {r.doc_id for r in pipeline.one_of_each_group(spark, frame, "").collect()} == expected
+
+
+def test_odd_rows_and_columns(spark, docs, empty, texts, tmp_path):
+    """Null and repeated ids, null and empty texts, more columns called like the stages' own, and an empty table."""
+    spark.createDataFrame([(3 * i, 1, 0) for i in range(len(texts))] + [(None, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, texts[11].split("\n")[0]), (2, None), (None, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "no id here", "en", "s", 10), (57, texts[19], "en", "s", None), (57, texts[19], "en", "s", 1), (60, "", None, None, 0)], docs.schema)
+    frame = docs.union(odd).selectExpr("*", "'x' as spans", "1 as Score", "2 as label", "array(1) as keys", "'y' as found", "3 as component_id", "4 as n_words").repartition(3)
+    for rows in (frame, empty):
+        seen = rows
+        for _, stage in pipeline.STAGES[:-1]:
+            seen = stage(spark, seen, str(tmp_path)).cache()
+            assert seen.columns == rows.columns
+        kept = seen.count()
+        packed = pipeline.STAGES[-1][1](spark, seen, str(tmp_path)).collect()
+        assert (kept == 0) == (not packed) and (rows is frame) == bool(kept)
