@@ -60,15 +60,15 @@ def shared_parts(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     return Q.overlaps(left, right, cell, "ident").groupBy("a", "b").agg(F.sum("shared").alias("shared"))
 
 
-def associate(groups: DataFrame, outlines: DataFrame, cell: float, least: float = LEAST, slack: float = SLACK) -> DataFrame:
+def associate(groups: DataFrame, outlines: DataFrame, cell: float, shares: DataFrame | None = None, least: float = LEAST, slack: float = SLACK) -> DataFrame:
     """[J-07] a, b, shared, decision for each group and outline (parts: ident, rings) that overlap.
 
     Outlines that lie in a group by `least` are linked to it if together they cover it by `least`, and groups that lie in
     an outline likewise to that. Where those together are larger than their union by `slack`, they are ambiguous. Equal
-    rows count twice. A side with one member needs no union; the others are measured by `unions`.
+    rows count twice. A side with one member needs no union; the others are measured by `unions`. shares: see shared_parts, if known.
     """
     sized = lambda df, k, n: df.groupBy(F.col("ident").alias(k)).agg(F.sum(_area()).alias(n))
-    pairs = shared_parts(groups, outlines, cell).join(sized(groups, "a", "la"), "a").join(sized(outlines, "b", "ra"), "b")
+    pairs = (shared_parts(groups, outlines, cell) if shares is None else shares).join(sized(groups, "a", "la"), "a").join(sized(outlines, "b", "ra"), "b")
     pairs = cut(pairs)
 
     def side(key: str, member: str, own: DataFrame, members: DataFrame, size: str, other: str) -> DataFrame:
@@ -131,11 +131,12 @@ def reconcile(groups: DataFrame, relations: DataFrame, features: DataFrame, part
     parts = cut(parts.withColumn("unit", unit).withColumn("part_area", _area()))
     shaped = groups.filter("rings is not null").select(F.col("group_id").alias("ident"), "rings")
     outlined = groups.filter("rings is not null").groupBy("group_id").agg(F.sum(_area()).alias("group_area"))
-    decided = associate(shaped, parts.select(F.col("source_id").alias("ident"), "rings"), cell).select(F.col("a").alias("group_id"), F.col("b").alias("source_id"), "decision")
+    shares = cut(shared_parts(shaped, parts.select(F.col("unit").alias("ident"), "rings"), cell).join(parts.select(F.col("unit").alias("b"), "source_id"), "b"))
+    whole = shares.groupBy("a", F.col("source_id").alias("b")).agg(F.sum("shared").alias("shared"))
+    decided = associate(shaped, parts.select(F.col("source_id").alias("ident"), "rings"), cell, whole).select(F.col("a").alias("group_id"), F.col("b").alias("source_id"), "decision")
     known = explicit(relations, features).join(groups.select("group_id").distinct(), "group_id")
     both = cut(known.join(decided, ["group_id", "source_id"], "full").select("group_id", "source_id", F.coalesce("method", F.when(F.col("decision") == "spatial_union", F.col("decision"))).alias("method"), "decision"))
-
-    shares = shared_parts(shaped, parts.select(F.col("unit").alias("ident"), "rings"), cell).select(F.col("a").alias("group_id"), F.col("b").alias("unit"), "shared")
+    shares = shares.select(F.col("a").alias("group_id"), F.col("b").alias("unit"), "shared")
     met = both.join(parts.select("source_id", "unit", "part_area"), "source_id").join(shares, ["group_id", "unit"], "left").join(outlined, "group_id", "left")
     met = cut(met.filter("shared is not null or method like 'explicit%'"))
     spatial = F.col("method").isNull() | (F.col("method") == "spatial_union")

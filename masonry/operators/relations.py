@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -161,24 +159,30 @@ def cardinality(links: DataFrame, source: str, unit: str) -> DataFrame:
     return pairs.join(by_unit, unit).join(by_source, source).select(source, unit, kind.alias("relationship"))
 
 
-def ordered(df: DataFrame, order: list[str], place: str) -> DataFrame:
-    """[O-03] the rows with their place (from 0) in the whole order.
+def _placed(df: DataFrame, order: list[str], place: str) -> DataFrame:
+    """The rows with their place (from 0) in the whole order, and _n, the number of all.
 
-    Ranges of the order are sorted apart and counted, and the counts of the ranges before (a row for each
-    shuffle partition) give each range its first place; no task has more than its range.
+    Ranges of the order are sorted apart and numbered as they are written; the counts of the ranges before (a row for
+    each shuffle partition) give each range its first place. One shuffle; no task has more than its range.
     """
-    ranged = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    part, within = F.shiftright("_id", 33), F.col("_id").bitwiseAND(2**33 - 1)
+    ranged = cut(ranged.withColumn("_part", part).withColumn("_i", within).drop("_id"))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_c"))
-    before = counts.select("_part", (F.sum("_c").over(W.orderBy("_part")) - F.col("_c")).alias("_before"))
-    within = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1
-    return ranged.withColumn("_i", within).join(F.broadcast(before), "_part").withColumn(place, F.col("_i") + F.col("_before")).drop("_part", "_i", "_before")
+    upto = W.orderBy("_part")
+    before = counts.select("_part", (F.sum("_c").over(upto) - F.col("_c")).alias("_before"), F.sum("_c").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_n"))
+    return ranged.join(F.broadcast(before), "_part").withColumn(place, F.col("_i") + F.col("_before")).drop("_part", "_i", "_before")
+
+
+def ordered(df: DataFrame, order: list[str], place: str) -> DataFrame:
+    """[O-03] the rows with their place (from 0) in the whole order; see _placed."""
+    return _placed(df, order, place).drop("_n")
 
 
 def stride_sample(df: DataFrame, order: list[str], most: int = 20_000) -> DataFrame:
     """[W-02] every stride-th row in order, with the least stride that leaves at most `most` rows."""
-    n = df.count()
-    stride = max(1, math.ceil(n / most))
-    return ordered(df, order, "_place").filter(F.col("_place") % stride == 0).drop("_place")
+    stride = F.ceil(F.col("_n") / most)
+    return _placed(df, order, "_place").filter(F.col("_place") % stride == 0).drop("_place", "_n")
 
 
 def difference(a: DataFrame, b: DataFrame) -> DataFrame:
