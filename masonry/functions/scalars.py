@@ -49,6 +49,23 @@ def finite(v: Column, positive: bool = False) -> Column:
     return F.when(~(bad | (x <= 0) if positive else bad), x)
 
 
+def rounded(v: Column, digits: int = 2) -> Column:
+    """[P-26] a double rounded to `digits` decimals by its binary value, as languages with exact decimal conversion do: 2.675 is below the tie and gives 2.67, 0.125 is one and goes to the even 0.12.
+
+    Null stays null, NaN and infinities stay as they are. Where the scaled value passes 2^52 the decimal text is rounded instead.
+    The product with 10^digits and its exact error come from splitting the factor in two halves of 26 bits.
+    """
+    x, scale = v.cast("double"), float(10**digits)
+    split = x * 134217729.0
+    high = split - (split - x)
+    p = x * scale
+    error = (high * scale - p) + (x - high) * scale
+    f = F.floor(p)
+    above = p - f
+    up = (above > 0.5) | ((above == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(f, F.lit(2)) == 1))))
+    return F.when(~(F.abs(x) < float("inf")), x).when(F.abs(p) < 2.0**52, (f + up.cast("int")) / scale).otherwise(F.round(x, digits))
+
+
 def as_int(v: Column) -> Column:
     """[P-02] truncated toward zero; null for text, NaN and infinity."""
     x = as_float(v)
