@@ -55,7 +55,7 @@ def _nearest_edge(edges: Column, p: dict[str, Column], axes: str) -> Column:
 
 
 def nearest(points: DataFrame, faces: DataFrame, cell: float, level: bool = False) -> DataFrame:
-    """[J-14] unit, id, residual of each point (unit, id, x, y, z) to the nearest face of its unit; units without faces give none.
+    """[J-14] unit, id, residual of each point (unit, id, x, y, z) to the nearest face of its unit; units without faces give none, and `id` must tell a unit's points apart.
 
     The residual is the distance in space to the bounded face: to its plane where the foot lies within the rings, else to the nearest
     edge. level: the face nearest seen from above counts (of equal ones the lowest `face`), and the residual is the difference in
@@ -127,6 +127,7 @@ def assess(outlines: DataFrame, faces: DataFrame, points: DataFrame, cell: float
     grid of coverage. Reasons stand in a fixed order. Roof points lie in the outline or under a roof, ground points within AROUND of
     outline or ground. Points with a null, NaN or infinite coordinate take no part; if there are any, every unit has the reason
     nonfinite_lidar_coordinates. Quantiles take all residuals, not a sample. Hausdorff distances are not measured.
+    Outlines of unknown type are taken as roofprints that walls follow.
     """
     finite = F.coalesce(F.abs("x") + F.abs("y") + F.abs("z") < math.inf, F.lit(False))
     sound = points.filter(finite)
@@ -193,6 +194,7 @@ def assess(outlines: DataFrame, faces: DataFrame, points: DataFrame, cell: float
         when(col("largest_gap") > F.greatest(F.lit(MOST["gap_area"]), MOST["gap_share"] * col("area")), "large_roof_evidence_gap"),
         *(when((col(f"{n}_median") > MOST["median"]) | (col(f"{n}_p95") > MOST["p95"]), f"{n}_residual_threshold_exceeded") for n in chosen),
     ]
-    reasons = F.when(empty, F.array(F.lit("missing_reconstructed_surfaces"))).otherwise(F.array_compact(F.array(*tests)))
+    bare = F.array_compact(F.array(F.lit("missing_reconstructed_surfaces"), when(col("invalid"), "nonfinite_lidar_coordinates")))
+    reasons = F.when(empty, bare).otherwise(F.array_compact(F.array(*tests)))
     measures = ["roof_points", "ground_points", "outline_points", "density", "coverage", "largest_gap", "surface_coverage", *(f"{n}_{m}" for n in chosen for m in ("iou", "outline_coverage", "outline_precision", "filled", "median", "p95"))]
     return out.withColumn("reasons", reasons).select("unit", *measures, "reasons", F.when(F.size("reasons") == 0, "evidence_passed").otherwise("needs_review").alias("status"))

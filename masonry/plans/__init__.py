@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import assembly, cells, geometry, metadata, portfolio, reconcile  # noqa: F401  the others add their queries to those of portfolio
+from . import assembly, cells, evidence, geometry, metadata, portfolio, reconcile  # noqa: F401  the others add their queries to those of portfolio
 
 
 def queries() -> dict:
