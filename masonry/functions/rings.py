@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -17,6 +17,11 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """`df` with a column that is computed once a row: what later filters or explodes by a plain one would be pushed below it and compute it again."""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
 def total(values: Column) -> Column:
     """The sum of an array of doubles; 0 if it is empty."""
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)

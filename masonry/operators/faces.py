@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rings as P
@@ -20,7 +21,7 @@ def faces(vertices: DataFrame, keys: tuple[str, ...] = ("solid", "face")) -> Dat
     grouped = vertices.groupBy(*keys).agg(F.sort_array(F.collect_list(at)).alias("v"))
     numbers = F.array_sort(F.array_distinct(F.transform("v", lambda v: v["ring"])))
     rings = F.transform(numbers, lambda k: F.transform(F.filter("v", lambda v: v["ring"] == k), lambda v: v["p"]))
-    return grouped.select(*keys, rings.alias("rings"))
+    return P.once(grouped, "rings", rings).select(*keys, "rings")
 
 
 def _minus(a: Column, b: Column) -> dict[str, Column]:
@@ -79,7 +80,7 @@ def planes(df: DataFrame, planarity: float = PLANARITY) -> DataFrame:
         return F.struct(F.when(ok, first).alias("origin"), u.alias("u"), v.alias("v"), normal.alias("normal"), P.total(turned).alias("area"), deviation.alias("deviation"), reason.alias("reason"))
 
     plane = P.let(F.when(ok, newell(outer)), lambda n: P.let(unit(n, TINY**2), lambda normal: P.let(along(normal), lambda u: measured(normal, u))))
-    return df.withColumn("_plane", plane).select(*df.columns, "_plane.*")
+    return P.once(df, "_plane", plane).select(*df.columns, "_plane.*")
 
 
 def projected(p: Column, origin: Column, u: Column, v: Column) -> Column:
@@ -96,7 +97,7 @@ def lifted(q: Column, origin: Column, u: Column, v: Column) -> Column:
 def clipped(df: DataFrame, z: Column, above: bool) -> DataFrame:
     """[T-10] the parts of faces on one side of a height; faces of which nothing is left go."""
     inside = (lambda p: p["z"] - z) if above else (lambda p: z - p["z"])
-    return df.withColumn("rings", P.clip(F.col("rings"), inside, "xyz")).filter(F.size("rings") > 0)
+    return P.once(df, "rings", P.clip(F.col("rings"), inside, "xyz")).filter(F.size("rings") > 0)
 
 
 def _edges(df: DataFrame) -> DataFrame:
@@ -116,8 +117,7 @@ def edge_uses(df: DataFrame) -> DataFrame:
 
 def volumes(df: DataFrame) -> DataFrame:
     """[A-18] solid, volume: signed tetrahedra over fans of all rings, about a vertex of the solid."""
-    base = df.groupBy("solid").agg(F.min(F.get(F.get("rings", F.lit(0)), F.lit(0))).alias("o"))
-    rows = df.join(base, "solid")
+    rows = df.withColumn("o", F.min(F.get(F.get("rings", F.lit(0)), F.lit(0))).over(W.partitionBy("solid")))
     o = F.col("o")
 
     def fan(ring: Column) -> Column:
@@ -132,13 +132,13 @@ def shells(df: DataFrame, uses: DataFrame) -> DataFrame:
     shared = uses.filter("uses = 2").select("solid", "u", "v", "first", "last")
     node = lambda face: F.struct(F.col("solid"), F.col(face).alias("face"))
     label = graphs.components(shared.select(node("first").alias("a"), node("last").alias("b")))
-    parts = df.select("solid", node("face").alias("id")).distinct().join(label, "id", "left").groupBy("solid").agg(F.count_distinct(F.coalesce("label", "id")).alias("parts"))
+    parts = df.select("solid", node("face").alias("id")).distinct().join(label.hint("merge"), "id", "left").groupBy("solid").agg(F.count_distinct(F.coalesce("label", "id")).alias("parts"))
     fan = lambda face: F.struct(F.col("solid"), F.col("at"), F.col(face).alias("face"))
     met = shared.withColumn("at", F.explode(F.array("u", "v")))
     label = graphs.components(met.select(fan("first").alias("a"), fan("last").alias("b")))
-    corners = _edges(df).select("solid", F.struct("solid", F.col("a").alias("at"), "face").alias("id")).distinct().join(label, "id", "left")
+    corners = _edges(df).select("solid", F.struct("solid", F.col("a").alias("at"), "face").alias("id")).distinct().join(label.hint("merge"), "id", "left")
     fans = corners.groupBy("solid", F.col("id.at").alias("at")).agg(F.count_distinct(F.coalesce("label", "id")).alias("n"))
-    return parts.join(fans.groupBy("solid").agg(F.count_if(F.col("n") > 1).alias("pinched")), "solid")
+    return parts.join(fans.groupBy("solid").agg(F.count_if(F.col("n") > 1).alias("pinched")).hint("merge"), "solid")
 
 
 def checked(df: DataFrame, planarity: float = PLANARITY) -> DataFrame:
@@ -153,7 +153,7 @@ def checked(df: DataFrame, planarity: float = PLANARITY) -> DataFrame:
     )
     uses = graphs.cut(edge_uses(df))
     open_edges = uses.groupBy("solid").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if((F.col("uses") != 2) | (F.col("turns") != 0)).alias("bad"))
-    rows = own.join(open_edges, "solid", "left").join(shells(df, uses), "solid", "left").join(volumes(df), "solid", "left")
+    rows = own.join(open_edges.hint("merge"), "solid", "left").join(shells(df, uses).hint("merge"), "solid", "left").join(volumes(df).hint("merge"), "solid", "left")
     reason = (
         F.when(F.col("n_faces") < 4, "too_few_faces").when(F.col("n_ids") < F.col("n_faces"), "duplicate_face").when(F.col("face_reason").isNotNull(), F.col("face_reason")).when(F.col("bad") > 0, "non_manifold_edge")
         .when(F.col("parts") > 1, "disconnected_shell").when(F.col("pinched") > 0, "non_manifold_vertex").when(~F.coalesce(F.col("volume") > TINY**3, F.lit(False)), "non_positive_volume")
@@ -183,7 +183,7 @@ def junctions(df: DataFrame, cell: float, tolerance: float = PARTY_WALL) -> Data
     dealt = columns.withColumn("cy", F.explode(F.sequence(floor(F.least(enters, leaves) - tolerance), floor(F.greatest(enters, leaves) + tolerance))))
     points = owned.select("p").distinct().select("p", floor(F.col("p.x")).alias("cx"), floor(F.col("p.y")).alias("cy"))
     p, ab = F.col("p"), _minus(b, a)
-    met = points.join(dealt, ["cx", "cy"]).filter(_dot(ab, ab) > TINY**2).withColumn("t", _dot(_minus(p, a), ab) / _dot(ab, ab))
+    met = points.join(dealt.hint("merge"), ["cx", "cy"]).filter(_dot(ab, ab) > TINY**2).withColumn("t", _dot(_minus(p, a), ab) / _dot(ab, ab))
     off = {c: p[c] - a[c] - F.col("t") * ab[c] for c in "xyz"}
     met = graphs.cut(met.withColumn("distance", F.sqrt(_dot(off, off))).filter((F.col("t") > 0) & (F.col("t") < 1) & (F.col("distance") > 1e-8) & (F.col("distance") < tolerance)).drop("cx", "cy"))
     key = lambda v: [F.floor(v[c] / tolerance) for c in "xyz"]
@@ -192,8 +192,8 @@ def junctions(df: DataFrame, cell: float, tolerance: float = PARTY_WALL) -> Data
     for c, k in zip("xyz", key(p), strict=True):
         around = around.withColumn(f"k{c}", F.explode(F.sequence(k - 1, k + 1)))
     near = F.greatest(*(F.abs(F.col(f"p.{c}") - F.col(f"q.{c}")) for c in "xyz")) < tolerance
-    taken = around.join(own, ["kx", "ky", "kz"]).filter((F.col("solid") == F.col("s")) & near).select("solid", "p").distinct()
-    return met.join(taken, ["solid", "p"], "left_anti").select("solid", "a", "b", "p", "t", "distance")
+    taken = around.join(own.hint("merge"), ["kx", "ky", "kz"]).filter((F.col("solid") == F.col("s")) & near).select("solid", "p").distinct()
+    return met.join(taken.hint("merge"), ["solid", "p"], "left_anti").select("solid", "a", "b", "p", "t", "distance")
 
 
 #: Normals are opposite from this product on, planes one within TINY. Sizes of the keys that such faces share.
@@ -230,7 +230,7 @@ def interfaces(df: DataFrame, cell: float) -> DataFrame:
     right = right.select("cx", "cy", "nx", "ny", "nz", "k", F.struct(*box).alias("r"))
     own = (F.floor(F.greatest("l.x0", "r.x0") / cell) == F.col("cx")) & (F.floor(F.greatest("l.y0", "r.y0") / cell) == F.col("cy"))
     normal = F.col("l.normal")
-    met = left.join(right, ["cx", "cy", "nx", "ny", "nz", "k"]).filter(
+    met = left.join(right.hint("merge"), ["cx", "cy", "nx", "ny", "nz", "k"]).filter(
         (F.col("l.solid") < F.col("r.solid")) & own & (_dot(normal, F.col("r.normal")) <= OPPOSITE) & (F.abs(_dot(_minus(F.col("r.origin"), F.col("l.origin")), normal)) <= TINY)
     )
     names = ["a", "a_face", "b", "b_face"]
@@ -238,7 +238,7 @@ def interfaces(df: DataFrame, cell: float) -> DataFrame:
     one = rows.select(F.col("solid").alias("a"), F.col("face").alias("a_face"), "rings", "origin", "u", "v")
     other = rows.select(F.col("solid").alias("b"), F.col("face").alias("b_face"), F.col("rings").alias("others"))
     flat_edges = lambda c: P.edges(F.transform(c, lambda ring: F.transform(ring, lambda p: projected(p, F.col("origin"), F.col("u"), F.col("v")))))
-    drawn = pairs.join(one, ["a", "a_face"]).join(other, ["b", "b_face"]).select(*names, flat_edges("rings").alias("e"), flat_edges("others").alias("f"))
+    drawn = pairs.join(one.hint("merge"), ["a", "a_face"]).join(other.hint("merge"), ["b", "b_face"]).select(*names, flat_edges("rings").alias("e"), flat_edges("others").alias("f"))
     drawn = graphs.cut(drawn).select(*names, F.explode("e").alias("e"), "f").select(*names, "e", F.explode("f").alias("f"))
     shared = F.abs(F.sum(P.below(F.col("e"), F.col("f"), F.lit(0.0))))
     return drawn.groupBy(*names).agg(shared.alias("shared")).filter(F.col("shared") > TINY**2 * 100)
@@ -251,6 +251,6 @@ def boundaries(df: DataFrame, shared: DataFrame) -> DataFrame:
     """
     sides = shared.select(F.explode(F.array(F.struct(F.col("a").alias("solid"), F.col("a_face").alias("face")), F.struct(F.col("b").alias("solid"), F.col("b_face").alias("face")))).alias("s"), "shared")
     sums = sides.groupBy("s.solid", "s.face").agg(F.count(F.lit(1)).alias("interfaces"), F.sum("shared").alias("interior"))
-    rows = planes(df).filter("reason is null").select("solid", "face", "area").join(sums, ["solid", "face"], "left")
+    rows = planes(df).filter("reason is null").select("solid", "face", "area").join(sums.hint("merge"), ["solid", "face"], "left")
     interior = F.coalesce("interior", F.lit(0.0))
     return rows.select("solid", "face", "area", F.coalesce("interfaces", F.lit(0)).cast("long").alias("interfaces"), interior.alias("interior"), F.greatest(F.col("area") - interior, F.lit(0.0)).alias("remainder"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rings as P
@@ -24,14 +24,17 @@ def covering(points: DataFrame, polygons: DataFrame, key: str, ident: str, cell:
     p = points.select(key, x.cast("double").alias("x"), y.cast("double").alias("y")).withColumn("cx", F.floor(x / cell)).withColumn("cy", F.floor(y / cell))
     crossed = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax)
     border = ((bx - ax) * (y - ay) == (by - ay) * (x - ax)) & x.between(F.least(ax, bx), F.greatest(ax, bx)) & y.between(F.least(ay, by), F.greatest(ay, by))
-    met = p.join(dealt, ["cx", "cy"]).select(key, ident, F.when(crossed, 1).otherwise(0).alias("crossed"), border.alias("border"))
+    met = p.join(dealt.hint("merge"), ["cx", "cy"]).select(key, ident, F.when(crossed, 1).otherwise(0).alias("crossed"), border.alias("border"))
     found = met.groupBy(key, ident).agg(F.sum("crossed").alias("n"), F.bool_or("border").alias("border"))
     return found.filter((F.col("n") % 2 == 1) | F.col("border")).select(key, ident)
 
 
 def _sides(polygons: DataFrame, ident: str, side: str) -> DataFrame:
-    b = P.bounds(F.col("rings"))
-    return polygons.select(F.col(ident).alias("a" if side == "l" else "b"), *(b[c].alias(side + c) for c in ("x0", "y0", "x1", "y1")), F.col("rings").alias(f"{side}rings"))
+    rings = F.col("rings")
+    b = P.bounds(rings)
+    # measured before the join, once a polygon
+    rows = polygons.select(F.col(ident).alias("a" if side == "l" else "b"), *(b[c].alias(side + c) for c in ("x0", "y0", "x1", "y1")), F.struct(F.abs(P.area(rings)).alias("area"), P.edges(rings).alias("edges")).alias("measured"))
+    return P.once(rows, side, F.col("measured")).drop("measured")
 
 
 def overlaps(left: DataFrame, right: DataFrame, cell: float, ident: str = "code") -> DataFrame:
@@ -39,10 +42,9 @@ def overlaps(left: DataFrame, right: DataFrame, cell: float, ident: str = "code"
 
     Candidates are boxes that touch; the shared area is a sum over pairs of edges (see rings.below), holes by their sign.
     """
-    area = lambda c: F.abs(P.area(F.col(c)))
     near = box_join(_sides(left, ident, "l"), _sides(right, ident, "r"), cell)
-    pairs = near.select("a", "b", area("lrings").alias("left_area"), area("rrings").alias("right_area"), F.col("ly0").alias("base"), F.explode(P.edges(F.col("lrings"))).alias("e"), "rrings")
-    pairs = pairs.select("a", "b", "left_area", "right_area", "base", "e", F.explode(P.edges(F.col("rrings"))).alias("f"))
+    pairs = near.select("a", "b", F.col("l.area").alias("left_area"), F.col("r.area").alias("right_area"), F.col("ly0").alias("base"), F.col("l.edges").alias("e"), F.col("r.edges").alias("f"))
+    pairs = pairs.withColumn("e", F.explode("e")).withColumn("f", F.explode("f"))
     shared = F.abs(F.sum(P.below(F.col("e"), F.col("f"), F.col("base"))))
     return pairs.groupBy("a", "b").agg(F.first("left_area").alias("left_area"), F.first("right_area").alias("right_area"), shared.alias("shared")).filter("shared > 1e-9")
 
@@ -56,7 +58,7 @@ def agreement(outlines: DataFrame, models: DataFrame, cell: float, ident: str =
     own = lambda pairs: pairs.filter("a = b").select(F.col("a").alias(ident), "shared")
     filled = own(overlaps(courts, models, cell, ident)).groupBy(ident).agg(F.sum("shared").alias("filled"))
     area = F.abs(P.area(F.col("rings")))
-    rows = outlines.select(ident, area.alias("outline")).join(models.select(ident, area.alias("model")), ident, "left").join(own(overlaps(outlines, models, cell, ident)), ident, "left").join(filled, ident, "left")
+    rows = outlines.select(ident, area.alias("outline")).join(models.select(ident, area.alias("model")).hint("merge"), ident, "left").join(own(overlaps(outlines, models, cell, ident)).hint("merge"), ident, "left").join(filled.hint("merge"), ident, "left")
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     rows = rows.select(
         ident,
@@ -74,15 +76,21 @@ def cells(polygons: DataFrame, ident: str, size: float) -> DataFrame:
 
     The rings are clipped to columns first, then each column to its cells, so a cell costs what its column holds.
     """
+    spread = lambda lo, hi: F.sequence(F.floor(lo / size), F.greatest(F.ceil(hi / size) - 1, F.floor(lo / size)))
+    def strip(rings: Column, cx: Column) -> Column:
+        kept = P.clip(P.clip(rings, lambda p: p["x"] - cx * size), lambda p: (cx + 1) * size - p["x"])
+        return F.struct(cx.alias("cx"), kept.alias("rings"))
+
+    def part(rings: Column, cy: Column) -> Column:
+        kept = P.clip(P.clip(rings, lambda p: p["y"] - cy * size), lambda p: (cy + 1) * size - p["y"])
+        return F.struct(cy.alias("cy"), F.abs(P.area(kept)).alias("area"))
+
     b = P.bounds(F.col("rings"))
-    columns = polygons.select(ident, "rings", F.explode(F.sequence(F.floor(b["x0"] / size), F.ceil(b["x1"] / size) - 1)).alias("cx"))
-    low, high = F.col("cx") * size, (F.col("cx") + 1) * size
-    strips = columns.select(ident, "cx", P.clip(P.clip(F.col("rings"), lambda p: p["x"] - low), lambda p: high - p["x"]).alias("rings")).filter(F.size("rings") > 0)
+    columns = F.transform(F.sequence(F.floor(b["x0"] / size), F.ceil(b["x1"] / size) - 1), lambda cx: strip(F.col("rings"), cx))
+    strips = P.once(polygons.select(ident, "rings"), "s", columns).select(ident, F.explode("s").alias("s")).select(ident, "s.*").filter(F.size("rings") > 0)
     b = P.bounds(F.col("rings"))
-    rows = strips.select(ident, "cx", "rings", F.explode(F.sequence(F.floor(b["y0"] / size), F.greatest(F.ceil(b["y1"] / size) - 1, F.floor(b["y0"] / size)))).alias("cy"))
-    low, high = F.col("cy") * size, (F.col("cy") + 1) * size
-    parts = P.clip(P.clip(F.col("rings"), lambda p: p["y"] - low), lambda p: high - p["y"])
-    return rows.select(ident, "cx", "cy", F.abs(P.area(parts)).alias("area")).filter("area > 1e-10")
+    parts = F.transform(spread(b["y0"], b["y1"]), lambda cy: part(F.col("rings"), cy))
+    return P.once(strips, "c", parts).select(ident, "cx", F.explode("c").alias("c")).select(ident, "cx", "c.*").filter("area > 1e-10")
 
 
 def cell_evidence(grid: DataFrame, occupied: DataFrame, ident: str) -> DataFrame:
@@ -90,12 +98,12 @@ def cell_evidence(grid: DataFrame, occupied: DataFrame, ident: str) -> DataFrame
 
     grid: see cells; occupied: cells (ident, cx, cy) with a return, repeats allowed.
     """
-    marked = graphs.cut(grid.join(occupied.select(ident, "cx", "cy").distinct().withColumn("hit", F.lit(True)), [ident, "cx", "cy"], "left"))
+    marked = graphs.cut(grid.join(occupied.select(ident, "cx", "cy").distinct().withColumn("hit", F.lit(True)).hint("merge"), [ident, "cx", "cy"], "left"))
     gap = marked.filter("hit is null").select(F.struct(ident, "cx", "cy").alias("id"), "area")
     step = lambda dx, dy: F.struct(F.col("id")[ident].alias(ident), (F.col("id.cx") + dx).alias("cx"), (F.col("id.cy") + dy).alias("cy"))
-    near = gap.select(F.col("id").alias("a"), F.explode(F.array(step(0, 1), step(1, 0))).alias("b")).join(gap.select(F.col("id").alias("b")), "b")
-    parts = gap.join(graphs.components(near), "id", "left").groupBy(F.coalesce("label", "id").alias("label")).agg(F.sum("area").alias("area"))
+    near = gap.select(F.col("id").alias("a"), F.explode(F.array(step(0, 1), step(1, 0))).alias("b")).join(gap.select(F.col("id").alias("b")).hint("merge"), "b")
+    parts = gap.join(graphs.components(near).hint("merge"), "id", "left").groupBy(F.coalesce("label", "id").alias("label")).agg(F.sum("area").alias("area"))
     gaps = parts.groupBy(F.col("label")[ident].alias(ident)).agg(F.sum("area").alias("gap"), F.max("area").alias("largest"))
     sums = marked.groupBy(ident).agg(F.sum("area").alias("area"), F.sum(F.when(F.col("hit"), F.col("area")).otherwise(0.0)).alias("covered"))
     zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
-    return sums.join(gaps, ident, "left").select(ident, "area", (F.col("covered") / F.col("area")).alias("coverage"), zero("gap"), zero("largest"))
+    return sums.join(gaps.hint("merge"), ident, "left").select(ident, "area", (F.col("covered") / F.col("area")).alias("coverage"), zero("gap"), zero("largest"))
