@@ -1,62 +1,90 @@
-"""Connected components as joins: labels spread to neighbours and jump until none changes."""
+"""Connected components as joins: labels spread to neighbours and jump until none changes.
+
+Joins of the operators carry the hint `merge`: Spark judges a side by the bytes of its files, before rows are exploded,
+and would send millions of them through the driver to every executor.
+"""
 
 from __future__ import annotations
 
+import posixpath
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written to the checkpoint folder that the session names, and read from there; in tests a temporary folder is set."""
-    sc = df.sparkSession.sparkContext
+    """`df` written below the checkpoint folder that the session names, as Parquet, which takes a tenth of a checkpoint's room, and read from there; in tests a temporary folder is set."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        base = spark.conf.get("spark.checkpoint.dir", None)
         if not base and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="masonry-"))
-    return df.checkpoint()
+    path = posixpath.join(spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir(), f"cut-{uuid.uuid4().hex}")
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def emptied(*tables: DataFrame) -> None:
+    """Takes the rows of tables that `cut` gave and nothing reads any more off the disk."""
+    for df in tables:
+        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(posixpath.dirname(df.inputFiles()[0]))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """[A-11, A-17] id, label: for every node of an edge (a, b) the least node it can reach."""
+    """[A-11, A-17] id, label: for every node of an edge (a, b) the least node it can reach. Nodes that are structs get numbers first, so the rounds join numbers only."""
+    if isinstance(edges.schema["a"].dataType, StructType):
+        given = cut(edges.select("a", "b"))
+        nodes = cut(given.select("a").union(given.select("b")).distinct().select(F.col("a").alias("node"), F.monotonically_increasing_id().alias("n")))
+        end = lambda c, n: nodes.select(F.col("node").alias(c), F.col("n").alias(n))
+        numbers = components(given.join(end("a", "x").hint("merge"), "a").join(end("b", "y").hint("merge"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
+        named = cut(nodes.join(numbers.withColumnRenamed("id", "n").hint("merge"), "n").select("node", "label"))
+        emptied(given)
+        return named.join(named.groupBy("label").agg(F.min("node").alias("least")).hint("merge"), "label").select(F.col("node").alias("id"), F.col("least").alias("label"))
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("label")))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        spread = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(labels.withColumnRenamed("id", "b").hint("merge"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        spread = labels.join(near.hint("merge"), "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("id").alias("label"), F.col("label").alias("further"))
-        grown = cut(spread.join(jump, "label").select("id", "old", F.least("label", "further").alias("label")))
+        grown = cut(spread.join(jump.hint("merge"), "label").select("id", "old", F.least("label", "further").alias("label")))
+        emptied(labels)
         labels = grown.select("id", "label")
         if grown.filter("label <> old").isEmpty():
+            emptied(both)
             return labels
 
 
 def rings(edges: DataFrame) -> DataFrame:
     """[A-28, G-16] head, pos, node of rings that directed edges (a, b) form: head is the ring's least node, pos counts from it along the edges.
 
-    Nodes jump twice as far each round, so a ring of any length takes its logarithm of joins and no task holds a ring.
-    Each node must have one edge out and one in; rings through others (pinched, open) are left out.
+    Edges and the nodes they leave get numbers, and only numbers are joined: they jump twice as far each round, so a ring of any length takes
+    its logarithm of joins and no task holds a ring. Each node must have one edge out and one in; rings through others (pinched, open) are left out.
     """
-    e = cut(edges.select("a", "b"))
-    once = lambda c: e.groupBy(c).agg(F.count(F.lit(1)).alias("n"))
-    both = once("a").withColumnRenamed("a", "id").join(once("b").select(F.col("b").alias("id"), F.col("n").alias("m")), "id", "full")
-    odd = both.filter("n is null or m is null or n > 1 or m > 1").select("id")
-    reach = cut(e.select(F.col("a").alias("id"), F.col("b").alias("to"), F.least("a", "b").alias("low"), F.lit(False).alias("bad")).join(odd.withColumn("odd", F.lit(True)), "id", "left").select("id", "to", "low", F.coalesce("odd", "bad").alias("bad")).dropDuplicates(["id"]))
+    e = cut(edges.select("a", "b").withColumn("id", F.monotonically_increasing_id()))
+    one, none = F.lit(1), F.lit(None).cast("long")
+    ends = e.select(F.col("a").alias("node"), F.col("id").alias("own"), none.alias("before")).union(e.select(F.col("b").alias("node"), none.alias("own"), F.col("id").alias("before")))
+    met = ends.groupBy("node").agg(F.count("own").alias("n"), F.count("before").alias("m"), F.min("own").alias("own"), F.min("before").alias("before"))
+    nodes = cut(met.filter("n = 1 and m = 1").select("node", "own", "before"))
+    # the least number among so many nodes ahead, and how far it is; a jump that ends at no such node is on no ring
+    reach = cut(nodes.select(F.col("before").alias("id"), F.col("own").alias("to"), F.col("before").alias("low"), F.lit(0).cast("long").alias("d")))
+    width = 1
     while True:
-        further = reach.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("low").alias("lower"), F.col("bad").alias("worse"))
-        grown = reach.join(further, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.least("low", "lower").alias("low"), (F.col("bad") | F.coalesce("worse", F.lit(True))).alias("bad"), F.col("low").alias("was"), F.col("bad").alias("had"))
+        further = reach.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("low").alias("lower"), F.col("d").alias("more"))
+        nearer = F.col("low") <= F.col("lower")
+        grown = reach.join(further.hint("merge"), "to", "left").select(
+            "id", F.col("next").alias("to"), F.when(nearer, F.col("low")).otherwise(F.col("lower")).alias("low"), F.when(nearer, F.col("d")).otherwise(F.col("more") + width).alias("d"), F.coalesce(F.col("low") <= F.col("lower"), F.lit(False)).alias("same")
+        )
         grown = cut(grown)
-        reach = grown.select("id", "to", "low", "bad")
-        if grown.filter("low <> was or bad <> had").isEmpty():
+        emptied(reach)
+        reach, width = grown.filter("to is not null").select("id", "to", "low", "d"), 2 * width
+        if grown.filter("not same").isEmpty():
             break
-    sound = reach.filter("not bad").select("id", F.col("low").alias("head"))
-    # steps to the head, again by jumps that double: a node whose jump has reached the head stays
-    step = e.select(F.col("a").alias("id"), F.col("b").alias("to")).join(sound, "id")
-    left = cut(step.select("id", "head", F.when(F.col("to") != F.col("head"), F.col("to")).alias("to"), F.lit(1).cast("long").alias("d")))
-    while not left.filter("to is not null").isEmpty():
-        further = left.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("d").alias("more"))
-        left = cut(left.join(further, "to", "left").select("id", "head", F.col("next").alias("to"), (F.col("d") + F.coalesce("more", F.lit(0))).alias("d")))
-    length = left.filter("id = head").select("head", F.col("d").alias("n"))
-    return left.join(length, "head").select("head", (F.col("n") - F.col("d")).alias("pos"), F.col("id").alias("node"))
+    found = cut(reach.join(nodes.select(F.col("own").alias("id"), "node").hint("merge"), "id").select("low", "d", "node"))
+    heads = found.groupBy("low").agg(F.count(one).alias("n"), F.min(F.struct("node", "d")).alias("h"))
+    emptied(e)
+    return found.join(heads.hint("merge"), "low").select(F.col("h.node").alias("head"), F.pmod(F.col("h.d") - F.col("d"), F.col("n")).alias("pos"), "node")

@@ -95,7 +95,7 @@ def plane_coordinates(spark, sf):
     v = solid_vertices(spark, sf)
     p = S.planes(S.faces(v)).filter("reason is null").select("solid", "face", "origin", "u", "v")
     plane = [F.col(c) for c in ("origin", "u", "v")]
-    flat = v.join(p, ["solid", "face"]).withColumn("q", S.projected(F.struct("x", "y", "z"), *plane)).withColumn("back", S.lifted(F.col("q"), *plane))
+    flat = v.join(p.hint("merge"), ["solid", "face"]).withColumn("q", S.projected(F.struct("x", "y", "z"), *plane)).withColumn("back", S.lifted(F.col("q"), *plane))
     moved = F.sqrt(sum(((F.col(f"back.{c}") - F.col(c)) ** 2 for c in "yz"), (F.col("back.x") - F.col("x")) ** 2))
     return flat.filter(moved < 1e-9).select("solid", "face", "ring", "pos", F.round(F.hypot("q.x", "q.y"), 6).alias("distance"))
 
@@ -208,11 +208,12 @@ def boundary_rings(spark, sf):
     """[A-28, G-16] outlines of cells, each with a hole, assembled from their boundary edges in order."""
     span = lambda low, size: F.explode(F.sequence(F.col(low).cast("long"), (F.col(low) + F.col(size) - 1).cast("long")))
     c = buildings(spark, sf).withColumn("x", span("x0", "w")).withColumn("y", span("y0", "d")).filter(~((F.col("x") == F.col("x0") + 2) & F.col("y").between(F.col("y0") + 1, F.col("y0") + 2)))
+    # the code stands beside the corners: rows are dealt by it already, so edges that cells share are counted where they are drawn
     at = lambda dx, dy: F.struct("code", (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
     corners = [(0, 0), (1, 0), (1, 1), (0, 1)]
     sides = F.explode(F.array(*(F.struct(at(*p).alias("a"), at(*q).alias("b")) for p, q in zip(corners, corners[1:] + corners[:1], strict=True))))
-    e = c.select(sides.alias("e")).select("e.a", "e.b", F.least("e.a", "e.b").alias("u"), F.greatest("e.a", "e.b").alias("v"))
-    edges = e.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.min("b").alias("b")).filter("n = 1")
+    e = c.select("code", sides.alias("e")).select("code", "e.a", "e.b", F.least("e.a", "e.b").alias("u"), F.greatest("e.a", "e.b").alias("v"))
+    edges = e.groupBy("code", "u", "v").agg(F.count(F.lit(1)).alias("n"), F.min("a").alias("a"), F.min("b").alias("b")).filter("n = 1")
     found = graphs.rings(edges).select("head", "pos", "node")
     nxt = F.coalesce(F.lead("node").over(W.partitionBy("head").orderBy("pos")), F.col("head"))
     turned = found.withColumn("q", nxt)
@@ -245,7 +246,7 @@ def city_json_solids(spark, sf):
     vertices = F.concat_ws(",", corner(x0, y0, low), corner(x1, y0, low), corner(x1, y1, low), corner(x0, y1, low), corner(x0, y0, high), corner(x1, y0, top), corner(x1, y1, top), corner(x0, y1, high))
     name, lod = F.col("code").cast("string"), F.when(F.col("code") % 7 == 3, "1.2").otherwise("2.2")
     value = F.concat(F.lit('{"type": "CityJSONFeature", "CityObjects": {"'), name, F.lit('": {"type": "Building", "geometry": [{"type": "Solid", "lod": "'), lod, F.lit('", "boundaries": [[[[3,2,1,0]],[[4,5,6,7]],[[0,1,5,4]],[[1,2,6,5]],[[2,3,7,6]],[[3,0,4,7]]]]}]}}, "vertices": ['), vertices, F.lit("]}"))
-    found = cityjson.solids(header.union(b.select(source.alias("source"), value.alias("value"))))
+    found = graphs.cut(cityjson.solids(header.union(b.select(source.alias("source"), value.alias("value")))))
     f = cityjson.faces(found)
     west = f.groupBy("solid").agg(F.min(F.array_min(F.transform(F.flatten("rings"), lambda p: p["x"]))).alias("west"))
-    return found.select("solid", "reason").join(S.volumes(f), "solid", "left").join(west, "solid", "left").select("solid", F.round("volume", 6).alias("volume"), "west", "reason")
+    return found.select("solid", "reason").join(S.volumes(f).hint("merge"), "solid", "left").join(west.hint("merge"), "solid", "left").select("solid", F.round("volume", 6).alias("volume"), "west", "reason")
