@@ -29,10 +29,10 @@ def largest_gap_component(spark, sf):
     """[A-11] size of the largest 4-connected group of cells without a return; cells of one building only meet each other."""
     gap = graphs.cut(_cells(spark, sf).filter(~F.col("hit")).select("code", F.struct("code", "x", "y").alias("id")))
     step = lambda dx, dy: F.struct(F.col("code"), (F.col("id.x") + dx).alias("x"), (F.col("id.y") + dy).alias("y"))
-    edges = gap.select(F.col("id").alias("a"), F.explode(F.array(step(0, 1), step(1, 0))).alias("b")).join(gap.select(F.col("id").alias("b")), "b")
-    named = gap.join(graphs.components(edges), "id", "left").groupBy("code", F.coalesce("label", "id").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    edges = gap.select(F.col("id").alias("a"), F.explode(F.array(step(0, 1), step(1, 0))).alias("b")).join(gap.select(F.col("id").alias("b")).hint("merge"), "b")
+    named = gap.join(graphs.components(edges).hint("merge"), "id", "left").groupBy("code", F.coalesce("label", "id").alias("label")).agg(F.count(F.lit(1)).alias("n"))
     sizes = named.groupBy("code").agg(F.sum("n").alias("gaps"), F.max("n").alias("largest"))
-    return buildings(spark, sf).select("code").join(sizes, "code", "left").select("code", F.coalesce("gaps", F.lit(0)).cast("long").alias("gaps"), F.coalesce("largest", F.lit(0)).cast("long").alias("largest"))
+    return buildings(spark, sf).select("code").join(sizes.hint("merge"), "code", "left").select("code", F.coalesce("gaps", F.lit(0)).cast("long").alias("gaps"), F.coalesce("largest", F.lit(0)).cast("long").alias("largest"))
 
 
 SCATTER = "v AS (SELECT CAST(p_partkey AS BIGINT) AS id, CAST((p_partkey * p_partkey * 31 + p_partkey * 17) % 307 AS DOUBLE) AS x, CAST((p_partkey * p_partkey * p_partkey + p_partkey * 11) % 263 AS DOUBLE) AS y FROM part)"
@@ -43,8 +43,7 @@ def vertex_clusters(spark, sf):
     """[A-17] vertices within tolerance of each other are one, transitively; the least id stands for them."""
     k = long(F.col("p_partkey"))
     v = table(spark, sf, "part").select(k.alias("id"), ((k * k * 31 + k * 17) % 307).cast("double").alias("x"), ((k * k * k + k * 11) % 263).cast("double").alias("y"))
-    found = graphs.components(G.near_pairs(v, 3))
-    return v.join(found, "id", "left").select("id", F.coalesce("label", "id").alias("cluster"))
+    return G.clusters(v, 3)
 
 
 @query(f"WITH {CELL}, e AS (SELECT code, o, x + dx AS x, y + dy AS y FROM cell, (VALUES ('h', 0, 0), ('h', 0, 1), ('v', 0, 0), ('v', 1, 0)) AS s(o, dx, dy) WHERE hit), k AS (SELECT code, o, x, y FROM e GROUP BY ALL HAVING count(*) = 1) SELECT code, count(*) AS n_edges FROM k GROUP BY 1")
@@ -65,7 +64,7 @@ def edge_neighbours(spark, sf):
     ends = F.array(*(F.struct(corner(a).alias("a"), corner(b).alias("b")) for a, b in TURNS))
     e = _cells(spark, sf).filter("hit").select("code", "x", "y", F.explode(ends).alias("e")).select("code", "x", "y", "e.a", "e.b")
     back = e.select("code", F.col("b").alias("a"), F.col("a").alias("b"))
-    return e.join(back, ["code", "a", "b"]).groupBy("code", "x", "y").agg(F.count(F.lit(1)).alias("neighbours"))
+    return e.join(back.hint("merge"), ["code", "a", "b"]).groupBy("code", "x", "y").agg(F.count(F.lit(1)).alias("neighbours"))
 
 
 @query("WITH RECURSIVE z AS (SELECT o_custkey AS k, CAST(floor(o_totalprice / 1000) AS BIGINT) AS z FROM orders), s AS (SELECT k, min(z) AS s FROM z GROUP BY k UNION ALL SELECT s.k, min(z.z) FROM s JOIN z ON z.k = s.k AND z.z > s.s + 20 GROUP BY s.k), c AS (SELECT z.k, z.z, max(s.s) AS s FROM (SELECT k, z, row_number() OVER () AS i FROM z) z JOIN s ON s.k = z.k AND s.s <= z.z GROUP BY z.k, z.z, z.i) SELECT k AS o_custkey, s AS start, count(*) AS n, round(avg(z), 6) AS level FROM c GROUP BY 1, 2")
@@ -143,6 +142,6 @@ def page_guard(spark, sf):
 @query(f"WITH {LINKS}, {BLD}, c AS (SELECT unit, height FROM l JOIN bld ON code = source), a AS (SELECT unit, count(DISTINCT height) AS k, count(height) = count(*) AS whole, min(height) AS h FROM c GROUP BY 1) SELECT unit, CASE WHEN unit % 4 = 0 THEN 9.0 WHEN k = 1 AND whole AND h > 0 AND h <= 300 THEN h END::DOUBLE AS height FROM a")
 def assumed_height(spark, sf):
     """[T-20] an explicit height, else the one that all sources give; sources that differ or lack it give none."""
-    sources = _links(spark, sf).distinct().join(buildings(spark, sf).select(F.col("code").alias("source"), "height"), "source")
+    sources = _links(spark, sf).distinct().join(buildings(spark, sf).select(F.col("code").alias("source"), "height").hint("merge"), "source")
     found = R.consensus(sources, "unit", "height")
     return found.select("unit", F.when(F.col("unit") % 4 == 0, F.lit(9.0)).when(F.col("value").between(1e-300, 300.0), F.col("value")).alias("height"))
