@@ -73,14 +73,14 @@ def nearest(points: DataFrame, faces: DataFrame, cell: float, level: bool = Fals
     gap = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(f"p{c}1"), F.col(f"p{c}0") - F.col(f"{c}1"))
     far = lambda c: F.greatest(F.col(f"{c}1") - F.col(f"p{c}0"), F.col(f"p{c}1") - F.col(f"{c}0"))
     norm = lambda f: sum((f(c) ** 2 for c in axes[1:]), f(axes[0]) ** 2)
-    tried = cut(cells.join(boxed.drop("rings"), "unit").select("unit", "cx", "cy", "face", norm(gap).alias("low"), norm(far).alias("high")))
+    tried = cut(cells.join(boxed.drop("rings").hint("merge"), "unit").select("unit", "cx", "cy", "face", norm(gap).alias("low"), norm(far).alias("high")))
     bound = tried.groupBy("unit", "cx", "cy").agg(F.min("high").alias("bound"))
-    near = tried.join(bound, ["unit", "cx", "cy"]).filter(F.col("low") <= F.col("bound") * (1 + 1e-9)).select("unit", "cx", "cy", "face")
+    near = tried.join(bound.hint("merge"), ["unit", "cx", "cy"]).filter(F.col("low") <= F.col("bound") * (1 + 1e-9)).select("unit", "cx", "cy", "face")
 
     vector = newell(F.get("rings", F.lit(0)))
     normal = P.let(vector, lambda n: F.struct(*((n[c] / F.sqrt(n["x"] ** 2 + n["y"] ** 2 + n["z"] ** 2)).alias(c) for c in "xyz")))
     planes = boxed.select("unit", "face", _edges(F.col("rings")).alias("edges"), F.get(F.get("rings", F.lit(0)), F.lit(0)).alias("o"), normal.alias("n"))
-    met = held.join(near.join(planes, ["unit", "face"]), ["unit", "cx", "cy"])
+    met = held.join(near.join(planes, ["unit", "face"]).hint("merge"), ["unit", "cx", "cy"])
     p = {c: F.col(c) for c in "xyz"}
     n, o = F.col("n"), F.col("o")
     if level:
@@ -114,7 +114,7 @@ def near_polygons(points: DataFrame, polygons: DataFrame, reach: float, cell: fl
     dealt = polygons.select("unit", "rings", span("x0", "x1").alias("cx")).select("unit", "rings", "cx", span("y0", "y1").alias("cy"))
     spaced = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(0.0).alias("z"))))
     dealt = dealt.select("unit", "cx", "cy", _edges(spaced).alias("edges"))
-    met = xyz.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)).join(dealt, ["cx", "cy"])
+    met = xyz.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)).join(dealt.hint("merge"), ["cx", "cy"])
     p = {c: F.col(c) for c in "xyz"}
     close = _inside(F.col("edges"), p["x"], p["y"]) | (_nearest_edge(F.col("edges"), p, "xy")["d"] <= reach)
     return met.filter(close).select("unit", "id", "x", "y", "z").distinct()
@@ -145,30 +145,30 @@ def assess(outlines: DataFrame, faces: DataFrame, points: DataFrame, cell: float
         "roof": cut(near_polygons(sound.filter(F.col("class") == ROOF_CLASS), outline.union(plan["roof"]), 0, cell)),
         "ground": cut(near_polygons(sound.filter(F.col("class") == GROUND_CLASS), outline.union(plan["ground"]), AROUND, cell)),
     }
-    out = base.drop("rings").join(kinds, "unit", "left")
+    out = base.drop("rings").join(kinds.hint("merge"), "unit", "left")
     for name, least in chosen.items():
-        out = out.join(least.groupBy("unit").agg(F.count(F.lit(1)).alias(f"{name}_points")), "unit", "left")
+        out = out.join(least.groupBy("unit").agg(F.count(F.lit(1)).alias(f"{name}_points")).hint("merge"), "unit", "left")
         found = nearest(least, of[name], cell, level=name == "ground").withColumn("residual", F.round("residual", DECIMALS))
-        out = out.join(found.groupBy("unit").agg(F.percentile("residual", 0.5).alias(f"{name}_median"), F.percentile("residual", 0.95).alias(f"{name}_p95")), "unit", "left")
+        out = out.join(found.groupBy("unit").agg(F.percentile("residual", 0.5).alias(f"{name}_median"), F.percentile("residual", 0.95).alias(f"{name}_p95")).hint("merge"), "unit", "left")
     inside = Q.covering(chosen["roof"].select(F.struct("unit", "id").alias("key"), "x", "y"), outline, "key", "unit", cell).filter("key.unit = unit")
-    out = out.join(inside.groupBy("unit").agg(F.count(F.lit(1)).alias("outline_points")), "unit", "left")
+    out = out.join(inside.groupBy("unit").agg(F.count(F.lit(1)).alias("outline_points")).hint("merge"), "unit", "left")
 
     hit = lambda c: F.floor(F.col(c) / size).alias(f"c{c}")
     occupied = cut(chosen["roof"].select("unit", hit("x"), hit("y")).distinct())
-    out = out.join(Q.cell_evidence(Q.cells(outline, "unit", size), occupied, "unit").select("unit", "coverage", F.col("largest").alias("largest_gap")), "unit", "left")
+    out = out.join(Q.cell_evidence(Q.cells(outline, "unit", size), occupied, "unit").select("unit", "coverage", F.col("largest").alias("largest_gap")).hint("merge"), "unit", "left")
     roofs = Q.cells(of["roof"].select(F.struct("unit", "face").alias("k"), F.col("plan").alias("rings")), "k", size).withColumn("unit", F.col("k.unit"))
-    marked = roofs.join(occupied.withColumn("hit", F.lit(True)), ["unit", "cx", "cy"], "left").groupBy("k")
+    marked = roofs.join(occupied.withColumn("hit", F.lit(True)).hint("merge"), ["unit", "cx", "cy"], "left").groupBy("k")
     share = marked.agg((F.sum(F.when(F.col("hit"), F.col("area")).otherwise(0.0)) / F.sum("area")).alias("s"))
-    out = out.join(share.groupBy(F.col("k.unit").alias("unit")).agg(F.min("s").alias("surface_coverage")), "unit", "left")
+    out = out.join(share.groupBy(F.col("k.unit").alias("unit")).agg(F.min("s").alias("surface_coverage")).hint("merge"), "unit", "left")
 
     courts = cut(base.select("unit", F.explode(F.slice("rings", F.lit(2), F.greatest(F.size("rings") - 1, F.lit(0)))).alias("ring"), F.monotonically_increasing_id().alias("k")))
     for name in chosen:
         both = outline.select("unit", F.lit(True).alias("own"), "rings").union(plan[name].select("unit", F.lit(False).alias("own"), "rings"))
         shared = unions(both, "unit", cell).filter("whole > 0")
         holes = courts.select(F.struct("unit", "k").alias("key"), F.lit(True).alias("own"), F.array("ring").alias("rings"))
-        models = courts.select("unit", "k").join(plan[name], "unit").select(F.struct("unit", "k").alias("key"), F.lit(False).alias("own"), "rings")
+        models = courts.select("unit", "k").join(plan[name].hint("merge"), "unit").select(F.struct("unit", "k").alias("key"), F.lit(False).alias("own"), "rings")
         filled = unions(holes.union(models), "key", cell).groupBy(F.col("key.unit").alias("unit")).agg(F.sum("inside").alias(f"{name}_filled"))
-        out = out.join(shared.select("unit", F.col("whole").alias(f"{name}_area"), F.col("inside").alias(f"{name}_shared")), "unit", "left").join(filled, "unit", "left")
+        out = out.join(shared.select("unit", F.col("whole").alias(f"{name}_area"), F.col("inside").alias(f"{name}_shared")).hint("merge"), "unit", "left").join(filled.hint("merge"), "unit", "left")
 
     counts = [c for c in ("roofs", "grounds", "roof_points", "ground_points", "outline_points")]
     out = out.crossJoin(F.broadcast(invalid)).withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})

@@ -37,12 +37,12 @@ def unions(polygons: DataFrame, key: str, cell: float) -> DataFrame:
     names = ("x0", "y0", "x1", "y1", "lo", "hi")
     other = e.select(key, "strip", *(F.col(c).alias(f"f{c}") for c in names))
     lo, hi = F.greatest("lo", "flo"), F.least("hi", "fhi")
-    pairs = e.join(other, [key, "strip"]).filter((lo < hi) & (F.struct(*names[:4]) < F.struct(*(f"f{c}" for c in names[:4]))))
+    pairs = e.join(other.hint("merge"), [key, "strip"]).filter((lo < hi) & (F.struct(*names[:4]) < F.struct(*(f"f{c}" for c in names[:4]))))
     d0, d1 = at(lo) - at(lo, "f"), at(hi) - at(hi, "f")
     crossings = pairs.filter(d0 * d1 < 0).select(key, "strip", (lo + (hi - lo) * d0 / (d0 - d1)).alias("x"))
     cuts = e.select(key, "strip", F.explode(F.array("lo", "hi")).alias("x")).union(crossings).distinct()
     slabs = cuts.withColumn("to", F.lead("x").over(W.partitionBy(key, "strip").orderBy("x"))).filter("to is not null")
-    met = e.join(slabs, [key, "strip"]).filter((F.col("lo") <= F.col("x")) & (F.col("hi") >= F.col("to")))
+    met = e.join(slabs.hint("merge"), [key, "strip"]).filter((F.col("lo") <= F.col("x")) & (F.col("hi") >= F.col("to")))
     met = met.select(key, "strip", "x", "to", "own", "step", at((F.col("x") + F.col("to")) / 2).alias("y"))
     column = W.partitionBy(key, "strip", "x").orderBy("y")
     depth = lambda own: F.sum(F.when(F.col("own") == own, F.col("step")).otherwise(0)).over(column.rowsBetween(W.unboundedPreceding, 0))
@@ -68,19 +68,19 @@ def associate(groups: DataFrame, outlines: DataFrame, cell: float, shares: DataF
     rows count twice. A side with one member needs no union; the others are measured by `unions`. shares: see shared_parts, if known.
     """
     sized = lambda df, k, n: df.groupBy(F.col("ident").alias(k)).agg(F.sum(_area()).alias(n))
-    pairs = (shared_parts(groups, outlines, cell) if shares is None else shares).join(sized(groups, "a", "la"), "a").join(sized(outlines, "b", "ra"), "b")
+    pairs = (shared_parts(groups, outlines, cell) if shares is None else shares).join(sized(groups, "a", "la").hint("merge"), "a").join(sized(outlines, "b", "ra").hint("merge"), "b")
     pairs = cut(pairs)
 
     def side(key: str, member: str, own: DataFrame, members: DataFrame, size: str, other: str) -> DataFrame:
         inside = pairs.filter(F.col("shared") >= least * F.col(other))
         sums = inside.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.sum(other).alias("sum"), F.sum("shared").alias("in"), F.first(size).alias("size"))
         several = sums.filter("n > 1").select(key)
-        parts = inside.select(key, member).join(several, key).join(members.withColumnRenamed("ident", member), member).select(key, F.lit(False).alias("own"), "rings")
-        whole = unions(parts.union(own.withColumnRenamed("ident", key).join(several, key).select(key, F.lit(True).alias("own"), "rings")), key, cell)
-        joined = sums.join(whole, key, "left")
+        parts = inside.select(key, member).join(several.hint("merge"), key).join(members.withColumnRenamed("ident", member).hint("merge"), member).select(key, F.lit(False).alias("own"), "rings")
+        whole = unions(parts.union(own.withColumnRenamed("ident", key).join(several.hint("merge"), key).select(key, F.lit(True).alias("own"), "rings")), key, cell)
+        joined = sums.join(whole.hint("merge"), key, "left")
         return joined.select(key, (F.col("sum") > slack * F.coalesce("whole", "sum")).alias(f"{key}_ambiguous"), (F.coalesce("inside", "in") >= least * F.col("size") - 1e-9).alias(f"{key}_covered"))
 
-    joined = pairs.join(side("a", "b", groups, outlines, "la", "ra"), "a", "left").join(side("b", "a", outlines, groups, "ra", "la"), "b", "left")
+    joined = pairs.join(side("a", "b", groups, outlines, "la", "ra").hint("merge"), "a", "left").join(side("b", "a", outlines, groups, "ra", "la").hint("merge"), "b", "left")
     met = lambda what: F.coalesce((F.col("shared") >= least * F.col("ra")) & F.col(f"a_{what}"), F.lit(False)) | F.coalesce((F.col("shared") >= least * F.col("la")) & F.col(f"b_{what}"), F.lit(False))
     decision = F.when(met("ambiguous"), "ambiguous_overlap").when(met("covered"), "spatial_union").otherwise("insufficient_bidirectional_coverage")
     return joined.select("a", "b", "shared", decision.alias("decision"))
@@ -93,8 +93,8 @@ def explicit(relations: DataFrame, features: DataFrame) -> DataFrame:
     """
     ids = lambda df, key, c, name: df.select(key, F.explode(c).alias(name)).distinct()
     known = features.select("source_id")
-    direct = ids(relations, "group_id", "bdtopo_ids", "source_id").join(known, "source_id").select("group_id", "source_id", F.lit("explicit_bdtopo").alias("method"))
-    rnb = ids(relations, "group_id", "rnb_ids", "rnb").join(ids(features, "source_id", "rnb_ids", "rnb"), "rnb").select("group_id", "source_id", F.lit("explicit_rnb").alias("method"))
+    direct = ids(relations, "group_id", "bdtopo_ids", "source_id").join(known.hint("merge"), "source_id").select("group_id", "source_id", F.lit("explicit_bdtopo").alias("method"))
+    rnb = ids(relations, "group_id", "rnb_ids", "rnb").join(ids(features, "source_id", "rnb_ids", "rnb").hint("merge"), "rnb").select("group_id", "source_id", F.lit("explicit_rnb").alias("method"))
     return direct.union(rnb).groupBy("group_id", "source_id").agg(F.min("method").alias("method"))
 
 
@@ -109,7 +109,7 @@ def _attributed(members: DataFrame, relations: DataFrame, features: DataFrame, p
     shapes = rows.filter("rings is not null and not coalesce(fictitious, false)").select(F.col("rel").alias("ident"), "rings")
     near = Q.overlaps(shapes, parts.select(F.col("unit").alias("ident"), "rings"), cell, "ident")
     near = near.filter((F.col("shared") >= LEAST * F.col("left_area")) & (F.col("shared") >= LEAST * F.col("right_area"))).select(F.col("a").alias("rel"), F.col("b").alias("unit"), F.lit(True).alias("near"))
-    joined = members.join(rows.drop("rings"), "group_id").join(features.select("source_id", F.col("rnb_ids").alias("own_rnb")), "source_id").join(near, ["rel", "unit"], "left")
+    joined = members.join(rows.drop("rings").hint("merge"), "group_id").join(features.select("source_id", F.col("rnb_ids").alias("own_rnb")).hint("merge"), "source_id").join(near.hint("merge"), ["rel", "unit"], "left")
     true = lambda c: F.coalesce(c, F.lit(False))
     direct = true(F.array_contains("bdtopo_ids", F.col("source_id"))) | true(F.arrays_overlap("rnb_ids", "own_rnb")) | true(F.col("near"))
     return joined.select("unit", F.col("construction_ids").alias("bdnb_construction"), F.col("rnb_ids").alias("rnb"), direct.alias("direct"))
@@ -131,13 +131,13 @@ def reconcile(groups: DataFrame, relations: DataFrame, features: DataFrame, part
     parts = cut(parts.withColumn("unit", unit).withColumn("part_area", _area()))
     shaped = groups.filter("rings is not null").select(F.col("group_id").alias("ident"), "rings")
     outlined = groups.filter("rings is not null").groupBy("group_id").agg(F.sum(_area()).alias("group_area"))
-    shares = cut(shared_parts(shaped, parts.select(F.col("unit").alias("ident"), "rings"), cell).join(parts.select(F.col("unit").alias("b"), "source_id"), "b"))
+    shares = cut(shared_parts(shaped, parts.select(F.col("unit").alias("ident"), "rings"), cell).join(parts.select(F.col("unit").alias("b"), "source_id").hint("merge"), "b"))
     whole = shares.groupBy("a", F.col("source_id").alias("b")).agg(F.sum("shared").alias("shared"))
     decided = associate(shaped, parts.select(F.col("source_id").alias("ident"), "rings"), cell, whole).select(F.col("a").alias("group_id"), F.col("b").alias("source_id"), "decision")
-    known = explicit(relations, features).join(groups.select("group_id").distinct(), "group_id")
-    both = cut(known.join(decided, ["group_id", "source_id"], "full").select("group_id", "source_id", F.coalesce("method", F.when(F.col("decision") == "spatial_union", F.col("decision"))).alias("method"), "decision"))
+    known = explicit(relations, features).join(groups.select("group_id").distinct().hint("merge"), "group_id")
+    both = cut(known.join(decided.hint("merge"), ["group_id", "source_id"], "full").select("group_id", "source_id", F.coalesce("method", F.when(F.col("decision") == "spatial_union", F.col("decision"))).alias("method"), "decision"))
     shares = shares.select(F.col("a").alias("group_id"), F.col("b").alias("unit"), "shared")
-    met = both.join(parts.select("source_id", "unit", "part_area"), "source_id").join(shares, ["group_id", "unit"], "left").join(outlined, "group_id", "left")
+    met = both.join(parts.select("source_id", "unit", "part_area").hint("merge"), "source_id").join(shares.hint("merge"), ["group_id", "unit"], "left").join(outlined.hint("merge"), "group_id", "left")
     met = cut(met.filter("shared is not null or method like 'explicit%'"))
     spatial = F.col("method").isNull() | (F.col("method") == "spatial_union")
     resolved = F.col("method").isNotNull()
@@ -153,7 +153,7 @@ def reconcile(groups: DataFrame, relations: DataFrame, features: DataFrame, part
     rows = cut(_attributed(members, relations, features, parts, cell))
     named = lambda kind: rows.select("unit", F.lit(kind).alias("source_type"), F.explode(F.col(kind).cast("array<string>")).alias("source_id"), "direct")
     own = parts.select("unit", F.lit("bdtopo").alias("source_type"), text("source_id"), F.lit(True).alias("direct"))
-    rnb = parts.select("unit", "source_id").join(features.select("source_id", "rnb_ids"), "source_id").select("unit", F.lit("rnb").alias("source_type"), F.explode(F.col("rnb_ids").cast("array<string>")).alias("source_id"), F.lit(True).alias("direct"))
+    rnb = parts.select("unit", "source_id").join(features.select("source_id", "rnb_ids").hint("merge"), "source_id").select("unit", F.lit("rnb").alias("source_type"), F.explode(F.col("rnb_ids").cast("array<string>")).alias("source_id"), F.lit(True).alias("direct"))
     idents = own.union(rnb).union(named("bdnb_construction")).union(named("rnb")).distinct()
     by_ident = idents.select("unit", "source_type", "source_id", F.lit("source_relation").alias("method"), F.col("direct").alias("resolved"), F.when(F.col("direct"), "confirmed").otherwise("unresolved").alias("confidence"), F.when(~F.col("direct"), "physical_attribution_unresolved").alias("reason"))
     links = cut(by_group.unionByName(by_ident, allowMissingColumns=True))
@@ -162,10 +162,10 @@ def reconcile(groups: DataFrame, relations: DataFrame, features: DataFrame, part
     by_unit = sure.groupBy("unit", "source_type").agg(F.count(F.lit(1)).alias("s"))
     by_source = sure.groupBy("source_type", "source_id").agg(F.count(F.lit(1)).alias("u"))
     kind = F.when(~F.col("resolved"), "unresolved").when(F.col("s") > 1, "shared_physical_unit").when(F.col("u") > 1, "group_member").otherwise("one_to_one")
-    links = links.join(by_unit, ["unit", "source_type"], "left").join(by_source, ["source_type", "source_id"], "left")
+    links = links.join(by_unit.hint("merge"), ["unit", "source_type"], "left").join(by_source.hint("merge"), ["source_type", "source_id"], "left")
     links = links.select("unit", "source_type", "source_id", "method", kind.alias("relationship"), *sized, "confidence", "reason")
     counted = members.groupBy("unit").agg(F.count(F.lit(1)).alias("n_groups"))
-    units = parts.join(features.select("source_id", "outline_type"), "source_id").join(counted, "unit", "left")
+    units = parts.join(features.select("source_id", "outline_type").hint("merge"), "source_id").join(counted.hint("merge"), "unit", "left")
     units = units.select("unit", "source_id", "part", "outline_type", F.when(F.col("n_groups") > 0, "target").otherwise("context").alias("role"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"))
     return units, links
 
@@ -173,4 +173,4 @@ def reconcile(groups: DataFrame, relations: DataFrame, features: DataFrame, part
 def unresolved(groups: DataFrame, links: DataFrame) -> DataFrame:
     """[F-11, J-25, U-04] group_id of the groups that belong to no unit."""
     held = links.filter("source_type = 'bdnb_group' and relationship <> 'unresolved'").select("source_id").distinct()
-    return groups.select("group_id").distinct().join(held, F.col("group_id").cast("string") == F.col("source_id"), "left_anti")
+    return groups.select("group_id").distinct().join(held.hint("merge"), F.col("group_id").cast("string") == F.col("source_id"), "left_anti")

@@ -22,7 +22,7 @@ def drift_select(df: DataFrame, wanted: dict[str, str], required: tuple[str, ...
 def fill_from(base: DataFrame, extra: DataFrame, key: str, columns: list[str], absent: dict[str, Column] | None = None) -> DataFrame:
     """[J-02] left join; a null is filled, but a column named in `absent` only where that flag says it was never given."""
     held = extra.select(key, *(F.col(c).alias(f"_{c}") for c in columns))
-    joined = base.join(held, key, "left")
+    joined = base.join(held.hint("merge"), key, "left")
     pick = lambda c: F.when(absent[c], F.col(f"_{c}")).otherwise(F.col(c)) if absent and c in absent else F.coalesce(c, f"_{c}")
     return joined.select(*(pick(c).alias(c) if c in columns else F.col(c) for c in base.columns))
 
@@ -144,7 +144,7 @@ def union_coverage(groups: DataFrame, outlines: DataFrame, cell: float, least: f
         sums = inside.groupBy(key).agg(F.sum(size(other)).alias("sum"), F.first(size(own)).alias("size"), F.collect_list(box(*(F.col(f"{other}{c}") for c in corners))).alias("whole"), F.collect_list(common).alias("clipped"))
         return sums.select(key, (F.col("sum") > slack * S.union_area(F.col("whole"))).alias(f"{key}_ambiguous"), (S.union_area(F.col("clipped")) >= least * F.col("size")).alias(f"{key}_covered"))
 
-    joined = pairs.join(side("a", "l", "r"), "a", "left").join(side("b", "r", "l"), "b", "left")
+    joined = pairs.join(side("a", "l", "r").hint("merge"), "a", "left").join(side("b", "r", "l").hint("merge"), "b", "left")
     met = lambda what: F.coalesce((F.col("area") >= least * size("r")) & F.col(f"a_{what}"), F.lit(False)) | F.coalesce((F.col("area") >= least * size("l")) & F.col(f"b_{what}"), F.lit(False))
     decision = F.when(met("ambiguous"), "ambiguous_overlap").when(met("covered"), "spatial_union").otherwise("insufficient_bidirectional_coverage")
     return joined.select("a", "b", decision.alias("decision"))
@@ -156,7 +156,7 @@ def cardinality(links: DataFrame, source: str, unit: str) -> DataFrame:
     by_unit = pairs.groupBy(unit).agg(F.count(F.lit(1)).alias("_s"))
     by_source = pairs.groupBy(source).agg(F.count(F.lit(1)).alias("_u"))
     kind = F.when(F.col("_s") > 1, "shared_physical_unit").when(F.col("_u") > 1, "group_member").otherwise("one_to_one")
-    return pairs.join(by_unit, unit).join(by_source, source).select(source, unit, kind.alias("relationship"))
+    return pairs.join(by_unit.hint("merge"), unit).join(by_source.hint("merge"), source).select(source, unit, kind.alias("relationship"))
 
 
 def _placed(df: DataFrame, order: list[str], place: str) -> DataFrame:
