@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import rings as P
+
 #: Versions that are read, and the level of detail that is taken unless another is named.
 VERSIONS, LOD = ["1.0", "1.1", "2.0"], "2.2"
 
@@ -26,10 +28,10 @@ def solids(df: DataFrame, lod: str = LOD) -> DataFrame:
     beyond them; lod_unavailable without a geometry of the level named; unsupported_geometry for others than Solids of
     one shell, or several of that level. shell is null then.
     """
-    rows = df.filter(F.trim("value") != "").select("source", F.from_json("value", _LINE, {"mode": "PERMISSIVE"}).alias("j"))
+    rows = P.once(df.filter(F.trim("value") != ""), "j", F.from_json("value", _LINE, {"mode": "PERMISSIVE"})).select("source", "j")
     head = rows.filter(F.col("j.type") == "CityJSON").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("j.version").alias("version"), F.min("j.transform").alias("h"))
     fine = (F.col("n") == 1) & F.col("version").isin(VERSIONS) & (F.col("h").isNull() | ((F.size("h.scale") == 3) & (F.size("h.translate") == 3) & F.forall("h.scale", lambda v: v > 0)))
-    rest = rows.filter(F.coalesce(F.col("j.type") != "CityJSON", F.lit(True))).join(head.withColumn("fine", F.coalesce(fine, F.lit(False))), "source", "left")
+    rest = rows.filter(F.coalesce(F.col("j.type") != "CityJSON", F.lit(True))).join(F.broadcast(head.withColumn("fine", F.coalesce(fine, F.lit(False)))), "source", "left")
     objects = rest.select("source", "h", "fine", "j", F.explode_outer(F.map_entries("j.CityObjects")).alias("o")).select("source", "h", "fine", F.col("o.key").alias("solid"), F.col("j.type").alias("type"), F.col("j.transform").alias("own"), F.col("j.vertices").alias("vertices"), F.col("o.value.geometry").alias("geometry"))
     objects = objects.filter(F.col("solid").isNull() | (F.size("geometry") > 0))
     named = objects.withColumn("g", F.filter("geometry", lambda g: g["lod"] == lod))
@@ -43,7 +45,7 @@ def solids(df: DataFrame, lod: str = LOD) -> DataFrame:
     axis = lambda v, k: v[k] * F.coalesce(F.col("h.scale")[k], F.lit(1.0)) + F.coalesce(F.col("h.translate")[k], F.lit(0.0))
     at = lambda i: F.struct(*(axis(F.get("vertices", i), k).alias(c) for k, c in enumerate("xyz")))
     drawn = F.transform(F.get("shells", F.lit(0)), lambda face: F.transform(face, lambda ring: F.transform(ring, at)))
-    return named.withColumn("reason", reason).select("source", "solid", F.when(F.col("reason").isNull(), drawn).alias("shell"), "reason")
+    return P.once(named, "reason", reason).select("source", "solid", F.when(F.col("reason").isNull(), drawn).alias("shell"), "reason")
 
 
 def faces(df: DataFrame) -> DataFrame:
