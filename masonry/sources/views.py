@@ -10,8 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Buildings in a partition, at most about: what is drawn from one is up to a few thousand rows.
+DEALT = 10_000
+
+
 def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each part, dealt by code: its file is so small that one task would read it all and draw all cells and faces of it."""
     p = table(spark, sf_dir, "part")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), p.count() // DEALT)
     return p.select(
         F.col("p_partkey").alias("code"),
         ((F.col("p_partkey") % 50) * 20).alias("x0"),
@@ -24,7 +30,7 @@ def buildings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_name").alias("name"),
         F.col("p_brand").alias("brand"),
         F.col("p_size").alias("size"),
-    )
+    ).repartition(parts, "code")
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
