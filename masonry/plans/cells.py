@@ -63,8 +63,11 @@ def edge_neighbours(spark, sf):
     corner = lambda p: F.struct((F.col("x") + p[0]).alias("x"), (F.col("y") + p[1]).alias("y"))
     ends = F.array(*(F.struct(corner(a).alias("a"), corner(b).alias("b")) for a, b in TURNS))
     e = _cells(spark, sf).filter("hit").select("code", "x", "y", F.explode(ends).alias("e")).select("code", "x", "y", "e.a", "e.b")
-    back = e.select("code", F.col("b").alias("a"), F.col("a").alias("b"))
-    return e.join(back.hint("merge"), ["code", "a", "b"]).groupBy("code", "x", "y").agg(F.count(F.lit(1)).alias("neighbours"))
+    # both ways of an edge meet in a window within their building, which is dealt by code already
+    e = e.select("code", "x", "y", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"), (F.col("a") < F.col("b")).alias("up"))
+    up, both = F.col("up"), W.partitionBy("code", "u", "v")
+    met = e.withColumn("n", F.when(up, F.count_if(~up).over(both)).otherwise(F.count_if(up).over(both)))
+    return met.groupBy("code", "x", "y").agg(F.sum("n").alias("neighbours")).filter("neighbours > 0")
 
 
 @query("WITH RECURSIVE z AS (SELECT o_custkey AS k, CAST(floor(o_totalprice / 1000) AS BIGINT) AS z FROM orders), s AS (SELECT k, min(z) AS s FROM z GROUP BY k UNION ALL SELECT s.k, min(z.z) FROM s JOIN z ON z.k = s.k AND z.z > s.s + 20 GROUP BY s.k), c AS (SELECT z.k, z.z, max(s.s) AS s FROM (SELECT k, z, row_number() OVER () AS i FROM z) z JOIN s ON s.k = z.k AND s.s <= z.z GROUP BY z.k, z.z, z.i) SELECT k AS o_custkey, s AS start, count(*) AS n, round(avg(z), 6) AS level FROM c GROUP BY 1, 2")

@@ -19,7 +19,7 @@ def _plan(df, kind="executedPlan"):
 
 
 @tables
-@pytest.mark.parametrize("name", ["edge_neighbours", "epsilon_vertex_join", "ground_ring_percentile", "point_in_polygon_join", "polygon_overlap_area", "plane_coordinates", "outline_agreement"])
+@pytest.mark.parametrize("name", ["epsilon_vertex_join", "ground_ring_percentile", "point_in_polygon_join", "polygon_overlap_area", "plane_coordinates", "outline_agreement"])
 def test_exploded_sides_are_not_broadcast(spark, name):
     plan = _plan(plans.queries()[name](spark, SF))
     assert "SortMergeJoin" in plan
@@ -32,7 +32,7 @@ def test_buildings_are_dealt(spark):
     assert b.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
     assert b.count() == views.table(spark, SF, "part").count()
     # edges of one building's cells are counted where they are drawn: the only exchange deals the buildings
-    for name in ("outline_edges", "edge_manifold_check", "face_planes", "horizontal_clip"):
+    for name in ("outline_edges", "edge_manifold_check", "edge_neighbours", "face_planes", "horizontal_clip"):
         assert _plan(plans.queries()[name](spark, SF)).count("Exchange hashpartitioning") == 1
 
 
