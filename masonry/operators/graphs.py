@@ -32,7 +32,9 @@ def cut(df: DataFrame) -> DataFrame:
 def emptied(*tables: DataFrame) -> None:
     """Takes the rows of tables that `cut` gave and nothing reads any more off the disk."""
     for df in tables:
-        df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(posixpath.dirname(df.inputFiles()[0]))
+        files = df.inputFiles()
+        if files:
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(posixpath.dirname(files[0]))
 
 
 def components(edges: DataFrame) -> DataFrame:

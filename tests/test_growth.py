@@ -83,6 +83,11 @@ def test_rings_leave_little_on_disk(spark):
     assert _bytes(folder) - before < 10e6  # checkpoints of all rounds took more than 100 bytes a node and round
 
 
+def test_no_edges(spark):
+    none = spark.createDataFrame([], "a struct<k: int>, b struct<k: int>")
+    assert graphs.components(none).isEmpty() and graphs.rings(none).isEmpty()
+
+
 def test_components_of_structs(spark):
     edges = spark.createDataFrame([((1, "b"), (1, "a")), ((1, "c"), (1, "b")), ((2, "z"), (2, "y"))], "a struct<k: int, s: string>, b struct<k: int, s: string>")
     assert sorted((tuple(r.id), tuple(r.label)) for r in graphs.components(edges).collect()) == [((1, "a"), (1, "a")), ((1, "b"), (1, "a")), ((1, "c"), (1, "a")), ((2, "y"), (2, "y")), ((2, "z"), (2, "y"))]
