@@ -8,7 +8,7 @@ below MISS. What survives all batches is verified exactly on the full sets of bo
 
 Buckets are not expanded into all pairs. Equal sets are united first; the least document of a bucket is
 compared with others, until each is in its component; only the members of buckets that then still hold several
-components meet each other, in blocks of BLOCK members, sorted by the sizes of their sets.
+components meet each other, in blocks of BLOCK members, sorted by the sizes of their sets, which are verified within the block.
 
 At a similarity of exactly 0.80 a pair shares no bucket with a probability of (1 - 0.8 ** 7) ** 64 = 3e-7.
 """
@@ -21,10 +21,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import blocks, discard, materialise, mix, small_batches, table, text_view, with_group, zipped
+from .common import blocks, discard, materialise, mix, ragged, small_batches, table, text_view, unzip, with_group, zipped
 from .similar import Shingler, components, distances, regions
 
 SHINGLE, PERCENT = 2, 80
@@ -32,8 +33,10 @@ SHINGLE, PERCENT = 2, 80
 BANDS, ROWS, CHECKS, BATCH = 64, 7, 128, 32
 #: A candidate goes once the probability that it reaches the threshold is below this.
 MISS = 1e-6
-#: Members of a bucket that are compared in one block, and rows that a task of blocks may be expected to hold.
-BLOCK, TASK_ROWS = 2048, 20_000
+#: Members of a bucket that are compared in one block, and rows and shingles that a task of blocks may be expected to hold.
+BLOCK, TASK_ROWS, TASK_SHINGLES = 2048, 20_000, 20_000_000
+#: Shingles of a strip of a block's members that are tested on their full sets at a time.
+STRIP = 1_000_000
 #: Text bytes that are hashed at a time, so that their shingles stay in a core's cache.
 HASH_BYTES = 1 << 18
 
@@ -125,32 +128,99 @@ def _pruned(least: list[tuple[int, int]]):
     return run
 
 
-def _block_pairs(percent: int, least: list[tuple[int, int]], best: bool):
-    """Pairs (a, b) of the rows of each block - or of its two sides - that differ in component and survive; with `best` only that of most matches for each row."""
+def _sorted_rows(batches: Iterator[pa.RecordBatch]) -> tuple[pa.Table, list[tuple[int, int]]]:
+    """(the rows in order of unit, side, n and doc_id, where each unit that holds several components begins and ends)."""
+    rows = pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in ("unit", "side", "n", "doc_id")]).combine_chunks()
+    unit, own = (rows[c].to_numpy() for c in ("unit", "own"))
+    heads = np.append(np.flatnonzero(np.append(True, unit[1:] != unit[:-1])), len(unit))
+    return rows, [(i, j) for i, j in zip(heads[:-1].tolist(), heads[1:].tolist(), strict=True) if np.any(own[i:j] != own[i])]
+
+
+def _unit_pairs(rows: pa.Table, percent: int, least: list[tuple[int, int]], best: bool):
+    """A function of a unit's bounds: each row x with the rows at, of another component - and of the other side, if there are two -, that no batch prunes; with `best` only that of most matches."""
+    side, n, own = (rows[c].to_numpy() for c in ("side", "n", "own"))
+    bits = _matrix(rows["bits"].combine_chunks())
+
+    def run(i: int, j: int) -> Iterator[tuple[int, np.ndarray]]:
+        split = i + int(np.searchsorted(side[i:j], 1))
+        for x in range(i, split):
+            low, high = (x + 1, split) if split == j else (split, j)
+            low += np.searchsorted(n[low:high], -(-n[x] * percent // 100))
+            high = low + np.searchsorted(n[low:high], n[x] * 100 // percent, side="right")
+            at = np.arange(low, high)
+            at = at[own[at] != own[x]]
+            alive, matches = surviving(bits[x : x + 1], bits[at], least)
+            at = at[alive[[matches.argmax()]] if best and len(alive) else alive]
+            if len(at):
+                yield x, at
+
+    return run
+
+
+def _likeliest(percent: int, least: list[tuple[int, int]]):
+    """For each row of a block, a pair (a, b) with the likeliest of another component, if one survives."""
 
     def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in ("unit", "side", "n", "doc_id")]).combine_chunks()
-        unit, side, doc, n, own = (rows[c].to_numpy() for c in ("unit", "side", "doc_id", "n", "own"))
-        bits = _matrix(rows["bits"].combine_chunks())
-        heads = np.append(np.flatnonzero(np.append(True, unit[1:] != unit[:-1])), len(unit))
-        out: list[tuple[np.ndarray, np.ndarray]] = []
-        for i, j in zip(heads[:-1], heads[1:], strict=True):
-            if np.all(own[i:j] == own[i]):
-                continue
-            split = i + int(np.searchsorted(side[i:j], 1))
-            for x in range(i, split):
-                low, high = (x + 1, split) if split == j else (split, j)
-                low += np.searchsorted(n[low:high], -(-n[x] * percent // 100))
-                high = low + np.searchsorted(n[low:high], n[x] * 100 // percent, side="right")
-                at = np.arange(low, high)
-                at = at[own[at] != own[x]]
-                alive, matches = surviving(bits[x : x + 1], bits[at], least)
-                at = at[alive[[matches.argmax()]] if best and len(alive) else alive]
-                if len(at):
-                    out.append((np.minimum(doc[at], doc[x]), np.maximum(doc[at], doc[x])))
-        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (zip(*out, strict=True) if out else ((), ())))
-        pairs = np.unique(np.stack((a, b), 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        rows, units = _sorted_rows(batches)
+        doc, pairs = rows["doc_id"].to_numpy(), _unit_pairs(rows, percent, least, True)
+        found = [(doc[x], doc[at[0]]) for i, j in units for x, at in pairs(i, j)]
+        a, b = np.unique(np.sort(np.array(found, np.int64).reshape(-1, 2), 1), axis=0).T
+        yield pa.RecordBatch.from_arrays([pa.array(a.copy()), pa.array(b.copy())], ["a", "b"])
+
+    return run
+
+
+def confirmed(pairs: list[tuple[int, np.ndarray]], sets, size: np.ndarray, label: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+    """Links among the pairs (x, each of at) that join two labels; label is brought up to date, so a pair within one needs no test.
+
+    sets: gives (keys of some rows, first key of each and the end). Rows meet by strips of about STRIP shingles (size: of each row), so
+    that no more than two strips are in memory, however many the pairs are.
+    """
+    if not pairs:
+        return
+    left, right = np.repeat([x for x, _ in pairs], [len(at) for _, at in pairs]), np.concatenate([at for _, at in pairs])
+    rows = np.union1d(left, right)
+    strip = (np.cumsum(size[rows]) - size[rows]) // STRIP
+    of = lambda x: strip[np.searchsorted(rows, x)]
+    for s, t in np.unique(np.stack((of(left), of(right)), 1), axis=0):
+        here = (of(left) == s) & (of(right) == t)
+        own, x_all, y_all = rows[(strip == s) | (strip == t)], left[here], right[here]
+        keys, first = sets(own)
+        key = np.unique(keys, return_inverse=True)[1]
+        marked, n = np.zeros(int(key.max(initial=0)) + 1, np.int64), np.diff(first)
+        for x, low in zip(*np.unique(x_all, return_index=True), strict=True):  # left is in order
+            y = y_all[low : np.searchsorted(x_all, x, side="right")]
+            y = y[label[y] != label[x]]
+            p, q = np.searchsorted(own, x), np.searchsorted(own, y)
+            marked[key[first[p] : first[p + 1]]] = 1
+            sums = np.append(0, np.cumsum(marked[key[np.repeat(first[q], n[q]) + ragged(n[q])]]))
+            marked[key[first[p] : first[p + 1]]] = 0
+            ends = np.append(0, np.cumsum(n[q]))
+            shared = sums[ends[1:]] - sums[ends[:-1]]
+            for z in y[(shared > 0) & (100 * shared >= percent * (n[p] + n[q] - shared))]:
+                if label[z] != label[x]:
+                    label[label == label[z]] = label[x]
+                    yield int(x), int(z)
+
+
+def _block_links(percent: int, least: list[tuple[int, int]], shingler: Broadcast):
+    """Links (a, b) that unite the components within each block - or of its two sides -: the pairs that survive, tested on the full sets where the texts are.
+
+    A block gives fewer links than it has rows, whatever the number of pairs tested.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, units = _sorted_rows(batches)
+        doc, n, own = (rows[c].to_numpy() for c in ("doc_id", "n", "own"))
+        pairs, texts = _unit_pairs(rows, percent, least, False), rows["z"].combine_chunks()
+        sets = lambda some: shingler.value.sets(*text_view(unzip(texts.take(pa.array(some)))))
+        found = []
+        for i, j in units:
+            label = np.full(len(own), -1)
+            label[i:j] = np.unique(own[i:j], return_inverse=True)[1]
+            found += [(doc[x], doc[y]) for x, y in confirmed(list(pairs(i, j)), sets, n, label, percent)]
+        a, b = np.sort(np.array(found, np.int64).reshape(-1, 2), 1).T
+        yield pa.RecordBatch.from_arrays([pa.array(a.copy()), pa.array(b.copy())], ["a", "b"])
 
     return run
 
@@ -194,8 +264,9 @@ def links(texts: DataFrame, member: DataFrame, shingler: Shingler, percent: int
 
     Rounds: each document with the least of its buckets' least documents; then, in buckets that hold several components,
     each document with that bucket's; then, where there are several still, each with the likeliest of another component,
-    until that finds no link; then all those of different components. A pair within a component needs no test, so a large
-    group of near copies costs a few tests for each of its members.
+    until that finds no link; then all those of different components, where the texts are: no pair becomes a row, and a
+    block gives only the links that unite its components. A pair within a component needs no test, so a large group of
+    near copies costs a few tests for each of its members; one whose members are just below the threshold is tested whole.
     """
     least = least_matches(percent)
     linked = lambda pairs: materialise(_linked(pairs, texts, shingler, percent), "linked")
@@ -224,21 +295,26 @@ def links(texts: DataFrame, member: DataFrame, shingler: Shingler, percent: int
         to = F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.least(i, F.col("k")).alias("i"), F.greatest(i, F.col("k")).alias("j"), F.when(i < F.col("k"), 1).otherwise(0).alias("side"))))
         return materialise(rows.withColumn("to", to).select(F.xxhash64("region", "to.i", "to.j").alias("unit"), "to.side", "doc_id", "n", "own", "bits"), "blocks")
 
-    best, tests = True, [tested]
-    while True:
+    def by_task(rest: DataFrame, rows: DataFrame):
+        count, shingles = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+        tasks = max(1, count // TASK_ROWS, shingles // TASK_SHINGLES)
+        return rows.withColumn("task", F.pmod("unit", F.lit(tasks))).groupBy("task")
+
+    tests, more = [tested], True
+    while more:
         rest = dealt()
-        tasks = max(1, rest.count() // TASK_ROWS)
-        pairs = rest.withColumn("task", F.pmod("unit", F.lit(tasks))).groupBy("task").applyInArrow(_block_pairs(percent, least, best), "a long, b long").distinct()
-        pairs = materialise(pairs.join(reduce(DataFrame.union, tests), ["a", "b"], "left_anti"), "candidates")
-        more = linked(pairs)
-        labels = _united(labels, more)
+        pairs = by_task(rest, rest).applyInArrow(_likeliest(percent, least), "a long, b long").distinct()
+        tests.append(materialise(pairs.join(reduce(DataFrame.union, tests), ["a", "b"], "left_anti"), "candidates"))
+        found = linked(tests[-1])
+        labels, more = _united(labels, found), not found.isEmpty()
         discard(rest)
-        if not best:
-            break
-        tests.append(pairs)
-        best = not more.isEmpty()
     discard(*tests)
-    return labels
+
+    rest, shared = dealt(), texts.sparkSession.sparkContext.broadcast(shingler)
+    whole = rest.hint("merge").join(texts, "doc_id")
+    found = materialise(by_task(rest, whole).applyInArrow(_block_links(percent, least, shared), "a long, b long").distinct(), "linked")
+    discard(rest)
+    return _united(labels, found)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -74,6 +74,49 @@ def test_pairs_left_to_the_blocks(spark, monkeypatch):
     assert got(frame) == brute(texts)
 
 
+def test_groups_below_the_threshold_give_no_rows_for_pairs(spark, monkeypatch):
+    """Many members that are pairwise just below the threshold, a few linked: blocks give links that unite, not pairs."""
+    rng = random.Random(22)
+    base, texts = prose(rng, 150).split(), {}
+    for k in range(150):
+        words = list(base)
+        for at in rng.sample(range(150), 6):
+            words[at] = f"own{k}x{at}"
+        texts[k] = " ".join(words)
+    for k in range(5):
+        texts[200 + k] = texts[7 * k] + f" end{k}"
+    rows, links = [], minhash._united
+    monkeypatch.setattr(minhash, "_united", lambda labels, edges: (rows.append(edges.count()), links(labels, edges))[1])
+    candidates, write = [], minhash.materialise
+    monkeypatch.setattr(minhash, "materialise", lambda df, name: (out := write(df, name), name == "candidates" and candidates.append(out.count()))[0])
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    want = brute(texts)
+    assert got(frame) == want and len({c for _, c, _ in want.values()}) > 20
+    assert max(candidates) <= 15 * len(texts) and max(rows) <= 15 * len(texts)  # of 11,935 pairs
+
+
+def test_confirmed_links_like_brute_force():
+    """Strips of a few members or all in one: the components of the links are those of all pairs."""
+    rng = np.random.default_rng(6)
+    base = np.arange(60)
+    members = [np.unique(np.concatenate((rng.choice(base, 54, replace=False), rng.integers(1000, 9000, 2)))) for _ in range(40)] + [np.zeros(0, np.int64)] * 2
+    size = np.array([len(m) for m in members])
+    sets = lambda some: (np.concatenate([members[k] for k in some]).astype(np.uint64), np.append(0, np.cumsum(size[some])))
+    pairs = [(x, np.arange(x + 1, 42)) for x in range(41)]
+    linked = [(x, y) for x, ys in pairs for y in ys if (s := len(np.intersect1d(members[x], members[y]))) and 100 * s >= 80 * (size[x] + size[y] - s)]
+    want = np.arange(42)
+    for _ in range(42):
+        for x, y in linked:
+            want[want == max(want[x], want[y])] = min(want[x], want[y])
+    for strip in (100, 1_000_000):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(minhash, "STRIP", strip)
+            label = np.arange(42)
+            found = list(minhash.confirmed(pairs, sets, size, label, 80))
+        assert len(found) == 42 - len(set(want.tolist())) and set(found) <= set(linked)
+        assert all((label[x] == label[y]) == (want[x] == want[y]) for x in range(42) for y in range(42))
+
+
 def test_empty(empty):
     assert got(empty) == {}
 
