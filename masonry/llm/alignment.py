@@ -1,20 +1,17 @@
 """Alignment of two tokenizers' tokens by the bytes they cover.
 
-Python only tokenises: it gives the ids of both tokenizers and the byte offsets at which their tokens end. So that
-what repeats is aligned once, a block of texts is a list of units - stretches that begin where a run of spaces
-does and tokens of both sides end - and each text a list of numbers of units. All else is expressions of
-higher-order functions:
-
-* groups: array_intersect of a unit's end arrays has the offsets where tokens of both end; these cut them into groups.
-* links: both end arrays are merged into one in order, an end of A before an equal end of B. Each distinct end
-  closes a stretch of bytes that one token of either side covers, so it is one overlapping pair; how far an
-  element has moved from its own index tells how many tokens of the other side ended before, and so the partner's.
-  A group of p and q tokens has p + q - 1 links.
+So that what repeats is aligned once, a block of texts is a list of units - stretches that begin where a run of
+spaces does and tokens of both sides end - and each text a list of numbers of units. A block's end arrays are
+handled whole, by sorted searches, in time in proportion to the tokens:
+
+* groups: the intersection of both end arrays has the offsets where tokens of both end; these cut them into groups.
+* links: each end of the merged arrays closes a stretch of bytes that one token of either side covers, so it is one
+  overlapping pair. A group of p and q tokens has p + q - 1 links.
 * texts: the groups of their units laid end to end, and sums over their units.
 
-No array is grown element by element, so the work is in proportion to the tokens. A pair's count over the corpus
-comes from one aggregate over units, each times its occurrences; it is joined back by a broadcast for the pairs with
-one in HOT of all links or more (at most HOT of them), by a shuffle for the rest.
+Counts over the corpus: each block sends its distinct pairs, sorted and packed, to buckets of B's ids, which sum them,
+find the highest of each B id and send the counts back; no link becomes a row. A bucket has a row for each block, and a
+B id no more pairs in a block than A has ids. There are as many buckets as shuffle partitions.
 """
 
 from __future__ import annotations
@@ -31,12 +28,12 @@ from .common import _powers, blocks, materialise, mix, ragged, small_batches, sp
 from .tokens import VOCABULARY, encoder, vocabulary_path
 
 PIECES = "piece_bpe_32k.model"
-#: A pair is broadcast from this share of all links on (one in HOT).
+#: Of the former join, which broadcast the pairs with one in HOT links; nothing is broadcast now (a test sets it).
 HOT = 100_000
 #: Ids of words that a worker keeps before it starts over.
 CACHE_IDS = 4_000_000
 #: Text bytes that make a block.
-BLOCK = 1 << 19
+BLOCK = 2 << 20
 #: Tokens of A from which on a unit is cut again where tokens of both sides end.
 UNIT_TOKENS = 64
 MARK = "▁"
@@ -191,8 +188,8 @@ TOKENS = """docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, words: a
     units array<struct<n: bigint, a_ids: array<int>, a_ends: array<int>, b_ids: array<int>, b_ends: array<int>>>"""
 
 
-def tokenised(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """A row for each block of texts: its docs (words: numbers of units; none where the bytes don't agree) and its units."""
+def tokenised(docs: DataFrame, path_a: str, path_b: str, then=lambda block: block, schema: str = TOKENS) -> DataFrame:
+    """What then gives, in that schema, of a row for each block of texts: its docs (words: numbers of units; none where the bytes don't agree) and its units."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, spell_a, b, spell_b = _loaded(path_a, path_b)
@@ -213,55 +210,137 @@ def tokenised(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
                 n_a, n_b = (pa.array(np.where(good, counts, 0).astype(np.int64)) for _, counts, _ in encoded)
                 texts_in = pa.StructArray.from_arrays([batch.column(0).slice(i, j - i), n_a, n_b, _lists(words, n)], ["doc_id", "n_a", "n_b", "words"])
                 units_in = pa.StructArray.from_arrays(columns, ["n", "a_ids", "a_ends", "b_ids", "b_ends"])
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (texts_in, units_in)], ["docs", "units"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, TOKENS)
-
-
-# A merged element is end << 32 | side << 31 | index: in order it has A's end before B's equal one.
-_SIDE, _INDEX = 1 << 31, (1 << 31) - 1
-_PACKED = "transform({ends}, (e, i) -> shiftleft(cast(e as bigint), 32) + {side} + i)"
-_MERGED = f"sort_array(concat({_PACKED.format(ends='w.a_ends', side=0)}, {_PACKED.format(ends='w.b_ends', side=_SIDE)}))"
-_OF = f"cast(x & {_INDEX} as int)"
-#: For each cut of array_intersect, in order: tokens of A up to it << 32 | tokens of B up to it.
-_CUTS = "transform(array_intersect(w.a_ends, w.b_ends), e -> shiftleft(array_position(w.a_ends, e), 32) + array_position(w.b_ends, e))"
-_PAIR = "shiftleft(cast(w.a_ids[{a}] as bigint), 32) + w.b_ids[{b}]"
-_LINKS = f"""filter(transform(m, (x, t) -> case when (x & {_SIDE}) = 0 then {_PAIR.format(a=_OF, b=f't - {_OF}')}
-    when t > 0 and shiftright(m[greatest(t - 1, 0)], 32) = shiftright(x, 32) then null
-    else {_PAIR.format(a=f't - {_OF}', b=_OF)} end), x -> x is not null)"""
-_UP_TO = {"a": "cast(shiftright({c}, 32) as int)", "b": "cast({c} & 4294967295 as int)"}
-_FROM = {s: f"if(k = 0, 0, {x.format(c='c[greatest(k - 1, 0)]')})" for s, x in _UP_TO.items()}
-_TO = {s: x.format(c="g") for s, x in _UP_TO.items()}
-_TEXTS = {s: f"cast(w.{s}_ids as array<string>)" for s in "ab"}
-_SOME = {s: f"array_join(slice(v.{s}, {_FROM[s]} + 1, {_TO[s]} - {_FROM[s]}), ',')" for s in "ab"}
-_WHOLE = "concat(array_join({a}, ','), '|', array_join({b}, ','))".format(**_TEXTS)
-_GROUPS = f"if(size(c) = 1, {_WHOLE}, transform(array(named_struct('a', {_TEXTS['a']}, 'b', {_TEXTS['b']})), v -> array_join(transform(c, (g, k) -> concat({_SOME['a']}, '|', {_SOME['b']})), ';'))[0])"
+                yield then(pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (texts_in, units_in)], ["docs", "units"]))
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def _pack(values: np.ndarray) -> bytes:
+    """Whole numbers by planes of bytes, compressed: small ones take one or two bytes."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=3).compress(values.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T.copy().view("<i8").ravel()
+
+
+def _columns(rows: pa.Array, *names: str) -> list[pa.Array]:
+    """Fields of the structs in a column of lists of structs."""
+    flat = rows.flatten()
+    return [pc.struct_field(flat, n) for n in names]
+
+
+def _flat(lists: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(values of all lists, number of values of each)."""
+    return lists.flatten().to_numpy(zero_copy_only=False), pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+_DIGITS = Spelling([str(i).encode() for i in range(1 << 16)])
+
+
+def _group_texts(sides: list[tuple[np.ndarray, np.ndarray]], cuts: np.ndarray, last: np.ndarray) -> list[bytes]:
+    """Groups of each unit (which ends at a cut in last) as text, each followed by a semicolon."""
+    (a, b), (ga, gb) = [ids for ids, _ in sides], [np.searchsorted(cuts, ends) for _, ends in sides]
+    ids, sign = np.empty(len(a) + len(b), np.int64), np.empty(len(a) + len(b), np.uint8)
+    for own, other, side, mark in ((ga, gb, "left", "|"), (gb, ga, "right", ";")):
+        at = np.arange(len(own)) + np.searchsorted(other, own, side=side)
+        ids[at] = a if own is ga else b
+        sign[at] = np.where(np.append(own[1:] != own[:-1], True), ord(mark), ord(","))
+    size = _DIGITS.size[ids] + 1
+    ends = np.cumsum(size)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    signs = np.zeros(len(out), bool)
+    signs[ends - 1] = True
+    out[signs] = sign
+    out[~signs] = _DIGITS.flat[np.repeat(_DIGITS.start[ids], size - 1) + ragged(size - 1)]
+    tokens = np.searchsorted(ga, np.searchsorted(cuts, last), side="right") + np.searchsorted(gb, np.searchsorted(cuts, last), side="right")
+    stop = ends[tokens - 1].tolist()
+    raw = out.tobytes()
+    return [raw[i:j] for i, j in zip([0, *stop], stop, strict=False)]
+
+
+def _aligned(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch:
+    docs, units_in = (batch.column(k) for k in (0, 1))
+    doc_id, n_a, n_b, words = _columns(docs, "doc_id", "n_a", "n_b", "words")
+    n, *lists = _columns(units_in, "n", "a_ids", "a_ends", "b_ids", "b_ends")
+    n, ((a, na), (a_ends, _), (b, nb), (b_ends, _)) = n.to_numpy(), map(_flat, lists)
+    size = a_ends[np.cumsum(na) - 1].astype(np.int64) if len(n) else np.zeros(0, np.int64)
+    last = np.cumsum(size)
+    a_ends, b_ends = (e + np.repeat(last - size, k) for e, k in ((a_ends, na), (b_ends, nb)))
+    cuts = np.intersect1d(a_ends, b_ends, assume_unique=True)
+    # each end closes a stretch of bytes that one token of either side covers
+    ends = np.union1d(a_ends, b_ends)
+    pair = b[np.searchsorted(b_ends, ends)].astype(np.int64) << 32 | a[np.searchsorted(a_ends, ends)]
+    unit = np.searchsorted(last, ends)
+    own, back = np.unique(pair, return_inverse=True)
+    times = np.bincount(back, n[unit], len(own)).astype(np.int64)
+    bucket = (mix((own >> 32).astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(own), np.int64)
+    place[order] = np.arange(len(own))
+    split = np.searchsorted(bucket[order], np.arange(1, buckets))
+    asked = [(k, _pack(np.diff(x, prepend=0)), _pack(y)) for k, (x, y) in enumerate(zip(np.split(own[order], split), np.split(times[order], split), strict=True)) if len(x)]
+    groups = np.diff(np.append(0, np.searchsorted(cuts, last, side="right")))
+    texts, (flat, count) = _group_texts([(a, a_ends), (b, b_ends)], cuts, last), _flat(words)
+    stop = np.cumsum(count)
+    sums = np.append(0, np.cumsum(groups[flat]))
+    flat = flat.tolist()
+    text = [b"".join([texts[w] for w in flat[i:j]])[:-1].decode() for i, j in zip((stop - count).tolist(), stop.tolist(), strict=True)]
+    out = pa.StructArray.from_arrays([doc_id, n_a, n_b, pa.array(sums[stop] - sums[stop - count]), pa.array(text, pa.string()), words], ["doc_id", "n_a", "n_b", "n_groups", "groups", "words"])
+    links = pa.StructArray.from_arrays([pa.array(n), _lists(place[back], np.bincount(unit, minlength=len(n)))], ["n", "links"])
+    asks = pa.StructArray.from_arrays([pa.array([x[k] for x in asked], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "pairs", "times"])
+    one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (out, links, asks)]
+    return pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(one, ["docs", "units", "asks"])], ["found"])
+
+
+ALIGNED = """found struct<docs: array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, n_groups: bigint, groups: string, words: array<int>>>,
+    units: array<struct<n: bigint, links: array<int>>>, asks: array<struct<bucket: int, pairs: binary, times: binary>>>"""
+
+
+def _buckets(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
 def aligned(tokens: DataFrame) -> DataFrame:
-    """Rows of blocks with found: docs (doc_id, n_a, n_b, n_groups, groups, words) and units (n, links: a's id << 32 | b's id of each overlapping pair)."""
-    # one-element arrays bind the merged ends m, the cuts c and the aligned units u once for all the functions inside
-    unit = f"transform(array({_MERGED}), m -> transform(array({_CUTS}), c -> named_struct('n', w.n, 'links', {_LINKS}, 'groups', {_GROUPS}, 'n_groups', size(c)))[0])[0]"
-    summed = "aggregate(d.words, 0L, (s, i) -> s + u[i].n_groups)"
-    doc = f"named_struct('doc_id', d.doc_id, 'n_a', d.n_a, 'n_b', d.n_b, 'n_groups', {summed}, 'groups', array_join(transform(d.words, i -> u[i].groups), ';'), 'words', d.words)"
-    return tokens.select(F.expr(f"transform(array(transform(units, w -> {unit})), u -> named_struct('docs', transform(docs, d -> {doc}), 'units', transform(u, x -> named_struct('n', x.n, 'links', x.links))))[0]").alias("found"))
+    """Rows of blocks with found: docs (doc_id, n_a, n_b, n_groups, groups, words), units (n, links: places of its overlapping pairs among
+    those of the block) and asks (distinct pairs of the block and how often each occurs, packed, by buckets of B's ids)."""
+    buckets = _buckets(tokens.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield _aligned(batch.slice(k, 1), buckets)
+
+    return tokens.mapInArrow(run, ALIGNED)
 
 
-def pair_counts(links: DataFrame) -> DataFrame:
-    """pair, c (links that hold it), best (c is the highest among the pairs of its B id) of rows (pair, n: occurrences)."""
-    counts = materialise(links.groupBy("pair").agg(F.sum("n").alias("c")), "pairs").withColumn("b", F.col("pair").bitwiseAND(0xFFFFFFFF))
-    highest = counts.groupBy("b").agg(F.max("c").alias("top"))  # a row for each id of B's vocabulary at most
-    return counts.join(F.broadcast(highest), "b").select("pair", "c", (F.col("c") == F.col("top")).cast("long").alias("best"))
+def _counted(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+    """Of a bucket's pairs: what each block asked for, as counts over the corpus times two, and one more where the count is the highest of its B id."""
+    asked = [np.cumsum(_unpack(x.as_py())) for x in rows["pairs"]]
+    own, back = np.unique(np.concatenate(asked), return_inverse=True)
+    count = np.bincount(back, np.concatenate([_unpack(x.as_py()) for x in rows["times"]])).astype(np.int64)
+    heads = np.flatnonzero(np.append(True, np.diff(own >> 32) != 0))
+    top = np.repeat(np.maximum.reduceat(count, heads), np.diff(np.append(heads, len(own))))
+    told = np.split((2 * count + (count == top))[back], np.cumsum([len(x) for x in asked])[:-1])
+    return pa.table({"block": rows["block"], "bucket": rows["bucket"], "told": pa.array([_pack(x) for x in told], pa.binary())})
 
 
-def counted(links: DataFrame, pairs: DataFrame, total: int) -> DataFrame:
-    """block, unit, n_best, count_sum of the links (block, unit, pair) of each unit."""
-    few = F.broadcast(pairs.filter(F.col("c") * HOT >= total))
-    sums = lambda k: (F.sum(k * F.col("best")).alias("n_best"), F.sum(k * F.col("c")).alias("count_sum"))
-    often = links.join(few, "pair").groupBy("block", "unit").agg(*sums(F.lit(1)))
-    rest = links.join(few.select("pair"), "pair", "left_anti")
-    mild = rest.join(pairs.filter(F.col("c") * HOT < total), "pair").groupBy("block", "unit").agg(*sums(F.lit(1)))
-    return often.union(mild).groupBy("block", "unit").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+def _summed(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
+    """The rows of a block's docs with the sums over their units."""
+    values = np.concatenate([np.zeros(0, np.int64), *(_unpack(x.as_py()) for x in told.sort_by("bucket")["told"])])
+    (links,), (doc_id, n_a, n_b, n_groups, groups, words) = _columns(rows["units"].combine_chunks(), "links"), _columns(rows["docs"].combine_chunks(), "doc_id", "n_a", "n_b", "n_groups", "groups", "words")
+    sums = []
+    for each in (values & 1, values >> 1):
+        for flat, count in map(_flat, (links, words)):
+            run, stop = np.append(0, np.cumsum(each[flat])), np.cumsum(count)
+            each = run[stop] - run[stop - count]
+        sums.append(pa.array(each.astype(np.int64)))
+    n_links = pc.subtract(pc.add(n_a, n_b), n_groups)
+    return pa.table([doc_id, n_a, n_b, n_groups, n_links, *sums, groups], names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
 
 
 def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None) -> DataFrame:
@@ -274,18 +353,14 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks_of = aligned(tokenised(docs, path_a or vocabulary_path(VOCABULARY), path_b or vocabulary_path(PIECES)))
+    buckets = _buckets(spark)
+    blocks_of = tokenised(docs, path_a or vocabulary_path(VOCABULARY), path_b or vocabulary_path(PIECES), lambda block: _aligned(block, buckets), ALIGNED)
     digested = F.transform("found.docs", lambda d: d.withField("groups", F.when(d["n_a"] == 0, "").otherwise(F.sha2(d["groups"], 256))))
-    rows = materialise(blocks_of.select(F.monotonically_increasing_id().alias("block"), digested.alias("docs"), F.col("found.units").alias("units")), "aligned")
-    links = rows.select("block", F.posexplode("units").alias("unit", "u")).select("block", "unit", "u.n", F.explode("u.links").alias("pair"))
-    pairs = materialise(pair_counts(links.select("pair", "n")), "counts")
-    scores = counted(links.select("block", "unit", "pair"), pairs, pairs.agg(F.sum("c")).first()[0] or 0)
-    # every unit has a link, so the scores of a block in order are those of its units
-    scores = scores.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("unit", "n_best", "count_sum"))).alias("scores"))
-    met = rows.select("block", "docs").hint("merge").join(scores, "block", "left")
-    of = lambda d, c: F.aggregate(d["words"], F.lit(0).cast("long"), lambda s, i: s + F.col("scores")[i][c])
-    out = F.transform("docs", lambda d: F.struct(d["doc_id"], d["n_a"], d["n_b"], d["n_groups"], (d["n_a"] + d["n_b"] - d["n_groups"]).alias("n_links"), of(d, "n_best").alias("n_best"), of(d, "count_sum").alias("count_sum"), d["groups"].alias("groups_sha256")))
-    return met.select(F.explode(out).alias("d")).select("d.*")
+    rows = materialise(blocks_of.select(F.monotonically_increasing_id().alias("block"), digested.alias("docs"), F.col("found.units").alias("units"), F.col("found.asks").alias("asks")), "aligned")
+    asks = rows.select("block", F.explode("asks").alias("a")).select("block", "a.*")
+    told = asks.groupBy("bucket").applyInArrow(_counted, "block long, bucket int, told binary")
+    met = rows.select("block", "docs", "units").groupBy("block").cogroup(told.groupBy("block"))
+    return met.applyInArrow(_summed, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
 def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,6 +124,23 @@ def test_equal_hashes_do_no_harm(spark, tokenizers, monkeypatch):
     assert words.tolist() == [0, 1] and n.tolist() == [2] and columns[1].to_pylist() == [[7], [8]]
 
 
+def test_no_row_for_a_link(spark):
+    """Distinct pairs go packed: rows that are asked for are as many as blocks and buckets at most, not as links."""
+    rng = random.Random(12)
+    rows = [(k, prose(rng, 500)) for k in range(40)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = [r.found for r in alignment.aligned(alignment.tokenised(frame, vocabulary_path("byte_bpe_50k.json"), vocabulary_path(alignment.PIECES))).collect()]
+    places = [p for f in found for u in f.units for p in u.links]
+    pairs = sum(len(alignment._unpack(x.pairs)) for f in found for x in f.asks)
+    assert all(len(f.asks) <= int(spark.conf.get("spark.sql.shuffle.partitions")) for f in found) and max(places) + 1 <= pairs < len(places)
+    assert sum(alignment._unpack(x.times).sum() for f in found for x in f.asks) == sum(d.n_a + d.n_b - d.n_groups for f in found for d in f.docs)
+
+
+def test_packed_numbers_come_back():
+    for values in ([], [0], [5, -3, 2**62, 0, 255, 256]):
+        assert alignment._unpack(alignment._pack(np.array(values, np.int64))).tolist() == values
+
+
 def test_empty(spark, empty):
     assert got(empty) == []
     assert got(spark.createDataFrame([(1, None, "en", "s", 0)], SCHEMA)) == [(1, 0, 0, 0, 0, 0, 0, "")]
