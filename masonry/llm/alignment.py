@@ -301,6 +301,21 @@ ALIGNED = """found struct<docs: array<struct<doc_id: bigint, n_a: bigint, n_b: b
     units: array<struct<n: bigint, links: array<int>>>, asks: array<struct<bucket: int, pairs: binary, times: binary>>>"""
 
 
+PACKED = """docs array<struct<doc_id: bigint, n_a: bigint, n_b: bigint, n_groups: bigint, groups: string, n_words: bigint>>,
+    words binary, links binary, sizes binary, asks array<struct<bucket: int, pairs: binary, times: binary>>"""
+
+
+def _packed(aligned_block: pa.RecordBatch) -> pa.RecordBatch:
+    """The same with all words in one column, all links, and the number of links of each unit."""
+    docs, units_in, asks = (pc.struct_field(aligned_block.column(0), n) for n in ("docs", "units", "asks"))
+    names = ["doc_id", "n_a", "n_b", "n_groups", "groups"]
+    *columns, words = _columns(docs, *names, "words")
+    (words, n_words), (links, sizes) = _flat(words), _flat(*_columns(units_in, "links"))
+    counted = pa.StructArray.from_arrays([*columns, pa.array(n_words)], [*names, "n_words"])
+    blobs = [pa.array([_pack(x)], pa.binary()) for x in (words, links, sizes)]
+    return pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(counted)], pa.int32()), counted), *blobs, asks], ["docs", "words", "links", "sizes", "asks"])
+
+
 def _buckets(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -332,10 +347,11 @@ def _counted(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
 def _summed(key: tuple[pa.Scalar, ...], rows: pa.Table, told: pa.Table) -> pa.Table:
     """The rows of a block's docs with the sums over their units."""
     values = np.concatenate([np.zeros(0, np.int64), *(_unpack(x.as_py()) for x in told.sort_by("bucket")["told"])])
-    (links,), (doc_id, n_a, n_b, n_groups, groups, words) = _columns(rows["units"].combine_chunks(), "links"), _columns(rows["docs"].combine_chunks(), "doc_id", "n_a", "n_b", "n_groups", "groups", "words")
+    doc_id, n_a, n_b, n_groups, groups, n_words = _columns(rows["docs"].combine_chunks(), "doc_id", "n_a", "n_b", "n_groups", "groups", "n_words")
+    words, links, sizes = (_unpack(rows[c][0].as_py()) for c in ("words", "links", "sizes"))
     sums = []
     for each in (values & 1, values >> 1):
-        for flat, count in map(_flat, (links, words)):
+        for flat, count in ((links, sizes), (words, n_words.to_numpy())):
             run, stop = np.append(0, np.cumsum(each[flat])), np.cumsum(count)
             each = run[stop] - run[stop - count]
         sums.append(pa.array(each.astype(np.int64)))
@@ -354,12 +370,12 @@ def align(docs: DataFrame, path_a: str | None = None, path_b: str | None = None)
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     buckets = _buckets(spark)
-    blocks_of = tokenised(docs, path_a or vocabulary_path(VOCABULARY), path_b or vocabulary_path(PIECES), lambda block: _aligned(block, buckets), ALIGNED)
-    digested = F.transform("found.docs", lambda d: d.withField("groups", F.when(d["n_a"] == 0, "").otherwise(F.sha2(d["groups"], 256))))
-    rows = materialise(blocks_of.select(F.monotonically_increasing_id().alias("block"), digested.alias("docs"), F.col("found.units").alias("units"), F.col("found.asks").alias("asks")), "aligned")
+    blocks_of = tokenised(docs, path_a or vocabulary_path(VOCABULARY), path_b or vocabulary_path(PIECES), lambda block: _packed(_aligned(block, buckets)), PACKED)
+    digested = F.transform("docs", lambda d: d.withField("groups", F.when(d["n_a"] == 0, "").otherwise(F.sha2(d["groups"], 256))))
+    rows = materialise(blocks_of.select(F.monotonically_increasing_id().alias("block"), digested.alias("docs"), "words", "links", "sizes", "asks"), "aligned")
     asks = rows.select("block", F.explode("asks").alias("a")).select("block", "a.*")
     told = asks.groupBy("bucket").applyInArrow(_counted, "block long, bucket int, told binary")
-    met = rows.select("block", "docs", "units").groupBy("block").cogroup(told.groupBy("block"))
+    met = rows.drop("asks").groupBy("block").cogroup(told.groupBy("block"))
     return met.applyInArrow(_summed, "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
