@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rings as P
-from . import graphs
+from . import graphs, spatial
 
 #: Fixed values in metres: how far a vertex may be off its plane, and what counts as nothing.
 PLANARITY, TINY = 1e-3, 1e-6
@@ -19,7 +22,7 @@ def faces(vertices: DataFrame, keys: tuple[str, ...] = ("solid", "face")) -> Dat
     """Face rows of vertex rows (keys, ring, pos, x, y, z), in the order of ring and pos."""
     at = F.struct("ring", "pos", F.struct(*(F.col(c).cast("double").alias(c) for c in "xyz")).alias("p"))
     grouped = vertices.groupBy(*keys).agg(F.sort_array(F.collect_list(at)).alias("v"))
-    numbers = F.array_sort(F.array_distinct(F.transform("v", lambda v: v["ring"])))
+    numbers = F.array_distinct(F.transform("v", lambda v: v["ring"]))
     rings = F.transform(numbers, lambda k: F.transform(F.filter("v", lambda v: v["ring"] == k), lambda v: v["p"]))
     return P.once(grouped, "rings", rings).select(*keys, "rings")
 
@@ -100,12 +103,12 @@ def clipped(df: DataFrame, z: Column, above: bool) -> DataFrame:
     return P.once(df, "rings", P.clip(F.col("rings"), inside, "xyz")).filter(F.size("rings") > 0)
 
 
-def _edges(df: DataFrame) -> DataFrame:
-    """solid, face, a, b of every edge, its ends rounded."""
+def _edges(df: DataFrame, *keep: str) -> DataFrame:
+    """solid, face, a, b of every edge, its ends rounded, and the columns `keep`."""
     end = lambda p: F.struct(*((F.round(p[c], DECIMALS) + F.lit(0.0)).alias(c) for c in "xyz"))  # noqa: E731  adding zero makes -0.0 equal 0.0
     edge = lambda ring: lambda p, i: F.struct(end(p).alias("a"), end(P.following(ring, i)).alias("b"))
     e = F.explode(F.flatten(F.transform("rings", lambda ring: F.transform(ring, edge(ring)))))
-    return df.select("solid", "face", e.alias("e")).select("solid", "face", "e.a", "e.b")
+    return df.select("solid", "face", *keep, e.alias("e")).select("solid", "face", "e.a", "e.b", *keep)
 
 
 def edge_uses(df: DataFrame) -> DataFrame:
@@ -165,16 +168,38 @@ def checked(df: DataFrame, planarity: float = PLANARITY) -> DataFrame:
 PARTY_WALL = 0.0127
 
 
+def _finite(p: Column) -> Column:
+    return F.coalesce(F.abs(p["x"]) + F.abs(p["y"]) + F.abs(p["z"]) < float("inf"), F.lit(False))
+
+
+def _met_boxes(df: DataFrame, cell: float, around: float) -> DataFrame:
+    """solid, x0, x1, y0, y1, z0, z1: for each solid the boxes of the other solids that come within `around` of its own, grown by it."""
+    names = [(c, i) for c in "xyz" for i in (0, 1)]
+    flat = P.once(df.select("solid", "rings"), "flat", F.filter(F.flatten("rings"), _finite))
+    face = flat.select("solid", *((F.array_max if i else F.array_min)(F.col(f"flat.{c}")).alias(f"{c}{i}") for c, i in names))
+    box = graphs.cut(face.groupBy("solid").agg(*((F.max if i else F.min)(f"{c}{i}").alias(f"{c}{i}") for c, i in names)).filter("x0 is not null"))
+    grown = box.select(F.col("solid").alias("other"), *((F.col(f"{c}{i}") + (around if i else -around)).alias(f"r{c}{i}") for c, i in names))
+    met = spatial.box_join(box.withColumnsRenamed({f"{c}{i}": f"l{c}{i}" for c, i in names}), grown, cell)
+    met = met.filter((F.col("solid") != F.col("other")) & (F.col("lz0") <= F.col("rz1")) & (F.col("rz0") <= F.col("lz1")))
+    return graphs.cut(met.select("solid", *(F.col(f"r{c}{i}").alias(f"{c}{i}") for c, i in names)))
+
+
 def junctions(df: DataFrame, cell: float, tolerance: float = PARTY_WALL) -> DataFrame:
     """[J-18] solid, a, b, p, t, distance: vertices p of other solids within `tolerance` of an edge (a, b) of a solid, between its ends, where the solid has no vertex nearby.
 
-    Edges are dealt to the cells of the ground that they cross, column by column, with the tolerance around; a vertex is in one
+    Only edges and vertices within another solid's box, grown by the tolerance, can meet: no others are dealt. Edges go to the
+    cells of the ground that they cross, column by column, with the tolerance around; a vertex is in one
     cell. Distances are in space, t is the share of the edge up to p; a distance of 1e-8 or less is none.
+    Edges with an end that is null or not finite are none.
     """
-    e = _edges(df)
-    edges = e.select("solid", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    owned = graphs.cut(e.select("solid", F.col("a").alias("p")).distinct())
-    a, b = F.col("a"), F.col("b")
+    a, b, p = F.col("a"), F.col("b"), F.col("p")
+    boxes = _met_boxes(df, cell, tolerance + TINY)
+    e = _edges(df.join(boxes.hint("merge"), "solid"), *(f"{c}{i}" for c in "xyz" for i in (0, 1))).filter(_finite(a))
+    inside = lambda low, high: reduce(and_, ((high(c) >= F.col(f"{c}0")) & (low(c) <= F.col(f"{c}1")) for c in "xyz"))
+    held, crosses = inside(lambda c: a[c], lambda c: a[c]), _finite(b) & inside(lambda c: F.least(a[c], b[c]), lambda c: F.greatest(a[c], b[c]))
+    e = graphs.cut(e.select("solid", "a", "b", held.alias("held"), crosses.alias("crosses")).filter("held or crosses"))
+    edges = e.filter("crosses").select("solid", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    owned = e.filter("held").select("solid", F.col("a").alias("p")).distinct()
     floor = lambda v: F.floor(v / cell)
     columns = edges.withColumn("cx", F.explode(F.sequence(floor(F.least("a.x", "b.x") - tolerance), floor(F.greatest("a.x", "b.x") + tolerance))))
     dx, dy = b["x"] - a["x"], b["y"] - a["y"]
@@ -182,17 +207,23 @@ def junctions(df: DataFrame, cell: float, tolerance: float = PARTY_WALL) -> Data
     enters, leaves = a["y"] + dy * F.coalesce(share(F.col("cx") * cell - tolerance), F.lit(0.0)), a["y"] + dy * F.coalesce(share((F.col("cx") + 1) * cell + tolerance), F.lit(1.0))
     dealt = columns.withColumn("cy", F.explode(F.sequence(floor(F.least(enters, leaves) - tolerance), floor(F.greatest(enters, leaves) + tolerance))))
     points = owned.select("p").distinct().select("p", floor(F.col("p.x")).alias("cx"), floor(F.col("p.y")).alias("cy"))
-    p, ab = F.col("p"), _minus(b, a)
-    met = points.join(dealt.hint("merge"), ["cx", "cy"]).filter(_dot(ab, ab) > TINY**2).withColumn("t", _dot(_minus(p, a), ab) / _dot(ab, ab))
+    # the box of an edge is compared first, so few pairs come to the distance
+    around = F.lit(True)
+    for c in "xyz":
+        around = around & p[c].between(F.least(a[c], b[c]) - tolerance, F.greatest(a[c], b[c]) + tolerance)
+    met = P.once(points.join(dealt.hint("merge"), ["cx", "cy"]).filter(around), "ab", _vector(_minus(b, a))).filter(_dot(F.col("ab"), F.col("ab")) > TINY**2)
+    ab = F.col("ab")
+    met = P.once(met, "t", _dot(_minus(p, a), ab) / _dot(ab, ab))
     off = {c: p[c] - a[c] - F.col("t") * ab[c] for c in "xyz"}
-    met = graphs.cut(met.withColumn("distance", F.sqrt(_dot(off, off))).filter((F.col("t") > 0) & (F.col("t") < 1) & (F.col("distance") > 1e-8) & (F.col("distance") < tolerance)).drop("cx", "cy"))
+    met = P.once(met.filter((F.col("t") > 0) & (F.col("t") < 1)), "distance", F.sqrt(_dot(off, off)))
+    met = graphs.cut(met.filter((F.col("distance") > 1e-8) & (F.col("distance") < tolerance)).drop("cx", "cy", "ab"))
     key = lambda v: [F.floor(v[c] / tolerance) for c in "xyz"]
-    own = owned.select(F.col("solid").alias("s"), F.col("p").alias("q"), *(k.alias(f"k{c}") for c, k in zip("xyz", key(F.col("p")), strict=True)))
-    around = met
+    own = owned.select("solid", F.col("p").alias("q"), *(k.alias(f"k{c}") for c, k in zip("xyz", key(p), strict=True)))
+    spread = met
     for c, k in zip("xyz", key(p), strict=True):
-        around = around.withColumn(f"k{c}", F.explode(F.sequence(k - 1, k + 1)))
+        spread = spread.withColumn(f"k{c}", F.explode(F.sequence(k - 1, k + 1)))
     near = F.greatest(*(F.abs(F.col(f"p.{c}") - F.col(f"q.{c}")) for c in "xyz")) < tolerance
-    taken = around.join(own.hint("merge"), ["kx", "ky", "kz"]).filter((F.col("solid") == F.col("s")) & near).select("solid", "p").distinct()
+    taken = spread.join(own.hint("merge"), ["solid", "kx", "ky", "kz"]).filter(near).select("solid", "p").distinct()
     return met.join(taken.hint("merge"), ["solid", "p"], "left_anti").select("solid", "a", "b", "p", "t", "distance")
 
 

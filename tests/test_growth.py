@@ -91,3 +91,15 @@ def test_no_edges(spark):
 def test_components_of_structs(spark):
     edges = spark.createDataFrame([((1, "b"), (1, "a")), ((1, "c"), (1, "b")), ((2, "z"), (2, "y"))], "a struct<k: int, s: string>, b struct<k: int, s: string>")
     assert sorted((tuple(r.id), tuple(r.label)) for r in graphs.components(edges).collect()) == [((1, "a"), (1, "a")), ((1, "b"), (1, "a")), ((1, "c"), (1, "a")), ((2, "y"), (2, "y")), ((2, "z"), (2, "y"))]
+
+
+def test_junctions_deal_touching_solids_only(spark, monkeypatch):
+    boxes = [(k, 20.0 * k, 0.0, 12.0) for k in range(40)] + [(40, 792.005, 3.0, 6.0)]  # the last one stands 5 mm off another's side, the others stand alone
+    rows = [(k, f, 0, i, x + dx * side, y + dy * side, 9.0 * f) for k, x, y, side in boxes for f in (0, 1) for i, (dx, dy) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)])]
+    rows += [(50, 0, 0, 0, float("nan"), 1.0, None), (50, 0, 0, 1, float("inf"), 1.0, 0.0)]
+    df = faces.faces(spark.createDataFrame(rows, "solid int, face int, ring int, pos int, x double, y double, z double"))
+    written, cut = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: written.append(cut(df)) or written[-1])
+    found = sorted((r.solid, round(r.p.y, 3), round(r.p.z, 3), round(r.t, 6)) for r in faces.junctions(df, 25).collect())
+    assert found == [(39, y, z, t) for y, t in ((3.0, 0.25), (9.0, 0.75)) for z in (0.0, 9.0)]
+    assert max(w.count() for w in written) <= 41  # a box for each solid is the most that is written; before, all vertices were
