@@ -9,10 +9,15 @@ from __future__ import annotations
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,16 +42,97 @@ def emptied(*tables: DataFrame) -> None:
             df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(posixpath.dirname(files[0]))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """[A-11, A-17] id, label: for every node of an edge (a, b) the least node it can reach. Nodes that are structs get numbers first, so the rounds join numbers only."""
-    if isinstance(edges.schema["a"].dataType, StructType):
-        given = cut(edges.select("a", "b"))
-        nodes = cut(given.select("a").union(given.select("b")).distinct().select(F.col("a").alias("node"), F.monotonically_increasing_id().alias("n")))
-        end = lambda c, n: nodes.select(F.col("node").alias(c), F.col("n").alias(n))
-        numbers = components(given.join(end("a", "x").hint("merge"), "a").join(end("b", "y").hint("merge"), "b").select(F.col("x").alias("a"), F.col("y").alias("b")))
-        named = cut(nodes.join(numbers.withColumnRenamed("id", "n").hint("merge"), "n").select("node", "label"))
-        emptied(given)
-        return named.join(named.groupBy("label").agg(F.min("node").alias("least")).hint("merge"), "label").select(F.col("node").alias("id"), F.col("least").alias("label"))
+#: Edges of a task that are united together.
+UNITED = 1 << 20
+
+
+def _loose(kind: pa.DataType) -> pa.DataType:
+    return pa.struct([pa.field(f.name, _loose(f.type)) for f in kind]) if pa.types.is_struct(kind) else kind
+
+
+def _leaves(nodes: pa.Array) -> list[pa.Array]:
+    if not pa.types.is_struct(nodes.type):
+        return [nodes]
+    return [leaf for part in nodes.flatten() for leaf in _leaves(part)]
+
+
+def _numbered(nodes: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The number of each node among the distinct ones, and these in ascending order."""
+    key = np.zeros(len(nodes), np.int64)
+    for leaf in _leaves(nodes):
+        own = leaf.dictionary_encode("encode")
+        key = pa.array(key * (len(own.dictionary) + 1) + own.indices.to_numpy(zero_copy_only=False)).dictionary_encode().indices.to_numpy().astype(np.int64)
+    first = np.empty(int(key.max()) + 1, np.int64)
+    first[key[::-1]] = np.arange(len(key))[::-1]
+    one = nodes.take(pa.array(first))
+    leaves = _leaves(one)
+    order = pc.sort_indices(pa.table(leaves, [str(k) for k in range(len(leaves))]), sort_keys=[(str(k), "ascending") for k in range(len(leaves))], null_placement="at_start")
+    rank = np.empty(len(first), np.int64)
+    rank[order.to_numpy()] = np.arange(len(first))
+    return rank[key], one.take(order)
+
+
+def _least(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each of n numbers the least that edges (a, b) lead to."""
+    label = np.arange(n)
+    while len(a):
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(further := label[label], label):
+            label = further
+        a, b = label[a], label[b]
+        a, b = a[a != b], b[a != b]
+    return label
+
+
+def _united(most: int):
+    """id, label, run of each node of a task's edges, up to `most` at a time: the least node that these edges lead to, and a number for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given, held, size = TaskContext.get().partitionId() << 40, [], 0
+
+        def rows() -> pa.RecordBatch:
+            ends = [pa.concat_arrays([b.column(k).cast(_loose(b.column(k).type)) for b in held]) for k in (0, 1)]
+            number, nodes = _numbered(pa.concat_arrays(ends))
+            label = _least(len(nodes), number[: len(ends[0])], number[len(ends[0]) :])
+            return pa.RecordBatch.from_arrays([nodes, nodes.take(pa.array(label)), pa.array(label + given)], ["id", "label", "run"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= most:
+                yield rows()
+                given, held, size = given + 2 * size, [], 0
+        if held:
+            yield rows()
+
+    return run
+
+
+def components(edges: DataFrame, united: int = UNITED) -> DataFrame:
+    """[A-11, A-17] id, label: for every node of an edge (a, b) the least node it can reach.
+
+    A task unites the edges it has, `united` at a time, in NumPy; edges that come dealt by group are done then. Groups that have nodes
+    in several of these runs are joined by their numbers in rounds. Edges with a null end join nothing.
+    """
+    node = edges.schema["a"].dataType.simpleString()
+    whole = edges.select("a", "b").filter("a is not null and b is not null")
+    found = cut(whole.mapInArrow(_united(united), f"id {node}, label {node}, run bigint"))
+    shared = found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if shared.isEmpty():
+        return found.select("id", "label")
+    least = F.min("run").over(W.partitionBy("id"))
+    links = found.select("run", least.alias("b")).filter("run <> b").select(F.col("run").alias("a"), "b")
+    numbers = _rounds(links).withColumnsRenamed({"id": "run", "label": "group"})
+    runs = found.groupBy("run").agg(F.min("label").alias("label")).join(numbers.hint("merge"), "run", "left").withColumn("group", F.coalesce("group", "run"))
+    named = cut(runs.withColumn("label", F.min("label").over(W.partitionBy("group"))).select("run", "label"))
+    joined = cut(found.select("id", "run").join(named.hint("merge"), "run").select("id", "label").distinct())
+    emptied(found, named, numbers)
+    return joined
+
+
+def _rounds(edges: DataFrame) -> DataFrame:
+    """`components` of edges of numbers, by joins in rounds."""
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
     labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("b")).select("id", F.least("id", "b").alias("label")))
     while True:

@@ -27,10 +27,14 @@ def _cells(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH RECURSIVE {CELL}, g AS (SELECT code, x, y FROM cell WHERE NOT hit), r AS (SELECT code, x, y, x * 100000 + y AS root FROM g UNION SELECT g.code, g.x, g.y, r.root FROM r JOIN g ON g.code = r.code AND abs(g.x - r.x) + abs(g.y - r.y) = 1), l AS (SELECT code, x, y, min(root) AS root FROM r GROUP BY 1, 2, 3), s AS (SELECT code, root, count(*) AS n FROM l GROUP BY 1, 2) SELECT bld.code, CAST(coalesce(sum(n), 0) AS BIGINT) AS gaps, CAST(coalesce(max(n), 0) AS BIGINT) AS largest FROM bld LEFT JOIN s USING (code) GROUP BY 1")
 def largest_gap_component(spark, sf):
     """[A-11] size of the largest 4-connected group of cells without a return; cells of one building only meet each other."""
-    gap = graphs.cut(_cells(spark, sf).filter(~F.col("hit")).select("code", F.struct("code", "x", "y").alias("id")))
-    step = lambda dx, dy: F.struct(F.col("code"), (F.col("id.x") + dx).alias("x"), (F.col("id.y") + dy).alias("y"))
-    edges = gap.select(F.col("id").alias("a"), F.explode(F.array(step(0, 1), step(1, 0))).alias("b")).join(gap.select(F.col("id").alias("b")).hint("merge"), "b")
-    named = gap.join(graphs.components(edges).hint("merge"), "id", "left").groupBy("code", F.coalesce("label", "id").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    gap = _cells(spark, sf).filter(~F.col("hit")).select("code", "x", "y")
+    # cells are dealt by code already: neighbours meet in windows within their building, and so do its edges in one task
+    follows = lambda c, own: F.coalesce(F.lead(c).over(W.partitionBy("code", own).orderBy(c)) == F.col(c) + 1, F.lit(False))
+    gap = gap.withColumn("up", follows("y", "x")).withColumn("right", follows("x", "y"))
+    step = lambda dx, dy: F.struct("code", (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"))
+    ends = F.array_compact(F.array(F.when(F.col("up"), step(0, 1)), F.when(F.col("right"), step(1, 0)), F.when(~F.col("up") & ~F.col("right"), step(0, 0))))
+    edges = gap.select(step(0, 0).alias("a"), F.explode(ends).alias("b"))
+    named = graphs.components(edges).groupBy("label").agg(F.count(F.lit(1)).alias("n")).select("label.code", "n")
     sizes = named.groupBy("code").agg(F.sum("n").alias("gaps"), F.max("n").alias("largest"))
     return buildings(spark, sf).select("code").join(sizes.hint("merge"), "code", "left").select("code", F.coalesce("gaps", F.lit(0)).cast("long").alias("gaps"), F.coalesce("largest", F.lit(0)).cast("long").alias("largest"))
 

@@ -103,3 +103,19 @@ def test_junctions_deal_touching_solids_only(spark, monkeypatch):
     found = sorted((r.solid, round(r.p.y, 3), round(r.p.z, 3), round(r.t, 6)) for r in faces.junctions(df, 25).collect())
     assert found == [(39, y, z, t) for y, t in ((3.0, 0.25), (9.0, 0.75)) for z in (0.0, 9.0)]
     assert max(w.count() for w in written) <= 41  # a box for each solid is the most that is written; before, all vertices were
+
+
+def test_components_united_in_tasks(spark, monkeypatch):
+    edge = lambda a, b: ((a // 30, a), (b // 30, b))
+    rows = [edge(a, a + d) for k in range(50) for a in range(30 * k, 30 * k + 27) for d in (3,) if a % 7] + [edge(k, k) for k in range(1500)]
+    edges = spark.createDataFrame(rows, "a struct<k: int, n: int>, b struct<k: int, n: int>")
+    root = {k: k for k in range(1500)}
+    for (_, a), (_, b) in sorted(rows):  # edges lead upwards in steps of three, so the least end is settled before
+        root[b] = min(root[b], root[a])
+    for frame, most in ((edges.repartition(7), 11), (edges.repartition(5), 1 << 20), (edges.repartition(1), 40)):
+        found = graphs.components(frame, most).collect()
+        assert {r.id.n: r.label.n for r in found} == root and len(found) == len(root)
+    texts = spark.createDataFrame([("z", "é"), ("é", "a"), (None, "b"), ("c", "c")], "a string, b string")
+    assert sorted(graphs.components(texts, 1).collect()) == [("a", "a"), ("c", "c"), ("z", "a"), ("é", "a")]
+    monkeypatch.setattr(graphs, "_rounds", lambda edges: 1 / 0)  # what is dealt by group needs no round
+    assert {r.id.n: r.label.n for r in graphs.components(edges.repartition(5, "a.k")).collect()} == root
