@@ -119,3 +119,23 @@ def test_components_united_in_tasks(spark, monkeypatch):
     assert sorted(graphs.components(texts, 1).collect()) == [("a", "a"), ("c", "c"), ("z", "a"), ("é", "a")]
     monkeypatch.setattr(graphs, "_rounds", lambda edges: 1 / 0)  # what is dealt by group needs no round
     assert {r.id.n: r.label.n for r in graphs.components(edges.repartition(5, "a.k")).collect()} == root
+
+
+def _boxes(spark, boxes):
+    """Faces of boxes (solid, x, y, side): floor and four walls, 9 high."""
+    rows = []
+    for k, x, y, side in boxes:
+        at = [(x, y), (x + side, y), (x + side, y + side), (x, y + side)]
+        rows += [(k, 0, 0, i, *at[3 - i], 0.0) for i in range(4)]
+        rows += [(k, f + 1, 0, i, *p, z) for f in range(4) for i, (p, z) in enumerate([(at[f], 0.0), (at[(f + 1) % 4], 0.0), (at[(f + 1) % 4], 9.0), (at[f], 9.0)])]
+    return faces.faces(spark.createDataFrame(rows, "solid int, face int, ring int, pos int, x double, y double, z double"))
+
+
+def test_interfaces_deal_faces_that_can_meet(spark, monkeypatch):
+    df = _boxes(spark, [(k, 20.0 * k, 0.0, 12.0) for k in range(40)] + [(40, 792.0, 3.0, 6.0)])
+    written, cut = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: written.append(cut(df)) or written[-1])
+    assert list(map(tuple, faces.interfaces(df, 25).collect())) == [(39, 2, 40, 4, 54.0)]
+    assert max(w.count() for w in written) <= 41  # a box for each solid; before, all 205 faces were
+    keys = spark.createDataFrame([(v,) for v in (0.0, 1.0, -1.0, 0.0004999)], "v double")
+    assert keys.select(faces._near_keys(F.col("v"), faces.NORMAL_KEY, 5e-5)).count() == 5  # common normals take one key, those near a border two
