@@ -139,3 +139,20 @@ def test_interfaces_deal_faces_that_can_meet(spark, monkeypatch):
     assert max(w.count() for w in written) <= 41  # a box for each solid; before, all 205 faces were
     keys = spark.createDataFrame([(v,) for v in (0.0, 1.0, -1.0, 0.0004999)], "v double")
     assert keys.select(faces._near_keys(F.col("v"), faces.NORMAL_KEY, 5e-5)).count() == 5  # common normals take one key, those near a border two
+
+
+def test_planes_of_odd_faces(spark):
+    square = [(0.0, 0.0, 1.0), (4.0, 0.0, 1.0), (4.0, 4.0, 1.0), (0.0, 4.0, 1.0)]
+    hole = [(1.0, 1.0, 1.0), (1.0, 3.0, 1.0), (3.0, 3.0, 1.0), (3.0, 1.0, 1.0)]
+    odd = {
+        None: [[square], [square, hole]], "hole_orientation": [[square, hole[::-1]]], "invalid_topology": [[square, square[::-1]]], "planarity_tolerance_exceeded": [[[*square[:2], (4.0, 4.0, 1.01), square[3]]]],
+        "invalid_coordinates": [None, [], [[]], [None], [square, None], [square[:2]], [square, []], [[*square, None]], [[*square, (0.0, 1.0, None)]], [[*square, (float("nan"), 1.0, 1.0)]], [[*square, (float("-inf"), 1.0, 1.0)]]],
+        "repeated_vertices": [[[*square, (-0.0, 1e-10, 1.0)]], [square, [hole[0], *hole]]], "degenerate_face": [[[(0.0, 0.0, 0.0), (1.0, 1.0, 1.0), (2.0, 2.0, 2.0)]]], "zero_length_edge": [[[square[0], (1e-7, 0.0, 1.0), *square[2:]]]],
+    }
+    rows = [(reason, rings) for reason, many in odd.items() for rings in many]
+    df = spark.createDataFrame([(i, 0, rings) for i, (_, rings) in enumerate(rows)], "solid int, face int, rings array<array<struct<x: double, y: double, z: double>>>")
+    found = {r.solid: r for r in faces.planes(df).collect()}
+    assert [found[i].reason for i in range(len(rows))] == [reason for reason, _ in rows]
+    r = found[1]
+    assert (tuple(r.origin), tuple(r.u), tuple(r.v), tuple(r.normal), r.area, r.deviation) == ((0, 0, 1), (1, 0, 0), (0, 1, 0), (0, 0, 1), 12.0, 0.0)
+    assert found[5].origin is None and found[5].area is None and found[5].deviation is None
