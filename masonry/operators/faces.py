@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions import rings as P
 from . import graphs, spatial
@@ -169,10 +170,12 @@ def clipped(df: DataFrame, z: Column, above: bool) -> DataFrame:
 
 def _edges(df: DataFrame, *keep: str) -> DataFrame:
     """solid, face, a, b of every edge, its ends rounded, and the columns `keep`."""
-    end = lambda p: F.struct(*((F.round(p[c], DECIMALS) + F.lit(0.0)).alias(c) for c in "xyz"))  # noqa: E731  adding zero makes -0.0 equal 0.0
-    edge = lambda ring: lambda p, i: F.struct(end(p).alias("a"), end(P.following(ring, i)).alias("b"))
-    e = F.explode(F.flatten(F.transform("rings", lambda ring: F.transform(ring, edge(ring)))))
-    return df.select("solid", "face", *keep, e.alias("e")).select("solid", "face", "e.a", "e.b", *keep)
+    size = 10.0**DECIMALS
+    named = lambda v: F.when(F.abs(v) * size < 2.0**53, F.rint(v * size) / size).otherwise(v) + F.lit(0.0)  # noqa: E731  adding zero makes -0.0 equal 0.0
+    ends = F.transform("rings", lambda ring: F.transform(ring, lambda p: F.struct(*(named(p[c]).alias(c) for c in "xyz"))))
+    edge = lambda ring: lambda p, i: F.struct(p.alias("a"), P.following(ring, i).alias("b"))
+    e = F.explode(F.flatten(F.transform("_ends", lambda ring: F.transform(ring, edge(ring)))))
+    return P.once(df, "_ends", ends).select("solid", "face", *keep, e.alias("e")).select("solid", "face", "e.a", "e.b", *keep)
 
 
 def edge_uses(df: DataFrame) -> DataFrame:
@@ -182,16 +185,35 @@ def edge_uses(df: DataFrame) -> DataFrame:
     return e.groupBy("solid", "u", "v").agg(F.count(F.lit(1)).alias("uses"), F.sum("way").alias("turns"), F.min("face").alias("first"), F.max("face").alias("last"))
 
 
-def volumes(df: DataFrame) -> DataFrame:
-    """[A-18] solid, volume: signed tetrahedra over fans of all rings, about a vertex of the solid."""
-    rows = df.withColumn("o", F.min(F.get(F.get("rings", F.lit(0)), F.lit(0))).over(W.partitionBy("solid")))
-    o = F.col("o")
+def _six(rings: pa.Array, o: pa.Array) -> pa.Array:
+    face, ring, v = _flat(rings)
+    n, size = len(rings), np.bincount(ring, minlength=len(face))
+    start = (np.cumsum(size) - size)[ring]
+    at = dict(zip((f.name for f in o.type), o.flatten(), strict=True))
+    around = np.stack([at[c].cast(pa.float64()).to_numpy(zero_copy_only=False) for c in "xyz"], 1)[face[ring]]
+    i = np.arange(len(v))
+    fan = np.flatnonzero((i > start) & (i + 1 < start + size[ring]))
+    f, p, q = v[start[fan]] - around[fan], v[fan] - around[fan], v[fan + 1] - around[fan]
+    with np.errstate(all="ignore"):
+        cross = np.stack([p[:, 1] * q[:, 2] - p[:, 2] * q[:, 1], p[:, 2] * q[:, 0] - p[:, 0] * q[:, 2], p[:, 0] * q[:, 1] - p[:, 1] * q[:, 0]], 1)
+        six = np.bincount(face, np.bincount(ring[fan], _dots(f, cross), len(face)), n)
+    parts = rings.flatten().flatten().flatten()
+    lacks = np.zeros(len(v), bool)
+    for part in (*parts, *(at[c].take(pa.array(face[ring])) for c in "xyz")):
+        lacks |= part.is_null().to_numpy(zero_copy_only=False)
+    lost = np.bincount(face, (np.bincount(ring, lacks, len(face)) > 0) & (size >= 3) | rings.flatten().is_null().to_numpy(zero_copy_only=False), n) > 0
+    return pa.array(six, mask=lost | ~rings.is_valid().to_numpy(zero_copy_only=False))
 
-    def fan(ring: Column) -> Column:
-        first = _minus(F.get(ring, F.lit(0)), o)
-        return P.total(F.transform(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 2, F.lit(0))), lambda p, i: _dot(first, _cross(_minus(p, o), _minus(F.get(ring, i + 2), o)))))
 
-    return rows.select("solid", P.total(F.transform("rings", fan)).alias("six")).groupBy("solid").agg((F.sum("six") / 6).alias("volume"))
+def _with_six(df: DataFrame) -> DataFrame:
+    """[A-18] `df` with `six`: six times a face's signed tetrahedra, over fans of its rings, about a vertex of the solid."""
+    rows = df.withColumn("_o", F.min(F.get(F.get("rings", F.lit(0)), F.lit(0))).over(W.partitionBy("solid")))
+    return rows.withColumn("six", F.arrow_udf(_six, "double").asNondeterministic()("rings", "_o")).select(*df.columns, "six")
+
+
+def volumes(df: DataFrame) -> DataFrame:
+    """[A-18] solid, volume: signed tetrahedra over fans of all rings, about a vertex of the solid."""
+    return _with_six(df).groupBy("solid").agg((F.sum("six") / 6).alias("volume"))
 
 
 def shells(df: DataFrame, uses: DataFrame) -> DataFrame:
@@ -208,6 +230,27 @@ def shells(df: DataFrame, uses: DataFrame) -> DataFrame:
     return parts.join(fans.groupBy("solid").agg(F.count_if(F.col("n") > 1).alias("pinched")).hint("merge"), "solid")
 
 
+def _not_plain(met: DataFrame) -> DataFrame:
+    """`met` without the corners at which just three faces meet, two and two along an edge: these hang together."""
+    corner = met.groupBy("solid", "at").agg(F.count(F.lit(1)).alias("n"), *(f(c).alias(f"{c}_{k}") for c in ("first", "last") for k, f in (("sum", F.sum), ("min", F.min), ("max", F.max))))
+    a, b, c = F.col("first_min"), F.col("first_max"), F.col("last_max")
+    plain = (F.col("n") == 3) & (a < b) & (b < c) & (F.col("last_min") == b) & (F.col("first_sum") == 2 * a.cast("long") + b) & (F.col("last_sum") == 2 * c.cast("long") + b)
+    return met.join(corner.filter(~plain).select("solid", "at").hint("merge"), ["solid", "at"])
+
+
+def _sound_shells(uses: DataFrame) -> DataFrame:
+    """`shells` of solids whose edges are all used twice: each face and corner is on such an edge, so the edges suffice and faces aren't joined."""
+    node = lambda face: F.struct(F.col("solid"), F.col(face).alias("face"))
+    head = F.col("id") == F.col("label")  # one node of each group
+    parts = graphs.components(uses.select(node("first").alias("a"), node("last").alias("b"))).filter(head).groupBy("id.solid").agg(F.count(F.lit(1)).alias("parts"))
+    fan = lambda face: F.struct(F.col("solid"), F.col("at"), F.col(face).alias("face"))
+    met = uses.select("solid", "first", "last", F.explode(F.array("u", "v")).alias("at"))
+    if isinstance(met.schema["first"].dataType, IntegralType):
+        met = _not_plain(met)
+    fans = graphs.components(met.select(fan("first").alias("a"), fan("last").alias("b"))).filter(head).groupBy("id.solid", "id.at").agg(F.count(F.lit(1)).alias("n"))
+    return parts.join(fans.filter("n > 1").groupBy("solid").agg(F.count(F.lit(1)).alias("pinched")).hint("merge"), "solid", "left")
+
+
 def checked(df: DataFrame, planarity: float = PLANARITY) -> DataFrame:
     """[T-07] solid, n_faces, n_edges, volume, deviation and reason of every solid.
 
@@ -215,12 +258,14 @@ def checked(df: DataFrame, planarity: float = PLANARITY) -> DataFrame:
     that isn't used twice, once each way), disconnected_shell, non_manifold_vertex, non_positive_volume, else null.
     Self-intersections aren't looked for.
     """
-    own = planes(df, planarity).groupBy("solid").agg(
-        F.count(F.lit(1)).alias("n_faces"), F.count_distinct("face").alias("n_ids"), F.max("deviation").alias("deviation"), F.min("reason").alias("face_reason")
+    own = planes(_with_six(df), planarity).groupBy("solid").agg(
+        F.count(F.lit(1)).alias("n_faces"), F.count_distinct("face").alias("n_ids"), F.max("deviation").alias("deviation"), F.min("reason").alias("face_reason"), (F.sum("six") / 6).alias("volume")
     )
-    uses = graphs.cut(edge_uses(df))
-    open_edges = uses.groupBy("solid").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if((F.col("uses") != 2) | (F.col("turns") != 0)).alias("bad"))
-    rows = own.join(open_edges.hint("merge"), "solid", "left").join(shells(df, uses).hint("merge"), "solid", "left").join(volumes(df).hint("merge"), "solid", "left")
+    bad = (F.col("uses") != 2) | (F.col("turns") != 0)
+    # marked in a window while edges are dealt by solid; shells of solids with an edge that isn't used twice aren't asked for
+    uses = graphs.cut(edge_uses(df).withColumn("open", F.max(F.col("uses") != 2).over(W.partitionBy("solid"))))
+    open_edges = uses.groupBy("solid").agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(bad).alias("bad"))
+    rows = own.join(open_edges.hint("merge"), "solid", "left").join(_sound_shells(uses.filter("not open")).hint("merge"), "solid", "left")
     reason = (
         F.when(F.col("n_faces") < 4, "too_few_faces").when(F.col("n_ids") < F.col("n_faces"), "duplicate_face").when(F.col("face_reason").isNotNull(), F.col("face_reason")).when(F.col("bad") > 0, "non_manifold_edge")
         .when(F.col("parts") > 1, "disconnected_shell").when(F.col("pinched") > 0, "non_manifold_vertex").when(~F.coalesce(F.col("volume") > TINY**3, F.lit(False)), "non_positive_volume")

@@ -156,3 +156,22 @@ def test_planes_of_odd_faces(spark):
     r = found[1]
     assert (tuple(r.origin), tuple(r.u), tuple(r.v), tuple(r.normal), r.area, r.deviation) == ((0, 0, 1), (1, 0, 0), (0, 1, 0), (0, 0, 1), 12.0, 0.0)
     assert found[5].origin is None and found[5].area is None and found[5].deviation is None
+
+
+def test_plain_corners_are_no_nodes(spark, monkeypatch):
+    df = _boxes(spark, [(k, 20.0 * k, 0.0, 12.0) for k in range(30)] + [(30, 700.0, 0.0, 5.0)])
+    roof = df.filter("face = 0").select("solid", F.lit(9).alias("face"), F.transform("rings", lambda r: F.reverse(F.transform(r, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(9.0).alias("z"))))).alias("rings"))
+    written, cut = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: written.append(cut(df)) or written[-1])
+    found = {r.solid: r for r in faces.checked(df.union(roof.filter("solid <> 7"))).collect()}
+    assert {k: r.reason for k, r in found.items()} == {k: "non_manifold_edge" if k == 7 else None for k in range(31)}
+    assert [(found[k].n_faces, found[k].n_edges, round(found[k].volume, 9)) for k in (0, 30)] == [(6, 12, 1296.0), (6, 12, 225.0)]
+    assert max(w.count() for w in written) <= 31 * 12  # the edges; before, 24 corners of each solid went through the rounds
+
+
+def test_fans_of_odd_faces(spark):
+    rings = "array<array<struct<x: double, y: double, z: double>>>"
+    tetra = [[(0.0, 0.0, 0.0), (0.0, 1.0, 0.0), (1.0, 0.0, 0.0)], [(0.0, 0.0, 0.0), (1.0, 0.0, 0.0), (0.0, 0.0, 1.0)], [(0.0, 0.0, 0.0), (0.0, 0.0, 1.0), (0.0, 1.0, 0.0)], [(1.0, 0.0, 0.0), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]]
+    odd = [[[(1.0, 0.0, None), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]], [[]], [], None, [[(5.0, 5.0, 5.0), (6.0, 6.0, None)]]]  # what has no number adds nothing
+    df = spark.createDataFrame([(1, k, [f]) for k, f in enumerate(tetra)] + [(1, 10 + k, r) for k, r in enumerate(odd)], f"solid int, face int, rings {rings}")
+    assert [(r.solid, round(r.volume, 12)) for r in faces.volumes(df).collect()] == [(1, round(1 / 6, 12))]
