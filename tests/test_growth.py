@@ -175,3 +175,12 @@ def test_fans_of_odd_faces(spark):
     odd = [[[(1.0, 0.0, None), (0.0, 1.0, 0.0), (0.0, 0.0, 1.0)]], [[]], [], None, [[(5.0, 5.0, 5.0), (6.0, 6.0, None)]]]  # what has no number adds nothing
     df = spark.createDataFrame([(1, k, [f]) for k, f in enumerate(tetra)] + [(1, 10 + k, r) for k, r in enumerate(odd)], f"solid int, face int, rings {rings}")
     assert [(r.solid, round(r.volume, 12)) for r in faces.volumes(df).collect()] == [(1, round(1 / 6, 12))]
+
+
+def test_near_pairs_of_full_places(spark):
+    rows = [(k, float(k % 7), float(k % 3) - 1) for k in range(120)] + [(5, 5.0, 1.0), (5, 3.0, 0.0), (None, 1.0, 1.0), (300, None, 1.0), (301, float("nan"), 1.0), (302, -0.0, 0.0)]
+    sound = [(i, x, y) for i, x, y in rows if i is not None and x is not None and x == x]
+    want = sorted((min(p[0], q[0]), max(p[0], q[0])) for k, p in enumerate(sound) for q in sound[:k] if p[0] != q[0] and abs(p[1] - q[1]) < 2 and abs(p[2] - q[2]) < 2)
+    df = spark.createDataFrame(rows, "id int, x double, y double")
+    for together in (1, 4, 1000):
+        assert sorted(map(tuple, spatial.near_pairs(df, 2, together).collect())) == want
