@@ -81,18 +81,26 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.uint64)
     for j in range(7):
         key = (key << np.uint64(9)) | wide[j : j + n]
-    have = 7
+    order = np.argsort(key)
+    own = key[order]
+    head = np.ones(n, bool)
+    head[1:] = own[1:] != own[:-1]
+    at, have = np.arange(n), 7  # places whose order isn't known yet, and symbols that they are ordered by
+    rank = np.empty(n, np.uint64)  # the place of the first suffix that is equal so far
     while True:
-        order = np.argsort(key)
-        own = key[order]
-        rank = np.empty(n, np.uint64)
-        steps = np.ones(n, np.uint64)
-        steps[1:] = own[1:] != own[:-1]
-        rank[order] = np.cumsum(steps, dtype=np.uint64)
-        if have >= depth or int(rank[order[-1]]) == n:
+        rank[order[at]] = np.maximum.accumulate(np.where(head, at, 0))
+        at = at[~(head & np.append(head[1:], True))]
+        if have >= depth or not len(at):
             return order
-        key = rank << np.uint64(32)
-        key[: n - have] |= rank[have:]
+        these = order[at]
+        key = rank[these] << np.uint64(32)
+        longer = these + have < n
+        key[longer] |= rank[these[longer] + have] + np.uint64(1)
+        by = np.argsort(key)
+        own = key[by]
+        order[at] = these[by]
+        head = np.ones(len(at), bool)
+        head[1:] = own[1:] != own[:-1]
         have *= 2
 
 
@@ -171,7 +179,9 @@ def _hash_rows(n: int):
             for i, j in blocks(offsets, 4 << 20):
                 value, owner, _, _ = stretches(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 bucket, kept = _composite(value, n)
-                order = np.lexsort((kept, owner, bucket))
+                # in the order of bucket, text and what is kept: texts of a block have numbers below 2^24, buckets are sorted by their digits
+                order = np.argsort((owner.astype(np.uint64) << np.uint64(40)) | kept)
+                order = order[np.argsort(bucket[order].astype(np.uint16 if n < 1 << 16 else np.int64), kind="stable")]
                 bucket, owner, kept = bucket[order], owner[order], kept[order]
                 new = np.ones(len(kept), bool)
                 new[1:] = (kept[1:] != kept[:-1]) | (owner[1:] != owner[:-1]) | (bucket[1:] != bucket[:-1])

@@ -86,3 +86,16 @@ def test_query(spark, docs, texts, tmp_path):
     rows = repeats.op1_suffix_array_dedup(spark, str(tmp_path))
     assert rows.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     assert {r.doc_id: tuple(r)[1:] for r in rows.collect()} == brute({3 * i: t for i, t in enumerate(texts)})
+
+
+def test_only_open_suffixes_are_sorted_again(monkeypatch):
+    rng = np.random.default_rng(5)
+    for symbols in (rng.integers(0, 3, 3000), np.tile(rng.integers(1, 257, 40), 9), np.array([7])):
+        order = repeats.suffix_order(symbols.astype(np.uint16), 50)
+        padded = np.append(symbols, np.zeros(50, symbols.dtype)).tolist()
+        strings = [padded[i : i + 50] for i in order]
+        assert sorted(order.tolist()) == list(range(len(symbols))) and strings == sorted(strings)
+    sorted_rows, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **k: sorted_rows.append(len(x)) or argsort(x, *a, **k))
+    repeats.suffix_order(np.append(rng.integers(1, 257, 9000), np.tile(rng.integers(1, 257, 100), 10)).astype(np.uint16), 50)
+    assert sorted_rows[0] == 10000 and sum(sorted_rows) < 14000  # before, all were sorted in every round
