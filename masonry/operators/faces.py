@@ -1,4 +1,4 @@
-"""Faces and solids as rows: (solid, face, rings) with rings of struct<x, y, z>, the exterior first. No UDFs."""
+"""Faces and solids as rows: (solid, face, rings) with rings of struct<x, y, z>, the exterior first. Planes and volumes are NumPy over Arrow batches, the rest expressions and joins."""
 
 from __future__ import annotations
 
