@@ -111,13 +111,17 @@ def near_polygons(points: DataFrame, polygons: DataFrame, reach: float, cell: fl
         return met.select("ident.unit", "key.*").distinct()
     b = P.bounds(F.col("rings"))
     span = lambda lo, hi: F.explode(F.sequence(F.floor((b[lo] - reach) / cell), F.floor((b[hi] + reach) / cell)))
-    dealt = polygons.select("unit", "rings", span("x0", "x1").alias("cx")).select("unit", "rings", "cx", span("y0", "y1").alias("cy"))
+    around = reach * (1 + 1e-9) + 1e-9
+    box = F.struct(*((b[c] + (around if c.endswith("1") else -around)).alias(c) for c in ("x0", "y0", "x1", "y1")))
+    dealt = polygons.select("unit", "rings", span("x0", "x1").alias("cx")).select("unit", "rings", "cx", span("y0", "y1").alias("cy"), box.alias("box"))
     spaced = F.transform("rings", lambda r: F.transform(r, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), F.lit(0.0).alias("z"))))
-    dealt = dealt.select("unit", "cx", "cy", _edges(spaced).alias("edges"))
+    dealt = dealt.select("unit", "cx", "cy", "box", _edges(spaced).alias("edges"))
     met = xyz.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell)).join(dealt.hint("merge"), ["cx", "cy"])
     p = {c: F.col(c) for c in "xyz"}
     close = _inside(F.col("edges"), p["x"], p["y"]) | (_nearest_edge(F.col("edges"), p, "xy")["d"] <= reach)
-    return met.filter(close).select("unit", "id", "x", "y", "z").distinct()
+    # most points of a cell are off the grown box: that is compared first, so few come to the edges
+    within = F.col("x").between(F.col("box.x0"), F.col("box.x1")) & F.col("y").between(F.col("box.y0"), F.col("box.y1"))
+    return met.filter(within & close).select("unit", "id", "x", "y", "z").distinct()
 
 
 def assess(outlines: DataFrame, faces: DataFrame, points: DataFrame, cell: float, size: float = CELL) -> DataFrame:

@@ -83,3 +83,14 @@ def test_verdicts(spark):
     found = {r.unit: r.reasons for r in E.assess(outlines, faces, bad, 10).collect()}
     assert found["good"] == ["nonfinite_lidar_coordinates"] and found["bare"] == ["missing_reconstructed_surfaces", "nonfinite_lidar_coordinates"]
     assert E.assess(outlines.limit(0), faces, bad, 10).count() == 0
+
+
+def test_boxes_are_compared_before_edges(spark):
+    square = spark.createDataFrame([(1, [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]])], "unit int, rings array<array<struct<x: double, y: double>>>")
+    places = [(-2.0, 2.0), (6.0, 6.0), (5.4, 5.4), (2.0, 6.0), (2.0, 6.001), (2.0, 2.0), (9.0, 9.0), (-1.5, -1.5)]
+    points = spark.createDataFrame([(k, x, y, 0.0) for k, (x, y) in enumerate(places)], "id int, x double, y double, z double")
+    near = E.near_polygons(points, square, 2.0, 20)
+    assert sorted(r.id for r in near.collect()) == [0, 2, 3, 5]
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    tested = next(line for line in plan.splitlines() if "lambda" in line and "Join" in line or "Filter" in line and "lambda" in line)
+    assert 0 < tested.index("box") < tested.index("lambda")
